@@ -79,10 +79,9 @@ def frequency_levels(words: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            for s in shingle_sets(b, k):
-                total += np.bincount(slot(s), minlength=SLOTS) if len(s) > 1 << 18 else 0
-                if len(s) <= 1 << 18:
-                    np.add.at(total, slot(s), 1)
+            sets = list(shingle_sets(b, k))
+            if sets:
+                total += np.bincount(slot(np.concatenate(sets)), minlength=SLOTS)
         rows = [(i, zlib.compress(total[i * width : (i + 1) * width].astype(np.int64).tobytes(), 1)) for i in range(PARTS) if total[i * width : (i + 1) * width].any()]
         yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "counts": pa.array([r[1] for r in rows], pa.binary())})
 
