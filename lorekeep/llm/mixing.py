@@ -80,16 +80,16 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     Range-sorted by virtual finish time: partition after partition is the sequence."""
     plan = mix_sizes(docs, seed)
-    plan = plan.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).cast("int")).where("copies > 0")
-    # rows that share an id share the plan rows in number: numbered on both sides
-    number = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))
-    plan = plan.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("start"))).select(F.col("doc_id").alias("pd"), F.col("source").alias("ps"), F.col("size").alias("pz"), "k", "start", "source_size", "target", "copies", "u")
+    plan = plan.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).cast("int"))
+    # rows alike in id, source and size share their copies evenly
+    key = lambda size: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("source", F.lit("\0")), size)
+    plan = plan.groupBy(key("size").alias("_k")).agg(F.round(F.sum("copies") / F.count("*")).cast("int").alias("copies"), *[F.min(c).alias(c) for c in ("start", "source_size", "target", "u")])
+    plan = plan.where("copies > 0").select("_k", *[F.col(c).alias(f"_{c}") for c in ("copies", "start", "source_size", "target", "u")])
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    d = docs.withColumn("size", size).withColumn("_n", F.row_number().over(number))
-    d = d.join(plan, F.col("doc_id").eqNullSafe(F.col("pd")) & F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pz")) & (F.col("_n") == F.col("k")))
-    d = d.withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    d = d.withColumn("virtual_finish", (F.col("start") + F.col("size") + F.col("_e") * F.col("source_size")) / F.col("target"))
-    out = d.repartitionByRange("virtual_finish", "u").sortWithinPartitions("virtual_finish", "u")
+    d = docs.withColumn("_size", size).withColumn("_k", key("_size")).join(plan, "_k")
+    d = d.withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    d = d.withColumn("virtual_finish", (F.col("_start") + F.col("_size") + F.col("_e") * F.col("_source_size")) / F.col("_target"))
+    out = d.repartitionByRange("virtual_finish", "_u").sortWithinPartitions("virtual_finish", "_u")
     return out.select(*docs.columns, "virtual_finish")
 
 
