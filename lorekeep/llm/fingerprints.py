@@ -118,6 +118,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     needs and its digests move again."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
+    # null-safe key in two columns; both joins below read this one exchange
+    dealt = base.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("ka"), F.col("doc_id").isNull().cast("int").alias("kb"), "text").repartition("ka", "kb")
     ids = known.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("longest"))
     first = ids.agg(F.min("doc_id").alias("first"))
     nxt = successor(ids, "doc_id", "next_id").join(ids, "doc_id").crossJoin(F.broadcast(first))  # one row: the smallest id
@@ -125,18 +127,20 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     nulls = base.where("doc_id is null").agg(F.max(F.char_length("text")).alias("longest")).where("longest is not null")
     nxt = nxt.unionByName(nulls.crossJoin(F.broadcast(first)).select(F.lit(None).cast("long").alias("doc_id"), "longest", F.col("first").alias("next_id")))
 
-    one = base.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("r = 1").drop("r")
+    one = dealt.withColumn("r", F.row_number().over(Window.partitionBy("ka", "kb").orderBy("text"))).where("r = 1").drop("r")
     level = level_of(F.char_length("text"))
-    heads = one.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), level.alias("next_level"))
-    heads = heads.join(nxt, "next_id").withColumn("common", F.greatest("next_level", level_of(F.col("longest"))))
+    heads = one.select("ka", "kb", F.col("text").alias("next_text"), level.alias("next_level"))
+    nxt = nxt.select("doc_id", "longest", F.col("next_id").alias("ka"), F.col("next_id").isNull().cast("int").alias("kb"))
+    heads = heads.join(nxt, ["ka", "kb"]).withColumn("common", F.greatest("next_level", level_of(F.col("longest"))))
     heads = heads.select(
-        F.col("doc_id").alias("prev_id"),
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("ka"),
+        F.col("doc_id").isNull().cast("int").alias("kb"),
         F.substring("next_text", F.lit(1), F.floor(F.col("longest") / 4).cast("int")).alias("head"),
         "next_level",
         "common",
         digests(word_hashes(F.col("next_text")), F.col("common")).alias("next_digests"),
     )
-    d = base.join(heads, base.doc_id.eqNullSafe(heads.prev_id), "left")
+    d = dealt.join(heads, ["ka", "kb"], "left").withColumn("doc_id", F.when(F.col("kb") == 0, F.col("ka")))
     d = d.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("quarter", F.floor(F.col("n_chars") / 4).cast("int"))
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("quarter")).cast("int")), F.substring(F.coalesce("head", F.lit("")), F.lit(1), F.col("quarter"))))
     d = d.withColumn("level", level).withColumn("edited_level", level_of(F.char_length("edited")))
