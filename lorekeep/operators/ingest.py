@@ -1,0 +1,102 @@
+"""Ingest: idempotent inserts, latest-wins and change-aware upserts, access and usage records, reports and tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens
+
+#: Report and document limits, states and priorities of tasks.
+MAX_TITLE, MAX_REPORT, MIN_DOCUMENT, MAX_DOCUMENT, MAX_FILE = 60, 500_000, 100, 50_000, 50 * 1024 * 1024
+TASK_STATES, PRIORITIES = ("pending", "in_progress", "review", "done"), ("low", "normal", "high", "urgent")
+
+
+def message_key(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("bot_name", "source", "chat_id", "message_id")]))
+
+
+def insert_unseen(new: DataFrame, seen: DataFrame, by_content: bool = False) -> DataFrame:
+    """Messages with text whose key is not in seen (key), one per key (the smallest by ts, then text)."""
+    d = message_key(new.where("text is not null and text <> ''"))
+    d = d.withColumn("key", F.concat_ws("|", "key", F.sha2(F.encode("text", "utf-8"), 256))) if by_content else d
+    first = Window.partitionBy("key").orderBy("ts", "text")
+    return d.join(seen.select("key"), "key", "left_anti").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+
+
+def latest_wins(df: DataFrame, key: str, order: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(F.col(order).desc())
+    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def changed(new: DataFrame, stored: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of new whose content hash differs from the stored one (source_hash) or that aren't stored; with status."""
+    n = new.withColumn("source_hash", F.sha2(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 256))
+    j = n.join(stored.select(F.col(key).alias("_k"), F.col("source_hash").alias("_h")), F.col(key) == F.col("_k"), "left")
+    return j.where(~F.col("source_hash").eqNullSafe(F.col("_h"))).withColumn("status", F.when(F.col("_k").isNull(), "new").otherwise("changed")).drop("_k", "_h")
+
+
+def validate_documents(df: DataFrame, text: str, size: str | None = None) -> DataFrame:
+    """df with code (OK, EMPTY_CONTENT, FILE_TOO_LARGE) and body, cut at the limit for accepted documents."""
+    n = F.char_length(F.trim(F.coalesce(text, F.lit(""))))
+    code = F.when(F.col(size) > MAX_FILE, "FILE_TOO_LARGE").when(n < MIN_DOCUMENT, "EMPTY_CONTENT").otherwise("OK") if size else F.when(n < MIN_DOCUMENT, "EMPTY_CONTENT").otherwise("OK")
+    return df.withColumn("code", code).withColumn("body", F.when(F.col("code") == "OK", F.substring(text, 1, MAX_DOCUMENT)))
+
+
+def record_access(radar: DataFrame, accesses: DataFrame) -> DataFrame:
+    """radar with access_count, last_accessed and status after access events (slug, ts); archived rows become active."""
+    a = accesses.groupBy("slug").agg(F.count("*").alias("_n"), F.max("ts").alias("_t"))
+    j = radar.join(a, "slug", "left")
+    return j.withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).withColumn("last_accessed", F.greatest("last_accessed", "_t")).withColumn("status", F.when(F.col("_n").isNotNull() & (F.col("status") == "archived"), "active").otherwise(F.col("status"))).drop("_n", "_t")
+
+
+def stale_after(stale: DataFrame, accesses: DataFrame) -> DataFrame:
+    """Stale candidates left after accesses: cold and archived ones that were read are dropped."""
+    hit = accesses.select("slug").distinct().withColumn("_hit", F.lit(True))
+    return stale.join(hit, "slug", "left").where(~(F.coalesce("_hit", F.lit(False)) & F.col("reason").isin("cold", "archived"))).drop("_hit")
+
+
+def usage(hits: DataFrame, short: str, full: str, by: list[str]) -> DataFrame:
+    """Per group: hits, tokens of short and full texts, percent saved to one place (null if there are no full tokens)."""
+    g = hits.groupBy(*by).agg(F.count("*").alias("hits"), F.sum(tokens(F.col(short))).alias("short_tokens"), F.sum(tokens(F.col(full))).alias("full_tokens"))
+    return g.withColumn("saved_pct", F.when(F.col("full_tokens") > 0, F.bround((1 - F.col("short_tokens") / F.col("full_tokens")) * 100, 1)))
+
+
+def check_reports(df: DataFrame, now: str) -> DataFrame:
+    """Reports (title, content, group, ttl_days) with code, cut title, expires_at; names that clash get -dupN."""
+    code = F.when(F.coalesce(F.trim("title"), F.lit("")) == "", "MISSING_TITLE").when(F.octet_length("content") > MAX_REPORT, "CONTENT_TOO_LARGE").when(~F.col("group").rlike("^[a-z0-9-]+$"), "INVALID_GROUP").otherwise("OK")
+    d = df.withColumn("code", code).withColumn("title", F.substring("title", 1, MAX_TITLE)).withColumn("expires_at", F.when(F.col("ttl_days") > 0, F.date_add(F.to_date(F.lit(now)), F.col("ttl_days").cast("int")).cast("string")))
+    d = d.withColumn("slug", F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", ""))
+    n = F.row_number().over(Window.partitionBy("group", "slug", "code").orderBy("content"))
+    return d.withColumn("_n", n).withColumn("name", F.when(F.col("_n") > 1, F.concat("slug", F.lit("-dup"), (F.col("_n") - 1).cast("string"))).otherwise(F.col("slug"))).withColumn("code", F.when(F.col("_n") > 101, "TOO_MANY_DUPLICATES").otherwise(F.col("code"))).drop("_n")
+
+
+def unexpired(reports: DataFrame, today: str) -> DataFrame:
+    return reports.where(F.col("expires_at").isNull() | (F.col("expires_at") >= today))
+
+
+def make_tasks(df: DataFrame, assignees: list[str], now: str) -> DataFrame:
+    """Tasks (title, description, assigned_to, assigned_by, priority, acceptance_criteria) with code, id, state and history."""
+    code = F.when(~F.col("assigned_to").isin(assignees), "INVALID_ASSIGNEE").when(~F.col("priority").isin(*PRIORITIES), "INVALID_PRIORITY").otherwise("OK")
+    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 40)
+    return df.withColumn("code", code).withColumn("task_id", F.concat(F.lit(now.replace(":", "").replace("T", "-")), F.lit("-"), slug)).withColumn("state", F.lit(TASK_STATES[0])).withColumn("history", F.array(F.struct(F.lit(now).alias("at"), F.lit(TASK_STATES[0]).alias("state"))))
+
+
+def advance(tasks: DataFrame, to: str, now: str) -> DataFrame:
+    """Tasks moved to the state that follows theirs; others stay."""
+    before = TASK_STATES[TASK_STATES.index(to) - 1]
+    go = F.col("state") == before
+    return tasks.withColumn("history", F.when(go, F.concat("history", F.array(F.struct(F.lit(now).alias("at"), F.lit(to).alias("state"))))).otherwise(F.col("history"))).withColumn("state", F.when(go, F.lit(to)).otherwise(F.col("state")))
+
+
+#: Words of procedural content, which is worth a summary.
+PROCEDURAL = r"(?iU)\b(step|steps|how to|procedure|workflow|sop|checklist|install|setup|configure)\b|步驟|流程|設定|安裝|教學"
+
+
+def wants_summary(text: str):
+    return F.col(text).rlike(PROCEDURAL)
+
+
+def write_summaries(radar: DataFrame, text: str, summarise) -> DataFrame:
+    """radar with summary filled by a caller's Column function where the trigger fires."""
+    return radar.withColumn("summary", F.when(wants_summary(text), summarise(F.col(text))).otherwise(F.col("summary") if "summary" in radar.columns else F.lit(None).cast("string")))
