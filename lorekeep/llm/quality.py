@@ -92,10 +92,20 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("word_chars", F.char_length(F.translate(t, " \t\n\u000b\f\r", "")).cast("long"))
     d = d.withColumn("n_symbols", count_of(t, SYMBOLS).cast("long"))
     d = d.withColumn("n_dup_lines", let(n(t), lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
-    d = d.withColumn("n_repeat_words", repeat_words(F.col("_h")))
+    d = d.withColumn("n_repeat_words", let(F.col("_h"), repeat_words))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     d = d.withColumn("_lines", judged_lines(F.col(text)))
     d = d.withColumn("lost_words", F.aggregate("_lines", F.lit(0).cast("long"), lambda a, r: a + F.when(r["ok"], F.lit(0)).otherwise(r["words"])))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * MAX_LOSS))
     d = d.withColumn("clean_text", F.array_join(F.transform(F.filter("_lines", lambda r: r["ok"]), lambda r: r["line"]), "\n"))
     return d.drop("_h", "_lines")
+
+
+def passing(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs that are kept, with their text cleaned.
+
+    The choice goes through a generator: a plain filter would be pushed below the columns it reads, which the optimizer
+    would then compute again inside it, once for every mention."""
+    d = score(docs, text).withColumn("_pass", F.when(F.col("kept"), F.array(F.struct(F.col("clean_text").alias("t")))).otherwise(F.array()))
+    d = d.select(*[c for c in docs.columns if c != text], F.explode_outer("_pass").alias("_p")).where(F.col("_p").isNotNull())
+    return d.withColumn(text, F.col("_p.t")).select(*docs.columns)

@@ -51,7 +51,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate: place, kind, digest of the candidate, probability and verdict."""
     d = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled(spark)))
-    d = d.where(F.size("findings") > 0).select("doc_id", F.explode("findings").alias("f"))
+    d = d.select("doc_id", F.explode_outer("findings").alias("f")).where(F.col("f").isNotNull())  # no filter below the scan, which would repeat it
     return d.select("doc_id", "f.start", "f.length", "f.kind", F.sha2("f.candidate", 256).alias("candidate_sha256"), "f.probability", "f.secret")
 
 
