@@ -18,8 +18,7 @@ from lorekeep.llm.queries import rank_file
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass; lines that fail are gone from their texts."""
-    d = quality.score(docs).where("kept")
-    return d.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return quality.passing(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
