@@ -52,23 +52,20 @@ def judged_lines(text: Column) -> Column:
     page-furniture phrases, and lines that the text repeats three times or more (all but the first)."""
 
     def look(line: Column) -> Column:
-        w = F.regexp_count(line, F.lit(WORD))
-        low = F.lower(line)
-
-        def rule(w: Column) -> Column:
-            furniture = F.lit(False)
-            for p in PHRASES:
-                furniture = furniture | low.contains(p)
+        def rule(f: Column) -> Column:
+            w, low = f["w"], f["low"]
+            furniture = low.rlike("|".join(PHRASES))
             return (
-                ((count_of(line, SYMBOLS) >= 3) & (5 * count_of(line, SYMBOLS) > w))
-                | ((count_of(line, "|") >= 3) & (6 * count_of(line, "|") > w))
+                ((f["symbols"] >= 3) & (5 * f["symbols"] > w))
+                | ((f["bars"] >= 3) & (6 * f["bars"] > w))
                 | ((w >= 3) & (F.upper(line) == line) & (low != line))
                 | ((w >= 3) & (3 * count_of(line, "!") > w))
                 | ((w >= 1) & (w <= 3) & ~line.rlike(r"[.!?:;,…。！？]['\"”»)\]]*\s*$"))
                 | ((w <= 30) & furniture)
             )
 
-        return let(w, lambda w: F.struct(line.alias("line"), w.alias("words"), (~rule(w)).alias("ok")))
+        facts = F.struct(F.regexp_count(line, F.lit(WORD)).alias("w"), F.lower(line).alias("low"), count_of(line, SYMBOLS).alias("symbols"), count_of(line, "|").alias("bars"))
+        return let(facts, lambda f: F.struct(line.alias("line"), f["w"].alias("words"), (~rule(f)).alias("ok")))
 
     def repeated(ls: Column) -> Column:
         # sorted by line then place, a line's later occurrences follow its first; back in order of place after that
