@@ -6,7 +6,7 @@ A document's set is its distinct k-word shingles, as 64-bit hashes. Two document
 2. Prefix: the first n - ceil(t n) + 1 shingles in that order. Linked documents share one of them.
 3. Groups: documents with the same prefix and size collapse into one group, after documents with equal sets (linked without
    more ado). Each group's members pair with its leader, and groups that share a prefix shingle pair with that shingle's
-   smallest group: stars, never all pairs of a bucket.
+   first group by hash: stars, never all pairs of a bucket. Where components remain, ROUNDS more stars with other centres.
 4. Filter: a pair whose 256-bin shingle counts differ by more than a link allows is dropped (never a linked one).
 5. Verify: remaining pairs are checked on full sets; links give components.
 6. Rest: where a shingle's bucket still spans several components, the groups are expanded and members of different
@@ -33,6 +33,8 @@ from .common import components, stored, words_of
 SLOTS, PARTS = 1 << 22, 1024
 #: Buckets of the bounded filter that selects texts to verify; members of a bucket compared at once.
 BUCKETS, BLOCK = 1 << 20, 1024
+#: Rounds of stars before members are compared across what components remain; they save work and don't change the result.
+ROUNDS = 3
 
 
 def hashed_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -241,21 +243,37 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     member = Window.partitionBy("pre", "n").orderBy("doc_id")
     leaders = some.select("doc_id", "n", "pre", "prefix").withColumn("r", F.row_number().over(member)).where("r = 1").drop("r")
     tokens = leaders.select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("token"))
-    heads = tokens.groupBy("token").agg(F.min(F.struct("n", "gid")).alias("head"), F.count("*").alias("c")).where("c > 1").select("token", F.col("head.gid").alias("hg"), F.col("head.n").alias("hn"))
+    heads = tokens.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid").alias("h"), "n", "gid")).alias("head"), F.count("*").alias("c")).where("c > 1").select("token", F.col("head.gid").alias("hg"), F.col("head.n").alias("hn"))
     shared = stored(tokens.join(heads, "token"), "buckets")
     groups = same.groupBy("pre", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("m"))
     inside = same.join(groups.where("m > 1"), ["pre", "n"]).select(F.col("gid").alias("a"), F.col("rep").alias("b")).where("a <> b")
     inside = stored(inside, "groups")
     stars = shared.where((F.col("gid") != F.col("hg")) & _size_fits(F.col("n"), F.col("hn"), percent)).select(F.col("hg").alias("a"), F.col("gid").alias("b")).distinct()
     first = stored(verified(filtered(inside.unionByName(stars), some, percent), docs, k, percent, text), "links")
-    comp = stored(components(first), "components")
 
-    # what is left: shingles whose bucket spans several components; members of groups have the tokens of their leader
-    label = lambda df, c: df.join(comp.withColumnRenamed("id", c), c, "left").withColumn("comp", F.coalesce("component_id", c)).drop("component_id")
+    def label(df: DataFrame, comp: DataFrame, c: str) -> DataFrame:
+        """df with comp, the component of its ids; ids without a link are their own."""
+        return df.join(comp.withColumnRenamed("id", c), c, "left").withColumn("comp", F.coalesce("component_id", c)).drop("component_id")
+
+    # members of groups have the tokens of their leader
     every = shared.select("token", F.col("gid").alias("doc_id")).unionByName(shared.select("token", "gid").join(inside.select(F.col("a").alias("gid"), F.col("b").alias("doc_id")), "gid").select("token", "doc_id"))
     # members that differ from a leader whose group shares no token with another still need comparing with each other
     alone = inside.select(F.xxhash64("a", F.lit("group")).alias("token"), F.col("b").alias("doc_id")).unionByName(inside.select(F.xxhash64("a", F.lit("group")).alias("token"), F.col("a").alias("doc_id")).distinct())
-    every = stored(label(every.unionByName(alone), "doc_id"), "buckets")
+    every = stored(every.unionByName(alone), "buckets")
+    links, now = first, label(every, components(first), "doc_id")
+    for r in range(ROUNDS):
+        # buckets of several components: their members against one of them, another each round
+        now = stored(now, "buckets")
+        lead = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.col("m.id").alias("lead"), F.col("m.c").alias("lc"))
+        pairs = now.join(lead, "token").where("comp <> lc").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+        more = stored(verified(filtered(pairs, some, percent), docs, k, percent, text), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        now = label(every, components(links), "doc_id")
+
+    # what is left: buckets that still span several components
+    every = stored(now, "buckets")
     open_ = every.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rest = every.join(open_, "token").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cells = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -264,8 +282,8 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     found = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across(percent), "a long, b long")
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = verified(found, docs, k, percent, text)
-    links = components(copies.unionByName(first).unionByName(second)).withColumnRenamed("id", "_id")
-    out = prof.select("doc_id", F.col("n").alias("n_shingles")).join(links, F.col("doc_id") == F.col("_id"), "left")
+    found = components(copies.unionByName(links).unionByName(second)).withColumnRenamed("id", "_id")
+    out = prof.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("_id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
