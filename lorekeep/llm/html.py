@@ -63,15 +63,16 @@ def lines_of(html: str) -> list[tuple[str, int]]:
 
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements with the place inside them
-    text: list[str] = []
-    place = at = 1
-    at = 0
+    text: list[tuple[str, int]] = []  # pieces of the open block, each with its place
+    place, at = 1, 0
 
     def close_block() -> None:
-        line = " ".join("".join(text).split())
+        # inline furniture (a button, an advert's span) leaves the block that it stands in
+        at = max((p for _, p in text), default=0)
+        line = " ".join("".join(t for t, p in text if p or not at).split())
         text.clear()
         if line:
-            out.append((line, place))
+            out.append((line, at))
 
     def pop(to: int) -> None:
         nonlocal place
@@ -81,10 +82,10 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     while at < len(html):
         m = TOKEN.search(html, at)
         if not m:
-            text.append(unescape(html[at:]))
+            text.append((unescape(html[at:]), place))
             break
         if m.start() > at:
-            text.append(unescape(html[at : m.start()]))
+            text.append((unescape(html[at : m.start()]), place))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -94,11 +95,9 @@ def lines_of(html: str) -> list[tuple[str, int]]:
                 close_block()
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if k is not None:
-                if stack[k][1] != place:
-                    close_block()
                 pop(k)
             elif tag == "br":
-                text.append(" ")
+                text.append((" ", place))
             continue
         attrs = m[3] or m[6] or ""
         if tag in BLOCKS:
@@ -109,7 +108,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             if k is not None and not any(t in ("ul", "ol", "table", "dl", "div", "section", "article", "main", "nav", "aside", "blockquote", "form") for t, _ in stack[k + 1 :]):
                 pop(k)
         elif tag in ("br", "td", "th", "img"):
-            text.append(" ")
+            text.append((" ", place))
         if tag in VOID:
             continue
         inner = place
@@ -117,13 +116,11 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             inner = 0
         elif place == 1 and tag in ("article", "main"):
             inner = 2
-        if inner != place and tag not in BLOCKS:
-            close_block()
         if tag in RAW:  # its content is no markup
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
             stop = end.start() if end else len(html)
             if inner:
-                text.append(unescape(html[at:stop]))
+                text.append((unescape(html[at:stop]), place))
             at = end.end() if end else len(html)
             continue
         if not attrs.endswith("/") or tag in BLOCKS:

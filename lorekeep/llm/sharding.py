@@ -65,7 +65,7 @@ def assign(rows: DataFrame, directory: DataFrame) -> DataFrame:
     """
     depths = [r[0] for r in directory.select("depth").distinct().orderBy("depth").collect()]  # at most 61 small numbers
     if not depths:
-        return rows.select("*", F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("int").alias("depth"))
+        return rows.select("*", F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("boolean").alias("oversized"))
     tries = F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("h"), d).alias("prefix")) for d in depths])
     return rows.withColumn("_t", F.explode(tries)).select("*", "_t.depth", "_t.prefix").drop("_t").join(directory.select("prefix", "depth", "oversized"), ["prefix", "depth"])
 

@@ -1,0 +1,263 @@
+"""Operators against plain Python, on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
+
+import hashlib
+import html as H
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lorekeep.llm import bpe, common, fingerprints, html, jaccard, language, mixing, quality, queries, secrets, sharding, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+EXTRA = ", size string, ids string, k string, h string"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    para = lambda n: " ".join(rng.choice(vocab) for _ in range(n)) + "."
+    base = [para(40) + "\n" + para(60) for _ in range(12)]
+    near = [t.replace(t.split()[7], "changed", 1) for t in base for _ in range(2)]
+    odd = [None, "", " \n\t", "one", "two words", "TWO words", "word " * 5000, para(6000), "the same\n" * 9, "é漢字😀 " * 30]
+    texts = base + near + base[:4] + odd
+    out = [(i * 3 + 1, t, ("en", "de")[i % 2], (None, "a", "b", "é")[i % 4], len(t or "")) for i, t in enumerate(texts)]
+    return out + [out[3], (None, "no id " * 30, "en", "a", 180)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, "s", "i", "k", "h") for r in rows], DOC + EXTRA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def test_fingerprints(docs, rows, none):
+    got = fingerprints.compare_with_edits(docs).collect()
+    assert len(got) == len(rows) and fingerprints.compare_with_edits(none).count() == 0
+    text = {r[0]: r[1] or "" for r in rows}
+    ids = sorted(i for i in text if i is not None)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True)) | {None: ids[0]}
+    for r in got:
+        t, n = text[r["doc_id"]], text[after[r["doc_id"]]]
+        q = len(t) // 4
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert len({(text[r["doc_id"]], r["fingerprint"]) for r in got}) == len({text[r["doc_id"]] for r in got})
+
+
+def test_peeling_recovers_the_difference(spark):
+    rng = random.Random(1)
+    pool = [rng.getrandbits(63) for _ in range(900)]
+    cases = [(pool[:n], pool[k : n + k]) for n, k in ((0, 0), (1, 1), (20, 2), (60, 30), (400, 300), (0, 5))]
+    d = spark.createDataFrame(cases, "a array<long>, b array<long>")
+    want = [len(set(a) ^ set(b)) for a, b in cases]
+    assert [r[0] for r in d.select(fingerprints.difference(F.col("a"), F.col("b"))).collect()] == want
+    a, b = cases[2]
+    got = spark.createDataFrame([cases[2]], "a array<long>, b array<long>").select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a"), 32), fingerprints.sketch(F.col("b"), 32)), 32)).first()[0]
+    assert set(got) == set(a) ^ set(b)
+
+
+def test_successor(spark):
+    ids = [-5, 0, 1, 2, 65535, 65536, 1 << 33, (1 << 62) + 1]
+    got = dict(common.successor(spark.createDataFrame([(i,) for i in ids], "i long"), "i", "n").collect())
+    assert got == dict(zip(ids, ids[1:] + [None], strict=True))
+
+
+def _base(t):
+    w = WORD.findall(t or "")
+    g = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
+    c, covered = Counter(g), set()
+    for j, x in enumerate(g):
+        if c[x] > 1:
+            covered.update(range(j, j + 8))
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, docs, rows, none):
+    got = quality.score(docs).collect()
+    assert sorted((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == sorted(_base(r[1]) for r in rows)
+    assert quality.score(none).count() == 0 and quality.passing(docs).columns == docs.columns
+    good = " ".join(f"word{i}" for i in range(60)) + "."
+    bad = " | ".join(f"nav{i}" for i in range(40))
+    d = spark.createDataFrame([(1, good), (2, good + "\n" + bad), (3, bad), (4, good + "\nmenu"), (5, good.upper() + "!!")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in quality.passing(d).collect()} == {1: good, 4: good}
+
+
+def _links(rows, k, percent):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())))
+    up = {i: i for i, _ in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, x in sets:
+        for b, y in sets:
+            if x and y and None not in (a, b) and 100 * len(x & y) >= percent * len(x | y):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return sorted(((i, len(s), None if i is None else find(i)) for i, s in sets), key=str)
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard(docs, rows, none, k, percent):
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_components(docs, k, percent).collect()), key=str)
+    assert got == _links([r[:2] for r in rows], k, percent)
+    assert jaccard.link_components(none, k, percent).count() == 0
+
+
+def test_jaccard_chains(spark):
+    """Each text links to its neighbours only, so components rest on links far from any centre."""
+    words = [f"x{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 200])) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_components(d, 3, 90).collect()), key=str)
+    assert got == _links(rows, 3, 90) and {x[2] for x in got} == {0}
+
+
+def test_sharding(docs, rows, none):
+    got = sharding.shard_documents(docs, 20_000).collect()
+    assert len(got) == len(rows) and sharding.shard_documents(none).count() == 0
+    size, names = Counter(), {r["shard"] for r in got}
+    for r in got:
+        size[r["shard"]] += r["bytes"]
+    big = {r["shard"] for r in got if r["oversized"]}
+    assert all(v <= 20_000 or k in big for k, v in size.items())
+    assert big == {r["shard"] for r in got if r["bytes"] > 20_000}  # a single long text can't be split
+    assert not any(a != b and b.startswith(a) for a in names for b in names)
+    for s in names - {""}:  # a shard exists only because its parent was too large
+        assert sum(v for k, v in size.items() if k.startswith(s[:-1])) > 20_000
+
+
+def test_bpe(docs, rows, none):
+    ranks, pattern = queries.rank_file()
+    got = sorted(map(tuple, bpe.digests(docs.select("doc_id", "text"), ranks, pattern, ["doc_id"]).collect()), key=str)
+    enc, want = bpe.encoder(ranks, pattern), []
+    for i, t, *_ in rows:
+        x = enc.encode_ordinary(t or "")
+        want.append((i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert bpe.digests(none, ranks, pattern, ["doc_id"]).count() == 0
+    rng = random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "b", " ", "  ", "\n", "'s", "'", "12", "!", "é漢", "　"]) for _ in range(rng.randint(0, 90)))
+        assert bpe.encode(t, ranks, pattern, 7) == enc.encode_ordinary(t)
+    long = "a" * 300_000 + " " * 300_000 + "b"
+    assert bpe.decode(bpe.encode(long, ranks, pattern), ranks, pattern) == long.encode()
+
+
+def test_secrets(spark, docs, rows, none):
+    model = secrets.fit(secrets.labelled(spark))
+    held = secrets.labelled(spark, 3000, seed=99)
+    p = held.select("label", secrets.as_expression(model, secrets.features(F.col("before"), F.col("candidate"), F.col("after"))).alias("p"))
+    assert p.select(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0] > 0.95
+    key = hashlib.sha1(b"x").hexdigest()
+    t = f'a token = "{key}" and commit {key} in src/data/file_2024_version1 done'
+    d = spark.createDataFrame([(1, t, "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, findings string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(d.drop("findings"), model).collect()}
+    assert got == {1: t.replace(f'"{key}"', '"[SECRET:hex]"'), 2: None, 3: ""}
+    f = secrets.scan(d, model).where("doc_id = 1").first()["findings"]
+    assert all(t[x["start"] : x["start"] + x["length"]] == x["candidate"] for x in f) and [x["secret"] for x in f][:2] == [True, False]
+    assert secrets.scan(none, model).count() == 0
+
+
+PAGE = "page_id long, url string, html string"
+
+
+def test_html(spark):
+    frame = "<html><head><title>t</title></head><body><nav><a>home</a></nav><div>Site slogan</div>{}<div class='sidebar'>x</div><footer>f</footer></body></html>"
+    body = "<p>Para {0} &amp; more<br>te<span class='ad'>buy</span>xt</p><p>Second\n {0}"
+    p = spark.createDataFrame(
+        [(i, f"http://h.example.com/a/{i}", frame.format(body.format(i))) for i in range(6)]
+        + [(9, "http://h.example.com/z", frame.format("<article><h1>H</h1><p>A<div class=comments>no</div></article>")), (10, None, None), (11, "http://lone.example.com/", "<p>x<script>'</p>'</script>y<form>z</form>"), (11, "http://lone.example.com/", "<p>twice")],
+        PAGE,
+    )
+    got = html.extract(p).collect()
+    texts = {(r["page_id"], r["text"]) for r in got}
+    assert texts == {(i, f"Para {i} & more text\nSecond {i}") for i in range(6)} | {(9, "H\nA"), (10, ""), (11, "xy"), (11, "twice")}
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and html.extract(spark.createDataFrame([], PAGE)).count() == 0
+    assert html.shared(list("abcde"), list("xbxdx")) == {1, 3} and H.unescape("&amp") == "&"
+
+
+def test_warc(spark, tmp_path):
+    long = "é" * 100
+    rows = [(5, "u", long), (2, "u\r\nX: y", long), (9, None, long), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (None, "u", long), (7, "u", "q" * 100)]
+    warc.write_archive(spark.createDataFrame(rows, PAGE), str(tmp_path / "a"))
+    got = {r["id"]: r for r in warc.record_bytes(warc.read_archive(spark, str(tmp_path / "a"))).collect()}
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {5: ("revisit", 2), 2: ("response", None), 9: ("revisit", 2), 1: ("response", None), 3: ("response", None), 4: ("response", None), None: ("revisit", 2), 7: ("response", None)}
+    for i, _, h in rows:
+        assert bytes(got[i]["payload"]) == (h or "").encode() and got[i]["verified"] and got[i]["payload_digest"] == hashlib.sha256((h or "").encode()).hexdigest()
+    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
+    assert got[2]["record"].startswith("WARC/1.1\r\n") and got[2]["record"].endswith(long + "\r\n\r\n")
+    warc.write_archive(spark.createDataFrame([], PAGE), str(tmp_path / "b"))
+    assert warc.read_archive(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_language(spark):
+    en, de = "the thing and the other of them is here ", "das ding und der andere von ihnen ist hier "
+    d = spark.createDataFrame([(i, (en, de)[i % 2] * (i % 5 + 1), ("en", "de")[i % 2], f"s{i % 3}", 0) for i in range(60)] + [(99, None, None, None, 0), (98, "", "en", "s1", 0)], DOC)
+    p = spark.createDataFrame([(i, f"http://w{i % 2}.x.{('com', 'de')[i % 2]}/{('en', 'de')[i % 2]}/{i}", f"<html lang={('en', 'de')[i % 2]}><p>{(en, de)[i % 2]}</p>") for i in range(30)] + [(77, "http://w1.x.de/de/1", "<html lang='de'>"), (78, None, None)], PAGE)
+    r = language.identify(d, p).collect()
+    assert len(r) == 94
+    assert all(x["lang"] == ("en", "de")[x["doc_id"] % 2] for x in r if x["doc_id"] is not None and x["doc_id"] < 60)
+    assert {x["page_id"]: x["lang"] for x in r}[77] == "de" and all(x["lang"] for x in r)
+    assert language.identify(spark.createDataFrame([], DOC), p).count() == 32
+
+
+def test_mixing(spark, docs, rows, none):
+    got = mixing.mix_sizes(docs).collect()
+    assert len(got) == len(rows) and mixing.mix_sizes(none).count() == 0 and mixing.mixed(none).count() == 0
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(WORD.findall(r[1] or ""))
+    names = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
+    w, left, goal = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 1.5 * sum(size.values()), {}
+    while True:  # share by weight, cap, share the rest again
+        free = [s for s in names if s not in goal]
+        over = [s for s in free if left * w[s] / sum(w[x] for x in free) > 2 * size[s]]
+        if not over:
+            goal |= {s: left * w[s] / sum(w[x] for x in free) for s in free}
+            break
+        for s in over:
+            goal[s] = 2.0 * size[s]
+        left -= sum(goal[s] for s in over)
+    taken = Counter()
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and abs(r["target"] - goal[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - goal[s]) < 1 for s in names)
+    seq = mixing.mixed(docs).collect()
+    assert [r["virtual_finish"] for r in seq] == sorted(r["virtual_finish"] for r in seq) and mixing.mixed(docs).columns == [*docs.columns, "virtual_finish"]
+
+
+def test_pipeline_against_plain_python(spark, tmp_path, rows):
+    pipe = pytest.importorskip("corpus_pipeline")
+    d = spark.createDataFrame([r for r in rows if r[0] is not None], DOC).dropDuplicates(["doc_id"])
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, kept = d, None
+    for name, stage in pipe.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns
+        if name == "near_duplicates":
+            seen = {r["doc_id"]: r["text"] for r in docs.collect()}
+            kept = sorted(i for i, _, c in _links(list(seen.items()), 5, 80) if i == c)
+            assert sorted(r["doc_id"] for r in out.collect()) == kept
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert kept and {r["doc_id"] for r in docs.collect()} <= set(kept)
+    assert pipe.run(spark, str(tmp_path)).count() == docs.count()
