@@ -22,15 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Scratch tables written so far and not yet released.
+_SCRATCH: list[str] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage and survives lost executors.
 
-    The table stays in the shared folder (cleared with the job's checkpoint folder), since the result is lazy."""
+    The table stays until `release`, since results that read it are lazy."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes scratch tables. For the time when all results that may read them have been written."""
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once; SQL lambdas have no other way to name a value."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

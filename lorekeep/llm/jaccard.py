@@ -6,7 +6,7 @@ A document's set is its distinct k-word shingles, as 64-bit hashes. Two document
 2. Prefix: the first n - ceil(t n) + 1 shingles in that order. Linked documents share one of them.
 3. Groups: documents with the same prefix and size collapse into one group, after documents with equal sets (linked without
    more ado). Each group's members pair with its leader, and groups that share a prefix shingle pair with that shingle's
-   first group by hash: stars, never all pairs of a bucket. Where components remain, ROUNDS more stars with other centres.
+   first group by hash: stars, never all pairs of a bucket. Where components remain, ROUNDS more stars with another centre.
 4. Filter: a pair whose 256-bin shingle counts differ by more than a link allows is dropped (never a linked one).
 5. Verify: remaining pairs are checked on full sets; links give components.
 6. Rest: where a shingle's bucket still spans several components, the groups are expanded and members of different
@@ -34,7 +34,7 @@ SLOTS, PARTS = 1 << 22, 1024
 #: Buckets of the bounded filter that selects texts to verify; members of a bucket compared at once.
 BUCKETS, BLOCK = 1 << 20, 1024
 #: Rounds of stars before members are compared across what components remain; they save work and don't change the result.
-ROUNDS = 3
+ROUNDS = 1
 
 
 def hashed_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -96,11 +96,16 @@ def frequency_levels(words: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())})
 
     schema = "part int, counts binary"
-    total = np.zeros(SLOTS, np.float64)
-    for r in words.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toLocalIterator():  # SLOTS counters in all
-        total[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    usual = total.sum() / SLOTS
-    return np.where(total > 4 * usual + 8, np.log2(np.maximum(total / (usual + 1), 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
+    parts: dict[int, bytes] = {}
+    total = 0
+    for r in words.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toLocalIterator():  # SLOTS counters in all, kept compressed
+        parts[r["part"]] = bytes(r["counts"])
+        total += int(np.frombuffer(zlib.decompress(parts[r["part"]]), np.int64).sum())
+    usual, levels = total / SLOTS, np.zeros(SLOTS, np.uint8)
+    for p, c in parts.items():
+        n = np.frombuffer(zlib.decompress(c), np.int64)
+        levels[p * width : (p + 1) * width] = np.where(n > 4 * usual + 8, np.log2(np.maximum(n / (usual + 1), 1)).astype(np.uint8) + 1, 0)
+    return levels
 
 
 def profiles(words: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
