@@ -34,7 +34,10 @@ def cells(text: str) -> np.ndarray:
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods[languages, CELLS]) of a bounded sample of labelled rows."""
-    some = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key), F.col(lang).alias("l"), F.col(text).alias("t")).orderBy(F.xxhash64(key, F.lit(3)), key, "l").limit(rows).select("l", "t")
+    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
+    # the sample is drawn on ids alone; at most `rows` of them are broadcast to fetch the texts
+    ids = known.select(key).distinct().orderBy(F.xxhash64(key, F.lit(3)), key).limit(rows)
+    some = known.select(F.col(key), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(ids), key, "left_semi").select("l", "t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
