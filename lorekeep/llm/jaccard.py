@@ -270,9 +270,12 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
         # buckets of several components: their members against one of them, another each round
         now = stored(now, "buckets")
         lead = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.col("m.id").alias("lead"), F.col("m.c").alias("lc"))
-        pairs = now.join(lead, "token").where("comp <> lc").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+        now = stored(now.join(lead, "token"), "buckets")  # a bucket of one component stays one: only the others go on
+        every = now.select("token", "doc_id")
+        pairs = now.where("comp <> lc").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
         more = stored(verified(filtered(pairs, some, percent), docs, k, percent, text), "links")
         if more.isEmpty():
+            now = now.select("token", "doc_id", "comp")
             break
         links = links.unionByName(more)
         now = label(every, components(links), "doc_id")
