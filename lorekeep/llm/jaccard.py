@@ -7,11 +7,12 @@ A document's set is its distinct k-word shingles, as 64-bit hashes. Two document
 3. Groups: documents with the same prefix and size collapse into one group, after documents with equal sets (linked without
    more ado). Each group's members pair with its leader, and groups that share a prefix shingle pair with that shingle's
    first group by hash: stars, never all pairs of a bucket. Where components remain, ROUNDS more stars with another centre.
-4. Filter: a pair whose 256-bin shingle counts differ by more than a link allows is dropped (never a linked one).
+4. Filter: a pair whose odd sketches (parities of hashed bits) differ by more than a link allows is dropped (never a linked one).
 5. Verify: remaining pairs are checked on full sets; links give components.
 6. Rest: where a shingle's bucket still spans several components, the groups are expanded and members of different
-   components are compared block by block by size and bins, survivors are verified as before. So every link between
-   different components of step 5 is found, and components are exact; buckets of one component need no more pairs.
+   components are compared block by block by size and sketch. Of the pairs that pass, a cell gives a spanning forest of its
+   components, which is verified as before; buckets with an end of a pair that failed are compared in full. So every link
+   between different components of step 5 is found or joined by others, and components are exact.
 
 Null and empty texts have the empty set and link with nothing. Fewer than k words are one shingle. Repeated rows and ids link
 to themselves; a null id has its set counted but no component. Extra columns are ignored. Sets are whole, whatever the length.
@@ -109,7 +110,7 @@ def frequency_levels(words: DataFrame, k: int) -> np.ndarray:
 
 
 def profiles(words: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, bins, pre, prefix) of each document: set size, 128-bit digests of set and prefix, bin counts, prefix."""
+    """(doc_id, n, sig, bins, pre, prefix) of each document: set size, 128-bit digests of set and prefix, odd sketch, prefix."""
     import xxhash  # noqa: F401  (workers import it)
 
     shared = words.sparkSession.sparkContext.broadcast(levels.tobytes())
@@ -123,7 +124,7 @@ def profiles(words: DataFrame, levels: np.ndarray, k: int, percent: int) -> Data
             for s in shingle_sets(b, k):
                 n = len(s)
                 p = s[np.lexsort((s, lv[slot(s)]))][: n - -(-percent * n // 100) + 1] if n else s
-                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes(), xxhash.xxh3_128_digest(p.tobytes()), p.view(np.int64)))
+                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), sketch(s), xxhash.xxh3_128_digest(p.tobytes()), p.view(np.int64)))
             n, sig, bins, pre, prefix = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "bins": pa.array(bins, pa.binary()), "pre": pa.array(pre, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
@@ -136,16 +137,41 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Odd sketch: parities of the counts of tokens by their low bits, one bit each; a power of two of bits from 512 to 16384."""
+    m = 512
+    while m < min(2 * len(tokens), 1 << 14):
+        m *= 2
+    return np.packbits(np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Sketches of equal length as rows of 64-bit words, brought down to size bytes: halves add up by exclusive or."""
+    x = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    while x.shape[1] > size:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return np.ascontiguousarray(x).view(np.uint64)
+
+
+def _close(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches differ by no more than linked sets can: odd bits of the difference never exceed its size."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * sizes
+
+
 def _bins_fit(percent: int):
-    """Series test: bin counts of a and b differ by no more than linked sets of their sizes can."""
+    """Keeps the pairs whose sketches differ by no more than linked sets of their sizes can."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in ("ba", "bb"))
+            x, y = (b.column(c).to_pylist() for c in ("ba", "bb"))
             n = np.asarray(b.column("na")) + np.asarray(b.column("nb"))
-            ok = np.abs(x - y).sum(1) * (100 + percent) <= (100 - percent) * n
+            lengths = np.array([(len(u), len(v)) for u, v in zip(x, y, strict=True)])
+            ok = np.zeros(b.num_rows, bool)
+            for lx, ly in np.unique(lengths, axis=0):
+                at = np.flatnonzero((lengths == (lx, ly)).all(1))
+                ok[at] = _close(folded([x[i] for i in at], min(lx, ly)), folded([y[i] for i in at], min(lx, ly)), n[at], percent)
             yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok))
 
     return run
@@ -191,20 +217,36 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str
     return p.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
-def _across(percent: int):
-    """Streams rows sorted by cell (token, i, j); of each cell gives the pairs of different components that pass the filters."""
+def _across(percent: int, forest: bool):
+    """Streams rows sorted by cell (token, i, j); of each cell gives the pairs of different components that pass the filters.
+    With forest, pairs that only join what the cell's earlier pairs join are left out: at most one less than its components."""
 
     def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         side, ids, comp, n = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-        bins = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, 256).astype(np.int16)
-        left, out_a, out_b = np.flatnonzero(side < 2), [], []  # side 0: left, 1: right, 2: both
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
+        length = np.array([len(r[4]) for r in rows])
+        parts = {}
+        for size in np.unique(length):  # sketches of at least this length, folded to it
+            parts[size] = np.zeros((len(rows), size // 8), np.uint64)
+            for own in np.unique(length[length >= size]):
+                at = np.flatnonzero(length == own)
+                parts[size][at] = folded([rows[i][4] for i in at], size)
+        label, out_a, out_b = comp.copy(), [], []
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 0: left, 1: right, 2: both
         for i in left:
             js = right[right > i] if side[i] == 2 else right
-            js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+            js = js[(label[js] != label[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+            if len(js):
+                ok = np.zeros(len(js), bool)
+                for size, part in parts.items():
+                    if size <= length[i]:
+                        at = np.flatnonzero(length[js] >= size if size == length[i] else length[js] == size)
+                        ok[at] = _close(part[js[at]], part[i], n[js[at]] + n[i], percent)
+                js = js[ok]
+            if len(js) and forest:
+                old, at = np.unique(label[js], return_index=True)
+                js = js[at]
+                label[np.isin(label, old)] = label[i]
             if len(js):
-                js = js[np.abs(bins[js] - bins[i]).sum(1) * (100 + percent) <= (100 - percent) * (n[js] + n[i])]
                 out_a.append(np.full(len(js), ids[i]))
                 out_b.append(ids[js])
         empty = np.zeros(0, np.int64)
@@ -235,6 +277,20 @@ def _across(percent: int):
     return run
 
 
+def across(buckets: DataFrame, prof: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) of different components within the buckets (token, doc_id, comp); of buckets with the
+    same members one is read. Large buckets are dealt over cells of two blocks, so no task gets a whole one."""
+    digest = lambda i: F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"d{i}")
+    open_ = buckets.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), digest(0), digest(1)).where("lo <> hi")
+    open_ = open_.groupBy("c", "d0", "d1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rest = buckets.join(open_, "token").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).cast("long").alias("side"), "doc_id", "comp")
+    cells = cells.join(prof.select("doc_id", "n", "bins"), "doc_id").select("token", "i", "j", "side", "doc_id", "comp", "n", "bins")
+    found = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across(percent, forest), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs."""
     words = hashed_words(docs, text)
@@ -282,15 +338,18 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
 
     # what is left: buckets that still span several components
     every = stored(now, "buckets")
-    open_ = every.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rest = every.join(open_, "token").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    cells = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).cast("long").alias("side"), "doc_id", "comp")
-    cells = cells.join(some.select("doc_id", "n", "bins"), "doc_id").select("token", "i", "j", "side", "doc_id", "comp", "n", "bins")
-    found = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across(percent), "a long, b long")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = verified(found, docs, k, percent, text)
-    found = components(copies.unionByName(links).unionByName(second)).withColumnRenamed("id", "_id")
+    tried = stored(across(every, some, percent, True), "pairs")
+    second = stored(verified(tried, docs, k, percent, text), "links")
+    links = links.unionByName(second)
+    failed = tried.join(second, ["a", "b"], "left_anti")
+    if not failed.isEmpty():
+        # a pair that proved no link may have stood for others of its cells: those buckets are compared in full
+        ends = failed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        redo = every.join(ends, "doc_id", "left_semi").select("token").distinct()
+        again = label(every.select("token", "doc_id").join(redo, "token", "left_semi"), components(links), "doc_id")
+        third = across(stored(again, "buckets"), some, percent, False).join(failed, ["a", "b"], "left_anti")
+        links = links.unionByName(verified(third, docs, k, percent, text))
+    found = components(copies.unionByName(links)).withColumnRenamed("id", "_id")
     out = prof.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("_id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

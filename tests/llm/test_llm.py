@@ -129,6 +129,38 @@ def test_jaccard_chains(spark):
     assert got == _links(rows, 3, 90) and {x[2] for x in got} == {0}
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_jaccard_near_the_threshold(spark, monkeypatch, block):
+    """Copies edited more and less, so that many pairs of one bucket link, nearly link, or join only through others."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(260)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for j in r.sample(range(260), r.randint(0, 9)):
+            w[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(w[r.randint(0, 12) :])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.link_components(d, 5, 80).collect()), key=str)
+    assert got == _links(rows, 5, 80) and len({x[2] for x in got}) > 1
+
+
+def test_sketches_keep_every_link():
+    """Odd bits of two sketches, folded to one length, never exceed the symmetric difference."""
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    for n in (1, 30, 400, 3000, 20000):
+        common = g.integers(0, 1 << 63, n, dtype=np.uint64)
+        for part in (1.0, 0.9, 0.5):
+            x, y = common, np.concatenate((common[: max(int(n * part), 1)], g.integers(0, 1 << 63, n // 9, dtype=np.uint64)))
+            a, b = jaccard.sketch(x), jaccard.sketch(y)
+            size = min(len(a), len(b))
+            odd = int(np.bitwise_count(jaccard.folded([a], size) ^ jaccard.folded([b], size)).sum())
+            assert odd <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_sharding(docs, rows, none):
     got = sharding.shard_documents(docs, 20_000).collect()
     assert len(got) == len(rows) and sharding.shard_documents(none).count() == 0
