@@ -11,7 +11,7 @@ A document's set is its distinct k-word shingles, as 64-bit hashes. Two document
 5. Verify: remaining pairs are checked on full sets; links give components.
 6. Rest: where a shingle's bucket still spans several components, the groups are expanded and members of different
    components are compared block by block by size and sketch. Of the pairs that pass, a cell gives a spanning forest of its
-   components, which is verified as before; buckets with an end of a pair that failed are compared in full. So every link
+   components, which is verified as before; buckets with an end of a pair that failed are compared in full, on finer sketches. So every link
    between different components of step 5 is found or joined by others, and components are exact.
 
 Null and empty texts have the empty set and link with nothing. Fewer than k words are one shingle. Repeated rows and ids link
@@ -137,10 +137,11 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Odd sketch: parities of the counts of tokens by their low bits, one bit each; a power of two of bits from 512 to 16384."""
+def sketch(tokens: np.ndarray, bits: int = 2, top: int = 1 << 14) -> bytes:
+    """Odd sketch: parities of the counts of tokens by their low bits; a power of two of bits, `bits` a token or more, within
+    512 and top."""
     m = 512
-    while m < min(2 * len(tokens), 1 << 14):
+    while m < min(bits * len(tokens), top):
         m *= 2
     return np.packbits(np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -185,20 +186,36 @@ def filtered(pairs: DataFrame, prof: DataFrame, percent: int) -> DataFrame:
     return p.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bins_fit(percent), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
-    """The pairs that link, checked on full sets. Sets are made of texts in the pairs only: a table of at most BUCKETS hash
-    values is broadcast to leave other texts unread, and the join on ids does the rest."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def words_among(ids: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, words) of the documents in ids (distinct doc_id): a table of at most BUCKETS hash values is broadcast to leave
+    other texts unread, and the join on ids does the rest."""
     bucket = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
     few = ids.select(bucket().alias("h")).distinct()
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", bucket()).join(F.broadcast(few), "h", "left_semi")
+    return hashed_words(near)
+
+
+def fine_sketches(ids: DataFrame, docs: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """(doc_id, n, bins) of the documents in ids, with sketches of eight times the usual bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(shingle_sets(b, k))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "bins": pa.array([sketch(s, 16, 1 << 16) for s in sets], pa.binary())})
+
+    return words_among(ids, docs, text).mapInArrow(run, "doc_id long, n long, bins binary").join(ids, "doc_id", "left_semi")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
+    """The pairs that link, checked on full sets. Sets are made of texts in the pairs only."""
+    pairs = stored(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "s": pa.array([s.view(np.int64) for s in shingle_sets(b, k)], pa.list_(pa.int64()))})
 
-    full = hashed_words(near).mapInArrow(sets, "doc_id long, s array<long>").join(ids, "doc_id", "left_semi")
+    full = words_among(ids, docs, text).mapInArrow(sets, "doc_id long, s array<long>").join(ids, "doc_id", "left_semi")
     full = stored(full, "sets")
     p = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
@@ -347,7 +364,9 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
         ends = failed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         redo = every.join(ends, "doc_id", "left_semi").select("token").distinct()
         again = label(every.select("token", "doc_id").join(redo, "token", "left_semi"), components(links), "doc_id")
-        third = across(stored(again, "buckets"), some, percent, False).join(failed, ["a", "b"], "left_anti")
+        again = stored(again, "buckets")
+        fine = stored(fine_sketches(again.select("doc_id").distinct(), docs, k, text), "sketches")
+        third = across(again, fine, percent, False).join(failed, ["a", "b"], "left_anti")
         links = links.unionByName(verified(third, docs, k, percent, text))
     found = components(copies.unionByName(links)).withColumnRenamed("id", "_id")
     out = prof.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("_id"), "left")
