@@ -20,6 +20,7 @@ to themselves; a null id has its set counted but no component. Extra columns are
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -235,7 +236,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str
 
 
 def _across(percent: int, forest: bool):
-    """Streams rows sorted by cell (token, i, j); of each cell gives the pairs of different components that pass the filters.
+    """Streams rows sorted by cell (token, size band, i, j); of each cell gives the pairs of different components that pass the filters.
     With forest, pairs that only join what the cell's earlier pairs join are left out: at most one less than its components."""
 
     def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -284,27 +285,30 @@ def _across(percent: int, forest: bool):
                     yield give([x for x, _ in fresh], [y for _, y in fresh])
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("token", "i", "j", "side", "doc_id", "comp", "n", "bins")), strict=True):
-                if r[:3] != key:
+            for r in zip(*(b.column(c).to_pylist() for c in ("token", "cell", "i", "j", "side", "doc_id", "comp", "n", "bins")), strict=True):
+                if r[:4] != key:
                     yield from close()
-                    key, rows = r[:3], []
-                rows.append(r[3:])
+                    key, rows = r[:4], []
+                rows.append(r[4:])
         yield from close()
 
     return run
 
 
 def across(buckets: DataFrame, prof: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different components within the buckets (token, doc_id, comp); of buckets with the
-    same members one is read. Large buckets are dealt over cells of two blocks, so no task gets a whole one."""
+    """Distinct candidate pairs (a, b) of different components within the buckets (token, doc_id, comp, n). A bucket is
+    read by bands of size, each with the band below it; of bands with the same members one is read. Large bands are dealt over cells of two blocks, so no task gets a whole one."""
     digest = lambda i: F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"d{i}")
-    open_ = buckets.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), digest(0), digest(1)).where("lo <> hi")
-    open_ = open_.groupBy("c", "d0", "d1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rest = buckets.join(open_, "token").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    band = F.floor(F.ln("n") / (math.log(100 / min(percent, 99)) * (1 + 1e-9))).cast("int")  # sets that link are at most one band apart
+    rows = buckets.select("token", "doc_id", "comp", "n", band.alias("band")).withColumn("cell", F.explode(F.array("band", F.col("band") + 1)))
+    open_ = rows.groupBy("token", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("band").alias("top"), F.count("*").alias("c"), digest(0), digest(1)).where("lo <> hi and top = cell")
+    open_ = open_.groupBy("cell", "c", "d0", "d1").agg(F.min("token").alias("token")).select("token", "cell", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rest = rows.join(open_, ["token", "cell"]).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cells = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).cast("long").alias("side"), "doc_id", "comp")
-    cells = cells.join(prof.select("doc_id", "n", "bins"), "doc_id").select("token", "i", "j", "side", "doc_id", "comp", "n", "bins")
-    found = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across(percent, forest), "a long, b long")
+    side = F.when(F.col("b") == F.col("o"), F.when(F.col("band") == F.col("cell"), 2).otherwise(0)).when(F.col("b") < F.col("o"), 0).otherwise(1)
+    cells = cells.select("token", "cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.cast("long").alias("side"), "doc_id", "comp", "n")
+    cells = cells.join(prof.select("doc_id", "bins"), "doc_id").select("token", "cell", "i", "j", "side", "doc_id", "comp", "n", "bins")
+    found = cells.repartition("token", "cell", "i", "j").sortWithinPartitions("token", "cell", "i", "j").mapInArrow(_across(percent, forest), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -324,19 +328,19 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     heads = tokens.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid").alias("h"), "n", "gid")).alias("head"), F.count("*").alias("c")).where("c > 1").select("token", F.col("head.gid").alias("hg"), F.col("head.n").alias("hn"))
     shared = stored(tokens.join(heads, "token"), "buckets")
     groups = same.groupBy("pre", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("m"))
-    inside = same.join(groups.where("m > 1"), ["pre", "n"]).select(F.col("gid").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    inside = same.join(groups.where("m > 1"), ["pre", "n"]).select(F.col("gid").alias("a"), F.col("rep").alias("b"), "n").where("a <> b")
     inside = stored(inside, "groups")
     stars = shared.where((F.col("gid") != F.col("hg")) & _size_fits(F.col("n"), F.col("hn"), percent)).select(F.col("hg").alias("a"), F.col("gid").alias("b")).distinct()
-    first = stored(verified(filtered(inside.unionByName(stars), some, percent), docs, k, percent, text), "links")
+    first = stored(verified(filtered(inside.select("a", "b").unionByName(stars), some, percent), docs, k, percent, text), "links")
 
     def label(df: DataFrame, comp: DataFrame, c: str) -> DataFrame:
         """df with comp, the component of its ids; ids without a link are their own."""
         return df.join(comp.withColumnRenamed("id", c), c, "left").withColumn("comp", F.coalesce("component_id", c)).drop("component_id")
 
     # members of groups have the tokens of their leader
-    every = shared.select("token", F.col("gid").alias("doc_id")).unionByName(shared.select("token", "gid").join(inside.select(F.col("a").alias("gid"), F.col("b").alias("doc_id")), "gid").select("token", "doc_id"))
+    every = shared.select("token", F.col("gid").alias("doc_id"), "n").unionByName(shared.select("token", "gid").join(inside.select(F.col("a").alias("gid"), F.col("b").alias("doc_id"), "n"), "gid").select("token", "doc_id", "n"))
     # members that differ from a leader whose group shares no token with another still need comparing with each other
-    alone = inside.select(F.xxhash64("a", F.lit("group")).alias("token"), F.col("b").alias("doc_id")).unionByName(inside.select(F.xxhash64("a", F.lit("group")).alias("token"), F.col("a").alias("doc_id")).distinct())
+    alone = inside.select(F.xxhash64("a", F.lit("group")).alias("token"), F.col("b").alias("doc_id"), "n").unionByName(inside.select(F.xxhash64("a", F.lit("group")).alias("token"), F.col("a").alias("doc_id"), "n").distinct())
     every = stored(every.unionByName(alone), "buckets")
     links, now = first, label(every, components(first), "doc_id")
     for r in range(ROUNDS):
@@ -344,11 +348,11 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
         now = stored(now, "buckets")
         lead = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.col("m.id").alias("lead"), F.col("m.c").alias("lc"))
         now = stored(now.join(lead, "token"), "buckets")  # a bucket of one component stays one: only the others go on
-        every = now.select("token", "doc_id")
+        every = now.select("token", "doc_id", "n")
         pairs = now.where("comp <> lc").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
         more = stored(verified(filtered(pairs, some, percent), docs, k, percent, text), "links")
         if more.isEmpty():
-            now = now.select("token", "doc_id", "comp")
+            now = now.select("token", "doc_id", "comp", "n")
             break
         links = links.unionByName(more)
         now = label(every, components(links), "doc_id")
@@ -363,7 +367,7 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
         # a pair that proved no link may have stood for others of its cells: those buckets are compared in full
         ends = failed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         redo = every.join(ends, "doc_id", "left_semi").select("token").distinct()
-        again = label(every.select("token", "doc_id").join(redo, "token", "left_semi"), components(links), "doc_id")
+        again = label(every.select("token", "doc_id", "n").join(redo, "token", "left_semi"), components(links), "doc_id")
         again = stored(again, "buckets")
         fine = stored(fine_sketches(again.select("doc_id").distinct(), docs, k, text), "sketches")
         third = across(again, fine, percent, False).join(failed, ["a", "b"], "left_anti")
