@@ -114,6 +114,7 @@ def profiles(words: DataFrame, levels: np.ndarray, k: int, percent: int) -> Data
     """(doc_id, n, sig, bins, pre, prefix) of each document: set size, 128-bit digests of set and prefix, odd sketch, prefix."""
     import xxhash  # noqa: F401  (workers import it)
 
+    bits = 10 * (100 - percent) / (100 + percent)  # sketches of unlike sets then differ in over twice the bits a link allows
     shared = words.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def profiles(words: DataFrame, levels: np.ndarray, k: int, percent: int) -> Data
             for s in shingle_sets(b, k):
                 n = len(s)
                 p = s[np.lexsort((s, lv[slot(s)]))][: n - -(-percent * n // 100) + 1] if n else s
-                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), sketch(s), xxhash.xxh3_128_digest(p.tobytes()), p.view(np.int64)))
+                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), sketch(s, bits), xxhash.xxh3_128_digest(p.tobytes()), p.view(np.int64)))
             n, sig, bins, pre, prefix = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "bins": pa.array(bins, pa.binary()), "pre": pa.array(pre, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
@@ -138,7 +139,7 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def sketch(tokens: np.ndarray, bits: int = 2, top: int = 1 << 14) -> bytes:
+def sketch(tokens: np.ndarray, bits: float = 2, top: int = 1 << 14) -> bytes:
     """Odd sketch: parities of the counts of tokens by their low bits; a power of two of bits, `bits` a token or more, within
     512 and top."""
     m = 512
