@@ -1,15 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests (DataFrame functions only).
 
 A text is cut into paragraphs at content-defined places: after a word whose hash, mixed with the word before, has `level`
-low zero bits. level grows with the text (about 16 to 32 paragraphs each), so work per document is linear in its length and
-small edits move only the paragraphs they touch. A paragraph's digest is the 64-bit hash of its words; a text is the set of
-its digests. A sketch of s cells in each of three subtables holds count, XOR of digests and XOR of their check hashes.
-Two sketches subtract cell by cell; peeling pure cells recovers the digests that differ. Where peeling fails, both sketches
-are built four times as large and peeled again. Likeness is Jaccard's, from the set sizes and the number recovered.
+low zero bits. level grows up to LEVEL, for short texts to have paragraphs to compare; from there on a paragraph has about
+2**LEVEL words and their number grows with the text, so that an edit moves only the paragraph it touches, however long the
+text. A paragraph's digest is the 64-bit hash of its words; a text is the set of its digests. A sketch of s cells in each of
+three subtables holds count, XOR of digests and XOR of their check hashes. Two sketches subtract cell by cell; peeling pure
+cells recovers the digests that differ. Where peeling fails, both sketches are built four times as large and peeled again;
+beyond the largest, the sets themselves are compared. Cells are filled by one sort, so building and each round of peeling
+take time by digests and cells, not by their product. Likeness is Jaccard's, from the set sizes and the number recovered.
 
 Null texts are empty texts; two empty texts have likeness 1. Null ids come after all others and precede the first. Of rows
 that share an id, all are fingerprinted, and the smallest text is what precedes their common predecessor's end. Extra
-columns are left out of the result. Very long texts: paragraphs grow, arrays stay linear in the text.
+columns are left out of the result. Arrays are linear in the text; the fingerprint as text is the smallest sketch.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from pyspark.sql import functions as F
 from .common import let, successor, words_of
 
 #: Cells in each subtable, by attempt.
-SIZES = (8, 32, 128, 512, 4096)
+SIZES = (8, 32, 128, 512, 2048, 8192)
 ROUNDS = 40
+#: Largest level: paragraphs of about 16 words.
+LEVEL = 4
 
 
 def level_of(n_chars: Column) -> Column:
     """Zero bits a paragraph's last word must show, from the length in code points."""
-    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / 96.0))).cast("int")
+    return F.least(F.lit(LEVEL), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / 96.0)))).cast("int")
 
 
 def word_hashes(text: Column) -> Column:
@@ -52,32 +56,42 @@ def _place(key: Column, table: int, s: int) -> Column:
     return F.pmod(F.shiftrightunsigned(key, 20 * table), F.lit(s)).cast("int")
 
 
-def sketch(keys: Column, s: int) -> Column:
-    """3*s cells (c, x, g): number of digests, XOR of digests, XOR of check hashes."""
+def _cells(items: Column, s: int) -> Column:
+    """3*s cells of items (x, c): sum of c, XOR of x, XOR of check hashes. Each subtable is one sort of its items between marks."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("g"))
-    add = lambda a, k: F.struct((a["c"] + 1).alias("c"), a["x"].bitwiseXOR(k).alias("x"), a["g"].bitwiseXOR(F.xxhash64(k, F.lit(7))).alias("g"))
-    part = lambda t: F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda i: F.aggregate(F.filter(keys, lambda k: _place(k, t, s) == i), zero, add))
+    add = lambda a, p: F.struct((a["c"] + p["c"]).alias("c"), a["x"].bitwiseXOR(p["x"]).alias("x"), a["g"].bitwiseXOR(F.xxhash64(p["x"], F.lit(7))).alias("g"))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda i: F.struct(i.alias("p"), F.lit(None).cast("long").alias("x"), F.lit(0).alias("c")))
+
+    def part(t: int) -> Column:
+        placed = F.transform(items, lambda k: F.struct(_place(k["x"], t, s).alias("p"), k["x"].alias("x"), k["c"].alias("c")))
+        cut = lambda d, m: F.transform(m, lambda e, j: F.aggregate(F.slice(d, e + 1, F.coalesce(F.get(m, j + 1), F.size(d) + 1) - e - 1), zero, add))
+        return let(F.sort_array(F.concat(marks, placed)), lambda d: let(F.filter(F.sequence(F.lit(1), F.size(d)), lambda i: F.get(d, i - 1)["x"].isNull()), lambda m: cut(d, m)))
+
     return F.concat(part(0), part(1), part(2))
 
 
+def sketch(keys: Column, s: int) -> Column:
+    """3*s cells (c, x, g): number of digests, XOR of digests, XOR of check hashes."""
+    return _cells(F.transform(keys, lambda k: F.struct(k.alias("x"), F.lit(1).alias("c"))), s)
+
+
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda p, q: F.struct((p["c"] - q["c"]).alias("c"), p["x"].bitwiseXOR(q["x"]).alias("x"), p["g"].bitwiseXOR(q["g"]).alias("g")))
 
 
 def peel(cells: Column, s: int) -> Column:
     """Digests that differ, recovered from a subtracted sketch; null if cells remain that can't be resolved."""
-    pure_of = lambda cs: F.array_distinct(F.transform(F.filter(cs, lambda c: (F.abs(c["c"]) == 1) & (c["g"] == F.xxhash64(c["x"], F.lit(7)))), lambda c: F.struct(c["x"].alias("x"), c["c"].alias("c"))))
-    here = lambda p, i: F.when(i < s, _place(p["x"], 0, s)).when(i < 2 * s, _place(p["x"], 1, s) + s).otherwise(_place(p["x"], 2, s) + 2 * s) == i
-    take = lambda a, p: F.struct((a["c"] - p["c"]).alias("c"), a["x"].bitwiseXOR(p["x"]).alias("x"), a["g"].bitwiseXOR(F.xxhash64(p["x"], F.lit(7))).alias("g"))
+    pure_of = lambda cs: F.filter(cs, lambda c: (F.abs(c["c"]) == 1) & (c["g"] == F.xxhash64(c["x"], F.lit(7))))
+    side = lambda pure, n: F.transform(F.array_distinct(F.transform(F.filter(pure, lambda c: c["c"] == n), lambda c: c["x"])), lambda x: F.struct(x.alias("x"), F.lit(n).alias("c")))
 
     def step(acc: Column, _i: Column) -> Column:
-        more = lambda pure: F.struct(
-            F.transform(acc["cells"], lambda c, i: F.aggregate(F.filter(pure, lambda p: here(p, i)), c, take)).alias("cells"),
-            F.concat(acc["found"], F.transform(pure, lambda p: p["x"])).alias("found"),
+        more = lambda items: F.struct(
+            subtract(acc["cells"], _cells(items, s)).alias("cells"),
+            F.concat(acc["found"], F.transform(items, lambda p: p["x"])).alias("found"),
             F.lit(False).alias("over"),
         )
         end = F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(True).alias("over"))
-        return F.when(acc["over"], acc).otherwise(let(pure_of(acc["cells"]), lambda pure: F.when(F.size(pure) == 0, end).otherwise(more(pure))))
+        return F.when(acc["over"], acc).otherwise(let(pure_of(acc["cells"]), lambda pure: F.when(F.size(pure) == 0, end).otherwise(let(F.concat(side(pure, 1), side(pure, -1)), more))))
 
     start = F.struct(cells.alias("cells"), F.array().cast("array<long>").alias("found"), F.lit(False).alias("over"))
     clean = lambda acc: ~F.exists(acc["cells"], lambda c: (c["c"] != 0) | (c["x"] != 0))
@@ -87,8 +101,8 @@ def peel(cells: Column, s: int) -> Column:
 def difference(a: Column, b: Column) -> Column:
     """Number of digests in one set only, peeled from sketches of growing size. Sizes that the counts rule out are skipped."""
     apart = F.abs(F.size(a) - F.size(b))
-    hits = [F.when(apart <= 2 * s, F.aggregate(peel(subtract(sketch(a, s), sketch(b, s)), s), F.lit(0), lambda n, _: n + 1)) for s in SIZES]
-    # two digests that share all cells of the largest sketch (under 1e-9): their number from the sets themselves
+    hits = [F.when(apart <= 3 * s, F.aggregate(peel(subtract(sketch(a, s), sketch(b, s)), s), F.lit(0), lambda n, _: n + 1)) for s in SIZES]
+    # more than the largest sketch holds, or digests that share all their cells: their number from the sets themselves
     return F.coalesce(*hits, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 

@@ -53,6 +53,21 @@ def test_fingerprints(docs, rows, none):
     assert len({(text[r["doc_id"]], r["fingerprint"]) for r in got}) == len({text[r["doc_id"]] for r in got})
 
 
+@pytest.mark.parametrize("n", [200, 2000, 20000])
+def test_likeness_of_long_near_copies(spark, n):
+    """One word in 200 replaced, at any length: most paragraphs stay. Paragraphs that grow with the text lose them all."""
+    rng = random.Random(n)
+    words = [f"v{rng.randrange(30000)}" for _ in range(n)]
+    near = [f"new{i}" if rng.random() < 0.005 else w for i, w in enumerate(words)]
+    other = [f"v{rng.randrange(30000)}" for _ in range(n)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_edits(d).collect()}
+    assert got[1]["near_next"] > 0.7 and got[2]["near_next"] < 0.1 and got[1]["near_edited"] > 0.4
+    sets = {r["doc_id"]: set(r["digests"]) for r in fingerprints.fingerprint(d).collect()}
+    assert got[1]["near_next"] == pytest.approx(len(sets[1] & sets[2]) / len(sets[1] | sets[2]))
+    assert n / 40 < len(sets[1]) and got[2]["near_next"] == pytest.approx(len(sets[2] & sets[3]) / len(sets[2] | sets[3]))
+
+
 def test_peeling_recovers_the_difference(spark):
     rng = random.Random(1)
     pool = [rng.getrandbits(63) for _ in range(900)]
