@@ -24,11 +24,11 @@ from .common import let
 
 #: Rows of labelled findings that the forest is fitted on at most; trees and depth.
 TRAIN_ROWS, TREES, DEPTH, SEED, THRESHOLD = 6000, 16, 6, 11, 0.5
-#: What may be a secret. Long runs are bounded at 4096 characters, and what follows is the next candidate.
+#: What may be a secret. A run of any length is one candidate; possessive quantifiers, since what ends a run isn't part of it.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|\beyJ[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{8,2048}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,4096}[0-9])(?=[0-9+/_-]{0,4096}[A-Za-z])[A-Za-z0-9+/_-]{16,4096}={0,2}"
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 #: Words whose letters make a candidate look like a name, words that announce a secret, and words that announce
 #: another kind of digest.
@@ -54,7 +54,7 @@ def features(before: Column, c: Column, after: Column) -> Column:
         F.least(n, F.lit(200.0)),
         F.regexp_count(classes, F.lit("(?<=a)[^a]|(?<=A)[^A]|(?<=0)[^0]")) / n,
         cover,
-        F.size(F.array_distinct(F.split(F.substring(c, 1, 256), ""))) / F.least(n, F.lit(64.0)),
+        F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
         share("[0-9]"),
         share("[A-Z]"),
         flag(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
