@@ -6,8 +6,8 @@ of a site have in common is its frame. Two kinds of evidence limit that, since d
 directions. Lines inside an <article> or <main> are content even where a neighbour is a copy of the page; lines in elements
 that are furniture by their meaning (navigation, footers, forms, scripts, adverts, notices, comments) go even where no
 neighbour shares them. Differencing decides all other lines. Pages that share more than COPY of those lines with
-their neighbour are copies, of which nothing is deleted; a page alone on its host has no neighbour. If a page has an article,
-lines outside it are not text.
+their neighbour are copies, of which nothing is deleted; a page alone on its host has no neighbour. Lines outside an article
+are decided like those of a page without one.
 
 The order of URLs is a range sort, stored, with neighbours across partition bounds joined back; a host of any size is spread
 over partitions. Null html is empty; a null url has no host and no neighbour. Of rows that share an id, one gives the lines
@@ -203,8 +203,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 common = {outer[i] for i in same}
                 if free and len([i for i in free if i in common]) > COPY * len(free):
                     common -= set(free)
-                article = any(place == 2 for _, place in lines)
-                text = "\n".join(t for i, (t, place) in enumerate(lines) if place == 2 or (place == 1 and not article and i not in common))
+                text = "\n".join(t for i, (t, place) in enumerate(lines) if place == 2 or (place == 1 and i not in common))
                 rows.append((text, len(text), len(common)))
             got = pd.DataFrame(rows, columns=["text", "n_chars", "n_shared"], index=b.index)
             yield pd.concat([b[["page_id", "url"]], got, b[["pair_id"]]], axis=1)

@@ -257,6 +257,13 @@ def test_html(spark):
     assert html.shared(list("abcde"), list("xbxdx")) == {1, 3} and H.unescape("&amp") == "&"
 
 
+def test_html_outside_of_articles(spark):
+    """An article that is a teaser doesn't take away the body in plain elements."""
+    page = "<body><div>Site slogan</div><div>Body {0}, first</div><div>Body {0}, second</div><article class='teaser'>Read on {0}</article></body>"
+    p = spark.createDataFrame([(i, f"http://h.example.com/{i}", page.format(i)) for i in range(4)], PAGE)
+    assert {(r["page_id"], r["text"]) for r in html.extract(p).collect()} == {(i, f"Body {i}, first\nBody {i}, second\nRead on {i}") for i in range(4)}
+
+
 def test_warc(spark, tmp_path):
     long = "é" * 100
     rows = [(5, "u", long), (2, "u\r\nX: y", long), (9, None, long), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (None, "u", long), (7, "u", "q" * 100)]
