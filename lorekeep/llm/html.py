@@ -2,12 +2,12 @@
 
 Pages of a host are ordered by URL path; each page pairs with the neighbour whose path shares the longer prefix. Text lines of
 both pages (blocks, in page order) are aligned by longest common subsequence, and shared lines are deleted: what two pages
-of a site have in common is its frame. Two kinds of evidence limit that, since differencing alone is wrong in both
-directions. Lines inside an <article> or <main> are content even where a neighbour is a copy of the page; lines in elements
-that are furniture by their meaning (navigation, footers, forms, scripts, adverts, notices, comments) go even where no
-neighbour shares them. Differencing decides all other lines. Pages that share more than COPY of those lines with
-their neighbour are copies, of which nothing is deleted; a page alone on its host has no neighbour. Lines outside an article
-are decided like those of a page without one.
+of a site have in common is its frame. Evidence besides limits that. Lines inside an <article> or <main> are content even where
+a neighbour is a copy of the page; lines in elements that are furniture by their meaning (navigation, footers, forms, scripts,
+adverts, notices, comments) go even where no neighbour shares them. Differencing decides all other lines, on pages with an
+article too. Since a neighbour may be a copy of the page, whole or updated, a shared line goes only if it is on OFTEN or more
+versions of pages of the host (pages with the same lines are one version). On a host of fewer versions the neighbour alone
+decides, unless its lines are all the same. A page alone on its host has no neighbour.
 
 The order of URLs is a range sort, stored, with neighbours across partition bounds joined back; a host of any size is spread
 over partitions. Null html is empty; a null url has no host and no neighbour. Of rows that share an id, one gives the lines
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-COPY = 0.8
+#: Versions of pages of a host that a line of its frame is on at least; parts that the pages with a line are dealt to.
+OFTEN, SALTS = 3, 16
+#: Stands among the lines of every page, so that it is counted as often as its host has versions.
+HOST = 0
 #: Elements by their meaning in HTML, and names that page furniture goes by.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -177,6 +180,16 @@ def _hashes(lines: list[tuple[str, int]]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, place in lines if place < 2]
 
 
+def recurring(lines: DataFrame) -> DataFrame:
+    """lines (page_id, host, version, free) -> (page_id, often): the lines of each page that OFTEN versions of its host have."""
+    key = F.xxhash64("host", "line")
+    once = lines.groupBy("host", "version").agg(F.max("free").alias("free"))
+    counts = once.select("host", F.explode("free").alias("line")).groupBy(key.alias("k")).agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    counts = counts.select("k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = lines.select("page_id", "host", F.explode("free").alias("line")).select("page_id", "line", key.alias("k"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return own.join(counts, ["k", "salt"]).groupBy("page_id").agg(F.collect_list("line").alias("often"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, pair_id, n_shared): main text, the page it was compared with, lines deleted by that."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -185,24 +198,39 @@ def extract(pages: DataFrame) -> DataFrame:
     keys = base.select(host.alias("host"), path.alias("path"), "page_id").where("page_id is not null").groupBy("page_id").agg(F.min(F.struct("host", "path")).alias("k")).select("k.host", "k.path", "page_id")
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "theirs": [_hashes(lines_of(h)) for h in b["html"]]})
+            rows = []
+            for h in b["html"]:
+                lines = lines_of(h)
+                version = xxhash.xxh3_64_intdigest("\n".join(t for t, place in lines if place).encode()) - (1 << 63)
+                rows.append((_hashes(lines), sorted({HOST, *_hashes([x for x in lines if x[1] == 1])}), version))
+            got = pd.DataFrame(rows, columns=["theirs", "free", "version"], index=b.index)
+            yield pd.concat([b[["page_id"]], got], axis=1)
 
-    seen = base.where("page_id is not null").select("page_id", "html").mapInPandas(frames, "page_id long, theirs array<long>").groupBy("page_id").agg(F.max("theirs").alias("theirs"))
-    pairs = neighbours(keys).join(seen.withColumnRenamed("page_id", "pair_id"), "pair_id", "left").select(F.col("page_id").alias("_id"), "pair_id", "theirs")
+    seen = base.where("page_id is not null").select("page_id", "html").mapInPandas(frames, "page_id long, theirs array<long>, free array<long>, version long")
+    seen = stored(seen.groupBy("page_id").agg(F.max(F.struct("theirs", "free", "version")).alias("s")).select("page_id", "s.*"), "lines")
+    often = recurring(seen.join(keys.where("host <> ''"), "page_id").select("page_id", "host", "version", "free"))
+    theirs = seen.select(F.col("page_id").alias("pair_id"), "theirs", F.col("version").cast("string").alias("their_version"))
+    pairs = neighbours(keys).join(theirs, "pair_id", "left").join(often, "page_id", "left").select(F.col("page_id").alias("_id"), "pair_id", "theirs", "their_version", "often")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         for b in batches:
             rows = []
-            for h, theirs in zip(b["html"], b["theirs"], strict=True):
+            for h, theirs, other, often in zip(b["html"], b["theirs"], b["their_version"], b["often"], strict=True):
                 lines = lines_of(h)
                 mine = _hashes(lines)
                 same = shared(mine, list(theirs)) if theirs is not None else set()
                 outer = [i for i, (_, place) in enumerate(lines) if place < 2]
-                free = [i for i in outer if lines[i][1] == 1]
                 common = {outer[i] for i in same}
-                if free and len([i for i in free if i in common]) > COPY * len(free):
-                    common -= set(free)
+                recur = set(often) if often is not None else set()
+                if HOST in recur:
+                    common -= {i for i, x in zip(outer, mine, strict=True) if lines[i][1] == 1 and x not in recur}
+                elif other == str(xxhash.xxh3_64_intdigest("\n".join(t for t, place in lines if place).encode()) - (1 << 63)):
+                    common -= {i for i in outer if lines[i][1] == 1}
                 text = "\n".join(t for i, (t, place) in enumerate(lines) if place == 2 or (place == 1 and i not in common))
                 rows.append((text, len(text), len(common)))
             got = pd.DataFrame(rows, columns=["text", "n_chars", "n_shared"], index=b.index)

@@ -264,6 +264,18 @@ def test_html_outside_of_articles(spark):
     assert {(r["page_id"], r["text"]) for r in html.extract(p).collect()} == {(i, f"Body {i}, first\nBody {i}, second\nRead on {i}") for i in range(4)}
 
 
+def test_html_frames_and_copies(spark):
+    """A large unnamed frame goes from short texts; whole and updated copies keep the text that they share."""
+    frame = "".join(f"<div>Frame {i}</div>" for i in range(20))
+    text = lambda i, n: "".join(f"<p>Text {i} line {j}</p>" for j in range(n))
+    pages = {f"a/{i}": frame + text(i, 4) for i in range(5)} | {"b/1": frame + text(8, 9), "b/1x": frame + text(8, 6) + text(9, 3), "c/1": frame + text(7, 3), "c/1x": frame + text(7, 3)}
+    rows = [(n, f"http://h.example.com/{u}", h) for n, (u, h) in enumerate(pages.items())]
+    rows += [(20, "http://two.example.com/1", frame + text(1, 4)), (21, "http://two.example.com/2", frame + text(2, 4)), (22, "http://same.example.com/1", text(1, 4)), (23, "http://same.example.com/2", text(1, 4))]
+    plain = lambda h: re.sub("</?(p|div)>", "\n", h.replace(frame, "")).replace("\n\n", "\n").strip()
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {n: plain(h) for n, _, h in rows}
+
+
 def test_warc(spark, tmp_path):
     long = "é" * 100
     rows = [(5, "u", long), (2, "u\r\nX: y", long), (9, None, long), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (None, "u", long), (7, "u", "q" * 100)]
