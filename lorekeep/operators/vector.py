@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,14 +44,22 @@ def knn(df: DataFrame, key: str, vec: str, query: list[float], k: int = 10, metr
 
 
 def knn_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10, skip_self: bool = True) -> DataFrame:
-    """(query_id, key, score, rank) for a bounded batch of queries (query_id, q), which every task holds as one matrix.
+    """(query_id, key, score, rank) for any number of queries (query_id, q), in blocks that every task holds as one matrix.
 
     Each batch of rows is one matrix product; a task keeps its k best per query, so only tasks x queries x k rows move."""
-    rows = queries.orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; split the batch")
-    if not rows:
+    kind = df.schema[key].dataType.simpleString()
+    rows, found = queries.orderBy("query_id").toLocalIterator(), None
+    while block := list(islice(rows, MAX_QUERIES)):
+        got = _best_of(df, key, vec, kind, block, k, skip_self)
+        found = got if found is None else found.unionByName(got)
+    if found is None:
         return df.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", "rank")
+
+
+def _best_of(df: DataFrame, key: str, vec: str, kind: str, rows: list, k: int, skip_self: bool) -> DataFrame:
+    """(query_id, key, score): each task's k best rows for each query of one block."""
     ids, q = np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], dtype=np.float64)
     q = q / (np.linalg.norm(q, axis=1, keepdims=True) + EPS)
 
@@ -69,12 +78,10 @@ def knn_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10
         if top is not None:
             yield top
 
-    kind = df.schema[key].dataType.simpleString()
-    s = df.select(F.col(key).alias("k"), F.col(vec).alias("v")).mapInPandas(best, f"query_id {kind}, key {kind}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", "rank")
+    return df.select(F.col(key).alias("k"), F.col(vec).alias("v")).mapInPandas(best, f"query_id {kind}, key {kind}, score double")
 
 
+#: Queries in a block.
 MAX_QUERIES = 10_000
 
 

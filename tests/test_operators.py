@@ -54,6 +54,15 @@ def test_simhash(spark, n):
     assert vector.overlap_at_k(same, same, "vec_id", 5).first()["mean"] == 1.0
 
 
+def test_knn_batch_of_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((40, 8)))], "vec_id long, embedding array<float>")
+    q = df.where("vec_id < 23").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = sorted(map(tuple, vector.knn_batch(df, "vec_id", "embedding", q, 5).collect()))
+    monkeypatch.setattr(vector, "MAX_QUERIES", 10)
+    assert len(want) == 23 * 5 and sorted(map(tuple, vector.knn_batch(df, "vec_id", "embedding", q, 5).collect())) == want
+
+
 def test_dialect(spark):
     t = "We decided to go because Alice trusted the GraphQL api. " + "x" * 160 + ". Later Bob was worried."
     d = spark.createDataFrame([(1, t), (2, ""), (3, None)], "doc_id int, text string")
