@@ -126,6 +126,49 @@ def coarse(df: DataFrame, key: str, query: DataFrame, n: int = COARSE) -> DataFr
     return d.orderBy("distance", key).limit(n)
 
 
+def two_layer_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10, n: int = COARSE, tables: int = TABLES, bits: int = BITS, skip_self: bool = True) -> DataFrame:
+    """(query_id, key, distance, score, rank) for queries (query_id, q): the n nearest by fingerprint, of those the k best by cosine."""
+    kind = df.schema[key].dataType.simpleString()
+    d = fingerprints(df.select(F.col(key).alias("k"), F.col(vec).alias("v")), "v", tables, bits)
+    rows, found = fingerprints(queries, "q", tables, bits).orderBy("query_id").toLocalIterator(), None
+    while block := list(islice(rows, MAX_QUERIES)):
+        got = _coarse_of(d, kind, block, n, skip_self)
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        return df.select(F.col(key).alias("query_id"), key, F.lit(0).alias("distance"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    near = Window.partitionBy("query_id").orderBy("distance", "key")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "distance", "key")
+    c = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= n).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return c.select("query_id", F.col("key").alias(key), "distance", "score", "rank")
+
+
+def _coarse_of(d: DataFrame, kind: str, rows: list, n: int, skip_self: bool) -> DataFrame:
+    """(query_id, key, distance, score): each task's n rows (k, v, fp) nearest by fingerprint to each query of one block."""
+    ids, q, qf = np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], dtype=np.float64), np.array([r["fp"] for r in rows], dtype=np.int64)
+    q = q / (np.linalg.norm(q, axis=1, keepdims=True) + EPS)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top: pd.DataFrame | None = None
+        for b in batches:
+            if b.empty:
+                continue
+            x, keys = np.array(b["v"].tolist(), dtype=np.float64), b["k"].to_numpy()
+            x = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
+            f = np.array([[w.tolist() for w in r] for r in b["fp"]], dtype=np.int64).view(np.uint64)
+            parts = []
+            for j in range(len(ids)):
+                h = np.bitwise_count(f ^ qf[j].view(np.uint64)).sum(axis=2, dtype=np.int64).min(axis=1)
+                at = np.lexsort((keys, h))
+                at = (at[keys[at] != ids[j]] if skip_self else at)[:n]
+                parts.append(pd.DataFrame({"query_id": ids[j], "key": keys[at], "distance": h[at], "score": np.round(x[at] @ q[j], 6)}))
+            got = pd.concat(parts if top is None else [top, *parts])
+            top = got.sort_values(["query_id", "distance", "key"]).groupby("query_id").head(n)
+        if top is not None:
+            yield top
+
+    return d.mapInPandas(nearest, f"query_id {kind}, key {kind}, distance int, score double")
+
+
 def rescore(cands: DataFrame, vectors: DataFrame, key: str, vec: str, query: list[float], k: int) -> DataFrame:
     """Candidates (key, rank) by cosine; without a vector -1, with a zero query in input order."""
     v = vectors.select(key, F.col(vec).alias("_v"))

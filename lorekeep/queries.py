@@ -339,6 +339,39 @@ def vec_simhash_numpy(spark, d):
     return vector.fingerprints(table(spark, d, "embeddings"), "embedding").select("vec_id", F.size("fp").alias("tables"), F.size(F.col("fp")[0]).alias("words"))
 
 
+def _fp512(spark, d):
+    return vector.fingerprints(table(spark, d, "embeddings"), "embedding")
+
+
+@query()
+def vec_simhash512(spark, d):
+    """Production fingerprints: 8 tables of 512 Gaussian bits, in hexadecimal."""
+    f = _fp512(spark, d).select("vec_id", F.posexplode("fp").alias("tbl", "words"))
+    return f.select("vec_id", "tbl", F.array_join(F.transform("words", lambda w: F.lpad(F.hex(w), 16, "0")), "").alias("bits"))
+
+
+@query()
+def vec_simhash512_coarse(spark, d):
+    f = _fp512(spark, d)
+    return vector.coarse(f, "vec_id", f.orderBy("vec_id").limit(1)).select("vec_id", "distance")
+
+
+@query()
+def vec_two_layer512(spark, d):
+    """Candidates by production fingerprints, then cosine."""
+    e = table(spark, d, "embeddings")
+    c = vec_simhash512_coarse(spark, d).withColumn("rank", F.row_number().over(Window.orderBy("distance", "vec_id"))).select("vec_id", "rank")
+    return vector.rescore(c, e, "vec_id", "embedding", _probe(spark, d), 10).select("vec_id", "score")
+
+
+@query()
+def vec_simhash512_overlap(spark, d):
+    """overlap@10 of the two-layer search with exact neighbours, over the vectors whose ids are divisible by 100."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vector.overlap_at_k(vector.knn_batch(e, "vec_id", "embedding", q, 10), vector.two_layer_batch(e, "vec_id", "embedding", q, 10), "vec_id", 10)
+
+
 # ---- hybrid ranking ----------------------------------------------------------------------------------------------------
 
 _RRF = f"""{RADAR}, l0 AS (SELECT slug, row_number() OVER (ORDER BY {_tf('lower(clsc)', 'and')} DESC, slug) AS rank FROM radar), l1 AS (SELECT slug, row_number() OVER (ORDER BY length(clsc) DESC, slug) AS rank FROM radar),

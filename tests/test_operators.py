@@ -63,6 +63,27 @@ def test_knn_batch_of_many_blocks(spark, monkeypatch):
     assert len(want) == 23 * 5 and sorted(map(tuple, vector.knn_batch(df, "vec_id", "embedding", q, 5).collect())) == want
 
 
+def test_production_simhash(spark, tmp_path):
+    """Queries on 8 x 512 bits against brute force."""
+    from lorekeep import queries
+
+    x = np.random.default_rng(2).standard_normal((300, 16)).astype(np.float32)
+    spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    v = x.astype(np.float64)
+    bits = np.stack([v @ r > 0 for r in vector.planes(16)], axis=1)
+    assert {(r["vec_id"], r["tbl"]): r["bits"] for r in run("vec_simhash512")} == {(i, t): np.packbits(bits[i, t]).tobytes().hex().upper() for i in range(300) for t in range(8)}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    far = lambda j: (bits != bits[j]).sum(axis=2).min(axis=1)
+    coarse = lambda j, skip: [int(i) for i in np.lexsort((np.arange(300), far(j))) if not (skip and i == j)][:50]
+    best = lambda j, ids: sorted(ids, key=lambda i: (-round(float(unit[i] @ unit[j]), 6), i))[:10]
+    assert [(r["vec_id"], r["distance"]) for r in run("vec_simhash512_coarse")] == [(i, far(0)[i]) for i in coarse(0, False)]
+    assert [r["vec_id"] for r in run("vec_two_layer512")] == best(0, coarse(0, False))
+    share = [len(set(best(j, coarse(j, True))) & set(best(j, [i for i in range(300) if i != j]))) / 10 for j in (0, 100, 200)]
+    got = run("vec_simhash512_overlap")[0]
+    assert got["queries"] == 3 and abs(got["mean"] - np.mean(share)) < 1e-6 and got["min"] == min(share)
+
+
 def test_dialect(spark):
     t = "We decided to go because Alice trusted the GraphQL api. " + "x" * 160 + ". Later Bob was worried."
     d = spark.createDataFrame([(1, t), (2, ""), (3, None)], "doc_id int, text string")
