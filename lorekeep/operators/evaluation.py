@@ -49,6 +49,21 @@ def cjk_terms(text: Column, n: int = 12, anchors: Column | None = None, drop: st
     return F.slice(F.array_distinct(F.concat(anchors, windows) if anchors is not None else windows), 1, n)
 
 
+def containing(docs: DataFrame, key: str, text: str, passages: DataFrame) -> DataFrame:
+    """(query_id, key) of documents that contain the passage p of (query_id, p): candidates meet on the passage's first GRAM
+    characters, and containment of all of p is verified. Passages shorter than that are compared with every document."""
+    d = docs.select(F.col(key), F.col(text).alias("_t"))
+    q = passages.select("query_id", "p", F.substring("p", 1, GRAM).alias("_g"))
+    grams = d.select(key, "_t", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("_g"))
+    long = grams.join(q.where(F.char_length("p") >= GRAM), "_g").where(F.expr("contains(_t, p)")).select("query_id", key)
+    short = d.join(F.broadcast(q.where(F.char_length("p") < GRAM).drop("_g")), F.expr("contains(_t, p)")).select("query_id", key)
+    return long.unionByName(short).distinct()
+
+
+#: Characters on which passages and documents meet.
+GRAM = 12
+
+
 def hit_at_k(ranked: DataFrame, relevant: DataFrame, key: str, queries: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """(k, hit_rate, queries): share of queries with a relevant key at rank k or better. Queries without results count as misses."""
     best = ranked.join(relevant, ["query_id", key]).groupBy("query_id").agg(F.min("rank").alias("best"))

@@ -183,12 +183,20 @@ def fts_bm25_batch(spark, d):
 best AS (SELECT q.query_id, min(rank) AS best FROM qf q LEFT JOIN (SELECT rk.query_id, rk.rank FROM rk JOIN rel ON rk.query_id = rel.query_id AND rk.doc_id = rel.doc_id WHERE rank <= 10) x ON q.query_id = x.query_id GROUP BY q.query_id)
 SELECT k::INT AS k, round(avg(CASE WHEN best <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS hit_rate, count(*) AS queries FROM best, (SELECT unnest([1, 3, 5, 10]) AS k) ks GROUP BY k""")
 def eval_hit_at_k(spark, d):
+    # relevance as in the SQL: the first 60 characters of the passage
+    return _hit_at_k(spark, d, F.substring("text", 1, 60))
+
+
+@query()
+def eval_hit_at_k_whole(spark, d):
+    """Hit@K with relevance judged on the whole passage."""
+    return _hit_at_k(spark, d, F.col("text"))
+
+
+def _hit_at_k(spark, d, passage):
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
     ranked = fts.bm25_batch(docs, "doc_id", "text", _asked(spark, d))
-    # relevance by containment: passages meet documents on their first trigram-rich window, verified after
-    probe = b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("p")).withColumn("gram", F.substring("p", 1, 12))
-    grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?s)(?=(.{12}))"), F.lit(1)))).alias("gram"))
-    rel = grams.join(probe, "gram").where(F.expr("contains(text, p)")).select("query_id", "doc_id").distinct()
+    rel = evaluation.containing(docs, "doc_id", "text", b.select(F.col("item_id").alias("query_id"), passage.alias("p")))
     return evaluation.hit_at_k(ranked, rel, "doc_id", b.select(F.col("item_id").alias("query_id")))
 
 

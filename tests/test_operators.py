@@ -84,6 +84,23 @@ def test_production_simhash(spark, tmp_path):
     assert got["queries"] == 3 and abs(got["mean"] - np.mean(share)) < 1e-6 and got["min"] == min(share)
 
 
+def test_hit_at_k_on_short_and_whole_passages(spark, tmp_path):
+    from lorekeep import queries
+
+    start = "the first sixty characters of this passage are shared by others "
+    docs = [(1, "some zebra here"), (2, start + "and end with walrus"), (3, start + "but end elsewhere"), (4, None), (5, "nothing of it")]
+    asked = [("a", "zebra"), ("b", start + "and end with walrus"), ("c", start + "which no document has"), ("d", None)]
+    one = spark.createDataFrame(docs, "doc_id long, text string")
+    two = spark.createDataFrame(asked, "item_id string, text string")
+    rel = lambda p: {tuple(r) for r in evaluation.containing(one, "doc_id", "text", two.select(F.col("item_id").alias("query_id"), p.alias("p"))).collect()}
+    for cut in (60, 1000):
+        assert rel(F.substring("text", 1, cut)) == {(q, i) for q, p in asked for i, t in docs if p is not None and t is not None and p[:cut] in t}
+    one.write.parquet(str(tmp_path / "documents.parquet"))
+    two.write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: {r["k"]: (r["hit_rate"], r["queries"]) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("eval_hit_at_k")[10] == (0.75, 4) and run("eval_hit_at_k_whole")[10] == (0.5, 4)
+
+
 def test_dialect(spark):
     t = "We decided to go because Alice trusted the GraphQL api. " + "x" * 160 + ". Later Bob was worried."
     d = spark.createDataFrame([(1, t), (2, ""), (3, None)], "doc_id int, text string")
