@@ -327,6 +327,18 @@ def test_mixing(spark, docs, rows, none):
     assert [r["virtual_finish"] for r in seq] == sorted(r["virtual_finish"] for r in seq) and mixing.mixed(docs).columns == [*docs.columns, "virtual_finish"]
 
 
+def test_mixing_by_words_in_order_of_finish(spark, docs):
+    """The closed form against a queue of words: all finish times sorted over all sources, cut at the total budget."""
+    got = [r for r in mixing.mix_sizes(docs).collect() if r["size"]]
+    words = []
+    for n, r in enumerate(got):
+        for e in range(mixing.REPEATS):
+            words += [((e * r["source_size"] + r["start"] + i) / r["target"], n) for i in range(1, r["size"] + 1)]
+    total = sum({r["source"]: int(r["target"]) for r in got}.values())
+    taken = Counter(n for _, n in sorted(words)[:total])
+    assert total and [r["taken"] for r in got] == [taken[n] for n in range(len(got))]
+
+
 def test_pipeline_against_plain_python(spark, tmp_path, rows):
     pipe = pytest.importorskip("corpus_pipeline")
     d = spark.createDataFrame([r for r in rows if r[0] is not None], DOC).dropDuplicates(["doc_id"])
