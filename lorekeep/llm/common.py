@@ -1,4 +1,4 @@
-"""Helpers the training-data operators share: scratch tables, global successor, prefix sums, let-binding."""
+"""Helpers the training-data operators share: scratch tables, global successor, components, let-binding, free names."""
 
 from __future__ import annotations
 
@@ -12,35 +12,55 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Folder of each application for which none is configured; only local masters get one.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a temporary folder serves a local master, which has no other machine; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and (own := spark._jsc.sc().getCheckpointDir()).isDefined():
+        path = own.get()
     if not path:
-        path = tempfile.mkdtemp(prefix="lorekeep-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _LOCAL[app] = tempfile.mkdtemp(prefix="lorekeep-")
+        path = _LOCAL[app]
     return path.rstrip("/")
 
 
-#: Scratch tables written so far and not yet released.
-_SCRATCH: list[str] = []
+class Scratch:
+    """Tables that one computation writes to the shared folder. `drop` deletes those that a later table has replaced, `close`
+    the rest, once the results that read them are written. Other computations' tables are never touched."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage and survives lost executors.
+    def store(self, df: DataFrame, tag: str) -> DataFrame:
+        """Writes df and reads it back: cuts lineage and survives lost executors."""
+        path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
 
-    The table stays until `release`, since results that read it are lazy."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            del self.paths[path]
 
+    def close(self) -> None:
+        self.drop(*self.paths.values())
 
-def release(spark: SparkSession) -> None:
-    """Deletes scratch tables. For the time when all results that may read them have been written."""
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def stored(df: DataFrame, tag: str, scratch: Scratch | None = None) -> DataFrame:
+    """df as a table of scratch; without one, a table that stays in the shared folder, since lazy results may read it."""
+    return (scratch or Scratch(df.sparkSession)).store(df, tag)
 
 
 def let(value: Column, body) -> Column:
@@ -48,6 +68,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores put before until none is a column of df: for columns that come and go inside an operator."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Array of words of a text; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -73,23 +104,37 @@ def successor(ids: DataFrame, col: str, to: str, step: int = 16) -> DataFrame:
     return level(start, "k", step).select(F.col("k").alias(col), F.col("n").alias(to))
 
 
-def components(edges: DataFrame, tag: str = "links", limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, tag: str = "links", limit: int = 60, scratch: Scratch | None = None, hot: int = 1 << 20) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component_id), the smallest id reachable, for every id in an edge.
 
     Alternating large-star and small-star rounds; each round's edges go to a table in the shared folder, so lineage stays
-    short. A star's centre is found by aggregation and joined back, so no neighbour list is gathered anywhere."""
+    short, and replace the last round's. A star's centre is found by aggregation and joined back, so no neighbour list is
+    gathered anywhere. Centres of more than `hot` edges (a 10,000th of all at least, so there are 20,000 at most) reach their
+    leaves by broadcast, not through one task."""
+    own = scratch or Scratch(edges.sparkSession)
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = stored(edges.select("a", "b").where("a <> b").distinct(), tag)
-    seen = None
+    now, seen, total = own.store(edges.select("a", "b").where("a <> b").distinct(), tag), None, None
+    total = now.count()
+
+    def beside(rows: DataFrame, least: DataFrame) -> DataFrame:
+        # least: (a, m, c), a row per a
+        if total <= hot:
+            return rows.join(least.drop("c"), "a")
+        many = least.where(F.col("c") > max(hot, total // 10_000))
+        cold = rows.join(F.broadcast(many.select("a")), "a", "left_anti").join(least.drop("c"), "a")
+        return cold.unionByName(rows.join(F.broadcast(many.drop("c")), "a"))
+
     for _ in range(limit):
         two = both(now)
-        low = two.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = two.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = two.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
+        large = beside(two, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = stored(small, tag)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = beside(down, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        last, now = now, own.store(small, tag)
+        own.drop(last)
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        total = mark["n"]
         if mark == seen:
             break
         seen = mark

@@ -1,19 +1,22 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set is its distinct k-word shingles, as 64-bit hashes. Two documents link when 100 * |A ∩ B| >= percent * |A ∪ B|.
-1. Global order: shingles count into SLOTS hashed counters over all documents; an order of (magnitude of the counter, hash)
-   puts frequent shingles last. Any fixed order is right; this one keeps frequent passages out of prefixes.
-2. Prefix: the first n - ceil(t n) + 1 shingles in that order. Linked documents share one of them.
+1. Global order: words and shingles count into hashed counters over all documents. Shingles of usual load come first, those
+   of the rarest words before all; shingles of heavy slots (passages that many documents share) come last, by magnitude.
+   Any fixed order is right; this one makes it rare that unrelated documents share a shingle of their prefixes.
+2. Prefix: the first n - ceil(t n) + 1 shingles in that order. Linked documents share one of them, and at the first that they
+   share, what is left of both sets is long enough for the overlap: the place of a shingle filters pairs before any set is read.
 3. Groups: documents with the same prefix and size collapse into one group, after documents with equal sets (linked without
    more ado). Each group's members pair with its leader, and groups that share a prefix shingle pair with that shingle's
-   first group by hash: stars, never all pairs of a bucket. Where components remain, ROUNDS more stars with another centre.
-4. Filter: a pair whose odd sketches (parities of hashed bits) differ by more than a link allows is dropped (never a linked one).
-5. Verify: remaining pairs are checked on full sets; links give components.
-6. Rest: where a shingle's bucket still spans several components, the groups are expanded and members of different
-   components are compared block by block by size and sketch. Of the pairs that pass, a cell gives a spanning forest of its
-   components, which is verified as before; buckets with an end of a pair that failed are compared in full, on finer sketches. So every link
-   between different components of step 5 is found or joined by others, and components are exact.
-
+   first group by hash: stars, never all pairs of a bucket.
+4. Verify: pairs that pass the filters of size and place are checked on full sets; links give components.
+5. Rest: buckets that still span several components are expanded to members. In buckets of up to SMALL members, those of
+   different components pair if size and place allow; larger ones make another star first. What is left of large buckets is
+   compared across components block by block, by size and odd sketch (parities of hashed bits, which never drop a link): a cell gives a
+   spanning forest of its components, which is verified as before; buckets with an end of a pair that failed are compared
+   in full, on finer sketches. So every link between different components is found or joined by others, and components are exact.
+
+Buckets of heavy shingles are counted with map-side combination and joined in SALTS parts, so no shingle makes a hot task.
 Null and empty texts have the empty set and link with nothing. Fewer than k words are one shingle. Repeated rows and ids link
 to themselves; a null id has its set counted but no component. Extra columns are ignored. Sets are whole, whatever the length.
 """
@@ -22,70 +25,98 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, words_of
+from .common import Scratch, components
 
-#: Counters of the global order and the blocks they travel in: SLOTS bytes are broadcast, whatever the corpus.
-SLOTS, PARTS = 1 << 22, 1024
+#: Counters of shingles and of words, and the blocks they travel in: SLOTS + RARE bytes are broadcast, whatever the corpus.
+SLOTS, RARE, PARTS = 1 << 22, 1 << 18, 1024
 #: Buckets of the bounded filter that selects texts to verify; members of a bucket compared at once.
 BUCKETS, BLOCK = 1 << 20, 1024
-#: Rounds of stars before members are compared across what components remain; they save work and don't change the result.
-ROUNDS = 1
+#: Members up to which a bucket's rest is paired by a join; parts that rows of a heavy shingle are dealt to.
+SMALL, SALTS = 16, 16
+#: Columns of the texts as they go to Python: bytes, not decoded.
+TEXTS = "doc_id long, text binary"
+
+
+def texts_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+
+
+def words_in(text: bytes | None) -> list[bytes]:
+    """Words of UTF-8 bytes, A-Z lowered: both methods of bytes know ASCII alone, and split at just the contract's white space."""
+    return text.lower().split() if text else []
+
+
+def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+
 
+def hashed(words: Iterator[bytes], n: int) -> np.ndarray:
+    import xxhash
 
-def hashed_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, words): 64-bit hashes of the words, A-Z lowered."""
-    low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words_of(low), lambda w: F.xxhash64(w)).alias("words"))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+
+
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-word windows of word hashes, in order; fewer words are one window, none have none."""
+    n = len(words)
+    if n == 0:
+        return words
+    h = words[: max(n - k + 1, 1)] if n >= k else np.array([n], np.uint64)
+    for j in range(1, k) if n >= k else range(n):
+        h = _mix(h, words[j : n - k + 1 + j] if n >= k else words[j : j + 1])
+    return h
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes (uint64) of each row's words."""
-    col = batch.column("words")
-    flat, ends = np.asarray(col.flatten()).view(np.uint64) if len(col.flatten()) else np.zeros(0, np.uint64), np.asarray(col.offsets)
-    ends = ends - ends[0]
-    mult = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
-
-    def mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
-        h = (h ^ (h >> np.uint64(29))) * mult[0] + x
-        return (h ^ (h >> np.uint64(32))) * mult[1]
-
-    grams = flat[: max(len(flat) - k + 1, 0)].copy()
-    for j in range(1, k):
-        grams = mix(grams, flat[j : len(flat) - k + 1 + j])
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
-        elif b == a:
-            yield np.zeros(0, np.uint64)
-        else:
-            h = np.array([b - a], np.uint64)
-            for x in flat[a:b]:
-                h = mix(h, np.array([x]))
-            yield h
+    """The sorted distinct shingle hashes (uint64) of each text."""
+    for t in batch.column("text").to_pylist():
+        w = words_in(t)
+        yield np.unique(shingles(hashed(w, len(w)), k))
 
 
-def slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+def slot(tokens: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    return (tokens >> np.uint64(20)).astype(np.int64) & (slots - 1)
 
 
-def frequency_levels(words: DataFrame, k: int) -> np.ndarray:
-    """uint8[SLOTS]: 0 for slots of usual load, else the binary magnitude over it. Counts cover every shingle of every
-    document; each task sends PARTS compressed blocks of counters, which are added up as they stream in."""
-    width = SLOTS // PARTS
+def frequency_levels(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """uint8[SLOTS]: 0 for slots of usual load, else the binary magnitude over it; uint8[RARE]: rarity of words in bits. Counts
+    cover every word and shingle of every document; each task sends compressed blocks of counters, which are added up
+    as they stream in."""
+    width, wide = SLOTS // PARTS, SLOTS + RARE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(wide, np.int64)
+
+        def put(lists: list[list[bytes]]) -> None:
+            size = [len(x) for x in lists]
+            w = hashed(chain.from_iterable(lists), sum(size))
+            if len(w) < k:
+                return
+            last = np.repeat(np.cumsum(size), size)  # where the word's text ends
+            g = shingles(w, k)
+            g = g[np.arange(k, len(w) + 1) <= last[: len(g)]]
+            total[:SLOTS] += np.bincount(slot(g), minlength=SLOTS)
+            total[SLOTS:] += np.bincount(slot(w, RARE), minlength=RARE)
+
         for b in batches:
-            sets = list(shingle_sets(b, k))
-            if sets:
-                total += np.bincount(slot(np.concatenate(sets)), minlength=SLOTS)
-        rows = [(i, zlib.compress(total[i * width : (i + 1) * width].astype(np.int64).tobytes(), 1)) for i in range(PARTS) if total[i * width : (i + 1) * width].any()]
+            lists, held = [], 0
+            for t in b.column("text").to_pylist():
+                lists.append(words_in(t))
+                held += len(lists[-1])
+                if held > 1 << 20:
+                    put(lists)
+                    lists, held = [], 0
+            put(lists)
+        blocks = ((i, total[i * width : (i + 1) * width]) for i in range(wide // width))
+        rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in blocks if x.any()]
         yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "counts": pa.array([r[1] for r in rows], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,45 +129,59 @@ def frequency_levels(words: DataFrame, k: int) -> np.ndarray:
 
     schema = "part int, counts binary"
     parts: dict[int, bytes] = {}
-    total = 0
-    for r in words.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toLocalIterator():  # SLOTS counters in all, kept compressed
+    total, words = 0, 0
+    for r in texts.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toLocalIterator():  # SLOTS + RARE counters in all, kept compressed
         parts[r["part"]] = bytes(r["counts"])
-        total += int(np.frombuffer(zlib.decompress(parts[r["part"]]), np.int64).sum())
-    usual, levels = total / SLOTS, np.zeros(SLOTS, np.uint8)
+        n = int(np.frombuffer(zlib.decompress(parts[r["part"]]), np.int64).sum())
+        total, words = (total + n, words) if r["part"] < PARTS else (total, words + n)
+    usual, levels, rare = total / SLOTS, np.zeros(SLOTS, np.uint8), np.zeros(RARE, np.uint8)
     for p, c in parts.items():
         n = np.frombuffer(zlib.decompress(c), np.int64)
-        levels[p * width : (p + 1) * width] = np.where(n > 4 * usual + 8, np.log2(np.maximum(n / (usual + 1), 1)).astype(np.uint8) + 1, 0)
-    return levels
-
+        if p < PARTS:
+            levels[p * width : (p + 1) * width] = np.where(n > 4 * usual + 8, np.log2(np.maximum(n / (usual + 1), 1)).astype(np.uint8) + 1, 0)
+        else:
+            rare[(p - PARTS) * width : (p - PARTS + 1) * width] = np.log2(np.maximum(words / (n + 1), 1)).astype(np.uint8)
+    return levels, rare
 
-def profiles(words: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, bins, pre, prefix) of each document: set size, 128-bit digests of set and prefix, odd sketch, prefix."""
-    import xxhash  # noqa: F401  (workers import it)
 
-    shared = words.sparkSession.sparkContext.broadcast(levels.tobytes())
+def profiles(texts: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+    """(doc_id, n, sig, pre, prefix) of each document: set size, 128-bit digests of set and prefix, prefix. The lowest bit of a
+    prefix shingle tells whether its slot is heavy."""
+    shared = texts.sparkSession.sparkContext.broadcast((order[0].tobytes(), order[1].tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        lv = np.frombuffer(shared.value, np.uint8)
+        levels, rare = (np.frombuffer(x, np.uint8) for x in shared.value)
         for b in batches:
             rows = []
-            for s in shingle_sets(b, k):
-                n = len(s)
-                p = s[np.lexsort((s, lv[slot(s)]))][: n - -(-percent * n // 100) + 1] if n else s
-                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), sketch(s), xxhash.xxh3_128_digest(p.tobytes()), p.view(np.int64)))
-            n, sig, bins, pre, prefix = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            for t in b.column("text").to_pylist():
+                w = words_in(t)
+                w = hashed(w, len(w))
+                s, at = np.unique(shingles(w, k), return_index=True)
+                n, bits = len(s), rare[slot(w, RARE)].astype(np.int64)
+                far = sum((bits[at + j] for j in range(k)), np.zeros(n, np.int64)) if len(w) >= k else np.zeros(n, np.int64)
+                heavy = levels[slot(s)]
+                first = np.lexsort((s, -far, heavy))[: n - -(-percent * n // 100) + 1] if n else at
+                p = (s[first] & ~np.uint64(1)) | (heavy[first] > 0).astype(np.uint64)
+                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(p.tobytes()), p.view(np.int64)))
+            n, sig, pre, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "bins": pa.array(bins, pa.binary()), "pre": pa.array(pre, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
+                "doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "pre": pa.array(pre, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
             })
 
-    return words.mapInArrow(run, "doc_id long, n long, sig binary, bins binary, pre binary, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, sig binary, pre binary, prefix array<long>")
 
 
 def _size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _place_fits(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Whether the sets may link if the shingle at these places of their prefixes is the first that they share."""
+    return _size_fits(na, nb, percent) & ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb))
+
+
 def sketch(tokens: np.ndarray, bits: int = 2, top: int = 1 << 14) -> bytes:
     """Odd sketch: parities of the counts of tokens by their low bits; a power of two of bits, `bits` a token or more, within
     512 and top."""
@@ -159,64 +204,34 @@ def _close(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.
     return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * sizes
 
 
-def _bins_fit(percent: int):
-    """Keeps the pairs whose sketches differ by no more than linked sets of their sizes can."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (b.column(c).to_pylist() for c in ("ba", "bb"))
-            n = np.asarray(b.column("na")) + np.asarray(b.column("nb"))
-            lengths = np.array([(len(u), len(v)) for u, v in zip(x, y, strict=True)])
-            ok = np.zeros(b.num_rows, bool)
-            for lx, ly in np.unique(lengths, axis=0):
-                at = np.flatnonzero((lengths == (lx, ly)).all(1))
-                ok[at] = _close(folded([x[i] for i in at], min(lx, ly)), folded([y[i] for i in at], min(lx, ly)), n[at], percent)
-            yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok))
-
-    return run
-
-
-def filtered(pairs: DataFrame, prof: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that pass the size and bin filters."""
-    side = lambda x: prof.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"b{x}"))
-    p = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    p = p.join(side("a"), "a").join(side("b"), "b").where(_size_fits(F.col("na"), F.col("nb"), percent))
-    return p.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bins_fit(percent), "a long, b long").distinct()
-
-
 def words_among(ids: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, words) of the documents in ids (distinct doc_id): a table of at most BUCKETS hash values is broadcast to leave
-    other texts unread, and the join on ids does the rest."""
+    """texts_of the documents in ids (distinct doc_id): a table of at most BUCKETS hash values is broadcast to leave other
+    texts unread by Python, and the caller's join on ids does the rest."""
     bucket = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
     few = ids.select(bucket().alias("h")).distinct()
-    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", bucket()).join(F.broadcast(few), "h", "left_semi")
-    return hashed_words(near)
+    return texts_of(docs, text).withColumn("h", bucket()).join(F.broadcast(few), "h", "left_semi").drop("h")
 
 
-def fine_sketches(ids: DataFrame, docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """(doc_id, n, bins) of the documents in ids, with sketches of eight times the usual bits."""
+def sketches(ids: DataFrame, docs: DataFrame, k: int, bits: int, top: int, text: str = "text") -> DataFrame:
+    """(doc_id, bins) of the documents in ids: odd sketches of `bits` bits a shingle, up to top."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(b, k))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "bins": pa.array([sketch(s, 16, 1 << 16) for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "bins": pa.array([sketch(s, bits, top) for s in shingle_sets(b, k)], pa.binary())})
 
-    return words_among(ids, docs, text).mapInArrow(run, "doc_id long, n long, bins binary").join(ids, "doc_id", "left_semi")
+    return words_among(ids, docs, text).mapInArrow(run, "doc_id long, bins binary").join(ids, "doc_id", "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
-    """The pairs that link, checked on full sets. Sets are made of texts in the pairs only."""
-    pairs = stored(pairs, "pairs")
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, own: Scratch, text: str = "text") -> DataFrame:
+    """A table of the pairs (a, b) that link, checked on full sets. Sets are made of texts in the pairs only."""
+    pairs = own.store(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "s": pa.array([s.view(np.int64) for s in shingle_sets(b, k)], pa.list_(pa.int64()))})
 
-    full = words_among(ids, docs, text).mapInArrow(sets, "doc_id long, s array<long>").join(ids, "doc_id", "left_semi")
-    full = stored(full, "sets")
+    full = own.store(words_among(ids, docs, text).mapInArrow(sets, "doc_id long, s array<long>").join(ids, "doc_id", "left_semi"), "sets")
     p = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +246,27 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok, pa.bool_()))
 
-    return p.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+    out = own.store(p.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct(), "links")
+    own.drop(pairs, full)
+    return out
+
+
+def _beside(rows: DataFrame, facts: DataFrame, spread: str) -> DataFrame:
+    """rows joined with facts, a row per token; rows of heavy tokens are dealt to SALTS parts by their column `spread`."""
+    heavy = F.col("token").bitwiseAND(F.lit(1)) == 1
+    some = facts.withColumn("salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return rows.withColumn("salt", F.when(heavy, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).join(some, ["token", "salt"]).drop("salt")
+
+
+def buckets_of(leaders: DataFrame) -> DataFrame:
+    """leaders (gid, n, prefix) -> (token, pos, n, gid, hg, hn, hp): prefix shingles that two groups or more have, beside the
+    first group by hash. Shingles of usual load are counted where they meet, heavy ones by aggregation before they move."""
+    tokens = leaders.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    heavy, head = F.col("token").bitwiseAND(F.lit(1)) == 1, F.min(F.struct(F.xxhash64("gid").alias("h"), F.col("gid").alias("hg"), F.col("n").alias("hn"), F.col("pos").alias("hp")))
+    meet = Window.partitionBy("token")
+    usual = tokens.where(~heavy).withColumn("c", F.count("*").over(meet)).where("c > 1").withColumn("head", head.over(meet))
+    facts = tokens.where(heavy).groupBy("token").agg(F.count("*").alias("c"), head.alias("head")).where("c > 1")
+    return usual.unionByName(_beside(tokens.where(heavy), facts, "gid")).select("token", "pos", "n", "gid", "head.hg", "head.hn", "head.hp")
 
 
 def _across(percent: int, forest: bool):
@@ -294,86 +329,105 @@ def _across(percent: int, forest: bool):
     return run
 
 
-def across(buckets: DataFrame, prof: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different components within the buckets (token, doc_id, comp); of buckets with the
+def across(buckets: DataFrame, bins: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) of different components within the buckets (token, doc_id, comp, n); of buckets with the
     same members one is read. Large buckets are dealt over cells of two blocks, so no task gets a whole one."""
     digest = lambda i: F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"d{i}")
     open_ = buckets.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), digest(0), digest(1)).where("lo <> hi")
     open_ = open_.groupBy("c", "d0", "d1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rest = buckets.join(open_, "token").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rest = _beside(buckets, open_, "doc_id").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cells = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).cast("long").alias("side"), "doc_id", "comp")
-    cells = cells.join(prof.select("doc_id", "n", "bins"), "doc_id").select("token", "i", "j", "side", "doc_id", "comp", "n", "bins")
+    cells = cells.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).cast("long").alias("side"), "doc_id", "comp", "n")
+    cells = cells.join(bins, "doc_id").select("token", "i", "j", "side", "doc_id", "comp", "n", "bins")
     found = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across(percent, forest), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs."""
-    words = hashed_words(docs, text)
-    prof = stored(profiles(words, frequency_levels(words, k), k, percent), "profiles")
+def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs. The result reads two tables of scratch."""
+    own = scratch or Scratch(docs.sparkSession)
+    texts = texts_of(docs, text)
+    prof = own.store(profiles(texts, frequency_levels(texts, k), k, percent), "profiles")
     some = prof.where("n > 0 and doc_id is not null")
-    same = some.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("pre").alias("pre"), F.count("*").alias("copies"))
-    same = stored(same, "same")
+    same = own.store(some.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("pre").alias("pre"), F.count("*").alias("copies")), "same")
     copies = some.join(same.where("copies > 1").select("sig", "rep"), "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
 
     # groups: equal prefix and size; the leader is the smallest id, found before the rows move
     member = Window.partitionBy("pre", "n").orderBy("doc_id")
-    leaders = some.select("doc_id", "n", "pre", "prefix").withColumn("r", F.row_number().over(member)).where("r = 1").drop("r")
-    tokens = leaders.select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("token"))
-    heads = tokens.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid").alias("h"), "n", "gid")).alias("head"), F.count("*").alias("c")).where("c > 1").select("token", F.col("head.gid").alias("hg"), F.col("head.n").alias("hn"))
-    shared = stored(tokens.join(heads, "token"), "buckets")
-    groups = same.groupBy("pre", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("m"))
-    inside = same.join(groups.where("m > 1"), ["pre", "n"]).select(F.col("gid").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    inside = stored(inside, "groups")
-    stars = shared.where((F.col("gid") != F.col("hg")) & _size_fits(F.col("n"), F.col("hn"), percent)).select(F.col("hg").alias("a"), F.col("gid").alias("b")).distinct()
-    first = stored(verified(filtered(inside.unionByName(stars), some, percent), docs, k, percent, text), "links")
-
-    def label(df: DataFrame, comp: DataFrame, c: str) -> DataFrame:
-        """df with comp, the component of its ids; ids without a link are their own."""
-        return df.join(comp.withColumnRenamed("id", c), c, "left").withColumn("comp", F.coalesce("component_id", c)).drop("component_id")
-
-    # members of groups have the tokens of their leader
-    every = shared.select("token", F.col("gid").alias("doc_id")).unionByName(shared.select("token", "gid").join(inside.select(F.col("a").alias("gid"), F.col("b").alias("doc_id")), "gid").select("token", "doc_id"))
-    # members that differ from a leader whose group shares no token with another still need comparing with each other
-    alone = inside.select(F.xxhash64("a", F.lit("group")).alias("token"), F.col("b").alias("doc_id")).unionByName(inside.select(F.xxhash64("a", F.lit("group")).alias("token"), F.col("a").alias("doc_id")).distinct())
-    every = stored(every.unionByName(alone), "buckets")
-    links, now = first, label(every, components(first), "doc_id")
-    for r in range(ROUNDS):
-        # buckets of several components: their members against one of them, another each round
-        now = stored(now, "buckets")
-        lead = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.col("m.id").alias("lead"), F.col("m.c").alias("lc"))
-        now = stored(now.join(lead, "token"), "buckets")  # a bucket of one component stays one: only the others go on
-        every = now.select("token", "doc_id")
-        pairs = now.where("comp <> lc").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-        more = stored(verified(filtered(pairs, some, percent), docs, k, percent, text), "links")
-        if more.isEmpty():
-            now = now.select("token", "doc_id", "comp")
-            break
-        links = links.unionByName(more)
-        now = label(every, components(links), "doc_id")
-
-    # what is left: buckets that still span several components
-    every = stored(now, "buckets")
-    tried = stored(across(every, some, percent, True), "pairs")
-    second = stored(verified(tried, docs, k, percent, text), "links")
-    links = links.unionByName(second)
-    failed = tried.join(second, ["a", "b"], "left_anti")
-    if not failed.isEmpty():
-        # a pair that proved no link may have stood for others of its cells: those buckets are compared in full
-        ends = failed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        redo = every.join(ends, "doc_id", "left_semi").select("token").distinct()
-        again = label(every.select("token", "doc_id").join(redo, "token", "left_semi"), components(links), "doc_id")
-        again = stored(again, "buckets")
-        fine = stored(fine_sketches(again.select("doc_id").distinct(), docs, k, text), "sketches")
-        third = across(again, fine, percent, False).join(failed, ["a", "b"], "left_anti")
-        links = links.unionByName(verified(third, docs, k, percent, text))
-    found = components(copies.unionByName(links)).withColumnRenamed("id", "_id")
+    leaders = own.store(some.select("doc_id", "n", "pre", "prefix").withColumn("r", F.row_number().over(member)).where("r = 1").select(F.col("doc_id").alias("gid"), "n", "prefix"), "leaders")
+    groups = same.groupBy("pre", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("m")).where("m > 1")
+    inside = own.store(same.join(groups, ["pre", "n"]).select("gid", F.col("rep").alias("doc_id"), "n", "m").where("gid <> doc_id"), "groups")
+    shared = own.store(buckets_of(leaders), "buckets")
+    own.drop(leaders)
+    stars = shared.where((F.col("gid") != F.col("hg")) & _place_fits(F.col("n"), F.col("pos"), F.col("hn"), F.col("hp"), percent)).select(F.col("hg").alias("a"), F.col("gid").alias("b"))
+    links = verified(inside.select(F.col("gid").alias("a"), F.col("doc_id").alias("b")).unionByName(stars).distinct(), docs, k, percent, own, text)
+
+    def label(df: DataFrame, comp: DataFrame) -> DataFrame:
+        """df with comp, the component of doc_id; ids without a link are their own."""
+        return df.drop("comp").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows (token, doc_id, comp, ...) of buckets of several components, with the bucket's size."""
+        facts = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
+        return _beside(rows.drop("size"), facts, "doc_id")
+
+    # groups in buckets that span several components are expanded to their members; a group is a bucket of its own as well
+    linked = components(links, scratch=own)
+    ids = shared.select("gid").distinct().select("gid", F.col("gid").alias("doc_id")).unionByName(inside.select("gid", "doc_id"))
+    ids = own.store(label(ids, linked), "members")
+    spans = ids.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    near = shared.select("token", "pos", "n", "gid").join(spans, "gid")
+    facts = near.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    near = _beside(near.select("token", "pos", "n", "gid"), facts, "gid")
+    group = F.xxhash64("gid", F.lit("group"))
+    group = F.when(F.col("m") > SMALL, group.bitwiseOR(F.lit(1))).otherwise(group.bitwiseAND(F.lit(-2)))
+    alone = inside.select(group.alias("token"), F.lit(0).alias("pos"), "n", "doc_id").unionByName(inside.select(group.alias("token"), F.lit(0).alias("pos"), "n", F.col("gid").alias("doc_id")).distinct())
+    rows = near.join(ids, "gid").select("token", "pos", "n", "doc_id", "comp").unionByName(label(alone, linked).select("token", "pos", "n", "doc_id", "comp"))
+    rows = own.store(mixed(rows), "buckets")
+    own.drop(shared, ids)
+
+    # small buckets: members of different components; large ones: another star
+    small, large = rows.where(F.col("size") <= SMALL), rows.where(F.col("size") > SMALL)
+    x, y = small.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pos", "n", "doc_id", "comp")]), small.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pos", "n", "doc_id", "comp")])
+    fits = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & _place_fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)
+    pairs = x.join(y, (x["token"] == y["token"]) & fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    centre = F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c"), F.col("n").alias("hn"), F.col("pos").alias("hp")))
+    star = _beside(large, large.groupBy("token").agg(centre.alias("m")), "doc_id").where((F.col("comp") != F.col("m.c")) & _place_fits(F.col("n"), F.col("pos"), F.col("m.hn"), F.col("m.hp"), percent))
+    more = verified(pairs.unionByName(star.select(F.least("doc_id", F.col("m.id")).alias("a"), F.greatest("doc_id", F.col("m.id")).alias("b"))).distinct(), docs, k, percent, own, text)
+    links = links.unionByName(more)
+
+    # what is left: large buckets that still span several components
+    left = large.select("token", "doc_id", "n")
+    if not left.isEmpty():
+        left = own.store(mixed(label(left, components(links, scratch=own))), "buckets")
+    if not left.isEmpty():
+        bins = own.store(sketches(left.select("doc_id").distinct(), docs, k, 2, 1 << 14, text), "sketches")
+        tried = own.store(across(left, bins, percent, True), "pairs")
+        second = verified(tried, docs, k, percent, own, text)
+        links = links.unionByName(second)
+        failed = own.store(tried.join(second, ["a", "b"], "left_anti"), "pairs")
+        if not failed.isEmpty():
+            # a pair that proved no link may have stood for others of its cells: those buckets are compared in full
+            ends = failed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            redo = left.join(ends, "doc_id", "left_semi").select("token").distinct()
+            again = own.store(label(left.join(redo, "token", "left_semi"), components(links, scratch=own)), "buckets")
+            fine = own.store(sketches(again.select("doc_id").distinct(), docs, k, 16, 1 << 16, text), "sketches")
+            third = across(again, fine, percent, False).join(failed, ["a", "b"], "left_anti")
+            links = links.unionByName(verified(third, docs, k, percent, own, text))
+    found = components(copies.unionByName(links), scratch=own).withColumnRenamed("id", "_id")
     out = prof.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("_id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """docs without those whose component has a smaller id."""
-    keep = link_components(docs, k, percent, text).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """docs without those whose component has a smaller id. Of rows that share an id, which are one document here, the one with
+    the smallest text stays; rows without an id all stay."""
+    found = link_components(docs, k, percent, text, scratch)
+    keep = found.where("component_id = doc_id or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    out = docs.join(keep.select(F.col("doc_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    twice = (scratch or Scratch(docs.sparkSession)).store(keep.where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id")), "repeated")
+    if twice.isEmpty():
+        return out
+    first = Window.partitionBy("doc_id").orderBy(F.col(text).asc_nulls_first())
+    again = out.join(twice, out["doc_id"] == F.col("_id"), "left_semi").withColumn("_id", F.row_number().over(first)).where("_id = 1").drop("_id")
+    return out.join(twice, out["doc_id"] == F.col("_id"), "left_anti").unionByName(again)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, Scratch, stored
 
 #: Fixed values of the target rule.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
@@ -64,9 +64,9 @@ def light_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
-def mix_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mix_sizes(docs: DataFrame, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, start, u, taken) for every document."""
-    light = stored(light_of(docs), "mix")
+    light = stored(light_of(docs), "mix", scratch)
     q = queued(light, targets(light), seed)
     run = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("start") - e * F.col("source_size")))
     taken = run(0)
@@ -75,11 +75,11 @@ def mix_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return q.withColumn("taken", taken.cast("long"))
 
 
-def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """docs in the order of service, as often as each is taken (a part counts if it is half or more), with virtual_finish.
 
     Range-sorted by virtual finish time: partition after partition is the sequence."""
-    plan = mix_sizes(docs, seed)
+    plan = mix_sizes(docs, seed, scratch)
     plan = plan.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).cast("int"))
     # rows alike in id, source and size share their copies evenly
     key = lambda size: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("source", F.lit("\0")), size)
