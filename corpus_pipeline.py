@@ -12,38 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import bpe, jaccard, mixing, quality, secrets
-from lorekeep.llm.common import release, shared_dir
+from lorekeep.llm.common import Scratch, shared_dir
 from lorekeep.llm.queries import rank_file
 
 
+#: Scratch tables of the stage that ran last; its result is written by the time the next one begins.
+_HELD: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession) -> Scratch:
+    while _HELD:
+        _HELD.pop().close()
+    _HELD.append(Scratch(spark))
+    return _HELD[0]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass; lines that fail are gone from their texts."""
-    release(spark)  # what earlier stages left: their results are written
     return quality.passing(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 or more of its five-word shingles."""
-    release(spark)  # what earlier stages left: their results are written
-    return jaccard.keep_one(docs, 5, 80)
+    return jaccard.keep_one(docs, 5, 80, scratch=_scratch(spark))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced."""
-    release(spark)  # what earlier stages left: their results are written
+    _scratch(spark)
     d = secrets.redact(docs, secrets.fit(secrets.labelled(spark)))
     return d.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of service, repeated as the mix repeats them."""
-    release(spark)  # what earlier stages left: their results are written
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs, scratch=_scratch(spark)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of decoded bytes."""
-    release(spark)  # what earlier stages left: their results are written
+    _scratch(spark)
     return bpe.digests(docs, *rank_file(), keep=["doc_id", "source"])
 
 
