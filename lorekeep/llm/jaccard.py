@@ -9,10 +9,11 @@ A document's set is its distinct k-word shingles, as 64-bit hashes. Two document
 3. Groups: documents with the same prefix and size collapse into one group, after documents with equal sets (linked without
    more ado). Each group's members pair with its leader, and groups that share a prefix shingle pair with that shingle's
    first group by hash: stars, never all pairs of a bucket.
-4. Verify: pairs that pass the filters of size and place are checked on full sets; links give components.
+4. Verify: pairs that pass the filters of size, place and odd sketch (parities of hashed bits, which never drop a link) are checked
+   on full sets; links give components.
 5. Rest: buckets that still span several components are expanded to members. In buckets of up to SMALL members, those of
    different components pair if size and place allow; larger ones make another star first. What is left of large buckets is
-   compared across components block by block, by size and odd sketch (parities of hashed bits, which never drop a link): a cell gives a
+   compared across components block by block, by size and sketch: a cell gives a
    spanning forest of its components, which is verified as before; buckets with an end of a pair that failed are compared
    in full, on finer sketches. So every link between different components is found or joined by others, and components are exact.
 
@@ -145,8 +146,8 @@ def frequency_levels(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(texts: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, pre, prefix) of each document: set size, 128-bit digests of set and prefix, prefix. The lowest bit of a
-    prefix shingle tells whether its slot is heavy."""
+    """(doc_id, n, sig, bins, pre, prefix) of each document: set size, 128-bit digests of set and prefix, odd sketch, prefix. The
+    lowest bit of a prefix shingle tells whether its slot is heavy."""
     shared = texts.sparkSession.sparkContext.broadcast((order[0].tobytes(), order[1].tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +165,13 @@ def profiles(texts: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int, per
                 heavy = levels[slot(s)]
                 first = np.lexsort((s, -far, heavy))[: n - -(-percent * n // 100) + 1] if n else at
                 p = (s[first] & ~np.uint64(1)) | (heavy[first] > 0).astype(np.uint64)
-                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(p.tobytes()), p.view(np.int64)))
-            n, sig, pre, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
+                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), sketch(s), xxhash.xxh3_128_digest(p.tobytes()), p.view(np.int64)))
+            n, sig, bins, pre, prefix = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "pre": pa.array(pre, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
+                "doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "bins": pa.array(bins, pa.binary()), "pre": pa.array(pre, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
             })
 
-    return texts.mapInArrow(run, "doc_id long, n long, sig binary, pre binary, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, sig binary, bins binary, pre binary, prefix array<long>")
 
 
 def _size_fits(a: Column, b: Column, percent: int) -> Column:
@@ -212,6 +213,33 @@ def words_among(ids: DataFrame, docs: DataFrame, text: str = "text") -> DataFram
     return texts_of(docs, text).withColumn("h", bucket()).join(F.broadcast(few), "h", "left_semi").drop("h")
 
 
+def _bins_fit(percent: int):
+    """Keeps the pairs whose sketches differ by no more than linked sets of their sizes can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (b.column(c).to_pylist() for c in ("ba", "bb"))
+            n = np.asarray(b.column("na")) + np.asarray(b.column("nb"))
+            lengths = np.array([(len(u), len(v)) for u, v in zip(x, y, strict=True)])
+            ok = np.zeros(b.num_rows, bool)
+            for lx, ly in np.unique(lengths, axis=0):
+                at = np.flatnonzero((lengths == (lx, ly)).all(1))
+                ok[at] = _close(folded([x[i] for i in at], min(lx, ly)), folded([y[i] for i in at], min(lx, ly)), n[at], percent)
+            yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok))
+
+    return run
+
+
+def filtered(pairs: DataFrame, prof: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a <> b, whose sketches may be of linked sets."""
+    side = lambda x: prof.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"b{x}"))
+    p = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    p = p.join(side("a"), "a").join(side("b"), "b")
+    return p.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bins_fit(percent), "a long, b long").distinct()
+
+
 def sketches(ids: DataFrame, docs: DataFrame, k: int, bits: int, top: int, text: str = "text") -> DataFrame:
     """(doc_id, bins) of the documents in ids: odd sketches of `bits` bits a shingle, up to top."""
 
@@ -360,7 +388,8 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     shared = own.store(buckets_of(leaders), "buckets")
     own.drop(leaders)
     stars = shared.where((F.col("gid") != F.col("hg")) & _place_fits(F.col("n"), F.col("pos"), F.col("hn"), F.col("hp"), percent)).select(F.col("hg").alias("a"), F.col("gid").alias("b"))
-    links = verified(inside.select(F.col("gid").alias("a"), F.col("doc_id").alias("b")).unionByName(stars).distinct(), docs, k, percent, own, text)
+    links = inside.select(F.col("gid").alias("a"), F.col("doc_id").alias("b")).unionByName(stars)
+    links = verified(filtered(links, some, percent), docs, k, percent, own, text)
 
     def label(df: DataFrame, comp: DataFrame) -> DataFrame:
         """df with comp, the component of doc_id; ids without a link are their own."""
@@ -393,7 +422,7 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     pairs = x.join(y, (x["token"] == y["token"]) & fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
     centre = F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c"), F.col("n").alias("hn"), F.col("pos").alias("hp")))
     star = _beside(large, large.groupBy("token").agg(centre.alias("m")), "doc_id").where((F.col("comp") != F.col("m.c")) & _place_fits(F.col("n"), F.col("pos"), F.col("m.hn"), F.col("m.hp"), percent))
-    more = verified(pairs.unionByName(star.select(F.least("doc_id", F.col("m.id")).alias("a"), F.greatest("doc_id", F.col("m.id")).alias("b"))).distinct(), docs, k, percent, own, text)
+    more = verified(filtered(pairs.unionByName(star.select(F.col("doc_id").alias("a"), F.col("m.id").alias("b"))), some, percent), docs, k, percent, own, text)
     links = links.unionByName(more)
 
     # what is left: large buckets that still span several components
@@ -401,8 +430,7 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str =
     if not left.isEmpty():
         left = own.store(mixed(label(left, components(links, scratch=own))), "buckets")
     if not left.isEmpty():
-        bins = own.store(sketches(left.select("doc_id").distinct(), docs, k, 2, 1 << 14, text), "sketches")
-        tried = own.store(across(left, bins, percent, True), "pairs")
+        tried = own.store(across(left, some.select("doc_id", "bins"), percent, True), "pairs")
         second = verified(tried, docs, k, percent, own, text)
         links = links.unionByName(second)
         failed = own.store(tried.join(second, ["a", "b"], "left_anti"), "pairs")
