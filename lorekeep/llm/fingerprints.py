@@ -1,17 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests (DataFrame functions only).
 
-A text is cut into paragraphs at content-defined places: after a word whose hash, mixed with the word before, has `level`
-low zero bits. level grows up to LEVEL, for short texts to have paragraphs to compare; from there on a paragraph has about
-2**LEVEL words and their number grows with the text, so that an edit moves only the paragraph it touches, however long the
-text. A paragraph's digest is the 64-bit hash of its words; a text is the set of its digests. A sketch of s cells in each of
-three subtables holds count, XOR of digests and XOR of their check hashes. Two sketches subtract cell by cell; peeling pure
-cells recovers the digests that differ. Where peeling fails, both sketches are built four times as large and peeled again;
-beyond the largest, the sets themselves are compared. Cells are filled by one sort, so building and each round of peeling
-take time by digests and cells, not by their product. Likeness is Jaccard's, from the set sizes and the number recovered.
+A paragraph is a sentence or line; one of more than LONG characters is cut again at content-defined places: after a word whose
+hash, mixed with the word before, has LEVEL low zero bits. So the number of paragraphs grows with the text and an edit moves
+only those it touches, however long the text. A paragraph's digest is its 64-bit hash; a text is the set of its digests. A
+sketch of s cells in each of three subtables holds count, XOR of digests and XOR of check hashes; cells that are empty aren't
+stored, so a sketch takes time and room by its digests, whatever s. Two sketches subtract cell by cell; peeling pure cells
+recovers the digests that differ. Where peeling fails, both sketches are built again with as many cells as the sets can need, and
+then four times as many. Likeness is Jaccard's, from the set sizes and the number recovered.
 
 Null texts are empty texts; two empty texts have likeness 1. Null ids come after all others and precede the first. Of rows
-that share an id, all are fingerprinted, and the smallest text is what precedes their common predecessor's end. Extra
-columns are left out of the result. Arrays are linear in the text; the fingerprint as text is the smallest sketch.
+that share an id, all are fingerprinted, and the smallest text is what precedes their common predecessor's end. Columns of
+the caller that are named level, digests or fingerprint are replaced by `fingerprint`; other extra columns pass through it and
+are left out by `compare_with_edits`. Arrays are linear in the text; the fingerprint as text is the smallest sketch.
 """
 
 from __future__ import annotations
@@ -21,119 +21,122 @@ from pyspark.sql import functions as F
 
 from .common import let, successor, words_of
 
-#: Cells in each subtable, by attempt.
-SIZES = (8, 32, 128, 512, 2048, 8192)
-ROUNDS = 40
-#: Largest level: paragraphs of about 16 words.
-LEVEL = 4
+#: Cells in each subtable of the sketch that is tried first and given as text; most rounds of peeling.
+SIZE, ROUNDS = 8, 40
+#: Where paragraphs end, and how long (code points) one is before it is cut at words of LEVEL low zero bits, about every 2**LEVEL.
+ENDS, LONG, LEVEL = r"(?<=[.!?…])[\x20\x09-\x0D]+|(?<=[。！？])|[\n\r]+", 400, 4
 
 
-def level_of(n_chars: Column) -> Column:
-    """Zero bits a paragraph's last word must show, from the length in code points."""
-    return F.least(F.lit(LEVEL), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / 96.0)))).cast("int")
-
-
-def word_hashes(text: Column) -> Column:
-    return F.transform(words_of(text), lambda w: F.xxhash64(w))
-
-
-def digests(hashes: Column, level: Column) -> Column:
-    """Distinct 64-bit digests of the content-defined paragraphs."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
+def _cut(words: Column) -> Column:
+    """Digests of a long paragraph's parts, from its word hashes."""
 
     def ends(h: Column) -> Column:
         n = F.size(h)
         mixed = lambda i: F.get(h, i - 1).bitwiseXOR(F.shiftrightunsigned(F.coalesce(F.get(h, i - 2), F.lit(0)), 9))
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (mixed(i).bitwiseAND(mask) == 0) | (i == n))
+        return F.filter(F.sequence(F.lit(1), n), lambda i: (mixed(i).bitwiseAND(F.lit((1 << LEVEL) - 1)) == 0) | (i == n))
 
     def cut(h: Column) -> Column:
         return let(ends(h), lambda p: F.transform(p, lambda e, k: let(F.coalesce(F.get(p, k - 1), F.lit(0)), lambda b: F.xxhash64(F.slice(h, b + 1, e - b)))))
 
-    return let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(cut(h))))
+    return let(words, lambda h: F.when(F.size(h) == 0, F.array().cast("array<long>")).otherwise(cut(h)))
+
 
+def digests(text: Column) -> Column:
+    """Distinct 64-bit digests of a text's paragraphs."""
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
+    one = lambda p: F.when(F.char_length(p) <= LONG, F.array(F.xxhash64(F.trim(p)))).otherwise(_cut(F.transform(words_of(p), lambda w: F.xxhash64(w))))
+    return F.array_distinct(F.flatten(F.transform(parts, one)))
 
-def _place(key: Column, table: int, s: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(key, 20 * table), F.lit(s)).cast("int")
 
+def _entries(keys: Column, s: Column, sign: int = 1) -> Column:
+    """What keys add to their three cells: (p, c, x, g), p counting on over the subtables."""
+    place = lambda k, t: (F.pmod(F.shiftrightunsigned(k, 20 * t), s) + t * s).cast("int")
+    cell = lambda k, g, t: F.struct(place(k, t).alias("p"), F.lit(sign).alias("c"), k.alias("x"), g.alias("g"))
+    return F.flatten(F.transform(keys, lambda k: let(F.xxhash64(k, F.lit(7)), lambda g: F.array(*[cell(k, g, t) for t in range(3)]))))
 
-def _cells(items: Column, s: int) -> Column:
-    """3*s cells of items (x, c): sum of c, XOR of x, XOR of check hashes. Each subtable is one sort of its items between marks."""
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("g"))
-    add = lambda a, p: F.struct((a["c"] + p["c"]).alias("c"), a["x"].bitwiseXOR(p["x"]).alias("x"), a["g"].bitwiseXOR(F.xxhash64(p["x"], F.lit(7))).alias("g"))
-    marks = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda i: F.struct(i.alias("p"), F.lit(None).cast("long").alias("x"), F.lit(0).alias("c")))
 
-    def part(t: int) -> Column:
-        placed = F.transform(items, lambda k: F.struct(_place(k["x"], t, s).alias("p"), k["x"].alias("x"), k["c"].alias("c")))
-        cut = lambda d, m: F.transform(m, lambda e, j: F.aggregate(F.slice(d, e + 1, F.coalesce(F.get(m, j + 1), F.size(d) + 1) - e - 1), zero, add))
-        return let(F.sort_array(F.concat(marks, placed)), lambda d: let(F.filter(F.sequence(F.lit(1), F.size(d)), lambda i: F.get(d, i - 1)["x"].isNull()), lambda m: cut(d, m)))
+def _folded(entries: Column) -> Column:
+    """Entries of a cell added up, by place; empty cells left out."""
+    add = lambda a, e: F.struct(e["p"].alias("p"), (a["c"] + e["c"]).alias("c"), a["x"].bitwiseXOR(e["x"]).alias("x"), a["g"].bitwiseXOR(e["g"]).alias("g"))
 
-    return F.concat(part(0), part(1), part(2))
+    def cells(d: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: (i == 0) | (F.get(d, i)["p"] != F.get(d, i - 1)["p"]))
 
+        def one(b: Column, j: Column, st: Column) -> Column:
+            n = F.coalesce(F.get(st, j + 1), F.size(d)) - b
+            return F.when(n == 1, F.get(d, b)).otherwise(F.aggregate(F.slice(d, b + 2, n - 1), F.get(d, b), add))
 
-def sketch(keys: Column, s: int) -> Column:
-    """3*s cells (c, x, g): number of digests, XOR of digests, XOR of check hashes."""
-    return _cells(F.transform(keys, lambda k: F.struct(k.alias("x"), F.lit(1).alias("c"))), s)
+        return F.filter(let(starts, lambda st: F.transform(st, lambda b, j: one(b, j, st))), lambda c: (c["c"] != 0) | (c["x"] != 0))
+
+    return let(F.sort_array(entries), lambda d: F.when(F.size(d) == 0, d).otherwise(cells(d)))
+
+
+def sketch(keys: Column, s: Column | int = SIZE) -> Column:
+    """Cells (p, c, x, g) in use of 3*s: place, number of digests, XOR of digests, XOR of check hashes."""
+    return _folded(_entries(keys, F.lit(s) if isinstance(s, int) else s))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: F.struct((p["c"] - q["c"]).alias("c"), p["x"].bitwiseXOR(q["x"]).alias("x"), p["g"].bitwiseXOR(q["g"]).alias("g")))
+    """Cells of a less those of b, place by place."""
+    less = F.transform(b, lambda c: F.struct(c["p"].alias("p"), (-c["c"]).alias("c"), c["x"].alias("x"), c["g"].alias("g")))
+    return _folded(F.concat(a, less))
 
 
-def peel(cells: Column, s: int) -> Column:
+def peel(cells: Column, s: Column | int = SIZE) -> Column:
     """Digests that differ, recovered from a subtracted sketch; null if cells remain that can't be resolved."""
-    pure_of = lambda cs: F.filter(cs, lambda c: (F.abs(c["c"]) == 1) & (c["g"] == F.xxhash64(c["x"], F.lit(7))))
-    side = lambda pure, n: F.transform(F.array_distinct(F.transform(F.filter(pure, lambda c: c["c"] == n), lambda c: c["x"])), lambda x: F.struct(x.alias("x"), F.lit(n).alias("c")))
+    s = F.lit(s) if isinstance(s, int) else s
+    of = lambda cs, n: F.array_distinct(F.transform(F.filter(cs, lambda c: (c["c"] == n) & (c["g"] == F.xxhash64(c["x"], F.lit(7)))), lambda c: c["x"]))
 
     def step(acc: Column, _i: Column) -> Column:
-        more = lambda items: F.struct(
-            subtract(acc["cells"], _cells(items, s)).alias("cells"),
-            F.concat(acc["found"], F.transform(items, lambda p: p["x"])).alias("found"),
-            F.lit(False).alias("over"),
-        )
-        end = F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(True).alias("over"))
-        return F.when(acc["over"], acc).otherwise(let(pure_of(acc["cells"]), lambda pure: F.when(F.size(pure) == 0, end).otherwise(let(F.concat(side(pure, 1), side(pure, -1)), more))))
+        def more(m: Column) -> Column:
+            left = _folded(F.concat(acc["cells"], _entries(m["plus"], s, -1), _entries(m["minus"], s, 1)))
+            found = F.concat(acc["found"], m["plus"], m["minus"])
+            return F.struct(left.alias("cells"), found.alias("found"), (F.size(m["plus"]) + F.size(m["minus"]) == 0).alias("over"))
+
+        pure = F.struct(of(acc["cells"], 1).alias("plus"), of(acc["cells"], -1).alias("minus"))
+        return F.when(acc["over"] | (F.size(acc["cells"]) == 0), acc).otherwise(let(pure, more))
 
     start = F.struct(cells.alias("cells"), F.array().cast("array<long>").alias("found"), F.lit(False).alias("over"))
-    clean = lambda acc: ~F.exists(acc["cells"], lambda c: (c["c"] != 0) | (c["x"] != 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(clean(acc), acc["found"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(F.size(acc["cells"]) == 0, acc["found"]))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """Number of digests in one set only, peeled from sketches of growing size. Sizes that the counts rule out are skipped."""
-    apart = F.abs(F.size(a) - F.size(b))
-    hits = [F.when(apart <= 3 * s, F.aggregate(peel(subtract(sketch(a, s), sketch(b, s)), s), F.lit(0), lambda n, _: n + 1)) for s in SIZES]
-    # more than the largest sketch holds, or digests that share all their cells: their number from the sets themselves
-    return F.coalesce(*hits, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+def difference(a: Column, b: Column, sa: Column | None = None, sb: Column | None = None) -> Column:
+    """Number of digests in one set only, peeled from sketches of growing size; sa, sb: sketches of SIZE that exist already."""
+    n = lambda found: F.aggregate(found, F.lit(0), lambda k, _: k + 1)
+    need = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(16), F.size(a) + F.size(b)) / 2.0))).cast("int")
+    small = n(peel(subtract(sketch(a) if sa is None else sa, sketch(b) if sb is None else sb)))
+    at = lambda s: n(peel(subtract(sketch(a, s), sketch(b, s)), s))
+    # digests that share their cells at every size don't peel: their number from the sets themselves
+    last = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= 3 * SIZE, small), let(need, at), let(4 * need, at), last)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, sa: Column | None = None, sb: Column | None = None) -> Column:
     total = F.size(a) + F.size(b)
-    gone = difference(a, b)
-    return F.when(total == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(let(gone, lambda d: (total - d) / (total + d).cast("double")))
+    return F.when(total == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(let(difference(a, b, sa, sb), lambda d: (total - d) / (total + d).cast("double")))
 
 
-def as_text(level: Column, keys: Column) -> Column:
-    """A fingerprint: level, number of digests, then the cells of the smallest sketch in hexadecimal."""
-    cell = lambda c: F.concat_ws(".", F.hex(c["c"]), F.hex(c["x"]), F.hex(c["g"].bitwiseAND(F.lit(0xFFFFFFFF))))
-    return F.lower(F.concat_ws(":", level.cast("string"), F.size(keys).cast("string"), F.array_join(F.transform(sketch(keys, SIZES[0]), cell), ",")))
+def as_text(keys: Column, cells: Column) -> Column:
+    """A fingerprint: number of digests, then the cells of the smallest sketch in hexadecimal."""
+    cell = lambda c: F.concat_ws(".", F.hex(c["p"]), F.hex(c["c"]), F.hex(c["x"]), F.hex(c["g"].bitwiseAND(F.lit(0xFFFFFFFF))))
+    return F.lower(F.concat_ws(":", F.size(keys).cast("string"), F.array_join(F.transform(cells, cell), ",")))
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with level, digests and fingerprint of each text."""
-    level = level_of(F.char_length(F.coalesce(text, F.lit(""))))
-    out = docs.withColumn("level", level).withColumn("digests", digests(word_hashes(F.col(text)), F.col("level")))
-    return out.withColumn("fingerprint", as_text(F.col("level"), F.col("digests")))
+    """docs with digests and fingerprint of each text."""
+    out = docs.withColumn("digests", digests(F.col(text)))
+    return out.withColumn("fingerprint", as_text(F.col("digests"), sketch(F.col("digests"))))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and likeness to the edited text and to the next document.
 
-    Text is shuffled once by doc_id (both joins share that exchange); of the next document only the quarter that the edit
-    needs and its digests move again."""
+    Text and digests are shuffled once by doc_id (both joins share that exchange); of the next document only the quarter that
+    the edit needs and its digests move again."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
     # null-safe key in two columns; both joins below read this one exchange
-    dealt = base.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("ka"), F.col("doc_id").isNull().cast("int").alias("kb"), "text").repartition("ka", "kb")
+    dealt = base.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("ka"), F.col("doc_id").isNull().cast("int").alias("kb"), "text", digests(F.col("text")).alias("digests")).repartition("ka", "kb")
     ids = known.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("longest"))
     first = ids.agg(F.min("doc_id").alias("first"))
     nxt = successor(ids, "doc_id", "next_id").join(ids, "doc_id").crossJoin(F.broadcast(first))  # one row: the smallest id
@@ -142,33 +145,25 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     nxt = nxt.unionByName(nulls.crossJoin(F.broadcast(first)).select(F.lit(None).cast("long").alias("doc_id"), "longest", F.col("first").alias("next_id")))
 
     one = dealt.withColumn("r", F.row_number().over(Window.partitionBy("ka", "kb").orderBy("text"))).where("r = 1").drop("r")
-    level = level_of(F.char_length("text"))
-    heads = one.select("ka", "kb", F.col("text").alias("next_text"), level.alias("next_level"))
+    heads = one.select("ka", "kb", F.col("text").alias("next_text"), F.col("digests").alias("next_digests"))
     nxt = nxt.select("doc_id", "longest", F.col("next_id").alias("ka"), F.col("next_id").isNull().cast("int").alias("kb"))
-    heads = heads.join(nxt, ["ka", "kb"]).withColumn("common", F.greatest("next_level", level_of(F.col("longest"))))
-    heads = heads.select(
+    heads = heads.join(nxt, ["ka", "kb"]).select(
         F.coalesce("doc_id", F.lit(0)).cast("long").alias("ka"),
         F.col("doc_id").isNull().cast("int").alias("kb"),
         F.substring("next_text", F.lit(1), F.floor(F.col("longest") / 4).cast("int")).alias("head"),
-        "next_level",
-        "common",
-        digests(word_hashes(F.col("next_text")), F.col("common")).alias("next_digests"),
+        "next_digests",
     )
     d = dealt.join(heads, ["ka", "kb"], "left").withColumn("doc_id", F.when(F.col("kb") == 0, F.col("ka")))
     d = d.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("quarter", F.floor(F.col("n_chars") / 4).cast("int"))
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("quarter")).cast("int")), F.substring(F.coalesce("head", F.lit("")), F.lit(1), F.col("quarter"))))
-    d = d.withColumn("level", level).withColumn("edited_level", level_of(F.char_length("edited")))
-    d = d.withColumn("own", word_hashes(F.col("text"))).withColumn("digests", digests(F.col("own"), F.col("level")))
-    d = d.withColumn("at_common", F.when(F.greatest("level", "next_level") == F.col("level"), F.col("digests")).otherwise(digests(F.col("own"), F.greatest("level", "next_level"))))
-    d = d.withColumn("next_digests", F.coalesce("next_digests", F.array().cast("array<long>")))
-    d = d.withColumn("theirs", word_hashes(F.col("edited"))).withColumn("edited_digests", digests(F.col("theirs"), F.col("level")))
-    d = d.withColumn("edited_own", F.when(F.col("level") == F.col("edited_level"), F.col("edited_digests")).otherwise(digests(F.col("theirs"), F.col("edited_level"))))
+    d = d.withColumn("next_digests", F.coalesce("next_digests", F.array().cast("array<long>"))).withColumn("theirs", digests(F.col("edited")))
+    d = d.withColumn("sketch", sketch(F.col("digests"))).withColumn("their_sketch", sketch(F.col("theirs")))
     return d.select(
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
-        as_text(F.col("level"), F.col("digests")).alias("fingerprint"),
-        as_text(F.col("edited_level"), F.col("edited_own")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
-        likeness(F.col("at_common"), F.col("next_digests")).alias("near_next"),
+        as_text(F.col("digests"), F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("theirs"), F.col("their_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("digests"), F.col("theirs"), F.col("sketch"), F.col("their_sketch")).alias("near_edited"),
+        likeness(F.col("digests"), F.col("next_digests"), F.col("sketch")).alias("near_next"),
     )
