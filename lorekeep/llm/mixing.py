@@ -3,15 +3,17 @@
 Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and share `share` times all words; no target exceeds
 REPEATS times its source's words, and what is cut off is shared anew by weight until no target is above (water filling).
 
-Each source is a queue of its documents in a fixed shuffle (MD5 of seed and doc_id), run through REPEATS times. A word's
-virtual finish time is the source's words up to and including it, divided by the source's target. Served in global order of
-finish time, the words with finish time up to 1 are the first sum(floor(target)) words, that is the total budget less a
-fraction of a word for each source; the sequence is cut there. So a document that crosses its source's target is taken in
-part, and sources meet their targets to within one word. `mixed` gives the sequence of whole documents, range-sorted.
+Each source is a queue of its documents in a fixed shuffle (MD5 of seed and doc_id), run through REPEATS times. A document
+enters in packets of up to QUANTUM words. A packet's virtual finish time is the source's words up to and including it,
+divided by the source's target; a document's is that of its last packet. All packets are sorted by finish time (at ties by
+source, null last) in ranges over the cluster; running sums within the ranges, added to the sums of the ranges before, cut the
+sequence at the total budget, floor(sum of targets). The packet that crosses the budget is taken in part. So a source
+misses its target by a packet or so, whatever the length of its documents. `mixed` gives the sequence of whole documents.
 
 No queue is ever in one task: running sums are taken over SLICES hash ranges of each source, then within a range. Null texts
 have size 0 and are never taken; null sources form one source, last. Documents that share an id and size are alike, and which
-of them is taken doesn't show. An empty table gives an empty result. Extra columns pass through `mixed`.
+of them is taken doesn't show. An empty table gives an empty result. Extra columns pass through `mixed`; one named
+virtual_finish is replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, stored
+from .common import WORD, Scratch, free
 
 #: Fixed values of the target rule.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Hexadecimal digits of the hash that name a slice of a source: 16**3 slices.
 DIGITS, SEED = 3, 7
+#: Words of a packet.
+QUANTUM = 64
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -64,33 +68,56 @@ def light_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
+def served(queue: DataFrame, goal: DataFrame, own: Scratch) -> DataFrame:
+    """(source, start, taken) of the documents of queue that are served: all packets range-sorted by finish time and cut at the
+    budget. source and start name a document with words, since runs of one source don't overlap."""
+    d = queue.where("size > 0").select("source", "start", "size", "source_size", "target")
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("run"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(QUANTUM).cast("long"))).alias("at"))
+    words = F.least(F.lit(QUANTUM).cast("long"), F.col("size") - F.col("at"))
+    finish = (F.col("run") * F.col("source_size") + F.col("start") + F.col("at") + words) / F.col("target")
+    packets = d.where("target > 0").select("source", "start", words.alias("words"), finish.alias("finish"))
+    # a table, so that ranges are the same for all that reads them
+    packets = own.store(packets.repartitionByRange("finish", F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "packets")
+    within = Window.partitionBy("part").orderBy("finish", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = packets.groupBy("part").agg(F.sum("words").alias("s"))  # a row per range
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("ahead"))
+    budget = goal.agg(F.floor(F.sum("target")).alias("budget"))
+    p = packets.withColumn("before", F.coalesce(F.sum("words").over(within), F.lit(0))).join(F.broadcast(parts), "part").crossJoin(F.broadcast(budget))
+    got = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("ahead") - F.col("before")))
+    return p.select("source", "start", got.alias("got")).where("got > 0").groupBy("source", "start").agg(F.sum("got").cast("long").alias("taken"))
+
+
 def mix_sizes(docs: DataFrame, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, start, u, taken) for every document."""
-    light = stored(light_of(docs), "mix", scratch)
-    q = queued(light, targets(light), seed)
-    run = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("start") - e * F.col("source_size")))
-    taken = run(0)
-    for e in range(1, REPEATS):
-        taken = taken + run(e)
-    return q.withColumn("taken", taken.cast("long"))
+    """(doc_id, source, size, source_size, target, start, u, virtual_finish, taken) for every document; virtual_finish is that
+    of its first run."""
+    own = scratch or Scratch(docs.sparkSession)
+    light = own.store(light_of(docs), "mix")
+    goal = targets(light)
+    q = own.store(queued(light, goal, seed).withColumn("virtual_finish", F.try_divide(F.col("start") + F.col("size"), F.col("target"))), "queues")
+    s = served(q, goal, own).select(F.col("source").alias("_s"), F.col("start").alias("_b"), "taken")
+    out = q.join(s, q["source"].eqNullSafe(F.col("_s")) & (q["start"] == F.col("_b")) & (q["size"] > 0), "left").drop("_s", "_b")
+    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """docs in the order of service, as often as each is taken (a part counts if it is half or more), with virtual_finish.
 
     Range-sorted by virtual finish time: partition after partition is the sequence."""
+    out = [c for c in docs.columns if c.lower() != "virtual_finish"]
     plan = mix_sizes(docs, seed, scratch)
-    plan = plan.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).cast("int"))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).cast("int")
     # rows alike in id, source and size share their copies evenly
-    key = lambda size: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("source", F.lit("\0")), size)
-    plan = plan.groupBy(key("size").alias("_k")).agg(F.round(F.sum("copies") / F.count("*")).cast("int").alias("copies"), *[F.min(c).alias(c) for c in ("start", "source_size", "target", "u")])
-    plan = plan.where("copies > 0").select("_k", *[F.col(c).alias(f"_{c}") for c in ("copies", "start", "source_size", "target", "u")])
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    d = docs.withColumn("_size", size).withColumn("_k", key("_size")).join(plan, "_k")
-    d = d.withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    d = d.withColumn("virtual_finish", (F.col("_start") + F.col("_size") + F.col("_e") * F.col("_source_size")) / F.col("_target"))
-    out = d.repartitionByRange("virtual_finish", "_u").sortWithinPartitions("virtual_finish", "_u")
-    return out.select(*docs.columns, "virtual_finish")
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.round(F.sum(copies) / F.count("*")).cast("int").alias("copies"), *[F.min(c).alias(c) for c in ("start", "source_size", "target", "u")])
+    size, run, finish, row = free(docs, "_size", "_run", "_finish", "_plan")
+    p = plan.where("copies > 0").select(F.struct(*plan.columns).alias(row))
+    d = docs.withColumn(size, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+    d = d.join(p, d["doc_id"].eqNullSafe(F.col(f"{row}.doc_id")) & d["source"].eqNullSafe(F.col(f"{row}.source")) & (d[size] == F.col(f"{row}.size")))
+    d = d.withColumn(run, F.explode(F.sequence(F.lit(0), F.col(f"{row}.copies") - 1)))
+    d = d.withColumn(finish, (F.col(f"{row}.start") + F.col(size) + F.col(run) * F.col(f"{row}.source_size")) / F.col(f"{row}.target"))
+    d = d.repartitionByRange(finish, f"{row}.u").sortWithinPartitions(finish, f"{row}.u")
+    return d.select(*[f"`{c}`" for c in out], F.col(finish).alias("virtual_finish"))
 
 
 ORACLE = r"""
@@ -105,6 +132,11 @@ lv AS (SELECT lvl FROM s4 WHERE lvl <= ratio ORDER BY ratio, rnk LIMIT 1),
 goal AS (SELECT source, source_size, least(cap, coalesce((SELECT lvl FROM lv), 0) * w) AS target FROM s4),
 q AS (SELECT l.*, g.source_size, g.target, coalesce(sum(l.size) OVER (PARTITION BY l.source ORDER BY md5('7:' || l.doc_id), l.doc_id, l.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
    FROM light l JOIN goal g ON l.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, floor(target) - st)) + greatest(0, least(size, floor(target) - st - source_size)) AS BIGINT) AS taken FROM q
+pk AS (SELECT source, st, least(64, size - at) AS words, (run * source_size + st + at + least(64, size - at)) / target AS finish
+   FROM (SELECT source, st, size, source_size, target, unnest([0, 1]) AS run FROM q WHERE size > 0) r, LATERAL (SELECT unnest(range(0, size, 64)) AS at) z),
+sv AS (SELECT source, st, greatest(0, least(words, (SELECT floor(sum(target)) FROM goal)
+   - coalesce(sum(words) OVER (ORDER BY finish, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS got FROM pk),
+tk AS (SELECT source, st, sum(got) AS taken FROM sv GROUP BY source, st)
+SELECT doc_id, size, q.source_size, target, (st + size) / target AS virtual_finish, CAST(CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS BIGINT) AS taken
+FROM q LEFT JOIN tk ON q.source IS NOT DISTINCT FROM tk.source AND q.st = tk.st
 """
