@@ -6,7 +6,8 @@ a single run that is longer still (white space, or letters without a break) is m
 are encoded one at a time. Ids equal those of the library on the whole text. Decoding joins token bytes; it is exact for any
 ids, also where a token ends inside a character.
 
-A null text is an empty text and has no ids. Extra columns pass through; repeated rows are encoded each.
+A null text is an empty text and has no ids. Extra columns pass through `encode_texts` and `decode_ids`, whose ids and decoded
+replace columns of those names; repeated rows are encoded each.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ import types
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: Code points up to which a text goes to the library as it is, and about how long the pieces of longer ones are.
 PIECE = 50_000
 
@@ -104,17 +108,21 @@ def decode_ids(docs: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> D
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
-    """keep columns with n_tokens, ids_sha256 and decoded_sha256; encodes and decodes in one pass over the rows."""
+    """keep columns with n_tokens, ids_sha256 and decoded_sha256; encodes and decodes in one pass over the rows. Kept columns go
+    through as they are (Arrow, so that ids beside nulls stay whole)."""
+    (own,) = free(docs, "_text")
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in b["_text"]:
-                x = encode(t or "", ranks, pattern)
-                rows.append((len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(decode(x, ranks, pattern)).hexdigest()))
-            got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=b.index)
-            yield pd.concat([b[keep], got], axis=1)
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInPandas(run, schema)
+            n, ids, back = [], [], []
+            for t in b.column(own):
+                x = encode(t.as_py() or "", ranks, pattern)
+                n.append(len(x))
+                ids.append(hashlib.sha256(",".join(map(str, x)).encode()).hexdigest())
+                back.append(hashlib.sha256(decode(x, ranks, pattern)).hexdigest())
+            got = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + got, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema)

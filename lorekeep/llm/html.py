@@ -19,8 +19,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -168,7 +168,16 @@ def neighbours(keys: DataFrame) -> DataFrame:
     order = Window.orderBy("pid")
     ends = ends.select("pid", F.lag("hi").over(order).alias("before"), F.lead("lo").over(order).alias("after"))
     k = k.join(F.broadcast(ends), "pid").withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after"))
-    alike = lambda c: F.when(F.col(c)["host"] == F.col("host"), F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("path"), F.length(F.col(c)["path"])))), F.lit(0), lambda a, i: F.when((a == i - 1) & (F.substring(F.col("path"), i, F.lit(1)) == F.substring(F.col(c)["path"], i, F.lit(1))), i).otherwise(a))).otherwise(F.lit(-1))
+
+    def alike(c: str) -> Column:
+        """Length of the paths' common prefix, found by halving; -1 on another host."""
+        a, b = F.col("path"), F.col(c)["path"]
+        most = F.least(F.length(a), F.length(b))
+        bits = F.sequence(F.ceil(F.log2(most + 1)).cast("int"), F.lit(0), F.lit(-1))
+        longer = lambda n, m: F.when((m <= most) & (F.left(a, m) == F.left(b, m)), m).otherwise(n)
+        step = lambda n, i: longer(n, n + F.call_function("shiftleft", F.lit(1), i))
+        return F.when(F.col(c)["host"] == F.col("host"), F.aggregate(bits, F.lit(0), step)).otherwise(F.lit(-1))
+
     k = k.withColumn("p", alike("prev")).withColumn("n", alike("next"))
     k = k.withColumn("p", F.coalesce("p", F.lit(-1))).withColumn("n", F.coalesce("n", F.lit(-1)))
     return k.select("page_id", F.when((F.col("p") < 0) & (F.col("n") < 0), None).when(F.col("p") >= F.col("n"), F.col("prev")["page_id"]).otherwise(F.col("next")["page_id"]).alias("pair_id"))
@@ -180,6 +189,13 @@ def _hashes(lines: list[tuple[str, int]]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, place in lines if place < 2]
 
 
+def _version(lines: list[tuple[str, int]]) -> int:
+    """What pages with the same text have in common."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest("\n".join(t for t, place in lines if place).encode()) - (1 << 63)
+
+
 def recurring(lines: DataFrame) -> DataFrame:
     """lines (page_id, host, version, free) -> (page_id, often): the lines of each page that OFTEN versions of its host have."""
     key = F.xxhash64("host", "line")
@@ -197,45 +213,40 @@ def extract(pages: DataFrame) -> DataFrame:
     path = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     keys = base.select(host.alias("host"), path.alias("path"), "page_id").where("page_id is not null").groupBy("page_id").agg(F.min(F.struct("host", "path")).alias("k")).select("k.host", "k.path", "page_id")
 
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for h in b["html"]:
-                lines = lines_of(h)
-                version = xxhash.xxh3_64_intdigest("\n".join(t for t, place in lines if place).encode()) - (1 << 63)
-                rows.append((_hashes(lines), sorted({HOST, *_hashes([x for x in lines if x[1] == 1])}), version))
-            got = pd.DataFrame(rows, columns=["theirs", "free", "version"], index=b.index)
-            yield pd.concat([b[["page_id"]], got], axis=1)
-
-    seen = base.where("page_id is not null").select("page_id", "html").mapInPandas(frames, "page_id long, theirs array<long>, free array<long>, version long")
+            theirs, free, version = [], [], []
+            for h in b.column("html"):
+                lines = lines_of(h.as_py())
+                theirs.append(_hashes(lines))
+                free.append(sorted({HOST, *_hashes([x for x in lines if x[1] == 1])}))
+                version.append(_version(lines))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(theirs, longs), pa.array(free, longs), pa.array(version, pa.int64())], names=["page_id", "theirs", "free", "version"])
+
+    seen = base.where("page_id is not null").select("page_id", "html").mapInArrow(frames, "page_id long, theirs array<long>, free array<long>, version long")
     seen = stored(seen.groupBy("page_id").agg(F.max(F.struct("theirs", "free", "version")).alias("s")).select("page_id", "s.*"), "lines")
     often = recurring(seen.join(keys.where("host <> ''"), "page_id").select("page_id", "host", "version", "free"))
-    theirs = seen.select(F.col("page_id").alias("pair_id"), "theirs", F.col("version").cast("string").alias("their_version"))
+    theirs = seen.select(F.col("page_id").alias("pair_id"), "theirs", F.col("version").alias("their_version"))
     pairs = neighbours(keys).join(theirs, "pair_id", "left").join(often, "page_id", "left").select(F.col("page_id").alias("_id"), "pair_id", "theirs", "their_version", "often")
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for h, theirs, other, often in zip(b["html"], b["theirs"], b["their_version"], b["often"], strict=True):
-                lines = lines_of(h)
-                mine = _hashes(lines)
-                same = shared(mine, list(theirs)) if theirs is not None else set()
+            out, gone = [], []
+            for h, theirs, other, often in zip(*(b.column(c) for c in ("html", "theirs", "their_version", "often")), strict=True):
+                lines = lines_of(h.as_py())
+                mine, theirs, recur = _hashes(lines), theirs.as_py(), set(often.as_py() or ())
+                same = shared(mine, theirs) if theirs is not None else set()
                 outer = [i for i, (_, place) in enumerate(lines) if place < 2]
                 common = {outer[i] for i in same}
-                recur = set(often) if often is not None else set()
                 if HOST in recur:
                     common -= {i for i, x in zip(outer, mine, strict=True) if lines[i][1] == 1 and x not in recur}
-                elif other == str(xxhash.xxh3_64_intdigest("\n".join(t for t, place in lines if place).encode()) - (1 << 63)):
+                elif other.as_py() == _version(lines):
                     common -= {i for i in outer if lines[i][1] == 1}
-                text = "\n".join(t for i, (t, place) in enumerate(lines) if place == 2 or (place == 1 and i not in common))
-                rows.append((text, len(text), len(common)))
-            got = pd.DataFrame(rows, columns=["text", "n_chars", "n_shared"], index=b.index)
-            yield pd.concat([b[["page_id", "url"]], got, b[["pair_id"]]], axis=1)
+                out.append("\n".join(t for i, (t, place) in enumerate(lines) if place == 2 or (place == 1 and i not in common)))
+                gone.append(len(common))
+            got = [pa.array(out, pa.string()), pa.array(map(len, out), pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *got, b.column("pair_id")], names=["page_id", "url", "text", "n_chars", "n_shared", "pair_id"])
 
     joined = base.join(pairs, base["page_id"] == pairs["_id"], "left").drop("_id")
-    out = joined.mapInPandas(texts, "page_id long, url string, text string, n_chars long, n_shared long, pair_id double")
-    return out.withColumn("pair_id", F.col("pair_id").cast("long"))
+    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_shared long, pair_id long")

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free, stored
 
 #: Rows the text model is fitted on, hashed trigrams, tempering, and pseudo-counts of the host, site and likelihood levels.
 TRAIN_ROWS, CELLS, TEMPER, FLOOR = 4000, 1 << 15, 0.25, 0.5
@@ -62,22 +63,23 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str,
     langs, table = model
     shared = rows.sparkSession.sparkContext.broadcast(table)
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", ll array<double>"
+    (own,) = free(rows, "_t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.ascontiguousarray(shared.value.T)
         for b in batches:
             out = []
-            for x in b["_t"]:
-                s = np.zeros(len(langs))
+            for x in b.column(own):
+                s, x = np.zeros(len(langs)), x.as_py()
                 if x:
                     c = cells(x)
                     for a in range(0, len(c), 1 << 16):
                         s += t[c[a : a + (1 << 16)]].sum(0)
                     s = (s - s.max()) * TEMPER
-                out.append(s.tolist())
-            yield b[keep].assign(ll=out)
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out, pa.list_(pa.float64()))], names=[*keep, "ll"])
 
-    return rows.select(*keep, F.col(text).alias("_t")).mapInPandas(run, schema)
+    return rows.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema)
 
 
 def _softmax(ll: Column) -> Column:
