@@ -58,8 +58,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    d = warc.read_archive(spark, path).where("verified")
-    return d.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.rebuilt(warc.read_archive(spark, path)).withColumnRenamed("id", "page_id")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +66,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "virtual_finish", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_html, op4_sharding, op5_bpe, op6_jaccard, op7_secrets, op8_warc, op9_language, op10_mixing)}

@@ -285,11 +285,30 @@ def test_warc(spark, tmp_path):
     for i, _, h in rows:
         assert bytes(got[i]["payload"]) == (h or "").encode() and got[i]["verified"] and got[i]["payload_digest"] == hashlib.sha256((h or "").encode()).hexdigest()
     assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
-    assert got[2]["record"].startswith("WARC/1.1\r\n") and got[2]["record"].endswith(long + "\r\n\r\n")
+    record = bytes(got[2]["record"])
+    head, http, body = record.split(b"\r\n\r\n", 2)
+    assert record.startswith(b"WARC/1.1\r\n") and body == long.encode() + b"\r\n\r\n"
+    assert int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(record) - len(head) - 8 and b"Content-Length: 200" in http
     warc.write_archive(spark.createDataFrame([], PAGE), str(tmp_path / "b"))
     assert warc.read_archive(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_warc_hostile_addresses_and_repeats(spark, tmp_path):
+    """No address adds or hides a field; names are unique; a damaged payload stops the reader."""
+    long = "x" * 150
+    tail = [f"u{ch}WARC-Payload-Digest: sha256:dead{ch}WARC-Refers-To: <urn:lorekeep:record:1>" for ch in ("\u2028", "\u2029", "\x85", "\r\n", "\n", "\x0b", "\xa0")]
+    rows = [(i + 10, u, f"{i} {long}") for i, u in enumerate(tail)] + [((1 << 60) + 1, "a", long), ((1 << 60) + 3, "a", long), (5, "a", "s"), (5, "a", "s"), (None, None, long), (None, None, long)]
+    warc.write_archive(spark.createDataFrame(rows, PAGE), str(tmp_path / "a"))
+    got = warc.rebuilt(warc.read_archive(spark, str(tmp_path / "a"))).collect()
+    want = [(i, "revisit" if h == long and i != (1 << 60) + 1 else "response", (1 << 60) + 1 if h == long and i != (1 << 60) + 1 else None, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows]
+    assert sorted(((r["id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in got), key=str) == sorted(want, key=str)
+    heads = [bytes(r[0]) for r in spark.read.parquet(str(tmp_path / "a/headers")).collect()]
+    assert len({re.search(rb"Record-ID: (\S+)", h)[1] for h in heads}) == len(rows)
+    bad = warc.read_archive(spark, str(tmp_path / "a")).withColumn("payload", F.lit(b"other"))
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        warc.rebuilt(bad).collect()
+
+
 def test_language(spark):
     en, de = "the thing and the other of them is here ", "das ding und der andere von ihnen ist hier "
     d = spark.createDataFrame([(i, (en, de)[i % 2] * (i % 5 + 1), ("en", "de")[i % 2], f"s{i % 3}", 0) for i in range(60)] + [(99, None, None, None, 0), (98, "", "en", "s1", 0)], DOC)
@@ -322,21 +341,37 @@ def test_mixing(spark, docs, rows, none):
     for r in got:
         assert r["source_size"] == size[r["source"]] and abs(r["target"] - goal[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - goal[s]) < 1 for s in names)
+    assert all(abs(taken[s] - goal[s]) <= mixing.QUANTUM for s in names) and sum(taken.values()) == int(sum(goal.values()))
     seq = mixing.mixed(docs).collect()
     assert [r["virtual_finish"] for r in seq] == sorted(r["virtual_finish"] for r in seq) and mixing.mixed(docs).columns == [*docs.columns, "virtual_finish"]
 
 
-def test_mixing_by_words_in_order_of_finish(spark, docs):
-    """The closed form against a queue of words: all finish times sorted over all sources, cut at the total budget."""
+@pytest.mark.parametrize("quantum", [1, 7, 64])
+def test_mixing_by_packets_in_order_of_finish(spark, docs, monkeypatch, quantum):
+    """Against a plain queue: all packets of all runs sorted by finish time over all sources, cut at the total budget."""
+    monkeypatch.setattr(mixing, "QUANTUM", quantum)
     got = [r for r in mixing.mix_sizes(docs).collect() if r["size"]]
-    words = []
+    packets = []
     for n, r in enumerate(got):
+        assert r["virtual_finish"] == pytest.approx((r["start"] + r["size"]) / r["target"])
         for e in range(mixing.REPEATS):
-            words += [((e * r["source_size"] + r["start"] + i) / r["target"], n) for i in range(1, r["size"] + 1)]
-    total = sum({r["source"]: int(r["target"]) for r in got}.values())
-    taken = Counter(n for _, n in sorted(words)[:total])
-    assert total and [r["taken"] for r in got] == [taken[n] for n in range(len(got))]
+            for at in range(0, r["size"], quantum):
+                w = min(quantum, r["size"] - at)
+                packets.append(((e * r["source_size"] + r["start"] + at + w) / r["target"], (r["source"] is None, r["source"] or ""), n, w))
+    left, taken = int(sum({r["source"]: r["target"] for r in got}.values())), Counter()
+    for _, _, n, w in sorted(packets):
+        taken[n] += min(w, left)
+        left -= min(w, left)
+    assert left == 0 and [r["taken"] for r in got] == [taken[n] for n in range(len(got))]
+
+
+def test_mixing_keeps_clashing_columns(spark, docs):
+    names = ["_size", "_run", "_finish", "_plan", "copies", "u", "start", "target", "taken"]
+    d = docs.select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names])
+    got = mixing.mixed(d)
+    assert got.columns == [*d.columns, "virtual_finish"] and all(r[n] == n for r in got.collect() for n in names)
+    twice = d.withColumn("virtual_finish", F.lit("mine"))
+    assert mixing.mixed(twice).columns == [*d.columns, "virtual_finish"] and mixing.mixed(twice).schema["virtual_finish"].dataType.typeName() == "double"
 
 
 def test_pipeline_against_plain_python(spark, tmp_path, rows):
