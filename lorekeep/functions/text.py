@@ -12,6 +12,21 @@ CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}]"
 CJK_COMPAT = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{2000}0-\x{2A6D}f]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; SQL lambdas have no other way to name a value."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs(items: Column, same, fold) -> Column:
+    """fold(run) for each run of neighbours that `same` holds for, in a sorted array; one pass, no pair of items compared twice."""
+
+    def cut(d: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: F.when(i == 0, F.lit(True)).otherwise(~same(F.get(d, i), F.get(d, i - 1))))
+        return let(starts, lambda st: F.transform(st, lambda b, j: fold(F.slice(d, b + 1, F.coalesce(F.get(st, j + 1), F.size(d)) - b))))
+
+    return let(items, lambda d: F.when(F.size(d) > 0, cut(d)))
+
+
 def fold(c: Column | str) -> Column:
     return F.lower(F.col(c) if isinstance(c, str) else c)
 
@@ -71,11 +86,50 @@ def vault_slug(path: Column, digest: bool = False) -> Column:
 
 
 def file_slug(path: Column) -> Column:
-    """file:{stem up to 40}-{last six hex digits of the path's MD5}."""
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    """file:{stem up to 40}-{last six hex digits of the path's MD5}; the stem in lower case, other characters as single hyphens."""
+    stem = F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, r"[^a-z0-9\-_]", "-"), "-{2,}", "-"), "^-+|-+$", "")
     return F.concat(F.lit("file:"), F.substring(stem, 1, 40), F.lit("-"), F.right(F.md5(F.encode(path, "utf-8")), F.lit(6)))
 
 
+def path_slug(path: Column, root: str) -> Column:
+    """Slug of a path below root that keeps its directories and other scripts: known suffixes off, spaces and unsafe characters to
+    single hyphens, lower case. A path elsewhere has every other character than a-z, 0-9, ideographs and / _ - as a hyphen."""
+    rel = F.regexp_replace(F.substring(path, len(root.rstrip("/")) + 2, 1 << 30), r"(?i)\.(md|canvas|base)$", "")
+    inside = F.regexp_replace(F.lower(F.regexp_replace(rel, r"[ \\?]", "-")), "-{2,}", "-")
+    outside = F.regexp_replace(F.lower(path), r"[^a-z0-9/_\-\x{4E00}-\x{9FFF}]", "-")
+    return F.when(path.startswith(root.rstrip("/") + "/"), inside).otherwise(outside)
+
+
+def display_name(slug: Column) -> Column:
+    """Name of a slug's last part for a link: spaces and capitals, unless it holds ideographs."""
+    last = F.regexp_extract(slug, r"([^/]*)$", 1)
+    return F.when(last.rlike(r"[\x{4E00}-\x{9FFF}]"), last).otherwise(F.initcap(F.replace(last, F.lit("-"), F.lit(" "))))
+
+
+def under_root(path: Column, root: str) -> Column:
+    """Whether a path, its . and .. resolved, is root or below it. Links are resolved by `resolved_under_root` only."""
+    root = root.rstrip("/")
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    # a stack of names: .. takes the last one away
+    flat = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))), lambda a: F.concat(F.lit("/"), F.array_join(a, "/")))
+    return path.startswith("/") & ((flat == root) | flat.startswith(root + "/"))
+
+
+class OutsideRoot(ValueError):
+    """A path leads out of the vault."""
+
+
+def resolved_under_root(path: str, root: str) -> str:
+    """The real path of a driver's file, links followed; OutsideRoot if that is not root or below it."""
+    import os
+
+    real, base = os.path.realpath(path), os.path.realpath(os.path.expanduser(root))
+    if real != base and not real.startswith(base + os.sep):
+        raise OutsideRoot(f"{path} is outside {base}")
+    return real
+
+
 def valid_slug(c: Column) -> Column:
     return c.rlike(r"^[A-Za-z0-9_:\-/.]{1,200}$") & ~c.contains("..") & ~c.startswith("/")
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, runs
+
 #: Words that signal an emotion, with its code, in order.
 EMOTIONS = {
     "decided": "determ", "prefer": "convict", "worried": "anx", "excited": "excite", "frustrated": "frust", "confused": "confuse", "love": "love", "hate": "rage", "hope": "hope", "fear": "fear", "trust": "trust",
@@ -50,15 +52,15 @@ def encode_emotions(codes: Column) -> Column:
     return F.array_join(F.slice(F.array_distinct(F.transform(codes, lambda e: F.coalesce(F.try_element_at(table, e), F.substring(e, 1, 4)))), 1, 3), "+")
 
 
-def topics(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """(key, topics): most frequent words; a capital or an inner mark counts two more each; ties by first occurrence.
-
-    Occurrences are scored where they are read and summed by (key, word) with map-side combination."""
-    w = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("([a-zA-Z][a-zA-Z_-]{2,})"), F.lit(1))).alias("pos", "w")).withColumn("word", F.lower("w")).where(~F.col("word").isin(STOP))
-    points = 1 + F.when(F.col("w").rlike("^[A-Z]"), 2).otherwise(0) + F.when(F.col("w").rlike("[_-]|^.+[A-Z]"), 2).otherwise(0)
-    g = w.groupBy(key, "word").agg(F.sum(points).alias("s"), F.min("pos").alias("p"))
-    top = g.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "p", "word"))), 1, n).alias("t"))
-    return df.select(key).distinct().join(top, key, "left").select(key, F.coalesce(F.transform("t", lambda x: x["word"]), F.array().cast("array<string>")).alias("topics"))
+def topics(text: Column, n: int = 3) -> Column:
+    """Array of the most frequent words; a capital or an inner mark counts two more each; ties by first occurrence. Words are
+    sorted within the row and their runs added up, so nothing is exploded or shuffled; a null text has none."""
+    words = F.regexp_extract_all(text, F.lit("([a-zA-Z][a-zA-Z_-]{2,})"), F.lit(1))
+    points = lambda w: 1 + F.when(w.rlike("^[A-Z]"), 2).otherwise(0) + F.when(w.rlike("[_-]|^.+[A-Z]"), 2).otherwise(0)
+    seen = F.filter(F.transform(words, lambda w, i: F.struct(F.lower(w).alias("word"), i.alias("p"), points(w).alias("s"))), lambda x: ~x["word"].isin(STOP))
+    total = lambda r: F.struct((-F.aggregate(r, F.lit(0), lambda a, x: a + x["s"])).alias("s"), F.get(r, F.lit(0))["p"].alias("p"), F.get(r, F.lit(0))["word"].alias("word"))
+    best = F.slice(F.array_sort(runs(F.sort_array(seen), lambda a, b: a["word"] == b["word"], total)), 1, n)
+    return F.coalesce(F.transform(best, lambda x: x["word"]), F.array().cast("array<string>"))
 
 
 def key_sentence(text: Column) -> Column:
@@ -87,24 +89,28 @@ def entity_codes(text: Column, known: dict[str, str] | None = None, n: int = 3)
     return F.when(F.size(found) > 0, found).otherwise(guess)
 
 
-def compress(df: DataFrame, key: str, text: str, known: dict[str, str] | None = None, header: bool = False) -> DataFrame:
-    """(key, line): 0:ENTITIES|topics|"sentence"|emotions|FLAGS. header=True puts wing|room|date|stem before, from such columns."""
-    d = df.join(topics(df, key, text), key)
-    t = F.col(text)
+def index_line(text: Column, known: dict[str, str] | None = None) -> Column:
+    """0:ENTITIES|topics|"sentence"|emotions|FLAGS of a text, from that row alone; a null text gives what an empty one does."""
+    t = F.coalesce(text, F.lit(""))
     ent = F.array_join(F.slice(entity_codes(t, known), 1, 3), "+")
-    q = key_sentence(t)
     parts = [
         F.concat(F.lit("0:"), F.when(ent == "", "???").otherwise(ent)),
-        F.when(F.size("topics") == 0, "misc").otherwise(F.array_join("topics", "_")),
-        F.when(q != "", F.concat(F.lit('"'), q, F.lit('"'))),
+        let(topics(t), lambda x: F.when(F.size(x) == 0, "misc").otherwise(F.array_join(x, "_"))),
+        let(key_sentence(t), lambda q: F.when(q != "", F.concat(F.lit('"'), q, F.lit('"')))),
         F.nullif(F.array_join(signals(t, EMOTIONS), "+"), F.lit("")),
         F.nullif(F.array_join(signals(t, FLAGS), "+"), F.lit("")),
     ]
-    line = F.concat_ws("|", *parts)
+    return F.concat_ws("|", *parts)
+
+
+def compress(df: DataFrame, key: str, text: str, known: dict[str, str] | None = None, header: bool = False) -> DataFrame:
+    """(key, line) for every row of df, those with null or repeated keys as well. header=True puts wing|room|date|stem before,
+    from such columns."""
+    line = index_line(F.col(text), known)
     if header:
         c = lambda n: F.coalesce(F.nullif(F.col(n), F.lit("")), F.lit("?")) if n in df.columns else F.lit("?")
         line = F.concat(F.concat_ws("|", c("wing"), c("room"), c("date"), c("stem")), F.lit("\n"), line)
-    return d.select(key, line.alias("line"))
+    return df.select(key, line.alias("line"))
 
 
 def decode(c: Column) -> Column:
@@ -120,15 +126,20 @@ def decode(c: Column) -> Column:
     )
 
 
-def key_sentences(df: DataFrame, key: str, text: str, count: Column, split: str = r"[。！？.!?\n]+") -> DataFrame:
-    """(key, sentences): the `count` sentences whose words (over one character) are most frequent in the text, ties by text,
-    last first. Words are runs of \\w; a segmenter for other scripts can be put before, as spaces."""
-    s = df.select(key, count.alias("n"), F.array_distinct(F.filter(F.transform(F.split(text, split), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.char_length(x) > 10)).alias("ss"))
-    one = s.select(key, "n", F.explode("ss").alias("s")).select("*", F.explode(F.filter(F.regexp_extract_all("s", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.char_length(w) > 1)).alias("w"))
-    per = one.groupBy(key, "n", "s", "w").agg(F.count("*").alias("c"))
-    tf = per.groupBy(key, "w").agg(F.sum("c").alias("tf"))
-    score = per.join(tf, [key, "w"]).groupBy(key, "n", "s").agg(F.sum(F.col("c") * F.col("tf")).alias("score"))
-    return score.groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("score", "s")), asc=False).alias("t")).select(key, F.transform(F.slice("t", F.lit(1), F.col("n")), lambda x: x["s"]).alias("sentences"))
+def key_sentences(text: Column, count: Column, split: str = r"[。！？\n]+", words=None) -> Column:
+    """The `count` sentences (over 10 characters) whose words are most frequent in the text, ties by text, last first. A word's
+    frequency counts all sentences, repeats too. words(sentence) cuts a sentence; without it, runs of letters, digits and _ of
+    two characters or more. Two sorts within the row: by word, to add up frequencies, then by sentence, to add up scores."""
+    cut = words or (lambda s: F.filter(F.regexp_extract_all(s, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.char_length(w) > 1))
+    parts = F.filter(F.transform(F.split(text, split), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.char_length(x) > 10)
+
+    def best(ss: Column) -> Column:
+        seen = F.flatten(F.transform(ss, lambda s, i: F.transform(cut(s), lambda w: F.struct(w.alias("w"), i.alias("i")))))
+        often = F.flatten(runs(F.sort_array(seen), lambda a, b: a["w"] == b["w"], lambda r: F.transform(r, lambda x: F.struct(x["i"].alias("i"), F.size(r).alias("tf")))))
+        score = runs(F.sort_array(often), lambda a, b: a["i"] == b["i"], lambda r: let(F.get(r, F.lit(0))["i"], lambda i: F.struct(F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x["tf"]).alias("score"), F.get(ss, i).alias("s"))))
+        return F.transform(F.slice(F.sort_array(score, asc=False), F.lit(1), count), lambda x: x["s"])
+
+    return F.coalesce(let(parts, best), F.array().cast("array<string>"))
 
 
 def counts_for(tokens: Column) -> tuple[Column, Column]:
@@ -136,11 +147,46 @@ def counts_for(tokens: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(3), F.least(F.lit(10), F.floor(tokens / 300))).cast("int"), F.greatest(F.lit(2), F.least(F.lit(10), F.floor(tokens / 200))).cast("int")
 
 
-def skeleton(slug: Column, title: Column, entities: Column, sentences: Column, tags: Column) -> Column:
+#: Patterns of names by category, in the order they are tried: people, organisations, places, other names, nouns. They
+#: stand in for a word segmenter, which `skeleton` takes from the caller instead if given.
+NAMES = {
+    "org": r"[\x{4E00}-\x{9FFF}]{2,8}(?:公司|集團|銀行|大學|基金|協會)",
+    "place": r"[\x{4E00}-\x{9FFF}]{1,4}(?:市|縣|省|國|區)",
+    "person": r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+",
+    "proper": r"\p{Lu}[\p{L}\p{N}]+",
+    "noun": r"[\x{4E00}-\x{9FFF}]{2,4}",
+}
+
+
+def entities(text: Column) -> Column:
+    """Array of (text, category): names in the text, each once, in order of first occurrence."""
+    found = F.regexp_extract_all(text, F.lit("(" + "|".join(NAMES.values()) + ")"), F.lit(1))
+    kind = lambda w: F.coalesce(*[F.when(w.rlike(f"^(?:{rx})$"), F.lit(k)) for k, rx in NAMES.items()])
+    return F.transform(F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))), lambda w: F.struct(w.alias("text"), kind(w).alias("category")))
+
+
+def chosen(names: Column, n: Column) -> Column:
+    """Texts of the names a skeleton shows: n div 2 + 1 people and organisations, then n div 2 others."""
+    first = lambda x: x["category"].isin("person", "org")
+    half = F.floor(n / 2).cast("int")
+    return F.transform(F.concat(F.slice(F.filter(names, first), F.lit(1), half + 1), F.slice(F.filter(names, lambda x: ~first(x)), F.lit(1), half)), lambda x: x["text"])
+
+
+def skeleton(slug: Column, title: Column, names: Column, sentences: Column, tags: Column) -> Column:
     """[SLUG|TITLE] ENT:a,b KEY:s|t TAG:x,y on one line; empty parts left out."""
     part = lambda label, xs, sep: F.when(F.size(xs) > 0, F.concat(F.lit(label), F.array_join(xs, sep)))
     head = F.concat(F.lit("["), F.substring(slug, 1, 20), F.lit("|"), F.substring(title, 1, 40), F.lit("]"))
-    return F.concat_ws(" ", head, part("ENT:", entities, ","), part("KEY:", F.transform(sentences, lambda s: F.substring(s, 1, 80)), "|"), part("TAG:", F.slice(tags, 1, 3), ","))
+    return F.concat_ws(" ", head, part("ENT:", names, ","), part("KEY:", F.transform(sentences, lambda s: F.substring(s, 1, 80)), "|"), part("TAG:", F.slice(tags, 1, 3), ","))
+
+
+def encode_notes(notes: DataFrame, split: str = r"[。！？\n]+", name_of=entities, words=None) -> DataFrame:
+    """notes (slug, title, plain, tags, raw_tokens) with skeleton, skeleton_tokens, ratio (4 places) and saving_pct (1 place). name_of and
+    words are a caller's segmenter, as Column functions."""
+    n_ent, n_sent = counts_for(F.col("raw_tokens"))
+    line = skeleton(F.col("slug"), F.col("title"), chosen(name_of(F.col("plain")), n_ent), key_sentences(F.col("plain"), n_sent, split, words), F.col("tags"))
+    d = notes.withColumn("skeleton", line).withColumn("skeleton_tokens", F.floor(F.char_length("skeleton") / 4).cast("long"))
+    ratio = F.when(F.col("raw_tokens") > 0, F.col("skeleton_tokens") / F.col("raw_tokens")).otherwise(1.0)
+    return d.withColumn("ratio", F.bround(ratio, 4)).withColumn("saving_pct", F.bround((1 - ratio) * 100, 1))
 
 
 def parse_skeleton(c: Column) -> Column:
@@ -154,34 +200,15 @@ def parse_skeleton(c: Column) -> Column:
 
 def narrate(s: Column) -> Column:
     """A parsed skeleton as a sentence: 關於「title」：主要涉及 a、b。s1。s2。"""
-    ents = F.when(F.size(s["entities"]) > 0, F.concat(F.lit("主要涉及 "), F.array_join(s["entities"], "、"), F.lit("。"))).otherwise("")
-    keys = F.when(F.size(s["sentences"]) > 0, F.concat(F.array_join(s["sentences"], "。"), F.lit("。"))).otherwise("")
-    return F.concat(F.lit("關於「"), s["title"], F.lit("」："), ents, keys)
+    keys = F.filter(s["sentences"], lambda x: F.trim(x) != "")
+    ents = F.when(F.size(s["entities"]) > 0, F.concat(F.lit("：主要涉及 "), F.array_join(s["entities"], "、"))).otherwise("")
+    return F.concat(F.lit("關於「"), s["title"], F.lit("」"), ents, F.when(F.size(keys) > 0, F.concat(F.lit("。"), F.array_join(keys, "。"))).otherwise(""), F.lit("。"))
 
 
 def strip_labels(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"^\[[^\]]*\]\s*", ""), r"(ENT|KEY|TAG):", ""))
 
 
-def zettel_flags(z: Column) -> Column:
-    """Flags of a zettel (origin_moment, sensitivity, notes, origin_label, title) in order, joined by +."""
-    t = F.lower(F.concat_ws(" ", z["notes"], z["origin_label"]))
-    return F.concat_ws("+", F.when(z["origin_moment"], "ORIGIN"), F.when(F.upper(z["sensitivity"]).startswith("MAXIMUM"), "SENSITIVE"), F.when(t.contains("foundational pillar") | t.contains("core"), "CORE"), F.when(t.contains("genesis"), "GENESIS"), F.when(t.contains("pivot"), "PIVOT"))
-
-
-def encode_zettel(z: Column) -> Column:
-    """id:ENT|topics|"title"|weight|emotions|flags of a zettel struct (id, people, topics, title, weight, tones, flags)."""
-    ent = F.array_join(F.transform(F.slice(z["people"], 1, 3), lambda p: F.upper(F.substring(p, 1, 3))), "+")
-    return F.concat_ws("|", F.concat(F.regexp_extract(z["id"], r"([^-]*)$", 1), F.lit(":"), F.when(ent == "", "???").otherwise(ent)), F.array_join(F.slice(z["topics"], 1, 2), "_"), F.when(z["title"] != "", F.concat(F.lit('"'), z["title"], F.lit('"'))), z["weight"].cast("string"), F.nullif(encode_emotions(z["tones"]), F.lit("")), F.nullif(z["flags"], F.lit("")))
-
-
-def layer_one(zettels: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(date, lines): zettels of weight threshold or more, of origin, or flagged, heaviest first, by the date before a comma."""
-    keep = (F.col("weight") >= threshold) | F.col("origin_moment") | F.col("flags").rlike("ORIGIN|CORE|GENESIS")
-    d = zettels.where(keep).withColumn("day", F.trim(F.split("date", ",")[0]))
-    return d.groupBy("day").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "id", "line"))), lambda x: x["line"]).alias("lines"))
-
-
 def compression(original: Column, short: Column) -> Column:
     """Struct (tokens, short_tokens, ratio): word-based estimates and their ratio to one place, half to even."""
     from ..functions.text import tokens

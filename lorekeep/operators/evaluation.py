@@ -49,21 +49,6 @@ def cjk_terms(text: Column, n: int = 12, anchors: Column | None = None, drop: st
     return F.slice(F.array_distinct(F.concat(anchors, windows) if anchors is not None else windows), 1, n)
 
 
-def containing(docs: DataFrame, key: str, text: str, passages: DataFrame) -> DataFrame:
-    """(query_id, key) of documents that contain the passage p of (query_id, p): candidates meet on the passage's first GRAM
-    characters, and containment of all of p is verified. Passages shorter than that are compared with every document."""
-    d = docs.select(F.col(key), F.col(text).alias("_t"))
-    q = passages.select("query_id", "p", F.substring("p", 1, GRAM).alias("_g"))
-    grams = d.select(key, "_t", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("_g"))
-    long = grams.join(q.where(F.char_length("p") >= GRAM), "_g").where(F.expr("contains(_t, p)")).select("query_id", key)
-    short = d.join(F.broadcast(q.where(F.char_length("p") < GRAM).drop("_g")), F.expr("contains(_t, p)")).select("query_id", key)
-    return long.unionByName(short).distinct()
-
-
-#: Characters on which passages and documents meet.
-GRAM = 12
-
-
 def hit_at_k(ranked: DataFrame, relevant: DataFrame, key: str, queries: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """(k, hit_rate, queries): share of queries with a relevant key at rank k or better. Queries without results count as misses."""
     best = ranked.join(relevant, ["query_id", key]).groupBy("query_id").agg(F.min("rank").alias("best"))
@@ -71,6 +56,38 @@ def hit_at_k(ranked: DataFrame, relevant: DataFrame, key: str, queries: DataFram
     return d.crossJoin(F.broadcast(d.sparkSession.createDataFrame([(k,) for k in ks], "k int"))).groupBy("k").agg(F.round(F.avg(F.when(F.col("best") <= F.col("k"), 1.0).otherwise(0.0)), 4).alias("hit_rate"), F.count("*").alias("queries"))
 
 
+def misses(ranked: DataFrame, relevant: DataFrame, key: str, queries: DataFrame, k: int = 10, n: int = 5) -> DataFrame:
+    """Up to n queries (a sample by id) that have no relevant key at rank k or better."""
+    hit = ranked.where(F.col("rank") <= k).join(relevant, ["query_id", key]).select("query_id").distinct()
+    return queries.select("query_id").distinct().join(hit, "query_id", "left_anti").orderBy("query_id").limit(n)
+
+
+def chunk_relevance(relevant: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, chunk): every chunk of a relevant document counts as relevant."""
+    return relevant.select("query_id", key).distinct().join(chunks.select(key, "chunk"), key).select("query_id", key, "chunk")
+
+
+def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows, the same on every run: those with the smallest hash of key and seed."""
+    return df.orderBy(F.md5(F.encode(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), "utf-8")), key).limit(n)
+
+
+def token_savings(radar: DataFrame, queries: DataFrame, short: str, full: str, n: int = 5) -> DataFrame:
+    """(query, full_tokens, short_tokens, savings) of queries (query): tokens of the first n rows (by slug) whose short text holds the query,
+    ASCII case ignored; savings 0 where the full texts have none. One row, the average, is `average_savings`."""
+    hit = radar.join(F.broadcast(queries.select("query").distinct()), F.lower(short).contains(F.lower("query")))  # queries of one report
+    first = Window.partitionBy("query").orderBy("slug")
+    hit = hit.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n)
+    quarter = lambda c: F.sum(F.floor(F.char_length(c) / 4)).cast("long")
+    g = hit.groupBy("query").agg(quarter(full).alias("full_tokens"), quarter(short).alias("short_tokens"))
+    g = queries.select("query").distinct().join(g, "query", "left").select("query", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("full_tokens", "short_tokens")])
+    return g.withColumn("savings", F.when(F.col("full_tokens") > 0, F.round(1 - F.col("short_tokens") / F.col("full_tokens"), 6)).otherwise(0.0))
+
+
+def average_savings(savings: DataFrame) -> DataFrame:
+    return savings.agg(F.round(F.avg("savings"), 6).alias("average_savings"))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """(k, a, b, gap, verdict) of two hit_at_k results."""
     j = a.select("k", F.col("hit_rate").alias("a")).join(b.select("k", F.col("hit_rate").alias("b")), "k").withColumn("gap", F.round(F.col("b") - F.col("a"), 4))

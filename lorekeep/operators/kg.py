@@ -77,6 +77,15 @@ def entities_of(facts: DataFrame, entities: DataFrame | None = None) -> DataFram
     return made if entities is None else entities.unionByName(made.join(entities, "id", "left_anti"), allowMissingColumns=True)
 
 
+def add_entities(entities: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """entities (id, name, type, properties, created_at) after new (name, type, properties map): an entity with the same key is replaced, properties as
+    JSON. Of new rows with one key the last by name stays."""
+    one = Window.partitionBy("id").orderBy(F.col("name").desc())
+    n = new.withColumn("id", entity_key(F.col("name"))).withColumn("_r", F.row_number().over(one)).where("_r = 1")
+    n = n.select("id", "name", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce(F.to_json("properties"), F.lit("{}")).alias("properties"), F.lit(now).alias("created_at"))
+    return entities.join(n.select("id"), "id", "left_anti").unionByName(n, allowMissingColumns=True)
+
+
 def invalidate(facts: DataFrame, subject: str, predicate: str, object_: str, ended: str) -> DataFrame:
     hit = (F.col("subject") == entity_key(F.lit(subject))) & (F.col("predicate") == predicate_key(F.lit(predicate))) & (F.col("object") == entity_key(F.lit(object_))) & F.col("valid_to").isNull()
     return facts.withColumn("valid_to", F.when(hit, F.lit(ended)).otherwise(F.col("valid_to")))

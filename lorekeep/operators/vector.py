@@ -126,6 +126,26 @@ def coarse(df: DataFrame, key: str, query: DataFrame, n: int = COARSE) -> DataFr
     return d.orderBy("distance", key).limit(n)
 
 
+def simhash_knn(df: DataFrame, key: str, vec: str, query: list[float], k: int = 10, bits: int = 384, kind: str = "numpy") -> DataFrame:
+    """k nearest rows by plain Hamming distance of one table's fingerprints."""
+    spark = df.sparkSession
+    q = fingerprints(spark.createDataFrame([(list(map(float, query)),)], "q array<double>"), "q", 1, bits, kind)
+    d = coarse(fingerprints(df.select(key, vec), vec, 1, bits, kind), key, q, k).select(key, "distance")
+    return d.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
+
+
+def with_meta(hits: DataFrame, meta: DataFrame, key: str) -> DataFrame:
+    """hits (key, rank) with the columns of meta, in order of rank; hits that meta doesn't know are dropped, ranks stay."""
+    return hits.join(meta, key).orderBy("rank", key)
+
+
+def message_neighbours(vectors: DataFrame, messages: DataFrame, query: list[float], k: int = 20) -> DataFrame:
+    """Messages nearest to a query vector (vectors: slug, embedding): (slug, clsc, tokens, drawer_path, rank), texts cut at 200 characters."""
+    near = knn(vectors, "slug", "embedding", query, k, "l2").select("slug", "rank")
+    m = messages.where("text is not null and text <> ''").select(F.concat_ws(":", "chat_id", "message_id").alias("slug"), F.substring("text", 1, 200).alias("clsc"), F.floor(F.char_length("text") / 4).cast("long").alias("tokens"), F.concat_ws(":", F.lit("tg"), "chat_id", "message_id").alias("drawer_path"))
+    return with_meta(near, m, "slug")
+
+
 def two_layer_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10, n: int = COARSE, tables: int = TABLES, bits: int = BITS, skip_self: bool = True) -> DataFrame:
     """(query_id, key, distance, score, rank) for queries (query_id, q): the n nearest by fingerprint, of those the k best by cosine."""
     kind = df.schema[key].dataType.simpleString()

@@ -4,7 +4,8 @@ query  := or ; or := and ("OR" and)* ; and := not+ ("AND" optional) ; not := uni
 unit   := [column ":"] ( "phrase" | word["*"] | "(" or ")" | NEAR "(" words [, n] ")" )
 
 Phrases are substrings of the folded text (a trigram index answers exactly that). Terms under three characters match nothing:
-false in AND, ignored in OR, a no-op in NOT. A word that holds other characters than letters, digits and _ is a syntax error, and
+false in AND, ignored in OR and NEAR, a no-op in NOT. NEAR holds any number of phrases in any order: from the end of each to the
+start of the last there may be n trigrams at most; phrases may overlap. A word that holds other characters than letters, digits and _ is a syntax error, and
 callers fall back to plain substring search.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ def parse(query: str) -> Node:
     toks: list[tuple[str, str]] = []
     at = 0
     query = query.strip()
+    if not query:
+        raise SearchSyntaxError("empty query")
     while at < len(query):
         m = LEX.match(query, at)
         if not m:
@@ -82,8 +86,12 @@ def parse(query: str) -> Node:
                 parts.append(Node("phrase", text=take()))
             if peek() == ",":
                 take()
-                n = int(take("word"))
+                n = int(number) if (number := take("word")).isdigit() else -1
+                if n < 0:
+                    raise SearchSyntaxError(query)
             take(")")
+            if not parts:
+                raise SearchSyntaxError(query)
             node = Node("near", parts, n=n)
         elif peek() in ("word", "phrase"):
             node = Node("phrase", text=take())
@@ -131,17 +139,23 @@ def phrases(node: Node) -> list[str]:
     return [p for i in items for p in phrases(i)]
 
 
+def _near(items: list[str], last: int, n: int) -> str:
+    """Pattern of a place where the phrase `last` starts, each other one having started len - 2 + n characters before at most."""
+    others = [x for i, x in enumerate(items) if i != last]
+    behind = "".join(f"(?<=(?={literal_pattern(x)}).{{0,{len(x) - 2 + n}}})" for x in others)
+    return f"(?s)(?={literal_pattern(items[last])}){behind}"
+
+
 def predicate(node: Node, columns: list[str], only: str | None = None) -> Column:
     """Node as a condition on folded columns."""
     only = node.column or only
     cols = [only] if only else columns
-    anywhere = lambda f: __import__("functools").reduce(lambda a, b: a | b, [f(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in cols])
+    anywhere = lambda f: reduce(lambda a, b: a | b, [f(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in cols])
     if node.kind == "phrase":
         return anywhere(lambda c: c.contains(node.text.lower())) if len(node.text) >= 3 else F.lit(False)
     if node.kind == "near":
-        a, b = (literal_pattern(x.text.lower()) for x in node.items[:2])
-        gap = max(node.n - 2, 0)
-        return anywhere(lambda c: c.rlike(f"(?s){a}.{{0,{gap}}}{b}|{b}.{{0,{gap}}}{a}"))
+        items = [x.text.lower() for x in node.items if len(x.text) >= 3]
+        return anywhere(lambda c: reduce(lambda a, b: a | b, [c.rlike(_near(items, i, node.n)) for i in range(len(items))])) if items else F.lit(False)
     if node.kind == "not":
         left, right = node.items
         keep = predicate(left, columns, only)

@@ -179,24 +179,14 @@ def fts_bm25_batch(spark, d):
     return fts.bm25_batch(table(spark, d, "documents"), "doc_id", "text", _asked(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_BATCH}, rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents dc ON contains(dc.text, substr(b.text, 1, 60))),
+@query(f"""WITH {_BATCH}, rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents dc ON contains(dc.text, b.text)),
 best AS (SELECT q.query_id, min(rank) AS best FROM qf q LEFT JOIN (SELECT rk.query_id, rk.rank FROM rk JOIN rel ON rk.query_id = rel.query_id AND rk.doc_id = rel.doc_id WHERE rank <= 10) x ON q.query_id = x.query_id GROUP BY q.query_id)
 SELECT k::INT AS k, round(avg(CASE WHEN best <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS hit_rate, count(*) AS queries FROM best, (SELECT unnest([1, 3, 5, 10]) AS k) ks GROUP BY k""")
 def eval_hit_at_k(spark, d):
-    # relevance as in the SQL: the first 60 characters of the passage
-    return _hit_at_k(spark, d, F.substring("text", 1, 60))
-
-
-@query()
-def eval_hit_at_k_whole(spark, d):
-    """Hit@K with relevance judged on the whole passage."""
-    return _hit_at_k(spark, d, F.col("text"))
-
-
-def _hit_at_k(spark, d, passage):
+    """A document is relevant if it contains the whole passage."""
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
     ranked = fts.bm25_batch(docs, "doc_id", "text", _asked(spark, d))
-    rel = evaluation.containing(docs, "doc_id", "text", b.select(F.col("item_id").alias("query_id"), passage.alias("p")))
+    rel = fts.containing(docs, "doc_id", "text", b.select(F.col("item_id").alias("query_id"), F.col("text").alias("p")))
     return evaluation.hit_at_k(ranked, rel, "doc_id", b.select(F.col("item_id").alias("query_id")))
 
 
@@ -341,12 +331,6 @@ def vec_knn_batch(spark, d):
     return vector.knn_batch(e, "vec_id", "embedding", q, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
-def vec_simhash_numpy(spark, d):
-    """Gaussian planes of numpy's generator; SQL can't repeat them (unit tests do)."""
-    return vector.fingerprints(table(spark, d, "embeddings"), "embedding").select("vec_id", F.size("fp").alias("tables"), F.size(F.col("fp")[0]).alias("words"))
-
-
 def _fp512(spark, d):
     return vector.fingerprints(table(spark, d, "embeddings"), "embedding")
 
@@ -448,7 +432,7 @@ topics AS (SELECT d.doc_id, string_agg(word, '_' ORDER BY r) AS topics FROM docu
 
 @query(f"WITH {_TOPICS} SELECT doc_id, coalesce(topics, '') AS topics FROM topics")
 def sonar_topics(spark, d):
-    return dialect.topics(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.array_join("topics", "_").alias("topics"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(dialect.topics(F.col("text")), "_").alias("topics"))
 
 
 _POINTS = " + ".join(f"CASE WHEN contains(lower(s), '{w}') THEN 2 ELSE 0 END" for w in dialect.DECISIVE)
@@ -486,37 +470,57 @@ def sonar_compress(spark, d):
 SELECT source, count(*) AS n, sum(a)::BIGINT AS tokens, sum(b)::BIGINT AS short_tokens FROM j GROUP BY source""")
 def sonar_compression_stats(spark, d):
     docs = table(spark, d, "documents")
-    j = docs.join(dialect.compress(docs, "doc_id", "text"), "doc_id").select("source", dialect.compression(F.coalesce("text", F.lit("")), F.col("line")).alias("c"))
+    j = docs.select("source", dialect.compression(F.coalesce("text", F.lit("")), dialect.index_line(F.col("text"))).alias("c"))
     return j.groupBy("source").agg(F.count("*").alias("n"), F.sum("c.tokens").alias("tokens"), F.sum("c.short_tokens").alias("short_tokens"))
 
 
-def _skeletons(spark, d):
-    docs = table(spark, d, "documents")
-    n = dialect.counts_for(tx.tokens(F.col("text")))[1]
-    k = dialect.key_sentences(docs, "doc_id", "text", n)
-    j = docs.join(k, "doc_id", "left").withColumn("sentences", F.coalesce("sentences", F.array().cast("array<string>")))
-    return j.select("doc_id", dialect.skeleton(F.col("doc_id").cast("string"), F.split("text", "\n")[0], dialect.entity_codes(F.col("text")), F.col("sentences"), F.array("lang", "source")).alias("line"))
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as notes of a vault: tags in front matter, the first line as heading."""
+    t, text = table(spark, d, "documents"), F.coalesce("text", F.lit(""))
+    body = F.concat(F.lit("---\ntags: "), "source", F.lit(", "), "lang", F.lit("\n---\n# "), F.substring_index(text, "\n", 1), F.lit("\n"), text)
+    return t.select(F.concat(F.lit("/vault/Ocean/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("body"))
 
 
-_SKEL = f"""{_CODES}, k0 AS (SELECT doc_id, greatest(2, least(10, floor(floor(length(text) / 4) / 200)))::INT AS n, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[。！？.!?\\n]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10))) AS s FROM documents),
-kw AS (SELECT doc_id, n, s, w, count(*) AS c FROM (SELECT doc_id, n, s, unnest(list_filter(regexp_extract_all(s, '[\\pL\\pN_]+'), lambda w: length(w) > 1)) AS w FROM k0) z GROUP BY ALL),
-kt AS (SELECT doc_id, w, sum(c) AS tf FROM kw GROUP BY doc_id, w), ks AS (SELECT doc_id, n, s, sum(c * tf) AS score FROM kw JOIN kt USING (doc_id, w) GROUP BY doc_id, n, s),
-kr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s DESC) AS r FROM ks), kk AS (SELECT doc_id, string_agg(substr(s, 1, 80), '|' ORDER BY r) AS keys FROM kr WHERE r <= n GROUP BY doc_id),
-skel AS (SELECT d.doc_id, concat_ws(' ', '[' || d.doc_id || '|' || substr(split_part(text, chr(10), 1), 1, 40) || ']', CASE WHEN codes <> '' THEN 'ENT:' || replace(codes, '+', ',') END, 'KEY:' || keys, 'TAG:' || lang || ',' || source) AS line FROM documents d JOIN codes USING (doc_id) LEFT JOIN kk USING (doc_id))"""
+_ENDS = r"[。！？.!?\n]+"
 
 
-@query(f"WITH {_SKEL} SELECT doc_id, line FROM skel")
+def _skeletons(spark, d):
+    n = dialect.encode_notes(files.note(notes(spark, d)), _ENDS)
+    return n.select(F.col("slug").cast("long").alias("doc_id"), "raw_tokens", "skeleton_tokens", F.col("skeleton").alias("line"))
+
+
+_FIRST = f"(?:{dialect.NAMES['org']}|{dialect.NAMES['person']})"
+_ANY = "(" + "|".join(dialect.NAMES.values()) + ")"
+_SKEL = f"""n0 AS (SELECT doc_id, source, lang, '# ' || split_part(coalesce(text, ''), chr(10), 1) || chr(10) || coalesce(text, '') AS body FROM documents),
+n1 AS (SELECT *, (length(body) + length('---x' || 'tags: ' || source || ', ' || lang || 'x---x')) // 4 AS raw, trim(regexp_extract(body, '(?m)^#\\s+(.+)', 1), ' ') AS h1, trim(regexp_replace(regexp_replace(body, '[#*`\\[\\]()>]', '', 'g'), '\\n+', ' ', 'g'), ' ') AS plain FROM n0),
+n2 AS (SELECT *, CASE WHEN h1 = '' OR (contains(h1, ':') AND length(h1) > 60) THEN doc_id::VARCHAR ELSE h1 END AS title, greatest(3, least(10, raw // 300)) AS ne, greatest(2, least(10, raw // 200)) AS ns, regexp_extract_all(plain, '{_ANY}', 1) AS all_names FROM n1),
+n3 AS (SELECT *, list_filter(all_names, lambda x, i: list_position(all_names, x) = i) AS names FROM n2),
+n4 AS (SELECT *, array_to_string(list_concat(list_filter(names, lambda x: regexp_full_match(x, '{_FIRST}'))[1:(ne // 2 + 1)], list_filter(names, lambda x: NOT regexp_full_match(x, '{_FIRST}'))[1:(ne // 2)]), ',') AS ents FROM n3),
+k0 AS (SELECT doc_id, ns, unnest(list_filter(list_transform(regexp_split_to_array(plain, '{_ENDS}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10)) AS s FROM n2),
+k1 AS (SELECT *, row_number() OVER () AS i FROM k0),
+kw AS (SELECT doc_id, i, unnest(list_filter(regexp_extract_all(s, '[\\pL\\pN_]+'), lambda w: length(w) > 1)) AS w FROM k1),
+kt AS (SELECT doc_id, w, count(*) AS tf FROM kw GROUP BY doc_id, w), kv AS (SELECT kw.i, sum(tf) AS score FROM kw JOIN kt ON kw.doc_id = kt.doc_id AND kw.w = kt.w GROUP BY kw.i),
+kr AS (SELECT k1.*, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s DESC) AS r FROM k1 JOIN kv USING (i)), kk AS (SELECT doc_id, string_agg(substr(s, 1, 80), '|' ORDER BY r) AS keys FROM kr WHERE r <= ns GROUP BY doc_id),
+skel AS (SELECT n4.doc_id, raw AS raw_tokens, substr(title, 1, 40) AS title, concat_ws(' ', '[' || substr(n4.doc_id::VARCHAR, 1, 20) || '|' || substr(title, 1, 40) || ']', CASE WHEN ents <> '' THEN 'ENT:' || ents END, 'KEY:' || keys, 'TAG:' || source || ',' || lang) AS line FROM n4 LEFT JOIN kk ON n4.doc_id = kk.doc_id)"""
+
+
+@query(f"WITH {_SKEL} SELECT doc_id, raw_tokens, length(line) // 4 AS skeleton_tokens, line FROM skel")
 def skeleton_encode(spark, d):
     return _skeletons(spark, d)
 
 
-@query(f"""WITH {_SKEL} SELECT doc_id, regexp_extract(line, '^\\[([^|\\]]*)\\|', 1) AS slug, regexp_extract(line, 'TAG:(\\S+)', 1) AS tags, regexp_extract(line, 'ENT:(\\S+)', 1) AS entities FROM skel""")
+_PARSED = """ps AS (SELECT doc_id, regexp_extract(line, '^\\[([^|\\]]*)\\|', 1) AS slug, regexp_extract(line, '^\\[[^|\\]]*\\|([^\\]]*)\\]', 1) AS title, regexp_extract(line, 'TAG:(\\S+)', 1) AS tags, regexp_extract(line, 'ENT:(\\S+)', 1) AS entities,
+list_filter(string_split(regexp_extract(line, 'KEY:(.*?)(?: TAG:\\S*)?$', 1), '|'), lambda x: x <> '') AS keys FROM skel)"""
+
+
+@query(f"WITH {_SKEL}, {_PARSED} SELECT doc_id, slug, tags, entities, array_to_string(keys, '|') AS sentences FROM ps")
 def skeleton_parse(spark, d):
     p = _skeletons(spark, d).select("doc_id", dialect.parse_skeleton(F.col("line")).alias("p"))
-    return p.select("doc_id", "p.slug", F.array_join("p.tags", ",").alias("tags"), F.array_join("p.entities", ",").alias("entities"))
+    return p.select("doc_id", "p.slug", F.array_join("p.tags", ",").alias("tags"), F.array_join("p.entities", ",").alias("entities"), F.array_join("p.sentences", "|").alias("sentences"))
 
 
-@query()
+@query(f"""WITH {_SKEL}, {_PARSED}, pk AS (SELECT *, list_filter(keys, lambda x: trim(x, ' ') <> '') AS ks, array_to_string(list_filter(string_split(entities, ','), lambda x: x <> ''), '、') AS es FROM ps)
+SELECT doc_id, '關於「' || title || '」' || CASE WHEN es <> '' THEN '：主要涉及 ' || es ELSE '' END || CASE WHEN len(ks) > 0 THEN '。' || array_to_string(ks, '。') ELSE '' END || '。' AS text FROM pk""")
 def skeleton_narrate(spark, d):
     return _skeletons(spark, d).select("doc_id", dialect.narrate(dialect.parse_skeleton(F.col("line"))).alias("text"))
 
@@ -525,7 +529,7 @@ def skeleton_narrate(spark, d):
 SELECT count(r) AS n, count(*) - count(r) AS missing, round(avg(r), 6) AS mean, (SELECT r FROM o WHERE i = n // 2 + 1) AS median, count(*) FILTER (r < 0.1) AS under_10, count(*) FILTER (r >= 0.1 AND r < 0.2) AS under_20, count(*) FILTER (r >= 0.2 AND r < 0.3) AS under_30, count(*) FILTER (r >= 0.3) AS over_30 FROM r""")
 def eval_ratio_summary(spark, d):
     docs = table(spark, d, "documents")
-    return evaluation.ratio_summary(docs.join(dialect.compress(docs, "doc_id", "text"), "doc_id"), "text", "line")
+    return evaluation.ratio_summary(docs.select("text", dialect.index_line(F.col("text")).alias("line")), "text", "line")
 
 
 # ---- evaluation and ingest ---------------------------------------------------------------------------------------------
@@ -571,10 +575,10 @@ def ingest_access(spark, d):
     return ingest.record_access(r, a).select("slug", "access_count", "status")
 
 
-@query(f"""WITH {_LINE} SELECT source, count(*) AS hits, sum(length(line) // 4)::BIGINT AS short_tokens, sum(length(text) // 4)::BIGINT AS full_tokens FROM documents JOIN lines USING (doc_id) GROUP BY source""")
+@query(f"""WITH {_LINE} SELECT source, count(*) AS hits, sum(length(line) // 4)::BIGINT AS short_tokens, sum(length(text) // 4)::BIGINT AS full_tokens, round_even((1 - sum(length(line) // 4) / sum(length(text) // 4)::DOUBLE) * 100, 1) AS saved_pct FROM documents JOIN lines USING (doc_id) GROUP BY source""")
 def ingest_usage(spark, d):
     docs = table(spark, d, "documents")
-    return ingest.usage(docs.join(dialect.compress(docs, "doc_id", "text"), "doc_id"), "line", "text", ["source"]).select("source", "hits", "short_tokens", "full_tokens")
+    return ingest.usage(docs.select("source", "text", dialect.index_line(F.col("text")).alias("line")), "line", "text", ["source"])
 
 
 _HTML = r"""regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"""
@@ -611,7 +615,7 @@ def seabed_coverage(spark, d):
     return files.coverage(m.where("user <> 'system'"), m)
 
 
-@query()
+@query(f"""WITH {MESSAGES} SELECT chat_id, ts, "user", rtrim(text, chr(10)) AS text FROM messages WHERE text IS NOT NULL""")
 def relay_log(spark, d):
     """Conversations written as relay logs, one file per conversation, and read back."""
     m = messages(spark, d).where("text is not null")

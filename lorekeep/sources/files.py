@@ -15,7 +15,7 @@ MESSAGE = ["bot_name", "ts", "source", "chat_id", "user", "message_id", "text"]
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, modified, body) of each file below path."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("body"))
 
 
@@ -51,12 +51,22 @@ def memory_notes(files: DataFrame) -> DataFrame:
     return files.select(project_bot(project).alias("bot_name"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit("memory").alias("source"), F.lit("").alias("chat_id"), F.lit("").alias("user"), F.col("path").alias("message_id"), F.concat(name, F.lit("\n"), "body").alias("text"))
 
 
-def vault(files: DataFrame) -> DataFrame:
-    return files.where(~F.col("path").rlike(SKIP_DIRS))
+def vault(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Notes (*.md) without noise files; with a limit the first ones by path."""
+    d = files.where(~F.col("path").rlike(SKIP_DIRS) & F.col("path").endswith(".md"))
+    return d.orderBy("path").limit(limit) if limit else d
+
+
+def drawers(slugs: DataFrame, files: DataFrame) -> DataFrame:
+    """(slug, path, body) of slugs: the file {slug}.md, the first by path if several directories have one; null where none has."""
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.md$", "")
+    first = Window.partitionBy("slug").orderBy("path")
+    f = files.where(F.col("path").endswith(".md")).withColumn("slug", name).withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return slugs.select("slug").distinct().join(f.select("slug", "path", "body"), "slug", "left")
 
 
 def note(files: DataFrame) -> DataFrame:
-    """(path, front, title, plain, tags, raw_tokens) of notes (path, body). Title: the body's first heading, else the file name;
+    """(path, slug, front, title, plain, raw_tokens, tags) of notes (path, body). Title: the body's first heading, else the file name;
     so is a title over 60 characters that holds a colon."""
     front = F.regexp_extract("body", r"(?s)\A---\n(.*?)\n---", 1)
     body = F.regexp_replace("body", r"(?s)\A---\n.*?\n---\n?", "")
@@ -65,10 +75,9 @@ def note(files: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
     h1 = F.trim(F.regexp_extract(body, r"(?m)^#\s+(.+)", 1))
     title = F.when((h1 == "") | (h1.contains(":") & (F.char_length(h1) > 60)), stem).otherwise(h1)
-    plain = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?m)^#+\s*", ""), r"[*_`>\[\]]", ""))
-    d = files.select("path", last.alias("front"), title.alias("title"), plain.alias("plain"))
-    tags = F.slice(F.filter(F.split(F.replace(F.coalesce(F.try_element_at("front", F.lit("tags")), F.lit("")), F.lit(" "), F.lit("")), ","), lambda t: t != ""), 1, 3)
-    return d.withColumn("tags", tags).withColumn("raw_tokens", F.floor(F.char_length("plain") / 4).cast("long"))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(body, r"[#*`\[\]()>]", ""), r"\n+", " "))
+    d = files.select("path", stem.alias("slug"), last.alias("front"), title.alias("title"), plain.alias("plain"), F.floor(F.char_length("body") / 4).cast("long").alias("raw_tokens"))
+    return d.withColumn("tags", F.slice(F.filter(F.split(F.replace(F.coalesce(F.try_element_at("front", F.lit("tags")), F.lit("")), F.lit(" "), F.lit("")), ","), lambda t: t != ""), 1, 3))
 
 
 def seabed_lines(messages: DataFrame) -> DataFrame:
@@ -130,9 +139,62 @@ def write_bundle(df: DataFrame, path: str) -> None:
 
 
 def skills(files: DataFrame) -> DataFrame:
-    """(name, body) of skill files, sorted by name; those below a pearls directory get the pearl: name space."""
-    name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    return files.select(F.when(F.col("path").contains("/pearls/"), F.concat(F.lit("pearl:"), name)).otherwise(name).alias("name"), "body").dropDuplicates(["name"]).orderBy("name")
+    """(name, section, body) of skill files, sorted: {name}/SKILL.md and other sections, plain {name}.md as section SKILL; names of those below
+    a pearls directory begin with pearl: and are the files'."""
+    pearl, bundle_ = F.col("path").rlike("/pearls?/"), F.regexp_extract("path", r"([^/]+)/(SKILL|USAGE|EXAMPLE)\.md$", 1)
+    plain = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "")
+    name = F.when(pearl, F.concat(F.lit("pearl:"), F.when(bundle_ != "", bundle_).otherwise(plain))).when(bundle_ != "", bundle_).otherwise(plain)
+    section = F.when(bundle_ != "", F.regexp_extract("path", r"/(SKILL|USAGE|EXAMPLE)\.md$", 1)).otherwise("SKILL")
+    return files.where(F.col("path").endswith(".md") & ~F.col("path").rlike(r"/\.[^/]*(/|$)")).select(name.alias("name"), section.alias("section"), "body").dropDuplicates(["name", "section"]).orderBy("name", "section")
+
+
+def skill(files: DataFrame, name: str, section: str = "SKILL") -> DataFrame:
+    """(name, section, body): the section asked for, else SKILL, else all sections in one, SKILL, USAGE, EXAMPLE. Raises on a name that could
+    lead elsewhere; no row where there is no such skill."""
+    import re
+
+    stem = name.removeprefix("pearl:").removesuffix(".md")
+    if not re.fullmatch(r"[A-Za-z0-9_\-.]{1,200}" if name.startswith("pearl:") else r"[A-Za-z0-9_\-]{1,100}", stem) or stem in (".", ".."):
+        raise ValueError(f"not a skill's name: {name}")
+    d = skills(files).where(F.col("name") == (f"pearl:{stem}" if name.startswith("pearl:") else stem))
+    order = F.create_map(*[F.lit(x) for kv in (("SKILL", 0), ("USAGE", 1), ("EXAMPLE", 2)) for x in kv])
+    one = F.struct(order[F.col("section")].alias("o"), F.concat(F.lit("# "), "section", F.lit(".md\n\n"), "body").alias("b"))
+    g = d.groupBy("name").agg(F.max(F.when(F.col("section") == section.upper(), F.col("body"))).alias("asked"), F.max(F.when(F.col("section") == "SKILL", F.col("body"))).alias("main"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["b"]), "\n\n---\n\n").alias("whole"))
+    return g.select("name", F.lit(section.upper()).alias("section"), F.coalesce("asked", "main", "whole").alias("body"))
+
+
+def csv_table(body):
+    """Text of comma-separated lines as a table with bars."""
+    rows = F.filter(F.split(body, r"\r?\n"), lambda x: x != "")
+    bars = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.split(r, ","), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.split(F.get(rows, F.lit(0)), ","))))
+    return F.array_join(F.concat(F.slice(bars, 1, 1), F.array(rule), F.slice(bars, 2, 1 << 30)), "\n")
+
+
+#: Suffixes that are converted here; others need a caller's converter.
+TEXTS, PAGES = ("md", "txt", "json"), ("html", "htm")
+
+
+def documents(spark: SparkSession, path: str, wanted: list[str] | None = None, converter=None) -> DataFrame:
+    """(path, size, format, text, code) of files below path, and of wanted paths that aren't there (FILE_NOT_FOUND). Texts, JSON, CSV and HTML are
+    converted here, other formats by converter, a Column function of (content, format); what has none, or none that works
+    (null), gets MARKITDOWN_FAIL. Files over the limit aren't read (FILE_TOO_LARGE)."""
+    from ..operators.ingest import MAX_FILE
+
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    fits = F.col("length") <= MAX_FILE
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    raw = F.when(fits, F.make_valid_utf8(F.col("content").cast("string")))
+    other = converter(F.col("content"), kind) if converter else F.lit(None).cast("string")
+    text = F.when(kind.isin(*TEXTS), raw).when(kind.isin(*PAGES), html_text(raw)).when(kind == "csv", csv_table(raw)).otherwise(F.when(fits, other))
+    d = f.select("path", F.col("length").alias("size"), F.when(kind == "", "unknown").otherwise(kind).alias("format"), text.alias("text"))
+    d = d.withColumn("code", F.when(F.col("size") > MAX_FILE, "FILE_TOO_LARGE").when(F.col("text").isNull(), "MARKITDOWN_FAIL"))
+    if wanted:
+        w = spark.createDataFrame([(x,) for x in wanted], "want string")
+        gone = w.join(d, F.regexp_replace("path", "^file:/*", "/") == F.regexp_replace("want", "^file:/*", "/"), "left_anti")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("format", "string"), ("text", "string"))]
+        d = d.unionByName(gone.select(F.col("want").alias("path"), *none, F.lit("FILE_NOT_FOUND").alias("code")))
+    return d
 
 
 def html_text(html):

@@ -12,7 +12,7 @@ from ..sources.files import inbox
 
 def inbox_stream(spark: SparkSession, path: str) -> DataFrame:
     """Messages of JSON files as they arrive below path."""
-    d = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path)
+    d = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True)
     return inbox(d.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")))
 
 

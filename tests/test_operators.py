@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import dialect, evaluation, ingest, kg, rank, vector
+from lorekeep import api
+from lorekeep.functions import text as tx
+from lorekeep.operators import dialect, evaluation, fts, ingest, kg, rank, vector, zettel
 from lorekeep.sources import files
 from lorekeep.streaming import ingest as stream
 
@@ -92,13 +94,13 @@ def test_hit_at_k_on_short_and_whole_passages(spark, tmp_path):
     asked = [("a", "zebra"), ("b", start + "and end with walrus"), ("c", start + "which no document has"), ("d", None)]
     one = spark.createDataFrame(docs, "doc_id long, text string")
     two = spark.createDataFrame(asked, "item_id string, text string")
-    rel = lambda p: {tuple(r) for r in evaluation.containing(one, "doc_id", "text", two.select(F.col("item_id").alias("query_id"), p.alias("p"))).collect()}
+    rel = lambda p: {tuple(r) for r in fts.containing(one, "doc_id", "text", two.select(F.col("item_id").alias("query_id"), p.alias("p"))).collect()}
     for cut in (60, 1000):
         assert rel(F.substring("text", 1, cut)) == {(q, i) for q, p in asked for i, t in docs if p is not None and t is not None and p[:cut] in t}
     one.write.parquet(str(tmp_path / "documents.parquet"))
     two.write.parquet(str(tmp_path / "benchmark.parquet"))
     run = lambda name: {r["k"]: (r["hit_rate"], r["queries"]) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert run("eval_hit_at_k")[10] == (0.75, 4) and run("eval_hit_at_k_whole")[10] == (0.5, 4)
+    assert run("eval_hit_at_k")[10] == (0.5, 4)
 
 
 def test_dialect(spark):
@@ -108,10 +110,46 @@ def test_dialect(spark):
     assert got[1].startswith("0:ALI+LAT+BOB|") and "determ+anx+trust" in got[1] and "DECISION+TECHNICAL" in got[1]
     assert got[2] == "0:???|misc"
     assert dialect.compress(d, "doc_id", "text", {"Alice": "ALC"}).where("doc_id = 1").first()["line"].startswith("0:ALC|")
-    s = dialect.parse_skeleton(F.lit("[CZ-Memoir|標題] ENT:a,b KEY:s1|s2 TAG:x,y"))
+    s = dialect.parse_skeleton(F.lit("[note-seven|標題] ENT:a,b KEY:s1|s2 TAG:x,y"))
     r = spark.range(1).select(s.alias("s"), dialect.narrate(s).alias("n")).first()
-    assert (r["s"]["slug"], r["s"]["entities"], r["s"]["sentences"], r["s"]["tags"]) == ("CZ-Memoir", ["a", "b"], ["s1", "s2"], ["x", "y"])
+    assert (r["s"]["slug"], r["s"]["entities"], r["s"]["sentences"], r["s"]["tags"]) == ("note-seven", ["a", "b"], ["s1", "s2"], ["x", "y"])
     assert r["n"] == "關於「標題」：主要涉及 a、b。s1。s2。"
+    # rows with null or repeated keys keep a line each, from their own text
+    d = spark.createDataFrame([(None, "Alpha alpha beta"), (1, "gamma Gamma gamma"), (1, "delta delta")], "doc_id int, text string")
+    assert sorted(r["line"].split("|")[1] for r in dialect.compress(d, "doc_id", "text").collect()) == ["alpha_beta", "delta", "gamma"]
+    assert dialect.compress(d.limit(0), "doc_id", "text").count() == 0
+
+
+def _zettel(**more):
+    z = {"id": "z-1", "title": "T - hint", "content": "", "notes": "", "origin_label": "", "origin_moment": False, "sensitivity": "", "people": ["Zoe", "Ann"], "topics": [], "emotional_weight": 0.9, "emotional_tone": [], "date_context": "2024-01-01, dawn"}
+    return z | more
+
+
+def test_zettels(spark):
+    rows = [_zettel(), _zettel(id="z-2", notes="core and PIVOT", origin_label="core pivot Genesis", sensitivity="Maximum care", origin_moment=True), _zettel(id="z-3", origin_label="core pivot"), _zettel(id="z-4", content='x "a small quote" then "I love and trust you" said: the real reason was hope. end', people=["hidden one"], topics=["a", "b", "c"], emotional_weight=None, emotional_tone=None)]
+    d = spark.createDataFrame([(z,) for z in rows], f"z {zettel.ZETTEL}")
+    r = d.select(zettel.encode(F.col("z"), {"Zoe": "ZOX"}, ["hidden"]).alias("l"), zettel.flags(F.col("z")).alias("f")).collect()
+    assert [x["f"] for x in r] == ["", "ORIGIN+SENSITIVE+CORE+GENESIS+PIVOT", "", ""]
+    assert r[0]["l"] == '1:ANN+ZOX|misc|"hint"|0.9' and r[3]["l"] == '4:???|a_b|"I love and trust you"|0.5'
+    f = spark.createDataFrame([("f1.json", "007-the tale.txt", "up", rows[:2], [{"from": "z-1", "to": "z-2", "label": "because: of"}])], f"file string, {zettel.FILE}")
+    text = zettel.compress_all(f).first()["text"].split("\n")
+    assert text[0] == "007|ANN+ZOE|2024-01-01, dawn|the tale" and text[1] == "ARC:up" and text[4:] == ["T:1<->2|because", "---"]
+    one = zettel.as_text(zettel.layer_one(f, "2024-05-05")).first()["text"].split("\n")
+    assert one[3] == "=MOMENTS[2024-01-01]=" and one[4] == "ANN+ZOE|hint|0.9" and one[-3:] == ["=TUNNELS=", "because", ""]
+    assert [x["code"] for x in zettel.assigned_codes(spark.createDataFrame([("alan",), ("alana",), ("alanis",), ("bo",)], "name string")).orderBy("name").collect()] == ["ALA", "ALAN", "ALANI", "BO"]
+
+
+def test_notes_and_summaries(spark):
+    n = files.note(spark.createDataFrame([("/v/a.md", "---\ntags: x, y,z,w\n---\n# Head\n王小明銀行 met Anna Smith. Anna Smith and Bolt in 台北市。" + "word here again and more。" * 3)], "path string, body string"))
+    assert {(x["text"], x["category"]) for x in n.select(dialect.entities(F.col("plain")).alias("e")).first()["e"]} >= {("王小明銀行", "org"), ("Anna Smith", "person"), ("台北市", "place"), ("Bolt", "proper")}
+    r = dialect.encode_notes(n).first()
+    assert r["skeleton"].startswith("[a|Head] ENT:王小明銀行,Anna Smith,") and r["skeleton"].endswith("TAG:x,y,z") and 0 < r["ratio"] <= 1.5
+    b = spark.createDataFrame([("[a|Head] ENT:x KEY:k1|k2",)], "line string")
+    drawers = files.drawers(spark.createDataFrame([("a",), ("b",), ("c",)], "slug string"), spark.createDataFrame([("/1/a.md", "A"), ("/2/a.md", "no"), ("/1/b.md", "B")], "path string, body string"))
+    ask = lambda mode: {r["slug"]: r["text"] for r in api.wiki_summary(b, drawers, drawers, mode).collect()}
+    assert ask("verbatim") == {"a": "A", "b": "B", "c": "[drawer not found for c]"} and ask("skeleton")["a"].startswith("[a|") and ask("narrative") == {"a": "關於「Head」：主要涉及 x。k1。k2。", "b": "B", "c": "[drawer not found for c]"}
+    t = spark.createDataFrame([("a multitask", ""), ("see the SOP", ""), ("流程", ""), ("x", "TAG:a,Guide"), ("x", "KEY:guide")], "t string, s string")
+    assert [r[0] for r in t.select(ingest.wants_summary(F.col("t"), F.col("s"))).collect()] == [False, True, True, True, False]
 
 
 def _pack(text, size, after):
@@ -139,25 +177,115 @@ def test_chunks_equal_plain_packing(spark):
     assert got == {i: c for i, t in enumerate(texts) if (c := _pack(t, 20, "。！？\n"))}
 
 
-def test_ingest(spark):
+def test_ingest(spark, tmp_path):
     m = spark.createDataFrame([("b", "t1", "s", "c", "u", "1", "x"), ("b", "t0", "s", "c", "u", "1", "w"), ("b", "t2", "s", "c", "u", "2", ""), ("b", "t3", "s", "c", "u", "3", "y")], ", ".join(f"{c} string" for c in files.MESSAGE))
     seen = spark.createDataFrame([("b|s|c|3",)], "key string")
     assert [r["text"] for r in ingest.insert_unseen(m, seen).collect()] == ["w"]
-    reports = spark.createDataFrame([("T", "a", "g-1", 7), ("T", "b", "g-1", 0), ("", "c", "g", 0), ("V", "d", "G!", 0), ("W", "x" * 500_001, "g", 0)], "title string, content string, `group` string, ttl_days int")
-    got = {(r["content"][:1], r["code"], r["name"]) for r in ingest.check_reports(reports, "2026-01-01").collect()}
-    assert got >= {("a", "OK", "t"), ("b", "OK", "t-dup1"), ("c", "MISSING_TITLE", ""), ("d", "INVALID_GROUP", "v"), ("x", "CONTENT_TOO_LARGE", "w")}
-    t = ingest.make_tasks(spark.createDataFrame([("Do it", "amy", "high"), ("No", "eve", "high")], "title string, assigned_to string, priority string"), ["amy"], "2026-01-01T00:00:00")
-    assert [r["code"] for r in t.orderBy("title").collect()] == ["OK", "INVALID_ASSIGNEE"]
-    assert ingest.advance(ingest.advance(t, "in_progress", "n"), "done", "n").first()["state"] == "in_progress"
+    rows = [("T x", "a", "g-1", "bot1", 7), ("T x", "b", "g-1", "Bad Bot", None), (None, "c", "g", "b", None), ("V", "d", "G!", "b", None), ("W", "x" * (500 * 1024 + 1), "g", "b", None), ("y" * 80 + '"', "e", "g", "b", 0)]
+    reports = spark.createDataFrame(rows, "title string, content string, `group` string, bot string, ttl_days int")
+    got = {r["content"][:1]: r for r in ingest.check_reports(reports, "2026-01-01T20:00:00").collect()}
+    assert {k: r["code"] for k, r in got.items()} == {"a": "OK", "b": "OK", "c": "MISSING_TITLE", "d": "INVALID_GROUP", "x": "CONTENT_TOO_LARGE", "e": "OK"}
+    assert (got["a"]["name"], got["b"]["name"], got["b"]["bot"]) == ("2026-01-01-2000-T-x", "2026-01-01-2000-T-x-dup1", "unknown")
+    assert got["a"]["expires_at"] == "2026-01-08T20:00:00Z" and got["b"]["expires_at"] is None and "created: 2026-01-02T04:00:00+08:00" in got["a"]["text"]
+    assert len(got["e"]["title"]) == 60 and len(got["e"]["name"]) == 16 + 50 and got["x"]["text"] is None
+    ingest.write_reports(ingest.check_reports(reports, "2026-01-01T20:00:00"), str(tmp_path / "r"))
+    back = {r["path"].split("name=")[1].split("/")[0]: r["body"] for r in files.whole_files(spark, str(tmp_path / "r"), "*.txt").collect()}
+    assert len(back) == 3 and back["2026-01-01-2000-T-x"].rstrip("\n") == got["a"]["text"]
+    assert ingest.unexpired(ingest.check_reports(reports, "2026-01-01T20:00:00"), "2026-01-05T00:00:00Z").where("code = 'OK'").count() == 2
+    many = spark.createDataFrame([("S", f"{i:03}", "g") for i in range(103)], "title string, content string, `group` string").withColumn("ttl_days", F.lit(None).cast("int"))
+    assert [r["code"] for r in ingest.check_reports(many, "2026-01-01").orderBy("content").collect()][100:] == ["OK", "SLUG_COLLISION", "SLUG_COLLISION"]
+    t = ingest.make_tasks(spark.createDataFrame([("Do it / now_", "Amy", "high"), ("No", "eve", "high"), ("Odd", "amy", "normal")], "title string, assigned_to string, priority string"), ["amy"], "2026-01-01T00:00:00")
+    assert [r["code"] for r in t.orderBy("title").collect()] == ["OK", "INVALID_ASSIGNEE", "INVALID_PRIORITY"]
+    assert t.first()["filename"].endswith("-do-it---now.json") and json.loads(t.first()["task"])["flow"] == "pending → in_progress → review → done"
+    assert ingest.advance(ingest.advance(t, "in_progress", "n"), "done", "n").first()["status"] == "in_progress"
+    ingest.write_tasks(t, str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t")).select("title", "status").collect() == [("Do it / now_", "pending")]
+
+
+def test_gates_and_slugs(spark, tmp_path):
+    paths = ["/vault/a/../b.md", "/vault/../etc/passwd", "/vault", "/vaulted/x", "vault/x", "/vault/./x/../../vault/y"]
+    d = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in d.select(tx.under_root(F.col("p"), "/vault")).collect()] == [True, False, True, False, False, True]
+    (tmp_path / "v").mkdir()
+    (tmp_path / "out").write_text("x")
+    (tmp_path / "v" / "link").symlink_to(tmp_path / "out")
+    with pytest.raises(tx.OutsideRoot):
+        tx.resolved_under_root(str(tmp_path / "v" / "link"), str(tmp_path / "v"))
+    assert tx.resolved_under_root(str(tmp_path / "v"), str(tmp_path / "v")).endswith("/v")
+    s = spark.createDataFrame([("/vault/研究 筆記/My  Note?.md",), ("/else/X y.md",)], "p string").select(tx.path_slug(F.col("p"), "/vault").alias("s"))
+    assert [r[0] for r in s.select("s", tx.display_name(F.col("s")).alias("n")).collect()] == ["研究-筆記/my-note-", "/else/x-y-md"]
+    a = api.register_aliases(spark.createDataFrame([("a", "/1"), ("b", "/2")], "slug string, path string"), spark.createDataFrame([("b", "/3"), ("c", "/4")], "slug string, path string"))
+    assert {tuple(r) for r in a.collect()} == {("a", "/1"), ("b", "/3"), ("c", "/4")}
+
+
+def test_skills_and_documents(spark, tmp_path):
+    k = tmp_path / "k"
+    for name, body in {"deploy/SKILL.md": "S", "deploy/USAGE.md": "U", "odd/EXAMPLE.md": "E", "odd/USAGE.md": "V", "plain.md": "P", "pearl/2024-1-x.md": "Q"}.items():
+        (k / name).parent.mkdir(parents=True, exist_ok=True)
+        (k / name).write_text(body)
+    f = files.whole_files(spark, str(k))
+    get = lambda *a: (r := files.skill(f, *a).first()) and r["body"]
+    assert (get("deploy"), get("deploy", "usage"), get("deploy", "EXAMPLE"), get("plain.md"), get("pearl:2024-1-x"), get("none")) == ("S", "U", "S", "P", "Q", None)
+    assert get("odd", "SKILL") == "# USAGE.md\n\nV\n\n---\n\n# EXAMPLE.md\n\nE"
+    with pytest.raises(ValueError, match="name"):
+        files.skill(f, "../secret")
+    box = tmp_path / "in"
+    box.mkdir()
+    for name, body in {"a.html": "<p>" + "text " * 40 + "</p>", "b.csv": "x,y\n" + "1,2\n" * 30, "c.md": "short", "d.bin": "?" * 200, "e.json": json.dumps({"k": "v" * 150}), "long.txt": "z" * 60_000}.items():
+        (box / name).write_text(body)
+    r = {x["drawer_path"].rsplit("/", 1)[1]: x for x in api.ingest_file(spark, str(box), [str(box / "a.html"), str(box / "gone.pdf")]).collect()}
+    assert {n: x["code"] for n, x in r.items()} == {"a.html": "OK", "b.csv": "OK", "c.md": "EMPTY_CONTENT", "d.bin": "MARKITDOWN_FAIL", "e.json": "OK", "long.txt": "OK", "gone.pdf": "FILE_NOT_FOUND"}
+    assert r["b.csv"]["body"].startswith("| x | y |\n| --- | --- |\n| 1 | 2 |") and r["long.txt"]["truncated"] and len(r["long.txt"]["body"]) == 50_000 and r["long.txt"]["group"] == "docs-spec"
+    own = api.ingest_file(spark, str(box), converter=lambda content, kind: F.when(kind == "bin", F.decode(content, "utf-8")))
+    assert own.where("format = 'bin'").first()["code"] == "OK"
+
+
+def test_upserts_and_embedding(spark):
+    r = spark.createDataFrame([("a", "old", 1, "/a", "h", "t", 5), ("b", "keep", 1, "/b", "h", "t", 6)], "slug string, clsc string, tokens long, drawer_path string, source_hash string, encoded_at string, access_count long")
+    d = spark.createDataFrame([("a2", "x" * 8, "/a"), ("c", "y" * 4, "/c")], "slug string, body string, drawer_path string")
+    rows = {x["slug"]: x for x in ingest.upsert_by_path(r, d, "n").collect()}
+    assert set(rows) == {"a2", "b", "c"} and rows["a2"]["access_count"] == 5 and rows["c"]["access_count"] is None and rows["b"]["clsc"] == "keep"
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "vec_id long, text string").coalesce(1)
+    embed = lambda ts: [[float(len(ts)), float(t[1:])] for t in ts]
+    first = ingest.embed_new(texts, "vec_id", "text", None, embed, batch=2).collect()
+    assert [x["embedding"] for x in first] == [[2, 0], [2, 1], [2, 2], [2, 3], [1, 4]] and len(first[0]["fp"]) == 8
+    stored = texts.where("vec_id < 3").select("vec_id")
+    assert sorted(x["vec_id"] for x in ingest.embed_new(texts, "vec_id", "text", stored, embed).collect()) == [3, 4] and ingest.embed_new(texts, "vec_id", "text", stored, embed, force=True).count() == 5
+    e = kg.add_entities(spark.createDataFrame([("amy", "amy", "unknown", "{}", "t")], "id string, name string, type string, properties string, created_at string"), spark.createDataFrame([("Amy", "person", {"a": "1"}), ("Bo Lee", None, None)], "name string, type string, properties map<string,string>"), "n")
+    assert {(x["id"], x["type"], x["properties"]) for x in e.collect()} == {("amy", "person", '{"a":"1"}'), ("bo_lee", "unknown", "{}")}
+
+
+def test_api_corners(spark):
+    m = spark.createDataFrame([("bot1", "t1", "s", "c", "u", "1", "alpha beta"), ("bot2", "t2", "s", "c", "u", "2", "beta gamma"), ("bot1", "t3", "s", "c", "u", "3", None)], ", ".join(f"{c} string" for c in files.MESSAGE))
+    r = spark.createDataFrame([("x", "alpha line", 3, "active"), ("y", "beta line", 0, "archived")], "slug string, clsc string, access_count long, status string")
+    assert api.search(r, m, "", "all").count() == 0 and api.search(r, m, "alpha", "ocean").count() == 0 and api.search(r, m, "alpha", "nonsense").count() == 0
+    assert {(x["source"], x["ref"]) for x in api.search(r, m, "beta").collect()} == {("radar", "y"), ("messages", "c:1"), ("messages", "c:2")}
+    v = spark.createDataFrame([("c:1", [1.0, 0.0]), ("c:2", [0.0, 1.0])], "slug string, embedding array<float>")
+    near = api.messages_search(m, "zzz", 5, "bot2", api.Options(knn=True, embed=lambda q: [1.0, 0.0]), v)
+    assert [x["slug"] for x in near.collect()] == ["c:2"]
+    assert api.messages_search(m, "gamma zzz", 5).first()["snippet"] == "beta «gamma»"
+    o = spark.createDataFrame([("a/Note One.md", "Some C++ text"), ("b.md", "other")], "path string, body string")
+    hit = api.ocean_search(o, "c++").first()
+    assert (hit["slug"], hit["title"], hit["wikilink"], hit["source"]) == ("a/note one", "Note One", "[[Note One]]", "bm25")
+    told = api.ocean_search(o, "q", 2, api.Options(delegate=lambda q, n: "[0.9] dir/my-note -- # Title\nbody\n[1] x -- \n[2] y -- z")).collect()
+    assert [(x["slug"], x["score"], x["title"], x["wikilink"]) for x in told] == [("dir/my-note", 0.9, "Title", "[[My Note]]"), ("x", 1.0, "x", "[[X]]")]
+
+    def down(q, n):
+        raise OSError("down")
+
+    assert api.ocean_search(o, "other", 2, api.Options(delegate=down)).first()["path"] == "b.md"
+    b = api.seabed_get(r.withColumn("content", F.lit(None).cast("string")), "x", "verbatim", spark.createDataFrame([("x", "the file")], "slug string, body string"))
+    assert b.first()["text"] == "the file" and api.seabed_get(r, "../x").count() == 0
 
 
 def test_sources(spark, tmp_path):
     box = tmp_path / "state" / "bot7" / "inbox"
     box.mkdir(parents=True)
+    (box / "3.json.delivered").write_text(json.dumps({"params": {"content": "two\nlines", "meta": {"chat_id": "c", "message_id": "8"}}}, indent=1))
     (box / "1.json").write_text(json.dumps({"params": {"content": "hi", "meta": {"chat_id": "c", "message_id": "9", "ts": "2026-04-15T09:30:00Z"}}}))
     (box / "2.json").write_text("{broken")
     got = files.inbox(files.whole_files(spark, str(tmp_path))).collect()
-    assert [(r["bot_name"], r["source"], r["text"]) for r in got] == [("bot7", "telegram", "hi")]
+    assert sorted((r["bot_name"], r["source"], r["text"]) for r in got) == [("bot7", "telegram", "hi"), ("bot7", "telegram", "two\nlines")]
     log = spark.createDataFrame([("f", "orphan\n[t1] a → b (chat:1): one\nmore\n\n[t2] c → d (chat:2): two")], "path string, body string")
     r = files.relay_log(log, "bot").orderBy("ts").collect()
     assert [(x["text"], x["message_id"], x["chat_id"]) for x in r] == [("one\nmore", "2", "1"), ("two", "5", "2")]

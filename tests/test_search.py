@@ -71,3 +71,58 @@ def test_slugs(spark):
     assert d.select(tx.vault_slug(F.col("p"))).first()[0] == "Wiki-a-b"
     assert d.select(tx.note_group(F.lit("/x/Ocean/Research/n.md"))).first()[0] == "research"
     assert not spark.range(1).select(tx.valid_slug(F.lit("../../etc/passwd"))).first()[0]
+
+
+def test_near_equals_sqlite(spark):
+    """Any number of phrases, any order, overlapping ones too, and ones that are too short."""
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 60))) for _ in range(150)] + ["abcd", "abcabc", ""]
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(clsc, tokenize='trigram')")
+    con.executemany("insert into t (rowid, clsc) values (?, ?)", list(enumerate(texts, 1)))
+    d = spark.createDataFrame(list(enumerate(texts, 1)), "i int, clsc string")
+    for items, n in ((["abc", "bcd"], 0), (["abc", "bcd"], 3), (["abca", "dab"], 8), (["abc", "cab", "bca"], 12), (["abc", "a b", "dd"], 9), (["aab", "abc", "bcd", "cda"], 25), (["abc"], 1)):
+        q = "NEAR(" + " ".join(f'"{x}"' for x in items) + f", {n})"
+        want = [r[0] for r in con.execute("select rowid from t where t match ? order by rowid", (q,))]
+        assert [r[0] for r in d.where(predicate(parse(q), ["clsc"])).orderBy("i").collect()] == want, q
+
+
+def test_searches_without_words_or_with_bad_patterns(spark, rows):
+    m = rows.select("slug", F.col("clsc").alias("text"), F.lit("b").alias("bot_name"), F.lit("t").alias("ts"))
+    for q in ("", "  ", "NEAR()", "NEAR(alpha, x)", "("):
+        assert fts.search_messages(m, q, 5).count() == 0
+    assert fts.recall_keywords(rows, [], ["clsc"], "slug", "clsc").count() == 0
+    notes = spark.createDataFrame([("a", "see f(x for it"), ("b", "nothing")], "path string, body string")
+    assert [r["path"] for r in fts.search_regex(notes, "path", "body", ["f(x"]).collect()] == ["a"] and fts.search_regex(notes, "path", "body", [""]).count() == 0
+
+
+def test_index_equals_table(spark, rows, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab cé知") for _ in range(rng.randint(0, 40))) for _ in range(120)] + [None]
+    d = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)], "slug string, clsc string").repartition(3)
+    for _ in range(2):  # the second writing replaces the first
+        fts.write_index(d, "slug", ["slug", "clsc"], str(tmp_path / "i"))
+    for terms in (["ab c"], ["abc", "s11", "知a b"], ["zzzz"], ["ab"], []):
+        want = [(r["slug"], round(r["score"], 9)) for r in fts.top(fts.bm25(d, ["slug", "clsc"], terms), [F.col("score"), F.col("slug")], 10).orderBy("rank").collect()] if terms and len(terms[0]) > 2 else []
+        got = fts.search_index(spark, str(tmp_path / "i"), "slug", ["slug", "clsc"], terms, 10).orderBy("rank").collect()
+        assert [(r["slug"], round(r["score"], 9)) for r in got] == want
+
+
+def test_batch_in_blocks_and_with_ties(spark, monkeypatch):
+    texts = ["alpha beta"] * 40 + ["alpha beta gamma", "aaaa aaaa", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string").repartition(3)
+    terms = spark.createDataFrame([("x", "Alpha"), ("x", "beta"), ("y", "aaa"), ("z", "no"), ("w", "gamma")], "query_id string, term string")
+    want = {"x": list(range(10)), "y": [41], "w": [40]}
+    for size in (100_000, 1):
+        monkeypatch.setattr(fts, "PASS_TERMS", size)
+        got = {}
+        for r in fts.bm25_batch(d, "k", "t", terms).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["k"])
+        assert got == want
+    one = {r["k"]: round(r["score"], 9) for r in fts.bm25(d, ["t"], ["aaa"]).collect()}
+    assert {r["k"]: round(r["score"], 9) for r in fts.bm25_batch(d, "k", "t", terms.where("query_id = 'y'")).collect()} == one
+    assert fts.bm25_batch(d, "k", "t", terms.limit(0)).count() == 0
