@@ -5,12 +5,12 @@ hash, mixed with the word before, has LEVEL low zero bits. So the number of para
 only those it touches, however long the text. A paragraph's digest is its 64-bit hash; a text is the set of its digests. A
 sketch of s cells in each of three subtables holds count, XOR of digests and XOR of check hashes; cells that are empty aren't
 stored, so a sketch takes time and room by its digests, whatever s. Two sketches subtract cell by cell; peeling pure cells
-recovers the digests that differ. Where peeling fails, both sketches are built again with as many cells as the sets can need, and
-then four times as many. Likeness is Jaccard's, from the set sizes and the number recovered.
+recovers the digests that differ, until they account for all that a subtable holds. Where peeling fails, sketches of eight times
+the cells are peeled. Likeness is Jaccard's, from the set sizes and the number recovered.
 
 Null texts are empty texts; two empty texts have likeness 1. Null ids come after all others and precede the first. Of rows
 that share an id, all are fingerprinted, and the smallest text is what precedes their common predecessor's end. Columns of
-the caller that are named level, digests or fingerprint are replaced by `fingerprint`; other extra columns pass through it and
+named digests or fingerprint are replaced by `fingerprint`; other extra columns pass through it and
 are left out by `compare_with_edits`. Arrays are linear in the text; the fingerprint as text is the smallest sketch.
 """
 
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import let, successor, words_of
 
-#: Cells in each subtable of the sketch that is tried first and given as text; most rounds of peeling.
-SIZE, ROUNDS = 8, 40
-#: Where paragraphs end, and how long (code points) one is before it is cut at words of LEVEL low zero bits, about every 2**LEVEL.
-ENDS, LONG, LEVEL = r"(?<=[.!?…])[\x20\x09-\x0D]+|(?<=[。！？])|[\n\r]+", 400, 4
+#: Cells in each subtable of the sketch that is given as text; of sketches that are compared, for each digest; most rounds of peeling.
+SIZE, ROOM, ROUNDS = 8, 2, 40
+#: After what a paragraph ends besides a line, and how long (code points) one is before it is cut at words of LEVEL low zero bits,
+#: about every 2**LEVEL.
+ENDS, LONG, LEVEL = [". ", "! ", "? ", "。", "！", "？"], 400, 4
 
 
 def _cut(words: Column) -> Column:
@@ -43,55 +44,94 @@ def _cut(words: Column) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
-    one = lambda p: F.when(F.char_length(p) <= LONG, F.array(F.xxhash64(F.trim(p)))).otherwise(_cut(F.transform(words_of(p), lambda w: F.xxhash64(w))))
+    t = F.coalesce(text, F.lit(""))
+    for end in ENDS:  # plain replacements and a split at a single character need no pattern matching
+        t = F.replace(t, F.lit(end), F.lit(end.strip() + "\n"))
+    parts = F.filter(F.transform(F.split(t, "\n"), lambda p: F.trim(p)), lambda p: p != "")
+    one = lambda p: F.when(F.char_length(p) <= LONG, F.array(F.xxhash64(p))).otherwise(_cut(F.transform(words_of(p), lambda w: F.xxhash64(w))))
     return F.array_distinct(F.flatten(F.transform(parts, one)))
 
 
-def _entries(keys: Column, s: Column, sign: int = 1) -> Column:
-    """What keys add to their three cells: (p, c, x, g), p counting on over the subtables."""
-    place = lambda k, t: (F.pmod(F.shiftrightunsigned(k, 20 * t), s) + t * s).cast("int")
-    cell = lambda k, g, t: F.struct(place(k, t).alias("p"), F.lit(sign).alias("c"), k.alias("x"), g.alias("g"))
-    return F.flatten(F.transform(keys, lambda k: let(F.xxhash64(k, F.lit(7)), lambda g: F.array(*[cell(k, g, t) for t in range(3)]))))
+def _check(x: Column) -> Column:
+    return F.xxhash64(x, F.lit(7))
 
 
-def _folded(entries: Column) -> Column:
-    """Entries of a cell added up, by place; empty cells left out."""
-    add = lambda a, e: F.struct(e["p"].alias("p"), (a["c"] + e["c"]).alias("c"), a["x"].bitwiseXOR(e["x"]).alias("x"), a["g"].bitwiseXOR(e["g"]).alias("g"))
+def _placed(keys: Column, s: Column) -> Column:
+    """Sorted longs: place in the upper half, counted on over the subtables, index of the key in the lower; three for each key."""
+    place = lambda k, t: F.call_function("shiftleft", F.pmod(F.shiftrightunsigned(k, 20 * t), s) + t * s, F.lit(32))
+    return F.sort_array(F.flatten(F.transform(keys, lambda k, i: F.array(*[place(k, t) + i for t in range(3)]))))
 
-    def cells(d: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: (i == 0) | (F.get(d, i)["p"] != F.get(d, i - 1)["p"]))
 
-        def one(b: Column, j: Column, st: Column) -> Column:
-            n = F.coalesce(F.get(st, j + 1), F.size(d)) - b
-            return F.when(n == 1, F.get(d, b)).otherwise(F.aggregate(F.slice(d, b + 2, n - 1), F.get(d, b), add))
+def _cells(keys: Column, n: Column, s: Column) -> Column:
+    """Cells (p, c, x, g) in use of the sketch of the first n keys less that of the others, by place: each is made once, from the
+    run of keys that share its place."""
+    index = lambda e: e.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    key, sign = lambda e: F.get(keys, index(e)), lambda e: F.when(index(e) < n, 1).otherwise(-1)
+
+    def cell(run: Column, first: Column) -> Column:
+        c = F.aggregate(run, F.lit(0), lambda a, e: a + sign(e))
+        x = F.aggregate(run, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(key(e)))
+        g = F.aggregate(run, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(_check(key(e))))
+        return F.struct(F.shiftright(first, 32).cast("int").alias("p"), c.alias("c"), x.alias("x"), g.alias("g"))
+
+    def single(e: Column) -> Column:
+        return let(key(e), lambda k: F.struct(F.shiftright(e, 32).cast("int").alias("p"), sign(e).alias("c"), k.alias("x"), _check(k).alias("g")))
 
-        return F.filter(let(starts, lambda st: F.transform(st, lambda b, j: one(b, j, st))), lambda c: (c["c"] != 0) | (c["x"] != 0))
+    def cut(d: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: (i == 0) | (F.shiftright(F.get(d, i), 32) != F.shiftright(F.get(d, i - 1), 32)))
+        one = lambda b, k: F.when(k == 1, single(F.get(d, b))).otherwise(cell(F.slice(d, b + 1, k), F.get(d, b)))
+        return let(starts, lambda st: F.transform(st, lambda b, j: one(b, F.coalesce(F.get(st, j + 1), F.size(d)) - b)))
 
-    return let(F.sort_array(entries), lambda d: F.when(F.size(d) == 0, d).otherwise(cells(d)))
+    made = let(_placed(keys, s), lambda d: F.when(F.size(d) > 0, cut(d)))
+    none = F.array().cast("array<struct<p:int,c:int,x:bigint,g:bigint>>")
+    return F.coalesce(F.filter(made, lambda c: (c["c"] != 0) | (c["x"] != 0)), none)
+
+
+def _column(s: Column | int) -> Column:
+    return F.lit(s) if isinstance(s, int) else s
 
 
 def sketch(keys: Column, s: Column | int = SIZE) -> Column:
     """Cells (p, c, x, g) in use of 3*s: place, number of digests, XOR of digests, XOR of check hashes."""
-    return _folded(_entries(keys, F.lit(s) if isinstance(s, int) else s))
+    return _cells(keys, F.size(keys), _column(s))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    """Cells of a less those of b, place by place."""
-    less = F.transform(b, lambda c: F.struct(c["p"].alias("p"), (-c["c"]).alias("c"), c["x"].alias("x"), c["g"].alias("g")))
-    return _folded(F.concat(a, less))
+def subtracted(a: Column, b: Column, s: Column | int) -> Column:
+    """The sketch of a less that of b, cell by cell: at a place the cell of a's keys and that of b's are taken together."""
+    return let(F.concat(a, b), lambda keys: _cells(keys, F.size(a), _column(s)))
+
+
+def _without(cells: Column, plus: Column, minus: Column, s: Column) -> Column:
+    """cells less the sketch of recovered digests; only for what a first round of peeling leaves."""
+    add = lambda a, e: F.struct(e["p"].alias("p"), (a["c"] + e["c"]).alias("c"), a["x"].bitwiseXOR(e["x"]).alias("x"), a["g"].bitwiseXOR(e["g"]).alias("g"))
+    gone = F.transform(subtracted(plus, minus, s), lambda c: F.struct(c["p"].alias("p"), (-c["c"]).alias("c"), c["x"].alias("x"), c["g"].alias("g")))
+
+    def cut(d: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: (i == 0) | (F.get(d, i)["p"] != F.get(d, i - 1)["p"]))
+        one = lambda b, k: F.when(k == 1, F.get(d, b)).otherwise(F.aggregate(F.slice(d, b + 2, k - 1), F.get(d, b), add))
+        return F.filter(let(starts, lambda st: F.transform(st, lambda b, j: one(b, F.coalesce(F.get(st, j + 1), F.size(d)) - b))), lambda c: (c["c"] != 0) | (c["x"] != 0))
+
+    return let(F.sort_array(F.concat(cells, gone)), lambda d: F.when(F.size(d) == 0, d).otherwise(cut(d)))
 
 
 def peel(cells: Column, s: Column | int = SIZE) -> Column:
-    """Digests that differ, recovered from a subtracted sketch; null if cells remain that can't be resolved."""
-    s = F.lit(s) if isinstance(s, int) else s
-    of = lambda cs, n: F.array_distinct(F.transform(F.filter(cs, lambda c: (c["c"] == n) & (c["g"] == F.xxhash64(c["x"], F.lit(7)))), lambda c: c["x"]))
+    """Digests that differ, recovered from a subtracted sketch; null if cells remain that can't be resolved. Every subtable holds every
+    digest once, so a round is the last if what it finds has the count and XORs of the first subtable."""
+    s = _column(s)
+    of = lambda cs, n: F.array_distinct(F.transform(F.filter(cs, lambda c: (c["c"] == n) & (c["g"] == _check(c["x"]))), lambda c: c["x"]))
+    both = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(f(x)))
+
+    def whole(cs: Column, m: Column) -> Column:
+        top, found = F.filter(cs, lambda c: c["p"] < s), F.concat(m["plus"], m["minus"])
+        same = (F.aggregate(top, F.lit(0), lambda a, c: a + c["c"]) == F.size(m["plus"]) - F.size(m["minus"])) & (both(top, lambda c: c["x"]) == both(found, lambda x: x))
+        return same & (both(top, lambda c: c["g"]) == both(found, _check))
 
     def step(acc: Column, _i: Column) -> Column:
         def more(m: Column) -> Column:
-            left = _folded(F.concat(acc["cells"], _entries(m["plus"], s, -1), _entries(m["minus"], s, 1)))
             found = F.concat(acc["found"], m["plus"], m["minus"])
-            return F.struct(left.alias("cells"), found.alias("found"), (F.size(m["plus"]) + F.size(m["minus"]) == 0).alias("over"))
+            out = lambda cs, over: F.struct(cs.alias("cells"), found.alias("found"), over.alias("over"))
+            stuck = F.size(m["plus"]) + F.size(m["minus"]) == 0
+            return F.when(whole(acc["cells"], m), out(F.slice(acc["cells"], 1, 0), F.lit(True))).when(stuck, out(acc["cells"], F.lit(True))).otherwise(out(_without(acc["cells"], m["plus"], m["minus"], s), F.lit(False)))
 
         pure = F.struct(of(acc["cells"], 1).alias("plus"), of(acc["cells"], -1).alias("minus"))
         return F.when(acc["over"] | (F.size(acc["cells"]) == 0), acc).otherwise(let(pure, more))
@@ -100,20 +140,20 @@ def peel(cells: Column, s: Column | int = SIZE) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(F.size(acc["cells"]) == 0, acc["found"]))
 
 
-def difference(a: Column, b: Column, sa: Column | None = None, sb: Column | None = None) -> Column:
-    """Number of digests in one set only, peeled from sketches of growing size; sa, sb: sketches of SIZE that exist already."""
+def difference(a: Column, b: Column) -> Column:
+    """Number of digests in one set only, peeled from subtracted sketches: with ROOM cells a subtable for each digest that may differ,
+    then eight times as many."""
     n = lambda found: F.aggregate(found, F.lit(0), lambda k, _: k + 1)
-    need = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(16), F.size(a) + F.size(b)) / 2.0))).cast("int")
-    small = n(peel(subtract(sketch(a) if sa is None else sa, sketch(b) if sb is None else sb)))
-    at = lambda s: n(peel(subtract(sketch(a, s), sketch(b, s)), s))
+    need = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(SIZE), F.size(a) + F.size(b)) * float(ROOM)))).cast("long")
+    at = lambda s: n(peel(subtracted(a, b, s), s))
     # digests that share their cells at every size don't peel: their number from the sets themselves
     last = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= 3 * SIZE, small), let(need, at), let(4 * need, at), last)
+    return F.coalesce(let(need, at), let(8 * need, at), last)
 
 
-def likeness(a: Column, b: Column, sa: Column | None = None, sb: Column | None = None) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(let(difference(a, b, sa, sb), lambda d: (total - d) / (total + d).cast("double")))
+    return F.when(total == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(let(difference(a, b), lambda d: (total - d) / (total + d).cast("double")))
 
 
 def as_text(keys: Column, cells: Column) -> Column:
@@ -164,6 +204,6 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
         as_text(F.col("digests"), F.col("sketch")).alias("fingerprint"),
         as_text(F.col("theirs"), F.col("their_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("theirs"), F.col("sketch"), F.col("their_sketch")).alias("near_edited"),
-        likeness(F.col("digests"), F.col("next_digests"), F.col("sketch")).alias("near_next"),
+        likeness(F.col("digests"), F.col("theirs")).alias("near_edited"),
+        likeness(F.col("digests"), F.col("next_digests")).alias("near_next"),
     )
