@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let  # noqa: F401  (operators import it from here)
+from ..sources.shared import shared_dir
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Folder of each application for which none is configured; only local masters get one.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
-
-    Where neither is set, a temporary folder serves a local master, which has no other machine; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and (own := spark._jsc.sc().getCheckpointDir()).isDefined():
-        path = own.get()
-    if not path:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            _LOCAL[app] = tempfile.mkdtemp(prefix="lorekeep-")
-        path = _LOCAL[app]
-    return path.rstrip("/")
-
-
 class Scratch:
     """Tables that one computation writes to the shared folder. `drop` deletes those that a later table has replaced, `close`
     the rest, once the results that read them are written. Other computations' tables are never touched."""
@@ -63,11 +44,6 @@ def stored(df: DataFrame, tag: str, scratch: Scratch | None = None) -> DataFrame
     return (scratch or Scratch(df.sparkSession)).store(df, tag)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once; SQL lambdas have no other way to name a value."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def free(df: DataFrame, *names: str) -> list[str]:
     """names, with underscores put before until none is a column of df: for columns that come and go inside an operator."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -104,25 +80,29 @@ def successor(ids: DataFrame, col: str, to: str, step: int = 16) -> DataFrame:
     return level(start, "k", step).select(F.col("k").alias(col), F.col("n").alias(to))
 
 
-def components(edges: DataFrame, tag: str = "links", limit: int = 60, scratch: Scratch | None = None, hot: int = 1 << 20) -> DataFrame:
+#: Edges up to which all centres of a round are broadcast (a few MB); of more, only centres with over 1 / HOT_SHARE of them are.
+FEW_EDGES, HOT_SHARE = 1 << 17, 10_000
+
+
+def components(edges: DataFrame, tag: str = "links", limit: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component_id), the smallest id reachable, for every id in an edge.
 
     Alternating large-star and small-star rounds; each round's edges go to a table in the shared folder, so lineage stays
     short, and replace the last round's. A star's centre is found by aggregation and joined back, so no neighbour list is
-    gathered anywhere. Centres of more than `hot` edges (a 10,000th of all at least, so there are 20,000 at most) reach their
-    leaves by broadcast, not through one task."""
+    gathered anywhere, and no centre's leaves meet in one task: centres with over 1 / HOT_SHARE of the edges, 2 * HOT_SHARE at
+    most, are broadcast; so are all of them while there are FEW_EDGES edges at most, by count."""
     own = scratch or Scratch(edges.sparkSession)
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now, seen, total = own.store(edges.select("a", "b").where("a <> b").distinct(), tag), None, None
+    now, seen = own.store(edges.select("a", "b").where("a <> b").distinct(), tag), None
     total = now.count()
 
     def beside(rows: DataFrame, least: DataFrame) -> DataFrame:
         # least: (a, m, c), a row per a
-        if total <= hot:
-            return rows.join(least.drop("c"), "a")
-        many = least.where(F.col("c") > max(hot, total // 10_000))
-        cold = rows.join(F.broadcast(many.select("a")), "a", "left_anti").join(least.drop("c"), "a")
-        return cold.unionByName(rows.join(F.broadcast(many.drop("c")), "a"))
+        if total <= FEW_EDGES:
+            return rows.join(F.broadcast(least.drop("c")), "a")
+        hot = least.where(F.col("c") > max(2, total // HOT_SHARE))
+        cold = rows.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.drop("c"), "a")
+        return cold.unionByName(rows.join(F.broadcast(hot.drop("c")), "a"))
 
     for _ in range(limit):
         two = both(now)
