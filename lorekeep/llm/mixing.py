@@ -131,12 +131,12 @@ s4 AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, rnk ROWS BETW
 lv AS (SELECT lvl FROM s4 WHERE lvl <= ratio ORDER BY ratio, rnk LIMIT 1),
 goal AS (SELECT source, source_size, least(cap, coalesce((SELECT lvl FROM lv), 0) * w) AS target FROM s4),
 q AS (SELECT l.*, g.source_size, g.target, coalesce(sum(l.size) OVER (PARTITION BY l.source ORDER BY md5('7:' || l.doc_id), l.doc_id, l.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
-   FROM light l JOIN goal g ON l.source IS NOT DISTINCT FROM g.source)
-pk AS (SELECT source, st, least(64, size - at) AS words, (run * source_size + st + at + least(64, size - at)) / target AS finish
-   FROM (SELECT source, st, size, source_size, target, unnest([0, 1]) AS run FROM q WHERE size > 0) r, LATERAL (SELECT unnest(range(0, size, 64)) AS at) z),
+   FROM light l JOIN goal g ON l.source IS NOT DISTINCT FROM g.source),
+pk AS (SELECT source, st, least(64, size - pos) AS words, (run * source_size + st + pos + least(64, size - pos)) / target AS finish
+   FROM (SELECT source, st, size, source_size, target, unnest([0, 1]) AS run FROM q WHERE size > 0) r, LATERAL (SELECT unnest(range(0, size, 64)) AS pos) z),
 sv AS (SELECT source, st, greatest(0, least(words, (SELECT floor(sum(target)) FROM goal)
    - coalesce(sum(words) OVER (ORDER BY finish, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS got FROM pk),
 tk AS (SELECT source, st, sum(got) AS taken FROM sv GROUP BY source, st)
-SELECT doc_id, size, q.source_size, target, (st + size) / target AS virtual_finish, CAST(CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS BIGINT) AS taken
+SELECT doc_id, size, q.source_size, target, (q.st + size) / target AS virtual_finish, CAST(CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS BIGINT) AS taken
 FROM q LEFT JOIN tk ON q.source IS NOT DISTINCT FROM tk.source AND q.st = tk.st
 """

@@ -4,7 +4,8 @@ Base rules count over the whole text. Then every line is judged by itself; faili
 loses more than max_loss of its words is rejected.
 
 A null text has no lines and no words: it fails the base rules. Empty texts likewise. Repeated rows are judged each by
-itself; extra columns pass through `clean` untouched. Texts of any length are judged whole.
+itself. Extra columns pass through `passing` untouched, whatever they are called; `score` replaces those named like its results
+(RESULTS). Texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, words_of
+from .common import WORD, free, let, words_of
 
 #: The base rules' symbols, shortest document and largest share of repeated words (in hundredths).
 SYMBOLS, MIN_WORDS, MAX_REPEAT, WINDOW = "#*$%&|<>", 20, 30, 8
@@ -80,22 +81,31 @@ def judged_lines(text: Column) -> Column:
     return let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), look), repeated)
 
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept", "clean_text"]
+
+
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base counts, base_failed, lost_words, kept and clean_text."""
+    """docs with RESULTS: the base counts, base_failed, lost_words, kept and clean_text."""
+    return _scored(docs, text, RESULTS)
+
+
+def _scored(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """docs with RESULTS under other names."""
+    hashes, judged = free(docs, "_hashes", "_judged")
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, kept, clean_text = names
     t = F.coalesce(F.col(text), F.lit(""))
     n = lambda ls: F.filter(F.split(ls, "\n"), lambda x: x.rlike(WORD))
-    d = docs.withColumn("_h", F.transform(words_of(t), lambda w: F.xxhash64(w)))
-    d = d.withColumn("n_words", F.size("_h").cast("long"))
-    d = d.withColumn("word_chars", F.char_length(F.translate(t, " \t\n\u000b\f\r", "")).cast("long"))
-    d = d.withColumn("n_symbols", count_of(t, SYMBOLS).cast("long"))
-    d = d.withColumn("n_dup_lines", let(n(t), lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
-    d = d.withColumn("n_repeat_words", let(F.col("_h"), repeat_words))
-    d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    d = d.withColumn("_lines", judged_lines(F.col(text)))
-    d = d.withColumn("lost_words", F.aggregate("_lines", F.lit(0).cast("long"), lambda a, r: a + F.when(r["ok"], F.lit(0)).otherwise(r["words"])))
-    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * MAX_LOSS))
-    d = d.withColumn("clean_text", F.array_join(F.transform(F.filter("_lines", lambda r: r["ok"]), lambda r: r["line"]), "\n"))
-    return d.drop("_h", "_lines")
+    d = docs.withColumn(hashes, F.transform(words_of(t), lambda w: F.xxhash64(w))).withColumn(judged, judged_lines(F.col(text)))
+    d = d.withColumn(n_words, F.size(hashes).cast("long"))
+    d = d.withColumn(word_chars, F.char_length(F.translate(t, " \t\n\u000b\f\r", "")).cast("long"))
+    d = d.withColumn(n_symbols, count_of(t, SYMBOLS).cast("long"))
+    d = d.withColumn(n_dup_lines, let(n(t), lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
+    d = d.withColumn(n_repeat_words, let(F.col(hashes), repeat_words))
+    d = d.withColumn(base_failed, (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat_words) > MAX_REPEAT * F.col(n_words)))
+    d = d.withColumn(lost_words, F.aggregate(judged, F.lit(0).cast("long"), lambda a, r: a + F.when(r["ok"], F.lit(0)).otherwise(r["words"])))
+    d = d.withColumn(kept, ~F.col(base_failed) & (F.col(lost_words) <= F.col(n_words) * MAX_LOSS))
+    d = d.withColumn(clean_text, F.array_join(F.transform(F.filter(judged, lambda r: r["ok"]), lambda r: r["line"]), "\n"))
+    return d.drop(hashes, judged)
 
 
 def passing(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -103,6 +113,27 @@ def passing(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The choice goes through a generator: a plain filter would be pushed below the columns it reads, which the optimizer
     would then compute again inside it, once for every mention."""
-    d = score(docs, text).withColumn("_pass", F.when(F.col("kept"), F.array(F.struct(F.col("clean_text").alias("t")))).otherwise(F.array()))
-    d = d.select(*[c for c in docs.columns if c != text], F.explode_outer("_pass").alias("_p")).where(F.col("_p").isNotNull())
-    return d.withColumn(text, F.col("_p.t")).select(*docs.columns)
+    names = free(docs, *[f"_{x}" for x in RESULTS])
+    pick, got = free(docs, "_pick", "_got")
+    d = _scored(docs, text, names).withColumn(pick, F.when(F.col(names[7]), F.array(F.struct(F.col(names[8]).alias("t")))).otherwise(F.array()))
+    d = d.select(*[f"`{c}`" for c in docs.columns if c != text], F.explode_outer(pick).alias(got)).where(F.col(got).isNotNull())
+    return d.withColumn(text, F.col(f"{got}.t")).select(*[f"`{c}`" for c in docs.columns])
+
+
+_FURNITURE = "|".join(PHRASES)
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t, text IS NULL AS nul FROM documents), w AS (SELECT n, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g0 AS (SELECT n, list_transform(range(1, len(ws) - {WINDOW - 2}), lambda i: array_to_string(ws[i:(i + {WINDOW - 1})], ' ')) AS gs FROM w WHERE len(ws) > {WINDOW}),
+g1 AS (SELECT n, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM g0), g2 AS (SELECT n, i, count(*) OVER (PARTITION BY n, g) AS c FROM g1),
+g3 AS (SELECT n, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY n ORDER BY i) - i, {WINDOW})) AS k FROM g2 WHERE c > 1), rep AS (SELECT n, sum(k) AS k FROM g3 GROUP BY n),
+l0 AS (SELECT n, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+l1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, lower(line) AS low, length(line) - length(translate(line, '{SYMBOLS}', '')) AS sy, length(line) - length(replace(line, '|', '')) AS ba, length(line) - length(replace(line, '!', '')) AS ex,
+  count(*) OVER (PARTITION BY n, line) AS c, row_number() OVER (PARTITION BY n, line ORDER BY i) AS r FROM l0),
+l2 AS (SELECT *, (sy >= 3 AND 5 * sy > w) OR (ba >= 3 AND 6 * ba > w) OR (w >= 3 AND upper(line) = line AND low <> line) OR (w >= 3 AND 3 * ex > w)
+  OR (w BETWEEN 1 AND 3 AND NOT regexp_matches(line, '[.!?:;,…。！？][''"”»)\]]*\s*$')) OR (w <= 30 AND regexp_matches(low, '{_FURNITURE}')) OR (c >= 3 AND r > 1 AND w > 0) AS bad FROM l1),
+l3 AS (SELECT n, sum(CASE WHEN bad THEN w ELSE 0 END) AS lost, count(*) FILTER (w > 0) - count(DISTINCT line) FILTER (w > 0) AS dups FROM l2 GROUP BY n),
+x AS (SELECT d.n, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(coalesce(k, 0) AS BIGINT) AS n_repeat_words, CAST(lost AS BIGINT) AS lost_words
+  FROM d JOIN w ON d.n = w.n JOIN l3 ON d.n = l3.n LEFT JOIN rep ON d.n = rep.n),
+y AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost_words <= n_words * {MAX_LOSS}::DOUBLE AS kept, lost_words FROM y
+"""

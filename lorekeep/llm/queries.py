@@ -50,7 +50,9 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate: place, kind, digest of the candidate, probability and verdict."""
-    d = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled(spark)))
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.corpus_words(docs)
+    d = secrets.scan(docs, secrets.fit(secrets.labelled(spark, words=words), words=words), words=words)
     d = d.select("doc_id", F.explode_outer("findings").alias("f")).where(F.col("f").isNotNull())  # no filter below the scan, which would repeat it
     return d.select("doc_id", "f.start", "f.length", "f.kind", F.sha2("f.candidate", 256).alias("candidate_sha256"), "f.probability", "f.secret")
 
@@ -70,4 +72,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_html, op4_sharding, op5_bpe, op6_jaccard, op7_secrets, op8_warc, op9_language, op10_mixing)}
-ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_quality": quality.ORACLE, "op4_sharding": sharding.ORACLE, "op8_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
