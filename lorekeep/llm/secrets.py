@@ -6,11 +6,13 @@ characters, digits and upper case, shape (hexadecimal, identifier, dashes), path
 labelled findings decides; its trees are then written as one SQL expression, so that scan, verdict and redaction happen
 within the row: nothing is exploded or shuffled.
 
-Labelled findings are a table (before, candidate, after, label). Where none is given, `labelled` makes TRAIN_ROWS of them:
-keys with the words that announce them, against checksums, identifiers, paths, versions and long words.
+Labelled findings are a table (before, candidate, after, label). Where none is given, `labelled` makes TRAIN_ROWS of them: keys,
+half of them without a word that announces them, against checksums, identifiers, paths and names, and against what stands where a
+key would: placeholders, sequences, variable names and checksums after `token =`. Shapes and words occur on either side.
+The dictionary is WORDS and, from `corpus_words`, the most frequent words of the texts themselves, counted over all of them.
 
-Null and empty texts have no findings. Repeated rows are scanned each; extra columns pass through. Texts of any length are
-scanned whole; a document's candidates are taken apart once, by one split.
+Null and empty texts have no findings. Repeated rows are scanned each; extra columns pass through, but one named findings (`scan`)
+or n_secrets (`redact`) is replaced. Texts of any length are scanned whole; a document's candidates are taken apart once, by one split.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free, let
 
 #: Rows of labelled findings that the forest is fitted on at most; trees and depth.
-TRAIN_ROWS, TREES, DEPTH, SEED, THRESHOLD = 6000, 16, 6, 11, 0.5
+TRAIN_ROWS, TREES, DEPTH, SEED, THRESHOLD = 6000, 16, 8, 11, 0.5
+#: Words of the corpus that join the dictionary, of LETTERS letters at least.
+VOCABULARY, LETTERS = 1000, 4
 #: What may be a secret. A run of any length is one candidate; possessive quantifiers, since what ends a run isn't part of it.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
@@ -39,18 +43,27 @@ WORDS = [
 ]
 ANNOUNCE = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|credential|bearer|authorization|private[_ -]?key|auth)\W{0,12}$"
 OTHER = r"(?i)(sha-?(1|256|512)|md5|checksum|digest|commit|revision|hash|etag|uuid|guid|integrity|fingerprint|build|version|id)\W{0,12}$"
-FEATURES = ["length", "changes", "dictionary", "different", "digits", "upper", "hex", "dashes", "known", "path", "announced", "other", "assigned", "quoted"]
+PLACEHOLDER = r"(?i)example|sample|placeholder|change-?_?me|your[-_]|dummy|insert|redacted|(.)\1{5}|0?123456|abcdef0?1?2?3|qwerty"
+FEATURES = ["placeholder", "length", "changes", "dictionary", "different", "digits", "upper", "hex", "dashes", "known", "path", "announced", "other", "assigned", "quoted"]
 
 
-def features(before: Column, c: Column, after: Column) -> Column:
-    """Struct of FEATURES, doubles."""
+def corpus_words(docs: DataFrame, text: str = "text", n: int = VOCABULARY) -> list[str]:
+    """The n most frequent words (a-z, lower case) of all texts, ties by word: counted with map-side combination, n come to the driver."""
+    words = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"([a-z]{{{LETTERS},}})"), F.lit(1)))
+    top = docs.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "w").limit(n)
+    return [r["w"] for r in top.collect()]
+
+
+def features(before: Column, c: Column, after: Column, words: list[str] | None = None) -> Column:
+    """Struct of FEATURES, doubles. words: dictionary besides WORDS."""
     n = F.char_length(c).cast("double")
     classes = F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
     share = lambda rx: F.regexp_count(c, F.lit(rx)) / n
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
-    cover = (n - F.char_length(F.regexp_replace(F.lower(c), "|".join(sorted(WORDS, key=lambda w: (-len(w), w))), ""))) / n
+    cover = (n - F.char_length(F.regexp_replace(F.lower(c), "|".join(sorted({*WORDS, *(words or [])}, key=lambda w: (-len(w), w))), ""))) / n
     known = c.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^sk-|^xox[abprs]-|^AIza|^eyJ|^-----BEGIN|^glpat-|^npm_")
     values = [
+        flag(c.rlike(PLACEHOLDER)),
         F.least(n, F.lit(200.0)),
         F.regexp_count(classes, F.lit("(?<=a)[^a]|(?<=A)[^A]|(?<=0)[^0]")) / n,
         cover,
@@ -69,37 +82,52 @@ def features(before: Column, c: Column, after: Column) -> Column:
     return F.struct(*[v.cast("double").alias(k) for k, v in zip(FEATURES, values, strict=True)])
 
 
-def labelled(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
-    """Labelled findings (before, candidate, after, label), made from hashes of row numbers."""
+def labelled(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = SEED, words: list[str] | None = None) -> DataFrame:
+    """Labelled findings (before, candidate, after, label), made from hashes of row numbers. words: what names are made of besides WORDS."""
     d = spark.range(0, rows, 1, 4)
     pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(len(xs))) + 1).cast("int"))
+    of = lambda n, *xs: F.element_at(F.array(*xs), n + 1)
     hx = lambda k: F.sha2(F.concat_ws("/", "id", F.lit(seed), F.lit(k)), 256)
     b64 = lambda k: F.translate(F.base64(F.unhex(hx(k))), "=\r\n", "")
     num = lambda k, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(n)).cast("int")
-    secret = F.element_at(F.array(
-        F.substring(hx(1), 1, 40), F.substring(hx(1), 1, 32), hx(1), b64(1), F.substring(F.translate(b64(1), "+/", "xY"), F.lit(1), 20 + num(2, 20)), F.concat(F.lit("AKIA"), F.upper(F.substring(hx(1), 1, 16))),
-        F.concat(F.lit("ghp_"), F.substring(F.translate(b64(1), "+/", "aB"), 1, 36)), F.concat(F.lit("sk-"), F.translate(b64(1), "+/", "cD")), F.concat(F.lit("eyJ"), b64(1), F.lit("."), b64(2), F.lit("."), b64(3)),
-    ), num(3, 9) + 1)
-    w = lambda k: pick(WORDS, k)
-    other = F.element_at(F.array(
-        F.substring(hx(1), 1, 40), hx(1), F.substring(hx(1), 1, 32), F.concat_ws("-", F.substring(hx(1), 1, 8), F.substring(hx(1), 9, 4), F.substring(hx(1), 13, 4), F.substring(hx(1), 17, 4), F.substring(hx(1), 21, 12)),
-        F.concat_ws("/", w(4), w(5), F.concat(w(6), num(7, 99).cast("string"))), F.concat_ws("_", w(4), w(5), w(6), num(7, 2030).cast("string")), F.concat_ws("-", w(4), w(5), w(6), num(7, 2030).cast("string")),
+    vocabulary = sorted({*WORDS, *(words or [])[:200]})
+    w = lambda k: pick(vocabulary, k)
+    plain = [F.substring(hx(1), 1, 40), F.substring(hx(1), 1, 32), hx(1)]  # a key and a checksum look alike
+    key = of(
+        num(3, 10), *plain, b64(1), F.substring(F.translate(b64(1), "+/", "xY"), F.lit(1), 20 + num(2, 20)), F.concat(F.lit("AKIA"), F.upper(F.substring(hx(1), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.translate(b64(1), "+/", "aB"), 1, 36)),
+        F.concat(F.lit("sk-"), F.translate(b64(1), "+/", "cD")), F.concat(F.lit("eyJ"), b64(1), F.lit("."), b64(2), F.lit("."), b64(3)), F.concat(F.substring(F.translate(b64(1), "+/", "aZ"), 1, 10), F.lit("-"), F.substring(F.translate(b64(2), "+/", "q7"), 1, 12)),
+    )
+    digest = of(num(3, 4), *plain, F.concat_ws("-", F.substring(hx(1), 1, 8), F.substring(hx(1), 9, 4), F.substring(hx(1), 13, 4), F.substring(hx(1), 17, 4), F.substring(hx(1), 21, 12)))
+    name = of(
+        num(3, 5), F.concat_ws("/", w(4), w(5), F.concat(w(6), num(7, 99).cast("string"))), F.concat_ws("_", w(4), w(5), w(6), num(7, 2030).cast("string")), F.concat_ws("-", w(4), w(5), w(6), num(7, 2030).cast("string")),
         F.concat(F.initcap(w(4)), F.initcap(w(5)), F.initcap(w(6)), F.initcap(w(8)), num(7, 99).cast("string")), F.concat(w(4), w(5), w(6), w(8), num(7, 9999).cast("string")),
-    ), num(3, 9) + 1)
-    d = d.withColumn("label", (num(9, 2) == 1).cast("double"))
-    digestlike = (F.col("label") == 0) & (num(3, 9) < 4)
-    intro = pick(["token = \"", "secret: ", "password=", "api_key = '", "API-Key: ", "Authorization: Bearer ", "access_key=\"", "auth ", "credentials ", "pwd: ", "private_key: "], 10)
-    calm = pick(["see ", "in the ", "", "/", "file ", "https://example.com/", "name ", "the page ", "open ", "= ", "\"", "ref: "], 11)
-    sums = pick(["sha256: ", "commit ", "md5 ", "checksum ", "uuid = ", "hash: ", "etag \"", "revision ", "integrity=sha256 ", "build ", "id: "], 12)
+    )
+    stand_in = of(
+        num(3, 8), F.concat(F.lit("your_"), w(4), F.lit("_key_here_"), num(7, 99).cast("string")), F.concat(F.lit("EXAMPLE"), F.upper(F.substring(hx(1), 1, 16))), F.concat(F.lit("changeme"), num(7, 99999999).cast("string"), F.lit("00000")), F.concat(F.repeat(pick(["x", "0", "a", "f"], 5), 24 + num(6, 16)), F.lit("a1")),
+        F.concat(F.lit("0123456789abcdef"), F.repeat(F.lit("0123456789abcdef"), num(6, 3))), F.concat(F.upper(w(4)), F.lit("_"), F.upper(w(5)), F.lit("_TOKEN_"), num(7, 9).cast("string"), F.lit("_V2")), F.concat_ws("/", F.lit("etc"), w(4), w(5), F.concat(F.lit("key"), num(7, 99).cast("string"))), F.concat(F.lit("abcdef0123456789"), F.substring(hx(1), 1, 4)),
+    )
+    secrets_ = ['token = "', "secret: ", "password=", "api_key = '", "API-Key: ", "Authorization: Bearer ", 'access_key="', "auth ", "credentials ", "pwd: ", "private_key: "]
+    neutral = ["see ", "in the ", "", "name ", "open ", '"', "value: ", "use ", "x = '", "ref: ", "k=", "https://example.com/?q="]
+    sums = ["sha256: ", "commit ", "md5 ", "checksum ", "uuid = ", "hash: ", 'etag "', "revision ", "integrity=sha256 ", "build ", "id: ", "token sha256: ", "secret checksum "]
+    places = ["/", "file ", "https://example.com/", "the page ", "src/", "see ", "import ", "in the ", "= ", '"']
+    part = num(9, 20)  # 0-9 keys, then digests, names, stand-ins
+    label = part < 10
     lead = pick(["It was so that ", "the end. ", "config ", "\n", "et de la ", "und die ", ""], 13)
-    before = F.concat(lead, F.when(F.col("label") == 1, intro).when(digestlike, sums).otherwise(calm))
-    after = F.when(F.substring(before, -1, 1) == '"', F.lit('" of')).when(F.substring(before, -1, 1) == "'", F.lit("' of")).otherwise(F.lit(" of the"))
-    return d.select(before.alias("before"), F.when(F.col("label") == 1, secret).otherwise(other).alias("candidate"), after.alias("after"), "label")
-
-
-def fit(findings: DataFrame, rows: int = TRAIN_ROWS) -> RandomForestClassificationModel:
-    """A forest on at most `rows` labelled findings."""
-    x = findings.limit(rows).select("label", features(F.col("before"), F.col("candidate"), F.col("after")).alias("f")).select("label", "f.*")
+    intro = (
+        F.when(label & (part < 6), pick(secrets_, 10)).when(label, pick(neutral, 10)).when(part < 14, F.when(num(14, 5) == 0, pick(neutral, 10)).otherwise(pick(sums, 10)))
+        .when(part < 18, F.when(num(14, 4) == 0, pick(secrets_, 10)).otherwise(pick(places, 10))).otherwise(F.when(num(14, 4) == 0, pick(neutral, 10)).otherwise(pick(secrets_, 10)))
+    )
+    before = F.concat(lead, intro)
+    # a key without a word before it is told by its shape: bare hexadecimal runs there are checksums as often as not
+    shape = F.when(label, key).when(part < 14, digest).when(part < 18, name).otherwise(stand_in)
+    last = F.substring(before, -1, 1)
+    after = F.when(last == '"', F.lit('" of')).when(last == "'", F.lit("' of")).otherwise(F.lit(" of the"))
+    return d.select(before.alias("before"), shape.alias("candidate"), after.alias("after"), label.cast("double").alias("label"))
+
+
+def fit(findings: DataFrame, rows: int = TRAIN_ROWS, words: list[str] | None = None) -> RandomForestClassificationModel:
+    """A forest on at most `rows` labelled findings; words as in `features`."""
+    x = findings.limit(rows).select("label", features(F.col("before"), F.col("candidate"), F.col("after"), words).alias("f")).select("label", "f.*")
     x = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(x).select("label", "v").coalesce(4)
     return RandomForestClassifier(labelCol="label", featuresCol="v", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=5).fit(x)
 
@@ -128,32 +156,40 @@ def kind_of(c: Column) -> Column:
     return out
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text") -> DataFrame:
-    """docs with findings: array of (start, length, kind, candidate, probability, secret) in order; start counts code points from 0.
-
-    The text is split at its candidates once; a place is the running length of what precedes it. Texts without a candidate
-    stop at one pattern test."""
+def _found(docs: DataFrame, model: RandomForestClassificationModel, text: str, words: list[str] | None, name: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,length:int,kind:string,candidate:string,probability:double,secret:boolean>>")
-    d = docs.withColumn("_m", F.when(t.rlike(r"[A-Za-z0-9+/_-]{16}|-----BEGIN"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("_p", F.when(F.size("_m") > 0, F.split(t, CANDIDATE)).otherwise(F.array().cast("array<string>")))
-    run = lambda k: F.aggregate(F.slice("_p", F.lit(1), k + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(F.slice("_m", F.lit(1), k), F.lit(0), lambda a, x: a + F.char_length(x))
+    hits, rest = free(docs, "_hits", "_rest")
+    # a pre-test that every candidate passes: a run of keys' characters, a web token's head or a block's first line
+    d = docs.withColumn(hits, F.when(t.rlike(r"[A-Za-z0-9+/_-]{16}|\beyJ|-----BEGIN"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn(rest, F.when(F.size(hits) > 0, F.split(t, CANDIDATE)).otherwise(F.array().cast("array<string>")))
+    run = lambda k: F.aggregate(F.slice(rest, F.lit(1), k + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(F.slice(hits, F.lit(1), k), F.lit(0), lambda a, x: a + F.char_length(x))
 
     def one(c: Column, k: Column) -> Column:
-        # a prefix of the length the patterns look at; the candidate before, if adjacent, is not part of it
-        f = features(F.substring(F.get("_p", k), -64, 64), c, F.substring(F.get("_p", k + 1), 1, 16))
+        # before and after as far as the patterns look; the candidate before, if adjacent, is not part of it
+        f = features(F.substring(F.get(rest, k), -64, 64), c, F.substring(F.get(rest, k + 1), 1, 16), words)
         verdict = let(f, lambda v: as_expression(model, v))
         return let(verdict, lambda p: F.struct(run(k).alias("start"), F.char_length(c).alias("length"), kind_of(c).alias("kind"), c.alias("candidate"), F.round(p, 6).alias("probability"), (p >= THRESHOLD).alias("secret")))
 
-    return d.withColumn("findings", F.when(F.size("_m") == 0, none).otherwise(F.transform("_m", one))).drop("_m", "_p")
+    return d.withColumn(name, F.when(F.size(hits) == 0, none).otherwise(F.transform(hits, one))).drop(hits, rest)
+
+
+def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", words: list[str] | None = None) -> DataFrame:
+    """docs with findings: array of (start, length, kind, candidate, probability, secret) in order; start counts code points from 0. words
+    as in `fit`.
+
+    The text is split at its candidates once; a place is the running length of what precedes it. Texts without a candidate
+    stop at one pattern test."""
+    return _found(docs, model, text, words, "findings")
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", words: list[str] | None = None) -> DataFrame:
     """docs with each secret in the text replaced by [SECRET:kind], and n_secrets."""
-    d = scan(docs, model, text).withColumn("_s", F.filter("findings", lambda x: x["secret"])).withColumn("n_secrets", F.size("_s"))
+    (own,) = free(docs, "_secrets")
+    d = _found(docs, model, text, words, own).withColumn(own, F.filter(own, lambda x: x["secret"])).withColumn("n_secrets", F.size(own))
     piece = lambda x, k: F.concat(
-        let(F.coalesce(F.get("_s", k - 1)["start"] + F.get("_s", k - 1)["length"], F.lit(0)), lambda b: F.substring(F.col(text), b + 1, x["start"] - b)), F.lit("[SECRET:"), x["kind"], F.lit("]")
+        let(F.coalesce(F.get(own, k - 1)["start"] + F.get(own, k - 1)["length"], F.lit(0)), lambda b: F.substring(F.col(text), b + 1, x["start"] - b)), F.lit("[SECRET:"), x["kind"], F.lit("]")
     )
-    last = let(F.get("_s", F.size("_s") - 1), lambda x: F.substring(F.col(text), x["start"] + x["length"] + 1, F.char_length(text)))
-    clean = F.when(F.size("_s") == 0, F.col(text)).otherwise(F.concat(F.array_join(F.transform("_s", piece), ""), last))
-    return d.withColumn(text, clean).drop("_s", "findings")
+    last = let(F.get(own, F.size(own) - 1), lambda x: F.substring(F.col(text), x["start"] + x["length"] + 1, F.char_length(text)))
+    clean = F.when(F.size(own) == 0, F.col(text)).otherwise(F.concat(F.array_join(F.transform(own, piece), ""), last))
+    return d.withColumn(text, clean).drop(own)
