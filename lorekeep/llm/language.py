@@ -25,6 +25,8 @@ from .common import free, stored
 #: Rows the text model is fitted on, hashed trigrams, tempering, and pseudo-counts of the host, site and likelihood levels.
 TRAIN_ROWS, CELLS, TEMPER, FLOOR = 4000, 1 << 15, 0.25, 0.5
 HOST_WEIGHT, SITE_WEIGHT, DECLARED_WEIGHT = 5.0, 20.0, 2.0
+#: Rows of a table of declared values that is broadcast; a host with over 1 / HOT_SHARE of all rows (so HOT_SHARE at most) is, too.
+SMALL, HOT_SHARE = 100_000, 10_000
 
 
 def cells(text: str) -> np.ndarray:
@@ -104,13 +106,19 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
         g = s.where(F.col(c).isNotNull()).groupBy(c).agg(_sums(n).alias("k"))
         total = g.agg(F.array(*[F.sum(F.col("k")[i]) for i in range(n)]).alias("t"), F.count("*").alias("v"))
         # one row of totals; the table has a row for each declared value
-        return g.crossJoin(F.broadcast(total)).select(F.col(c).alias(f"_{c}"), F.zip_with("k", "t", lambda k, t: F.log((k + DECLARED_WEIGHT / F.col("v")) / (t + DECLARED_WEIGHT))).alias(f"ll_{c}"))
+        g = g.crossJoin(F.broadcast(total)).select(F.col(c).alias(f"_{c}"), F.zip_with("k", "t", lambda k, t: F.log((k + DECLARED_WEIGHT / F.col("v")) / (t + DECLARED_WEIGHT))).alias(f"ll_{c}"))
+        g = stored(g, "declared")
+        return F.broadcast(g) if g.count() <= SMALL else g
 
     mean = lambda k, m, up, w: F.zip_with(k, up, lambda x, p: (x + w * p) / (m + w))
     site = s.where("site is not null").groupBy("site").agg(_sums(n).alias("k"), F.count("*").alias("m")).crossJoin(F.broadcast(whole)).select("site", mean(F.col("k"), F.col("m"), F.col("corpus"), SITE_WEIGHT).alias("up"))
     host = s.where("host is not null").groupBy("host", "site").agg(_sums(n).alias("k"), F.count("*").alias("m")).join(site, "site", "left").crossJoin(F.broadcast(whole))
-    host = host.select(F.col("host").alias("_host"), F.col("site").alias("_site"), mean(F.col("k"), F.col("m"), F.coalesce("up", "corpus"), HOST_WEIGHT).alias("prior"))
-    out = s.join(host, (F.col("host") == F.col("_host")) & F.col("site").eqNullSafe(F.col("_site")), "left").crossJoin(F.broadcast(whole))
+    host = host.select(F.col("host").alias("_host"), F.col("site").alias("_site"), mean(F.col("k"), F.col("m"), F.coalesce("up", "corpus"), HOST_WEIGHT).alias("prior"), "m")
+    # a host that holds much of the corpus would be one task: those few reach their rows by broadcast, the rest by a join
+    hot, same = host.where(F.col("m") > max(1, scored.count() // HOT_SHARE)).drop("m"), (F.col("host") == F.col("_host")) & F.col("site").eqNullSafe(F.col("_site"))
+    warm = s.join(F.broadcast(hot), same)
+    cold = s.join(F.broadcast(hot), same, "left_anti").join(host.drop("m"), same, "left")
+    out = warm.unionByName(cold).crossJoin(F.broadcast(whole))
     total = plus(F.col("ll"), F.transform(F.coalesce("prior", "corpus"), lambda x: F.log(x)))
     for c in ("declared", "suffix"):
         out = out.join(given(c), F.col(c) == F.col(f"_{c}"), "left")

@@ -2,6 +2,7 @@
 
 import hashlib
 import html as H
+import os
 import random
 import re
 from collections import Counter
@@ -449,20 +450,158 @@ def test_mixing_keeps_clashing_columns(spark, docs):
     assert mixing.mixed(twice).columns == [*d.columns, "virtual_finish"] and mixing.mixed(twice).schema["virtual_finish"].dataType.typeName() == "double"
 
 
+BIG = (1 << 60) + 1
+
+
+def test_large_ids_beside_nulls(spark):
+    """Ids above 2 ** 53 in a batch with nulls come back as they are."""
+    ids = [BIG, None, BIG + 2]
+    d = spark.createDataFrame([(i, "the thing and the other", "en", "s", 9) for i in ids], DOC).coalesce(1)
+    p = spark.createDataFrame([(i, f"http://h.x/{n}", f"<p>body {n}") for n, i in enumerate(ids)], PAGE).coalesce(1)
+    assert {r["doc_id"] for r in bpe.digests(d, *queries.rank_file(), ["doc_id"]).collect()} == set(ids)
+    assert {(r["page_id"], r["text"]) for r in html.extract(p).collect()} == {(i, f"body {n}") for n, i in enumerate(ids)}
+    assert {r["pair_id"] for r in html.extract(p).collect()} <= {*ids} and {(r["doc_id"], r["page_id"]) for r in language.identify(d, p).collect()} == {(i, None) for i in ids} | {(None, i) for i in ids}
+    assert {r["doc_id"] for r in jaccard.link_components(d, 3, 90).collect()} == set(ids)
+
+
+def test_columns_of_any_name(spark, docs):
+    """Columns of the caller that are called like an operator's own keep their values, or are replaced where the docstring says so."""
+    names = ["n_words", "kept", "clean_text", "_hashes", "_judged", "_pick", "_got", "lost_words"]
+    d = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    got = quality.passing(d)
+    assert got.columns == d.columns and got.count() and all(r[n] == n for r in got.collect() for n in names)
+    assert sorted(quality.score(d).columns) == sorted({*d.columns, *quality.RESULTS}) and quality.score(d).schema["n_words"].dataType.typeName() == "long"
+    for key in ("depth", "prefix", "h", "bytes", "shard", "oversized"):
+        r = sharding.shard_documents(docs.select(F.col("doc_id").alias(key), "text"), 20_000, key).collect()
+        assert sorted(str(x[0]) for x in r) == sorted(str(x[0]) for x in docs.select("doc_id").collect()) and len(r[0]) == 5
+    e = bpe.encode_texts(docs.select("doc_id", "text", F.lit("mine").alias("ids"), F.lit("_t").alias("_text")), *queries.rank_file())
+    back = bpe.decode_ids(e.withColumn("ids", F.when(F.col("text").isNotNull(), F.col("ids"))), *queries.rank_file()).collect()
+    assert all(bytes(r["decoded"]).decode() == (r["text"] or "") and r["_text"] == "_t" for r in back)
+    assert bpe.digests(docs.select("doc_id", "text", F.lit("x").alias("_text")), *queries.rank_file(), ["doc_id", "_text"]).first()["_text"] == "x"
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_write_shards(spark, docs, rows, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(sharding, "SMALL_DIRECTORY", small)
+    d = docs.withColumn("shard", F.lit("mine")).withColumn("depth", F.lit(7))
+    sharding.write_shards(d, str(tmp_path / "a"), 20_000)
+    got = spark.read.option("basePath", str(tmp_path / "a")).schema(d.schema).parquet(str(tmp_path / "a")).collect()
+    want = {}
+    for r in sharding.shard_documents(docs, 20_000).collect():
+        want.setdefault(r["doc_id"], set()).add(r["shard"])
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(str(r[:2]) for r in rows) and all(str(r["shard"]) in want[r["doc_id"]] and r["depth"] == 7 for r in got)
+    bits = {r[0]: "".join(f"{int(c, 16):04b}" for c in hashlib.md5(f"{'' if r[0] is None else r[0]}\0{r[1] or ''}".encode()).hexdigest()[:15]) for r in rows}
+    assert all(bits[r["doc_id"]].startswith(r["shard"]) for r in sharding.shard_documents(docs, 20_000).collect())
+
+
+def test_keep_one_of_repeated_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    d = spark.createDataFrame([(1, a, "x"), (1, a, "y"), (2, a, "z"), (3, b, "x"), (3, b + " more", "y"), (None, a, "n"), (None, a, "n"), (5, "", "e"), (6, None, "e")], "doc_id long, text string, _n string")
+    got = jaccard.keep_one(d)
+    assert got.columns == d.columns and sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "3", "5", "6", "None", "None"]
+
+
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_components(spark, monkeypatch, few):
+    """Chains, stars and a clique, with centres broadcast or split by load."""
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(2000 + i, 2000 + j) for i in range(9) for j in range(i)] + [(7, 7)]
+    random.Random(1).shuffle(edges)
+    scratch = common.Scratch(spark)
+    got = dict(common.components(spark.createDataFrame(edges, "a long, b long"), scratch=scratch).collect())
+    assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(80)} | {2000 + i: 2000 for i in range(9)}
+    assert len(scratch.paths) == 1 and common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_scratch_leaves_other_tables(spark):
+    """A computation that closes its scratch tables doesn't take another's."""
+    one, two = common.Scratch(spark), common.Scratch(spark)
+    a, b = one.store(spark.range(3), "t"), two.store(spark.range(4), "t")
+    c = one.store(spark.range(5), "t")
+    one.drop(a)
+    assert c.count() == 5 and b.count() == 4
+    one.close()
+    assert b.count() == 4 and not one.paths
+
+
+def test_language_on_held_out_rows(spark):
+    """Fitted on half of the supplied documents, judged on the other half."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no supplied tables")
+    d = spark.read.parquet(f"{folder}/documents.parquet").where("length(text) >= 40")
+    model = language.fit(d.where("doc_id % 2 = 0"))
+    got = language.text_scores(d.where("doc_id % 2 = 1"), model, "text", ["doc_id", "lang"]).collect()
+    right = sum(model[0][max(range(len(model[0])), key=lambda i: r["ll"][i])] == r["lang"] for r in got)
+    assert right >= 0.97 * len(got)
+
+
+def test_language_of_hot_hosts(spark, monkeypatch):
+    """The split into few hosts that are broadcast and the rest gives the same rows."""
+    en, de = "the thing and the other of them is here ", "das ding und der andere von ihnen ist hier "
+    d = spark.createDataFrame([(i, (en, de)[i % 2], ("en", "de")[i % 2], (None, "hot", f"s{i}")[i % 3], 0) for i in range(60)], DOC)
+    p = spark.createDataFrame([(i, f"http://w{i % 3}.x.{('com', 'de')[i % 2]}/{i}", f"<html lang={('en', 'de')[i % 2]}><p>{(en, de)[i % 2]}</p>") for i in range(30)], PAGE)
+    run = lambda: sorted((str(r["doc_id"]), str(r["page_id"]), r["lang"], round(r["confidence"], 9)) for r in language.identify(d, p).collect())
+    first = run()
+    monkeypatch.setattr(language, "HOT_SHARE", 4)
+    monkeypatch.setattr(language, "SMALL", 0)
+    assert run() == first and len(first) == 90
+
+
+def _plain_passing(text):
+    """The quality rules on one text in plain Python: the cleaned text, or None."""
+    n_words, _, _, _, repeats = _base(text)
+    seen, lines, lost = Counter(), [], 0
+    every = Counter((text or "").split("\n"))
+    for line in (text or "").split("\n"):
+        w, low = len(WORD.findall(line)), line.lower()
+        symbols = sum(ch in quality.SYMBOLS for ch in line)
+        bad = (symbols >= 3 and 5 * symbols > w) or (line.count("|") >= 3 and 6 * line.count("|") > w) or (w >= 3 and line.upper() == line and low != line) or (w >= 3 and 3 * line.count("!") > w)
+        bad = bad or (1 <= w <= 3 and not re.search(r"[.!?:;,…。！？]['\"”»)\]]*[ \t\n\v\f\r]*$", line)) or (w <= 30 and any(x in low for x in quality.PHRASES)) or (w > 0 and every[line] >= 3 and seen[line] > 0)
+        seen[line] += 1
+        lost += w * bad
+        lines += [] if bad else [line]
+    failed = n_words < 20 or 100 * repeats > 30 * n_words
+    return None if failed or lost > 0.3 * n_words else "\n".join(lines)
+
+
 def test_pipeline_against_plain_python(spark, tmp_path, rows):
+    """Every stage on what its predecessor kept: quality, near copies and encoding against plain Python, the mix against a queue of
+    packets (its order too), secrets against the places where they were planted."""
     pipe = pytest.importorskip("corpus_pipeline")
-    d = spark.createDataFrame([r for r in rows if r[0] is not None], DOC).dropDuplicates(["doc_id"])
+    key = hashlib.sha1(b"key").hexdigest()
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(r.randrange(500)) for _ in range(n)) + "."
+    more = [(500 + i, prose(40) + (f' The token = "{key}" is here.\n' if i % 3 == 0 else "\n") + prose(30) + ("\nmenu" if i % 4 == 0 else ""), "en", ("a", "b")[i % 2], 0) for i in range(12)]
+    d = spark.createDataFrame([x for x in rows if x[0] is not None] + more, DOC).dropDuplicates(["doc_id"])
     d.write.parquet(str(tmp_path / "documents.parquet"))
-    docs, kept = d, None
+    docs = d
     for name, stage in pipe.STAGES:
+        before = docs.collect()
         out = stage(spark, docs, str(tmp_path))
-        if name != "bpe":
-            assert out.columns == docs.columns
-        if name == "near_duplicates":
-            seen = {r["doc_id"]: r["text"] for r in docs.collect()}
-            kept = sorted(i for i, _, c in _links(list(seen.items()), 5, 80) if i == c)
-            assert sorted(r["doc_id"] for r in out.collect()) == kept
+        assert out.columns == docs.columns or name == "bpe"
         out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-    assert kept and {r["doc_id"] for r in docs.collect()} <= set(kept)
-    assert pipe.run(spark, str(tmp_path)).count() == docs.count()
+        docs = spark.read.schema(out.schema).parquet(str(tmp_path / name))
+        got = docs.collect()
+        if name == "quality":
+            want = {x["doc_id"]: _plain_passing(x["text"]) for x in before}
+            assert {x["doc_id"]: x["text"] for x in got} == {i: t for i, t in want.items() if t is not None} and all(x["n_chars"] == len(x["text"]) for x in got)
+        elif name == "near_duplicates":
+            assert sorted(x["doc_id"] for x in got) == sorted(i for i, _, c in _links([(x["doc_id"], x["text"]) for x in before], 5, 80) if i == c)
+        elif name == "secrets":
+            assert {x["doc_id"]: x["text"] for x in got} == {x["doc_id"]: x["text"].replace(key, "[SECRET:hex]") for x in before} and any(key in x["text"] for x in before)
+        elif name == "mixing":
+            plan = {(x["doc_id"], x["source"]): x for x in mixing.mix_sizes(spark.createDataFrame(before, out.schema)).collect()}
+            want = Counter({k: (2 * x["taken"] + x["size"]) // (2 * x["size"]) for k, x in plan.items() if x["size"]})
+            assert Counter((x["doc_id"], x["source"]) for x in got) == +want and sum(want.values()) > len(before)
+            seen, ends = Counter(), []
+            for x in out.collect():
+                p = plan[x["doc_id"], x["source"]]
+                ends.append((p["start"] + p["size"] + seen[x["doc_id"]] * p["source_size"]) / p["target"])
+                seen[x["doc_id"]] += 1
+            assert ends == sorted(ends)
+        else:
+            enc = bpe.encoder(*queries.rank_file())
+            ids = {x["doc_id"]: enc.encode_ordinary(x["text"]) for x in before}
+            assert sorted((x["doc_id"], x["n_tokens"], x["decoded_sha256"]) for x in got) == sorted((x["doc_id"], len(ids[x["doc_id"]]), hashlib.sha256(x["text"].encode()).hexdigest()) for x in before)
+    assert pipe.run(spark, str(tmp_path)).count() == docs.count() > 12
