@@ -40,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced."""
     _scratch(spark)
-    d = secrets.redact(docs, secrets.fit(secrets.labelled(spark)))
+    words = secrets.corpus_words(docs)
+    d = secrets.redact(docs, secrets.fit(secrets.labelled(spark, words=words), words=words), words=words)
     return d.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
