@@ -28,7 +28,8 @@ def _slugged(m: DataFrame) -> DataFrame:
 
 # ---- full text ---------------------------------------------------------------------------------------------------------
 
-_AT = "list_filter(range(1, length(t) + 1), lambda i: substr(t, i, {n}) = '{p}')"
+# places of a phrase that can't overlap itself, from the lengths of what stands between
+_AT = "list_transform(range(1, len(string_split(t, '{p}'))), lambda k: list_sum(list_transform(string_split(t, '{p}')[1:k], lambda x: length(x)))::BIGINT + (k - 1) * {n} + 1)"
 _N3 = [("and", 3), ("the", 3), ("ing", 3)]
 _NEAR3 = ", ".join(f"{_AT.format(n=n, p=p)} AS p{i}" for i, (p, n) in enumerate(_N3))
 _MEET3 = " OR ".join("len(list_filter(p{0}, lambda s: {1})) > 0".format(i, " AND ".join(f"len(list_filter(p{j}, lambda x: x <= s AND s - x <= {_N3[j][1] - 2 + 12})) > 0" for j in range(3) if j != i)) for i in range(3))
