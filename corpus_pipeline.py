@@ -6,16 +6,13 @@ docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import bpe, jaccard, mixing, quality, secrets
-from lorekeep.llm.common import Scratch, shared_dir
+from lorekeep.llm.common import Scratch
 from lorekeep.llm.queries import rank_file
 
-
 #: Scratch tables of the stage that ran last; its result is written by the time the next one begins.
 _HELD: list[Scratch] = []
 
@@ -62,9 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A stage's table goes once its successor is written."""
+    own, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        last, docs = docs, own.store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        own.drop(last)
     return docs
