@@ -245,7 +245,7 @@ def bm25_batch(df: DataFrame, key: str, text: str, terms: DataFrame, limit: int
         got = _scored(d, whole["n"], whole["avg"], [(r["query_id"], r["ts"]) for r in block], kinds, limit)
         found = got if found is None else found.unionByName(got)
     if found is None:
-        return terms.join(df.limit(0)).select("query_id", key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return df.sparkSession.createDataFrame([], f"query_id {kinds[0]}, `{key}` {kinds[1]}, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 6), "key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", F.col("key").alias(key), "score", "rank")
 

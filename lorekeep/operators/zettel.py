@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -170,3 +172,15 @@ def assigned_codes(people: DataFrame, name: str = "name") -> DataFrame:
     w = Window.partitionBy("_three").orderBy(name)
     n = F.row_number().over(w)
     return d.withColumn("_n", n).withColumn("code", F.when(F.col("_n") == 1, F.col("_three")).otherwise(F.upper(F.substring(F.col(name), F.lit(1), F.col("_n") + 2)))).drop("_three", "_n")
+
+
+def load_config(path: str) -> tuple[dict[str, str], list[str]]:
+    """(codes, names to skip) of a JSON file on the driver: {"entities": {name: code}, "skip_names": [...]}."""
+    c = json.loads(Path(path).read_text(encoding="utf-8"))
+    return dict(c.get("entities", {})), [n.lower() for n in c.get("skip_names", [])]
+
+
+def save_config(path: str, codes: dict[str, str], skip: list[str]) -> None:
+    """The same; of names with one code the first stays."""
+    first = {code: name for name, code in reversed(codes.items())}
+    Path(path).write_text(json.dumps({"entities": {n: c for n, c in codes.items() if first[c] == n}, "skip_names": skip}, indent=2, ensure_ascii=False), encoding="utf-8")

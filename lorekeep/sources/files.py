@@ -129,12 +129,19 @@ def ir_corpus(spark: SparkSession, corpus: str, queries: str, qrels: str) -> tup
 
 
 def bundle(path: str, spark: SparkSession) -> DataFrame:
-    """(group, line) of index bundles wiki-{group}.clsc.md."""
-    d = spark.read.option("pathGlobFilter", "wiki-*.clsc.md").text(path).select("value", F.col("_metadata.file_name").alias("f"))
-    return d.where(F.col("value").startswith("[") & F.col("value").contains("|")).select(F.regexp_extract("f", r"^wiki-(.*)\.clsc\.md$", 1).alias("group"), F.col("value").alias("line"))
+    """(group, line) of index bundles: files wiki-{group}.clsc.md, or directories group={group} as `write_bundle` makes them."""
+    d = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("f"))
+    name, folder = F.regexp_extract("f", r"/wiki-([^/]*)\.clsc\.md$", 1), F.regexp_extract("f", r"/group=([^/]*)/", 1)
+    return d.where(F.col("value").startswith("[") & F.col("value").contains("|")).select(F.when(name != "", name).otherwise(folder).alias("group"), F.col("value").alias("line")).where("group <> ''")
+
+
+def groups(lines: DataFrame) -> DataFrame:
+    """Groups of a bundle's lines, each once."""
+    return lines.select("group").distinct().orderBy("group")
 
 
 def write_bundle(df: DataFrame, path: str) -> None:
+    """Appends lines (group, line), a directory for each group."""
     df.select("group", F.col("line").alias("value")).repartition("group").write.mode("append").partitionBy("group").text(path)
 
 

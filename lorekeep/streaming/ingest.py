@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import insert_unseen, message_key
-from ..sources.files import inbox
+from ..operators.dialect import encode_notes
+from ..operators.ingest import insert_unseen, latest_wins, message_key
+from ..sources.files import inbox, note
 
 
 def inbox_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -22,21 +25,47 @@ def deduplicated(messages: DataFrame, watermark: tuple[str, str] | None = None)
     return d.withWatermark(*watermark).dropDuplicatesWithinWatermark(["key"]) if watermark else d.dropDuplicates(["key"])
 
 
-def ingest(messages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends unseen messages to target; the table itself is the ledger, so a batch that is run again adds nothing."""
+def _stored(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The columns of schema of what target holds; nothing if nothing was written yet."""
+    try:
+        names = [f.split()[0] for f in schema.split(", ")]
+        return spark.read.parquet(target).select(*names)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def ingest(messages: DataFrame, target: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Appends unseen messages to target; the table itself is the ledger, so a batch that is run again adds nothing. parse makes messages of a
+    batch where a stream can't (relay logs: a file's lines in order)."""
 
     def add(batch: DataFrame, _id: int) -> None:
-        try:
-            seen = batch.sparkSession.read.parquet(target).select("key")
-        except Exception as e:  # nothing was written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            seen = batch.sparkSession.createDataFrame([], "key string")
-        insert_unseen(batch, seen).write.mode("append").parquet(target)
+        found = parse(batch) if parse else batch
+        insert_unseen(found, _stored(batch.sparkSession, target, "key string")).write.mode("append").parquet(target)
 
     return messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def log_stream(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
+    """(path, body) of log files as they arrive, each read whole; with `ingest(..., parse=lambda f: relay_log(f, bot))` their messages."""
+    d = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    return d.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+
+
+def reencode(files: DataFrame, target: str, now: str) -> DataFrame:
+    """Encodes the notes among files (path, body) that are new or differ from the last version in target by their hash, appends them, and gives
+    the rows added. A file stream doesn't report a file that is saved again, so this runs as a batch over the vault, on a timer or by
+    `foreachBatch` of another stream. The last version of a slug by encoded_at is the one that counts."""
+    spark = files.sparkSession
+    old = latest_wins(_stored(spark, target, "slug string, source_hash string, encoded_at string"), "slug", "encoded_at").select("slug", "source_hash")
+    n = files.withColumn("source_hash", F.sha2(F.encode("body", "utf-8"), 256))
+    notes = encode_notes(note(n)).join(n.select("path", "source_hash"), "path")
+    new = notes.join(old, ["slug", "source_hash"], "left_anti").select("slug", F.col("skeleton").alias("clsc"), F.col("skeleton_tokens").alias("tokens"), "path", "source_hash", F.lit(now).alias("encoded_at"))
+    new.write.mode("append").parquet(target)
+    return spark.read.parquet(target).where(F.col("encoded_at") == now)
+
+
 def access_counts(events: DataFrame, ts: str = "ts", key: str = "slug", window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Accesses per key and window; late events within the delay count, later ones don't."""
     return events.withWatermark(ts, delay).groupBy(F.window(ts, window), key).agg(F.count("*").alias("n"))

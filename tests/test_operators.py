@@ -301,3 +301,27 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
         put(i)
         stream.ingest(stream.inbox_stream(spark, str(tmp_path / "state")), str(out), str(ck)).awaitTermination(60)
     assert sorted(r["text"] for r in spark.read.parquet(str(out)).collect()) == ["m0", "m1"]
+
+
+def test_stream_of_logs_and_reencoding(spark, tmp_path):
+    logs, out, ck = tmp_path / "logs", tmp_path / "out", tmp_path / "ck"
+    logs.mkdir()
+    for i, extra in enumerate(("", "\nmore")):
+        (logs / f"{i}.log").write_text(f"orphan\n[t{i}] a → b (chat:{i}): one{extra}\n")
+        stream.ingest(stream.log_stream(spark, str(logs)), str(out), str(ck), lambda f: files.relay_log(f, "bot")).awaitTermination(60)
+    assert sorted(r["text"] for r in spark.read.parquet(str(out)).collect()) == ["one", "one\nmore"]
+    notes = lambda *xs: spark.createDataFrame([(f"/v/{n}.md", b) for n, b in xs], "path string, body string")
+    t = str(tmp_path / "radar")
+    assert sorted(r["slug"] for r in stream.reencode(notes(("a", "# A\nx"), ("b", "# B")), t, "1").collect()) == ["a", "b"]
+    assert [(r["slug"], r["clsc"]) for r in stream.reencode(notes(("a", "# A2\nx"), ("b", "# B")), t, "2").collect()] == [("a", "[a|A2] ENT:A2")]
+    assert stream.reencode(notes(("a", "# A2\nx"), ("b", "# B")), t, "3").count() == 0
+
+
+def test_bundles_and_config(spark, tmp_path):
+    lines = spark.createDataFrame([("g1", "[a|A] KEY:x"), ("g2", "[b|B]"), ("g1", "no line")], "`group` string, line string")
+    files.write_bundle(lines, str(tmp_path / "b"))
+    (tmp_path / "b" / "wiki-g3.clsc.md").write_text("[c|C]\nfree text\n")
+    got = files.bundle(str(tmp_path / "b"), spark)
+    assert sorted(map(tuple, got.collect())) == [("g1", "[a|A] KEY:x"), ("g2", "[b|B]"), ("g3", "[c|C]")] and [r[0] for r in files.groups(got).collect()] == ["g1", "g2", "g3"]
+    zettel.save_config(str(tmp_path / "c.json"), {"Alice": "ALC", "alice": "ALC", "Bob": "BOB"}, ["gandalf"])
+    assert zettel.load_config(str(tmp_path / "c.json")) == ({"Alice": "ALC", "Bob": "BOB"}, ["gandalf"])
