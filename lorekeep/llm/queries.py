@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, jaccard, language, mixing, quality, secrets, sharding, warc
+from . import bpe, divergence, fingerprints, html, jaccard, language, licenses, mixing, quality, secrets, sharding, warc
 from .common import shared_dir
 
 
@@ -71,5 +71,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "virtual_finish", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_html, op4_sharding, op5_bpe, op6_jaccard, op7_secrets, op8_warc, op9_language, op10_mixing)}
-ORACLES: dict[str, str] = {"op2_quality": quality.ORACLE, "op4_sharding": sharding.ORACLE, "op8_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_html, op4_sharding, op5_bpe, op6_jaccard, op7_secrets, op8_warc, op9_language, op10_mixing, op11_divergence, op12_licenses)}
+ORACLES: dict[str, str] = {"op2_quality": quality.ORACLE, "op4_sharding": sharding.ORACLE, "op8_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE, "op11_divergence": divergence.ORACLE, "op12_licenses": licenses.ORACLE}
