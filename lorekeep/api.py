@@ -6,11 +6,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import valid_slug
-from .operators import dialect, fts, ingest, kg, rank, vector
+from .functions.text import has_cjk, snippet, valid_slug
+from .operators import dialect, fts, ingest, kg, postings, rank, vector
+from .plans.boolean import SearchSyntaxError, parse, phrases
 from .sources import files
 
 
@@ -28,6 +29,7 @@ class Options:
     bot_filter: str = "first"  # or compat: neighbours are cut before the bot is looked at
     recall: int = 20
     variants: int = 3
+    index: str | None = None  # a positional index (operators.postings): of slug and clsc for radar_search, of text for messages_search without a bot
 
 
 #: The intended ideograph class, and what a misread range made of it.
@@ -41,6 +43,19 @@ def _vector(query: str, options: Options, given: list[float] | None) -> list[flo
     return (given or (options.embed(query) if options.embed else None)) if options.knn else None
 
 
+def _recall(index: str | None) -> Callable:
+    """Keyword recall by a scan of the texts, or from an index's postings; substrings where that finds nothing."""
+
+    def scan(df: DataFrame, terms: list[str], key: str, text: str, k: int) -> DataFrame:
+        return fts.recall_keywords(df, terms, ["slug", "clsc"], key, text, k)
+
+    def look_up(df: DataFrame, terms: list[str], key: str, text: str, k: int) -> DataFrame:
+        first = fts.held(postings.search(df.sparkSession, index, terms, k))
+        return fts.recall_substrings(df, terms, key, text, k) if first.isEmpty() else first.withColumnRenamed("key", key)
+
+    return look_up if index else scan
+
+
 def radar_search(
     radar: DataFrame, query: str, limit: int = 5, options: Options = Options(), vectors: DataFrame | None = None, vector_of: list[float] | None = None, messages: DataFrame | None = None, message_vectors: DataFrame | None = None
 ) -> DataFrame:
@@ -50,7 +65,7 @@ def radar_search(
     asked = [query, *[v for v in options.expand(query) if v != query][: options.variants]] if options.expand else [query]
     for v in asked:
         cjk = (_CJK_COMPAT if options.routing == "compat" else _CJK).search(v)
-        find = fts.recall_substrings if cjk else lambda df, ts, key, text, k: fts.recall_keywords(df, ts, ["slug", "clsc"], key, text, k)
+        find = fts.recall_substrings if cjk else _recall(options.index)
         lists.append(rank.ranked(find(radar, v.split(), "slug", "clsc", n), "slug", "fts", len(lists)))
     if len(lists) > 1:
         lists = [rank.ranked(rank.fused(lists, n), "slug", "fts", 0)]
@@ -69,6 +84,58 @@ def radar_search(
     return out.join(texts, "slug").orderBy("final_rank")
 
 
+def radar_search_batch(radar: DataFrame, queries: DataFrame, index: str, limit: int = 5, options: Options = Options(), variants: DataFrame | None = None, vectors: DataFrame | None = None, vector_of: DataFrame | None = None) -> DataFrame:
+    """radar_search for a table of queries (query_id, query): (query_id, slug, clsc, sources, rank, boost, final_rank), in one lazy plan.
+
+    variants (query_id, query, list_id from 1) stand in for options.expand, vector_of (query_id, q) for options.embed; there is no rerank. Keywords are looked up
+    in the index of slug and clsc; queries that find nothing there, and those with ideographs, count substrings. A query's words are split at white space."""
+    by = ("query_id",)
+    n = max(options.recall, limit)
+    q = queries.select("query_id", F.lit(0).alias("list_id"), "query")
+    if variants is not None:
+        own = queries.select("query_id", F.col("query").alias("_own"))
+        q = q.unionByName(variants.join(own, "query_id").where((F.col("query") != F.col("_own")) & (F.col("list_id") <= options.variants)).select("query_id", "list_id", "query"))
+    words = F.filter(F.split("query", r"\s+"), lambda w: w != "")
+    q = q.select(F.struct("query_id", "list_id").alias("one"), words.alias("words"), has_cjk(F.coalesce("query", F.lit("")), options.routing == "compat").alias("cjk"))
+    asked = q.select("one", "cjk", F.explode("words").alias("word"))
+    keyed = postings.search_batch(radar.sparkSession, index, asked.where("not cjk").select(F.col("one").alias("query_id"), F.col("word").alias("term")), n)
+    keyed = keyed.select(F.col("query_id").alias("one"), F.col("key").alias("slug"), "rank")
+    rest = asked.join(keyed.select("one").distinct(), "one", "left_anti").groupBy("one", "word").agg(F.count("*").alias("times"))
+    near = Window.partitionBy("one").orderBy(F.col("match_count").desc(), "slug")
+    counted = _substrings(radar, rest, index).groupBy("one", "slug").agg(F.sum("times").alias("match_count"))
+    counted = counted.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= n).select("one", "slug", "rank")
+    lists = keyed.unionByName(counted).select("one.query_id", "one.list_id", F.lit("fts").alias("source"), F.col("rank").cast("long").alias("rank"), "slug")
+    parts = [rank.ranked(rank.fused([lists], n, by=by), "slug", "fts", 0, by)]
+    if options.knn and vectors is not None and vector_of is not None:
+        parts.append(rank.ranked(vector.knn_batch(vectors, "slug", "embedding", vector_of, n, skip_self=False), "slug", "sem", 1, by))
+    out = rank.boosted(rank.fused(parts, limit, by=by), radar, mode=options.boost, by=by)
+    return out.join(radar.select("slug", "clsc"), "slug")
+
+
+def _substrings(radar: DataFrame, words: DataFrame, index: str) -> DataFrame:
+    """words (one, word, times) with the slug of each row whose text holds the word, as it is written. Words of three characters and more come
+    from the index, whose hits are verified in the text; shorter ones are joined with the texts' own short strings. No text meets every word."""
+    texts = radar.select("slug", F.coalesce("clsc", F.lit("")).alias("clsc"))
+    long_ = words.where(F.char_length("word") >= 3).withColumn("term", F.lower("word"))
+    hits = postings.found(radar.sparkSession, index, long_.select("term").distinct()).select("term", F.col("key").alias("slug"))
+    sure = long_.join(hits, "term").join(texts, "slug").where(F.contains("clsc", F.col("word"))).select("one", "word", "times", "slug")
+    pairs = F.regexp_extract_all("clsc", F.lit("(?s)(?=(..))"), F.lit(1))
+    short = texts.select("slug", F.explode(F.array_distinct(F.concat(F.filter(F.split("clsc", ""), lambda x: x != ""), pairs))).alias("word"))
+    return sure.unionByName(words.where(F.char_length("word") < 3).join(short, "word").select("one", "word", "times", "slug"))
+
+
+def _messages_by_index(m: DataFrame, query: str, limit: int, words: list[str], index: str) -> DataFrame:
+    """fts.search_messages with its first stage from an index of text by slug."""
+    try:
+        first = fts.held(postings.search_boolean(m.sparkSession, index, query, ["text"], limit).withColumnRenamed("key", "slug"))
+        if not first.isEmpty():
+            rows = m.join(F.broadcast(first), "slug")  # limit rows
+            return rows.withColumn("snippet", F.coalesce(*[snippet(F.col("text"), p) for p in phrases(parse(query))], F.substring("text", 1, 120)))
+    except SearchSyntaxError:
+        pass
+    return fts.search_substrings(m, "text", words, [F.col("ts").desc(), F.col("slug")], limit)
+
+
 def messages_search(messages: DataFrame, query: str, limit: int = 10, bot: str | None = None, options: Options = Options(), vectors: DataFrame | None = None, vector_of: list[float] | None = None) -> DataFrame:
     """Messages by keywords (any of them, unless the query has operators of its own) and, with knn, by neighbours among vectors (slug, embedding):
     the first of both lists fused. (slug, bot_name, ts, source, chat_id, user, message_id, snippet, rank)."""
@@ -78,7 +145,8 @@ def messages_search(messages: DataFrame, query: str, limit: int = 10, bot: str |
     asked = " OR ".join('"' + w + '"' for w in words) if plain else query
     keep = ["slug", "bot_name", "ts", "source", "chat_id", "user", "message_id", "snippet", "rank"]
     q = _vector(query, options, vector_of)
-    hits = fts.search_messages(m, asked, MESSAGE_RECALL if q is not None else limit, bot, words=words)
+    most = MESSAGE_RECALL if q is not None else limit
+    hits = _messages_by_index(m, asked, most, words, options.index) if options.index and not bot else fts.search_messages(m, asked, most, bot, words=words)
     if q is None or vectors is None:
         return hits.select(*keep)
     first = options.bot_filter == "first"

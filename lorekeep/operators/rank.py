@@ -13,24 +13,26 @@ RRF_K, BOOST, MAX_ACCESS, ARCHIVED = 60, 0.1, 100, 0.7
 PRIORITY = {"ocean": 3, "radar": 2, "messages": 1}
 
 
-def ranked(df: DataFrame, key: str, source: str, list_id: int) -> DataFrame:
-    """A ranked list in the form that fusion takes: (list_id, source, rank, slug)."""
-    return df.select(F.lit(list_id).alias("list_id"), F.lit(source).alias("source"), F.col("rank").cast("long").alias("rank"), F.col(key).cast("string").alias("slug"))
+def ranked(df: DataFrame, key: str, source: str, list_id: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """A ranked list in the form that fusion takes: (list_id, source, rank, slug), with the columns `by` that tell queries apart."""
+    return df.select(*by, F.lit(list_id).alias("list_id"), F.lit(source).alias("source"), F.col("rank").cast("long").alias("rank"), F.col(key).cast("string").alias("slug"))
 
 
-def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
-    """(slug, score, sources, first_list, first_rank): sum of 1/(k + rank); sources in list order; empty slugs dropped."""
+def rrf(lists: list[DataFrame], k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
+    """(slug, score, sources, first_list, first_rank): sum of 1/(k + rank); sources in list order; empty slugs dropped. by: for each query."""
     u = reduce(lambda a, b: a.unionByName(b), lists).where("slug is not null and slug <> ''")
-    g = u.groupBy("slug").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), F.min(F.struct("list_id", "rank")).alias("_f"), F.array_sort(F.collect_set(F.struct("list_id", "source"))).alias("_s"))
-    return g.select("slug", F.round("score", 9).alias("score"), F.array_distinct(F.transform("_s", lambda x: x["source"])).alias("sources"), F.col("_f.list_id").alias("first_list"), F.col("_f.rank").alias("first_rank"))
+    g = u.groupBy(*by, "slug").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), F.min(F.struct("list_id", "rank")).alias("_f"), F.array_sort(F.collect_set(F.struct("list_id", "source"))).alias("_s"))
+    return g.select(*by, "slug", F.round("score", 9).alias("score"), F.array_distinct(F.transform("_s", lambda x: x["source"])).alias("sources"), F.col("_f.list_id").alias("first_list"), F.col("_f.rank").alias("first_rank"))
 
 
 RRF_ORDER = ["first_list", "first_rank", "slug"]
 
 
-def fused(lists: list[DataFrame], limit: int, k: int = RRF_K) -> DataFrame:
-    """rrf in order (score, then first appearance), cut at limit, with rank."""
+def fused(lists: list[DataFrame], limit: int, k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
+    """rrf in order (score, then first appearance), cut at limit, with rank; with `by`, for each query."""
     order = [F.col("score").desc(), *[F.col(c) for c in RRF_ORDER]]
+    if by:
+        return rrf(lists, k, by).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
     return rrf(lists, k).orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -39,12 +41,12 @@ def boost_factor(access: Column, status: Column) -> Column:
     return (1 + BOOST * F.log(n + 1)) * F.when(status == "archived", ARCHIVED).otherwise(1.0)
 
 
-def boosted(hits: DataFrame, meta: DataFrame, key: str = "slug", mode: str = "compat") -> DataFrame:
-    """hits (rank) with boost: re-sorted by boost alone within the list (compat), or by score times boost (multiply)."""
+def boosted(hits: DataFrame, meta: DataFrame, key: str = "slug", mode: str = "compat", by: tuple[str, ...] = ()) -> DataFrame:
+    """hits (rank) with boost: re-sorted by boost alone within the list (compat), or by score times boost (multiply); `by` tells lists apart."""
     d = hits.join(meta.select(key, "access_count", "status"), key, "left")
     d = d.withColumn("boost", F.round(F.when(F.col("access_count").isNull() & F.col("status").isNull(), F.lit(1.0)).otherwise(boost_factor(F.col("access_count"), F.col("status"))), 6))
     order = [F.col("boost").desc(), F.col("rank")] if mode == "compat" else [(F.col("score") * F.col("boost")).desc(), F.col("rank")]
-    return d.withColumn("final_rank", F.row_number().over(Window.orderBy(*order))).drop("access_count", "status")
+    return d.withColumn("final_rank", F.row_number().over((Window.partitionBy(*by) if by else Window).orderBy(*order))).drop("access_count", "status")
 
 
 def unified(parts: DataFrame, limit: int) -> DataFrame:
