@@ -47,6 +47,31 @@ def ingest(messages: DataFrame, target: str, checkpoint: str, parse: Callable[[D
     return messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Directories of a ledger, by hash of the key.
+LEDGER = 64
+
+
+def touched(rows: DataFrame, column: str = "bucket") -> list[int]:
+    """The buckets that rows fall in: as many numbers as there are buckets at most."""
+    return sorted(r[0] for r in rows.select(column).distinct().collect())
+
+
+def append_once(batch: DataFrame, batch_id: int, target: str, key: str, buckets: int = LEDGER, by: str | None = None) -> list[int]:
+    """Adds the rows of a micro-batch whose key target lacks, one per key (any of equal ones; make equal keys mean equal rows), and gives the buckets added to.
+
+    target is the ledger: partitioned by batch and bucket (hash of `by`, the key unless given), so that the anti-join reads the keys of the batch's buckets
+    only. A batch that is run again ignores and replaces its own partitions, which dynamic overwrite does; so a restart from the checkpoint repeats it without harm."""
+    spark = batch.sparkSession
+    d = batch.where(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(by or key), F.lit(buckets)).cast("int"))
+    here = touched(d)
+    if not here:
+        return here
+    seen = _stored(spark, target, f"{key} {batch.schema[key].dataType.simpleString()}, batch long, bucket int").where((F.col("batch") < batch_id) & F.col("bucket").isin(here))
+    new = d.join(seen.select(key), key, "left_anti").dropDuplicates([key]).withColumn("batch", F.lit(batch_id).cast("long"))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(target)
+    return here
+
+
 def log_stream(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
     """(path, body) of log files as they arrive, each read whole; with `ingest(..., parse=lambda f: relay_log(f, bot))` their messages."""
     d = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
