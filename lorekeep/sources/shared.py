@@ -25,3 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
             _LOCAL[app] = tempfile.mkdtemp(prefix="lorekeep-")
         path = _LOCAL[app]
     return path.rstrip("/")
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder that lazy results read removed when the application ends (Hadoop's deleteOnExit), so that nothing stays in the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
