@@ -41,10 +41,11 @@ def job2_retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_report.output(spark, at)
 
 
+_RANKED = _BATCH.replace("round(score, 6), doc_id", "round(score, 12), doc_id").replace("\ntf AS (", "\ntf AS MATERIALIZED (").replace("\npart AS (", "\npart AS MATERIALIZED (")
 JOB2 = f"""
-WITH {_BATCH}, asked_short AS (SELECT query_id, unnest(ts[1:4]) AS term FROM qf),
+WITH {_RANKED}, asked_short AS (SELECT query_id, unnest(ts[1:4]) AS term FROM qf),
 sc_short AS (SELECT query_id, doc_id, -sum(p) AS score FROM asked_short JOIN part USING (term) GROUP BY query_id, doc_id),
-rk_short AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), doc_id) AS rank FROM sc_short), rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents dc ON contains(dc.text, b.text)),
+rk_short AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12), doc_id) AS rank FROM sc_short), rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents dc ON contains(dc.text, b.text)),
 hits AS (SELECT 'long' AS form, query_id, doc_id, score, rank FROM rk WHERE rank <= 10 UNION ALL SELECT 'short', query_id, doc_id, score, rank FROM rk_short WHERE rank <= 10),
 h AS (SELECT hits.*, rel.doc_id IS NOT NULL AS relevant, coalesce(d.source, '') AS shelf FROM hits JOIN documents d USING (doc_id) LEFT JOIN rel ON rel.query_id = hits.query_id AND rel.doc_id = hits.doc_id),
 best AS (SELECT item_id AS query_id, min(rank) FILTER (form = 'long') AS l, min(rank) FILTER (form = 'short') AS s FROM benchmark b LEFT JOIN (SELECT * FROM h WHERE relevant) g ON g.query_id = b.item_id GROUP BY item_id),

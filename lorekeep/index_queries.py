@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import api
 from .memory_queries import ORACLES, QUERIES
-from .operators import postings
-from .queries import _ASKED, _BATCH, RADAR, TERMS, _bm25_sql, query, radar, table
+from .operators import kg, postings, vector
+from .queries import _ASKED, _BATCH, FACTS, RADAR, TERMS, _bm25_sql, facts, query, radar, table
 from .sources.shared import shared_dir, until_exit
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -57,7 +57,7 @@ def fts_index_refresh(spark, d):
     return postings.search(spark, indexed(spark, old.unionByName(gone), now), TERMS, 100).select(F.col("key").alias("slug"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {RADAR}, {_bm25_sql('radar', ['slug', 'clsc'], TERMS)}, k AS (SELECT slug, round(bm.score, 6) AS score, row_number() OVER (ORDER BY round(bm.score, 6), slug)::INT AS rank FROM bm)
+@query(f"""WITH {RADAR}, {_bm25_sql('radar', ['slug', 'clsc'], TERMS)}, k AS (SELECT slug, round(bm.score, 6) AS score, row_number() OVER (ORDER BY round(bm.score, 12), slug)::INT AS rank FROM bm)
 SELECT k.slug, k.score, k.rank, access_count FROM k JOIN radar USING (slug) WHERE rank <= 30""")
 def fts_sql(spark, d):
     """Search in a SQL statement, beside a join."""
@@ -81,7 +81,7 @@ def _hybrid_queries(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.when(F.col("item_id") % 4 == 3, short).otherwise(english_terms(F.col("text"))), " ").alias("query"))
 
 
-_HYBRID = _BATCH.replace(_ASKED, _WORDS).replace("dd AS (SELECT doc_id, lower(text) AS t, greatest(length(text) - 2, 0) AS len FROM documents)", "dd AS (SELECT slug AS doc_id, lower(slug) || chr(1) || chr(1) || lower(clsc) AS t, greatest(length(slug) - 2, 0) + greatest(length(clsc) - 2, 0) AS len FROM radar)")
+_HYBRID = _BATCH.replace(_ASKED, _WORDS).replace("dd AS (SELECT doc_id, lower(text) AS t, greatest(length(text) - 2, 0) AS len FROM documents)", "dd AS (SELECT slug AS doc_id, lower(slug) || chr(1) || chr(1) || lower(clsc) AS t, greatest(length(slug) - 2, 0) + greatest(length(clsc) - 2, 0) AS len FROM radar)").replace("round(score, 6), doc_id", "round(score, 12), doc_id")
 
 
 @query(f"""WITH {RADAR}, {_HYBRID}, two AS ({_TWO}),
@@ -94,3 +94,33 @@ def radar_search_batch(spark, d):
     r = radar(spark, d)
     hits = api.radar_search_batch(r, _hybrid_queries(spark, d), indexed(spark, r), 5)
     return hits.select("query_id", "slug", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query(f"""WITH {FACTS}, f2 AS (SELECT * REPLACE (CASE WHEN valid_from > '2024-01-20' THEN NULL ELSE valid_from END AS valid_from) FROM facts),
+days AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events UNION ALL SELECT unnest(['1899-12-31', '1965-01-01', '2025-03-01', '2190-07-15']))
+SELECT day, predicate, count(*) AS live, count(*) FILTER (valid_to IS NULL) AS open FROM f2 JOIN days ON (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR valid_to >= day) GROUP BY day, predicate""")
+def kg_as_of_far_days(spark, d):
+    """Days within, long before and long after the facts; facts from the last days have no beginning."""
+    f = facts(spark, d).withColumn("valid_from", F.when(~F.coalesce(F.col("valid_from") > "2024-01-20", F.lit(False)), F.col("valid_from")))
+    far = spark.createDataFrame([(x,) for x in ("1899-12-31", "1965-01-01", "2025-03-01", "2190-07-15", None)], "day string")
+    days = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct().unionByName(far)
+    return kg.as_of_join(f, days).groupBy("day", "predicate").agg(F.count("*").alias("live"), F.count_if(F.col("valid_to").isNull()).alias("open"))
+
+
+def _gapped(spark: SparkSession, d: str) -> DataFrame:
+    """embeddings in which some vectors are null, some hold a null, some are half as long."""
+    v, i = F.col("embedding"), F.col("vec_id")
+    hole = F.transform(v, lambda x, n: F.when(n != 3, x))
+    return table(spark, d, "embeddings").withColumn("embedding", F.when(i % 7 == 3, F.lit(None)).when(i % 11 == 5, hole).when(i % 5 == 2, F.slice(v, 1, 32)).otherwise(v))
+
+
+_GAPPED = """v AS (SELECT vec_id, CASE WHEN vec_id % 5 = 2 THEN e[1:32] ELSE e END AS e FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) z WHERE vec_id % 7 <> 3 AND vec_id % 11 <> 5)"""
+
+
+@query(f"""WITH {_GAPPED}, n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) + 1e-10 AS m FROM v), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e) / (a.m * b.m), 6) AS score FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 IN (0, 3, 17)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
+def vec_knn_gaps(spark, d):
+    """Neighbours among vectors of two lengths with gaps; queries of either length, some of them null."""
+    e = _gapped(spark, d)
+    q = e.where("vec_id % 100 in (0, 3, 17)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vector.knn_batch(e, "vec_id", "embedding", q, 10).withColumn("rank", F.col("rank").cast("long"))

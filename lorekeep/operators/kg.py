@@ -98,15 +98,16 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return j.select(key, *[F.when(F.col("_hit"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in new.columns else F.col(c) for c in old.columns if c != key])
 
 
-def as_of_join(facts: DataFrame, days: DataFrame, last: str) -> DataFrame:
-    """Facts that hold on each of many days (column day): interval join on month buckets, the range as residual.
-
-    Open ends are closed at `last` for bucketing only; so no nested loop, and a fact meets each day once."""
-    month = lambda c: F.months_between(F.trunc(F.to_date(c), "month"), F.lit("1970-01-01").cast("date")).cast("int")
-    hi = F.least(F.coalesce("valid_to", F.lit(last)), F.lit(last))
-    lo = F.coalesce("valid_from", F.lit("1970-01-01"))
-    f = facts.where(lo <= hi).withColumn("bucket", F.explode(F.sequence(month(lo), month(hi))))
-    d = days.withColumn("bucket", month(F.col("day")))
+def as_of_join(facts: DataFrame, days: DataFrame) -> DataFrame:
+    """Facts that hold on each of many days (column day, any dates): an equi-join by month, the interval as residual, so no nested loop.
+
+    A fact is dealt to those months of the days asked that its interval touches; the months come as one row (a calendar's worth), so open ends need
+    no bound and days before, between and after all facts are met alike. A fact meets each row of days once; null days meet none."""
+    month = lambda c: F.date_format(F.to_date(c), "yyyy-MM")
+    d = days.where("day is not null").withColumn("bucket", month(F.col("day")))
+    asked = d.agg(F.array_sort(F.collect_set("bucket")).alias("_months"))
+    within = lambda m: (F.col("valid_from").isNull() | (month(F.col("valid_from")) <= m)) & (F.col("valid_to").isNull() | (month(F.col("valid_to")) >= m))
+    f = facts.crossJoin(F.broadcast(asked)).withColumn("bucket", F.explode(F.filter("_months", within))).drop("_months")  # one row
     return f.join(d, "bucket").where(valid_at(F.col("day"))).drop("bucket")
 
 

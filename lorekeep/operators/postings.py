@@ -175,7 +175,10 @@ def remove(spark: SparkSession, keys: DataFrame, path: str) -> dict:
 
 
 def _live_postings(spark: SparkSession, path: str, known: dict) -> DataFrame:
-    return _at(spark, path, "postings", known["generation"])
+    kind = dict(_at(spark, path, "rows", known["generation"]).dtypes)["key"]
+    # an index of no grams has no file to tell the columns
+    d = spark.read.schema(f"key {kind}, len long, gram string, tf int, places array<long>, generation int, bucket int").parquet(f"{path}/postings")
+    return d.where(F.col("generation") <= known["generation"])
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
@@ -230,7 +233,8 @@ def bm25(spark: SparkSession, path: str, queries: DataFrame, asked: list[str] |
     """(query_id, key, score) for queries (query_id, term): the scores of fts.bm25, of all rows that hold a term, from postings alone."""
     known = stats(spark, path)
     n, mean = known["n"], known["total"] / max(known["n"], 1)
-    q = queries.select("query_id", F.lower("term").alias("term")).where(F.char_length("term") >= 3).distinct()
+    # terms that differ in case only count each, as in a scan
+    q = queries.where(F.char_length("term") >= 3).select("query_id", "term").distinct().withColumn("term", F.lower("term"))
     hits = found(spark, path, q.select("term").distinct(), asked).select("term", "key", "len", F.size("places").alias("tf"))
     rows = hits.groupBy("term").agg(F.count("*").alias("rows"))
     idf = F.log((F.lit(n) - F.col("rows") + 0.5) / (F.col("rows") + 0.5))
@@ -241,16 +245,16 @@ def bm25(spark: SparkSession, path: str, queries: DataFrame, asked: list[str] |
 
 
 def search_batch(spark: SparkSession, path: str, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, key, score, rank): the first `limit` rows of every query by rounded score and key, one lazy plan for all queries."""
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 6), "key")
+    """(query_id, key, score, rank): the first `limit` rows of every query by score and key, one lazy plan for all queries. Sums are rounded to
+    twelve places first, since their order isn't fixed."""
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 12), "key")
     return bm25(spark, path, queries).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 def search(spark: SparkSession, path: str, terms: list[str], limit: int = 10) -> DataFrame:
     """(key, score, rank) of the rows that hold any of terms."""
-    terms = sorted({t.lower() for t in terms})
-    q = spark.createDataFrame([(0, t) for t in terms], "query_id int, term string")
-    return top(bm25(spark, path, q, terms).select("key", "score"), [F.col("score"), F.col("key")], limit)
+    q = spark.createDataFrame([(0, t) for t in dict.fromkeys(terms)], "query_id int, term string")
+    return top(bm25(spark, path, q, [t.lower() for t in terms]).select("key", "score"), [F.col("score"), F.col("key")], limit)
 
 
 def _of_column(places: Column, number: int | None) -> Column:
@@ -310,16 +314,16 @@ def register(spark: SparkSession, path: str, name: str = "text_search") -> None:
     A SQL table function over the index's tables, so a search is part of the statement's own plan and takes columns of a lateral
     join as well. Temporary, like the views it reads (named after it)."""
     known = stats(spark, path)
-    _at(spark, path, "postings", known["generation"]).createOrReplaceTempView(f"{name}_postings")
+    _live_postings(spark, path, known).createOrReplaceTempView(f"{name}_postings")
     live(spark, path).createOrReplaceTempView(f"{name}_rows")
     kind = dict(spark.table(f"{name}_rows").dtypes)["key"]
     spark.sql(f"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, most INT) RETURNS TABLE (key {kind}, score DOUBLE, rank INT) RETURN
-WITH word AS (SELECT explode(array_distinct(filter(split(lower({name}.query), ' '), x -> char_length(x) >= 3))) AS term),
+WITH word AS (SELECT lower(w) AS term, count(*) AS times FROM (SELECT explode(array_distinct(filter(split({name}.query, ' '), x -> char_length(x) >= 3))) AS w) GROUP BY lower(w)),
 gram AS (SELECT term, size(o) AS need, explode(o) AS off FROM (SELECT term, array_distinct(concat(sequence(0, char_length(term) - 3, 3), array(char_length(term) - 3))) AS o FROM word)),
 hit AS (SELECT g.term, g.need, p.key, p.len, explode(transform(p.places, x -> x - g.off)) AS at FROM {name}_postings p JOIN gram g ON p.gram = substring(g.term, g.off + 1, 3) JOIN {name}_rows r ON p.key = r.key AND p.generation = r.generation),
 kept AS (SELECT term, key, len, count(*) AS tf FROM (SELECT term, key, len, need, at FROM hit GROUP BY term, key, len, need, at HAVING count(*) = need) GROUP BY term, key, len),
 df AS (SELECT term, count(*) AS n FROM kept GROUP BY term),
 idf AS (SELECT term, CASE WHEN ln(({known["n"]} - n + 0.5) / (n + 0.5)) > 0 THEN ln(({known["n"]} - n + 0.5) / (n + 0.5)) ELSE {IDF_FLOOR}D END AS w FROM df),
-sc AS (SELECT key, -sum(w * tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * len / {float(known["total"] / max(known["n"], 1)) or 1.0}D))) AS score FROM kept JOIN idf USING (term) GROUP BY key)
-SELECT key, score, rank FROM (SELECT key, score, CAST(row_number() OVER (ORDER BY round(score, 6), key) AS INT) AS rank FROM sc) WHERE rank <= {name}.most""")
+sc AS (SELECT key, -sum(times * w * tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * len / {float(known["total"] / max(known["n"], 1)) or 1.0}D))) AS score FROM kept JOIN idf USING (term) JOIN word USING (term) GROUP BY key)
+SELECT key, score, rank FROM (SELECT key, score, CAST(row_number() OVER (ORDER BY round(score, 12), key) AS INT) AS rank FROM sc) WHERE rank <= {name}.most""")

@@ -1,9 +1,12 @@
-"""Vector search: exact neighbours, cosine re-scoring, multi-probe SimHash, overlap evaluation."""
+"""Vector search: exact neighbours, cosine re-scoring, multi-probe SimHash, overlap evaluation.
+
+A vector that is null, holds a null or NaN, or has another length than the one it is compared with can't be compared: it has no fingerprint, is no one's
+neighbour and, as a query, has none; `rescore` and `rerank` put it last, as a candidate without a vector."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -30,13 +33,19 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def usable(a: Column, dim: Column | int | None = None) -> Column:
+    """Whether a is a vector without gaps (of length dim)."""
+    ok = a.isNotNull() & (F.size(a) > 0) & ~F.exists(a, lambda x: x.isNull() | F.isnan(x))
+    return F.coalesce(ok if dim is None else ok & (F.size(a) == dim), F.lit(False))
+
+
 def literal(vec: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vec])
 
 
 def knn(df: DataFrame, key: str, vec: str, query: list[float], k: int = 10, metric: str = "cosine") -> DataFrame:
     """k nearest rows with score (cosine, larger is nearer) or distance (l2); ties by key."""
-    q = literal(query)
+    q, df = literal(query), df.where(usable(F.col(vec), len(query)))
     s = F.round(cosine(F.col(vec), q), 6).alias("score") if metric == "cosine" else F.round(F.sqrt(squared_l2(F.col(vec), q)), 6).alias("distance")
     d = df.select(key, s)
     order = [F.col("score").desc() if metric == "cosine" else F.col("distance").asc(), F.col(key)]
@@ -47,10 +56,9 @@ def knn_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10
     """(query_id, key, score, rank) for any number of queries (query_id, q), in blocks that every task holds as one matrix.
 
     Each batch of rows is one matrix product; a task keeps its k best per query, so only tasks x queries x k rows move."""
-    kind = df.schema[key].dataType.simpleString()
-    rows, found = queries.orderBy("query_id").toLocalIterator(), None
-    while block := list(islice(rows, MAX_QUERIES)):
-        got = _best_of(df, key, vec, kind, block, k, skip_self)
+    kind, found = df.schema[key].dataType.simpleString(), None
+    for block in _query_blocks(queries.where(usable(F.col("q")))):
+        got = _best_of(df.where(usable(F.col(vec), len(block[0]["q"]))), key, vec, kind, block, k, skip_self)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return df.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
@@ -58,6 +66,14 @@ def knn_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", "rank")
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[list]:
+    """Queries (query_id, q, ...) in blocks of MAX_QUERIES at most, of one length each."""
+    rows = queries.orderBy(F.size("q"), "query_id").toLocalIterator()
+    for _, same in groupby(rows, key=lambda r: len(r["q"])):
+        while block := list(islice(same, MAX_QUERIES)):
+            yield block
+
+
 def _best_of(df: DataFrame, key: str, vec: str, kind: str, rows: list, k: int, skip_self: bool) -> DataFrame:
     """(query_id, key, score): each task's k best rows for each query of one block."""
     ids, q = np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], dtype=np.float64)
@@ -96,21 +112,27 @@ def planes(dim: int, tables: int = TABLES, bits: int = BITS, kind: str = "numpy"
 
 
 def fingerprints(df: DataFrame, vec: str, tables: int = TABLES, bits: int = BITS, kind: str = "numpy") -> DataFrame:
-    """df with fp: array (tables) of arrays (bits / 64) of longs; a bit is set where the projection is positive."""
+    """df with fp: array (tables) of arrays (bits / 64) of longs; a bit is set where the projection is positive. Null where there is no usable vector."""
 
     @F.pandas_udf("array<array<bigint>>")
     def project(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        r = None
+        known: dict[int, np.ndarray] = {}
         for s in it:
-            x = np.array(s.tolist(), dtype=np.float64)
-            if not len(x):
-                yield pd.Series([], dtype=object)
-                continue
-            r = planes(x.shape[1], tables, bits, kind) if r is None else r
-            words = [np.packbits((x @ r[t]) > 0, axis=1).reshape(len(x), bits // 64, 8).view(">u8")[:, :, 0].astype(np.uint64).view(np.int64) for t in range(tables)]
-            yield pd.Series([[w[i].tolist() for w in words] for i in range(len(x))])
-
-    return df.withColumn("fp", project(F.col(vec)))
+            out: list = [None] * len(s)
+            places: dict[int, list[int]] = {}
+            for i, v in enumerate(s):
+                if v is not None:
+                    places.setdefault(len(v), []).append(i)
+            for dim, at in places.items():  # vectors of one length are projected together
+                x = np.array([s.iloc[i] for i in at], dtype=np.float64)
+                if dim not in known:
+                    known[dim] = planes(dim, tables, bits, kind)
+                words = [np.packbits((x @ known[dim][t]) > 0, axis=1).reshape(len(x), bits // 64, 8).view(">u8")[:, :, 0].astype(np.uint64).view(np.int64) for t in range(tables)]
+                for j, i in enumerate(at):
+                    out[i] = [w[j].tolist() for w in words]
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumn("fp", project(F.when(usable(F.col(vec)), F.col(vec))))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -122,7 +144,7 @@ def hamming(a: Column, b: Column) -> Column:
 def coarse(df: DataFrame, key: str, query: DataFrame, n: int = COARSE) -> DataFrame:
     """The n rows nearest to the one query fingerprint (a one-row frame with column fp); fewer rows give all."""
     q = query.select(F.col("fp").alias("_q")).limit(1)
-    d = df.crossJoin(F.broadcast(q)).withColumn("distance", hamming(F.col("fp"), F.col("_q"))).drop("_q")  # one row
+    d = df.crossJoin(F.broadcast(q)).withColumn("distance", hamming(F.col("fp"), F.col("_q"))).drop("_q").where("distance is not null")  # one row
     return d.orderBy("distance", key).limit(n)
 
 
@@ -130,7 +152,7 @@ def simhash_knn(df: DataFrame, key: str, vec: str, query: list[float], k: int =
     """k nearest rows by plain Hamming distance of one table's fingerprints."""
     spark = df.sparkSession
     q = fingerprints(spark.createDataFrame([(list(map(float, query)),)], "q array<double>"), "q", 1, bits, kind)
-    d = coarse(fingerprints(df.select(key, vec), vec, 1, bits, kind), key, q, k).select(key, "distance")
+    d = coarse(fingerprints(df.select(key, vec).where(usable(F.col(vec), len(query))), vec, 1, bits, kind), key, q, k).select(key, "distance")
     return d.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
 
 
@@ -149,10 +171,9 @@ def message_neighbours(vectors: DataFrame, messages: DataFrame, query: list[floa
 def two_layer_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10, n: int = COARSE, tables: int = TABLES, bits: int = BITS, skip_self: bool = True) -> DataFrame:
     """(query_id, key, distance, score, rank) for queries (query_id, q): the n nearest by fingerprint, of those the k best by cosine."""
     kind = df.schema[key].dataType.simpleString()
-    d = fingerprints(df.select(F.col(key).alias("k"), F.col(vec).alias("v")), "v", tables, bits)
-    rows, found = fingerprints(queries, "q", tables, bits).orderBy("query_id").toLocalIterator(), None
-    while block := list(islice(rows, MAX_QUERIES)):
-        got = _coarse_of(d, kind, block, n, skip_self)
+    v, found = df.select(F.col(key).alias("k"), F.col(vec).alias("v")), None
+    for block in _query_blocks(fingerprints(queries.where(usable(F.col("q"))), "q", tables, bits)):
+        got = _coarse_of(fingerprints(v.where(usable(F.col("v"), len(block[0]["q"]))), "v", tables, bits), kind, block, n, skip_self)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return df.select(F.col(key).alias("query_id"), key, F.lit(0).alias("distance"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)

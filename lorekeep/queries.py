@@ -260,7 +260,7 @@ def kg_add(spark, d):
 @query(f"""WITH {FACTS}, days AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events) SELECT day, predicate, count(*) AS live FROM facts JOIN days ON (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR valid_to >= day) GROUP BY day, predicate""")
 def kg_as_of_many(spark, d):
     days = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
-    return kg.as_of_join(facts(spark, d), days, "2024-12-31").groupBy("day", "predicate").agg(F.count("*").alias("live"))
+    return kg.as_of_join(facts(spark, d), days).groupBy("day", "predicate").agg(F.count("*").alias("live"))
 
 
 @query("SELECT a.event_id, b.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY user_id, ts) b ON a.user_id = b.user_id AND a.ts >= b.ts")

@@ -17,6 +17,13 @@ SF = "/root/testdata/sf0.001"
 KIND = "conv_id long, turn long, role string, text string"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_buckets():
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(postings, "BUCKETS", 4)
+        yield
+
+
 def _plain(rows):
     """Messages and chats of rows (conv_id, turn, role, text), by plain Python."""
     m = {(c, t, r, x) for c, t, r, x in rows if x}

@@ -1,5 +1,6 @@
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -23,7 +24,7 @@ def test_kg_closed_intervals_and_directions(spark):
     assert g.count() == 4
     assert kg.invalidate(f, "amy", "likes", "amy", "2026-01-01").where("valid_to = '2026-01-01'").count() == 1
     days = spark.createDataFrame([("2024-05-05",), ("2025-06-01",), ("2023-01-01",)], "day string")
-    assert {r["day"]: r["count"] for r in kg.as_of_join(f, days, "2026-01-01").groupBy("day").count().collect()} == {"2024-05-05": 2, "2025-06-01": 3, "2023-01-01": 1}
+    assert {r["day"]: r["count"] for r in kg.as_of_join(f, days).groupBy("day").count().collect()} == {"2024-05-05": 2, "2025-06-01": 3, "2023-01-01": 1}
 
 
 def test_rrf_ties_keep_first_appearance(spark):
@@ -325,3 +326,32 @@ def test_bundles_and_config(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("g1", "[a|A] KEY:x"), ("g2", "[b|B]"), ("g3", "[c|C]")] and [r[0] for r in files.groups(got).collect()] == ["g1", "g2", "g3"]
     zettel.save_config(str(tmp_path / "c.json"), {"Alice": "ALC", "alice": "ALC", "Bob": "BOB"}, ["gandalf"])
     assert zettel.load_config(str(tmp_path / "c.json")) == ({"Alice": "ALC", "Bob": "BOB"}, ["gandalf"])
+
+
+def test_as_of_join_has_no_bounds(spark):
+    f = [("1", None, None), ("2", "2024-05-10", "2024-05-20"), ("3", "2190-01-01", None), ("4", None, "1899-12-31"), ("5", "1999-12-31", "2000-01-01"), ("6", "2024-05-31", "2024-06-01")]
+    days = [(d,) for d in ("1850-01-01", "1899-12-31", "1900-01-01", "2000-01-01", "2024-05-10", "2024-05-20", "2024-05-21", "2024-06-01", "2300-01-01", None, "2024-05-10")]
+    facts, asked = spark.createDataFrame(f, "id string, valid_from string, valid_to string"), spark.createDataFrame(days, "day string")
+    got = Counter((r["id"], r["day"]) for r in kg.as_of_join(facts, asked).collect())
+    assert got == Counter((i, d) for i, a, b in f for (d,) in days if d and (a is None or a <= d) and (b is None or b >= d))
+    assert kg.as_of_join(facts, asked.limit(0)).count() == 0 and kg.as_of_join(facts.limit(0), asked).count() == 0
+
+
+def test_vectors_with_gaps(spark):
+    """Null vectors, null elements, NaN and other lengths are no one's neighbours and crash nothing."""
+    rows = [(i, [float(i), 1.0, -2.0]) for i in range(1, 9)] + [(20, None), (21, []), (22, [1.0, None, 2.0]), (23, [1.0, float("nan"), 2.0]), (24, [1.0, 2.0]), (25, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
+    assert {r["k"] for r in vector.knn(df, "k", "v", [1.0, 1.0, 1.0], 50).collect()} == set(range(1, 9))
+    assert {r["k"] for r in vector.knn(df, "k", "v", [1.0, 1.0], 50, "l2").collect()} == {24, 25}
+    fp = {r["k"]: r["fp"] for r in vector.fingerprints(df, "v", 2, 64).collect()}
+    assert {k for k, x in fp.items() if x is None} == {20, 21, 22, 23}
+    one = vector.fingerprints(spark.createDataFrame([(1, [1.0, 2.0])], "k long, v array<double>"), "v", 2, 64).first()["fp"]
+    assert fp[24] == one
+    q = df.select(F.col("k").alias("query_id"), F.col("v").alias("q"))
+    for got in (vector.knn_batch(df, "k", "v", q, 9), vector.two_layer_batch(df, "k", "v", q, 9, 50, 2, 64)):
+        pairs = {(r["query_id"], r["k"]) for r in got.collect()}
+        assert pairs == {(a, b) for a in range(1, 9) for b in range(1, 9) if a != b} | {(24, 25), (25, 24)}
+    assert {r["k"] for r in vector.simhash_knn(df, "k", "v", [1.0, 1.0, 1.0], 50, 64).collect()} == set(range(1, 9))
+    near = vector.rescore(spark.createDataFrame([(20, 1), (1, 2), (24, 3)], "k long, rank int"), df, "k", "v", [1.0, 1.0, 1.0], 5)
+    assert [r["k"] for r in near.orderBy("rank").collect()][0] == 1
+    assert vector.knn_batch(df, "k", "v", q.where("query_id = 20"), 3).count() == 0
