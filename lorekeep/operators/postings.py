@@ -295,6 +295,8 @@ def search_boolean(spark: SparkSession, path: str, query: str, columns: list[str
     known = stats(spark, path)
     mean = float(known["total"] / max(known["n"], 1)) or 1.0
     hits = found(spark, path, spark.createDataFrame([(t,) for t in words], "term string"), words)
+    if not words:  # terms under three characters match nothing
+        return hits.select("key", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     one = hits.groupBy("key").agg(F.first("len").alias("len"), *[F.first(F.when(F.col("term") == t, F.col("places")), ignorenulls=True).alias(f"p{i}") for i, t in enumerate(words)])
     counts = hits.groupBy().agg(*[F.count_if(F.col("term") == t).alias(f"n{i}") for i, t in enumerate(words)])
     place = {t: F.col(f"p{i}") for i, t in enumerate(words)} | {t: F.array().cast("array<bigint>") for t in _texts(node) if len(t) < 3}

@@ -56,12 +56,12 @@ def knn_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10
     """(query_id, key, score, rank) for any number of queries (query_id, q), in blocks that every task holds as one matrix.
 
     Each batch of rows is one matrix product; a task keeps its k best per query, so only tasks x queries x k rows move."""
-    kind, found = df.schema[key].dataType.simpleString(), None
+    kind, found = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {df.schema[key].dataType.simpleString()}", None
     for block in _query_blocks(queries.where(usable(F.col("q")))):
         got = _best_of(df.where(usable(F.col(vec), len(block[0]["q"]))), key, vec, kind, block, k, skip_self)
         found = got if found is None else found.unionByName(got)
     if found is None:
-        return df.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return df.sparkSession.createDataFrame([], f"{kind}, score double, rank int").withColumnRenamed("key", key)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", "rank")
 
@@ -94,7 +94,7 @@ def _best_of(df: DataFrame, key: str, vec: str, kind: str, rows: list, k: int, s
         if top is not None:
             yield top
 
-    return df.select(F.col(key).alias("k"), F.col(vec).alias("v")).mapInPandas(best, f"query_id {kind}, key {kind}, score double")
+    return df.select(F.col(key).alias("k"), F.col(vec).alias("v")).mapInPandas(best, f"{kind}, score double")
 
 
 #: Queries in a block.
@@ -170,13 +170,13 @@ def message_neighbours(vectors: DataFrame, messages: DataFrame, query: list[floa
 
 def two_layer_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10, n: int = COARSE, tables: int = TABLES, bits: int = BITS, skip_self: bool = True) -> DataFrame:
     """(query_id, key, distance, score, rank) for queries (query_id, q): the n nearest by fingerprint, of those the k best by cosine."""
-    kind = df.schema[key].dataType.simpleString()
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {df.schema[key].dataType.simpleString()}"
     v, found = df.select(F.col(key).alias("k"), F.col(vec).alias("v")), None
     for block in _query_blocks(fingerprints(queries.where(usable(F.col("q"))), "q", tables, bits)):
         got = _coarse_of(fingerprints(v.where(usable(F.col("v"), len(block[0]["q"]))), "v", tables, bits), kind, block, n, skip_self)
         found = got if found is None else found.unionByName(got)
     if found is None:
-        return df.select(F.col(key).alias("query_id"), key, F.lit(0).alias("distance"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return df.sparkSession.createDataFrame([], f"{kind}, distance int, score double, rank int").withColumnRenamed("key", key)
     near = Window.partitionBy("query_id").orderBy("distance", "key")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "distance", "key")
     c = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= n).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -207,7 +207,7 @@ def _coarse_of(d: DataFrame, kind: str, rows: list, n: int, skip_self: bool) ->
         if top is not None:
             yield top
 
-    return d.mapInPandas(nearest, f"query_id {kind}, key {kind}, distance int, score double")
+    return d.mapInPandas(nearest, f"{kind}, distance int, score double")
 
 
 def rescore(cands: DataFrame, vectors: DataFrame, key: str, vec: str, query: list[float], k: int) -> DataFrame:
