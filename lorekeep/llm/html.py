@@ -3,7 +3,8 @@
 Pages of a host are ordered by URL path; each page pairs with the neighbour whose path shares the longer prefix. Text lines of
 both pages (blocks, in page order) are aligned by longest common subsequence, and shared lines are deleted: what two pages
 of a site have in common is its frame. Evidence besides limits that. Lines inside an <article> or <main> are content even where
-a neighbour is a copy of the page; lines in elements that are furniture by their meaning (navigation, footers, forms, scripts,
+a neighbour is a copy of the page, but for short lines (up to SHORT words) that a neighbour shares and that EVERYWHERE of the host's
+versions have, MANY at least: a menu that stands inside. Lines in elements that are furniture by their meaning (navigation, footers, forms, scripts,
 adverts, notices, comments) go even where no neighbour shares them. Differencing decides all other lines, on pages with an
 article too. Since a neighbour may be a copy of the page, whole or updated, a shared line goes only if it is on OFTEN or more
 versions of pages of the host (pages with the same lines are one version). On a host of fewer versions the neighbour alone
@@ -27,6 +28,8 @@ from .common import stored
 
 #: Versions of pages of a host that a line of its frame is on at least; parts that the pages with a line are dealt to.
 OFTEN, SALTS = 3, 16
+#: Most words of a line that differencing takes out of an article, versions that must have it, and their share of the host's.
+SHORT, MANY, EVERYWHERE = 4, 5, 0.8
 #: Stands among the lines of every page, so that it is counted as often as its host has versions.
 HOST = 0
 #: Elements by their meaning in HTML, and names that page furniture goes by.
@@ -37,6 +40,8 @@ RAW = set("iframe noembed noframes script style textarea title xmp".split())
 NAMES = set(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion related recommended recommendations respond search share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar topbar widget".split()
 )
+#: Words that stand before such a name without changing what it is.
+QUALIFIERS = set("bottom global left main page primary right secondary site top".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -44,30 +49,46 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
-def _furniture(tag: str, attrs: str, inside: bool) -> bool:
+def _named(token: str) -> bool:
+    """Whether a class or id is a furniture's name as a whole: one of NAMES, several of them, or one after a qualifier. A word of it isn't enough:
+    share-price and has-sidebar are no furniture."""
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
+    words = words[1:] if len(words) > 1 and words[0] in QUALIFIERS else words
+    return bool(words) and all(w in NAMES for w in words)
+
+
+def _furniture(tag: str, attrs: str, inside: bool) -> str:
+    """How an element is told to be furniture: by what it is (element), by its name (name), or not at all."""
     if tag in GONE:
-        return True
+        return "element"
     if tag == "header":
-        return not inside
+        return "" if inside else "element"
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     a = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTR.finditer(attrs)}
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower()):
-        return True
+        return "element"
     if a.get("role", "").lower() in ROLES:
-        return True
-    names = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    return bool(names & NAMES)
+        return "element"
+    return "name" if any(_named(t) for t in f"{a.get('class', '')} {a.get('id', '')}".split()) else ""
 
 
 def lines_of(html: str) -> list[tuple[str, int]]:
-    """Blocks of text in page order with their place: 0 in furniture, 1 elsewhere, 2 in an article or main element."""
+    """Blocks of text in page order with their place: 0 in furniture, 1 elsewhere, 2 in an article or main element. On a page without
+    article and main, names that would take more than half of its text are taken to be no furniture's."""
+    lines, named = _parsed(html, True)
+    kept = sum(len(t) for t, place in lines if place)
+    return _parsed(html, False)[0] if named > kept and not any(place == 2 for _, place in lines) else lines
+
+
+def _parsed(html: str, by_name: bool) -> tuple[list[tuple[str, int]], int]:
+    """Blocks with their place, and the number of characters that only names make furniture."""
     from html import unescape
 
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements with the place inside them
     text: list[tuple[str, int]] = []  # pieces of the open block, each with its place
-    place, at = 1, 0
+    place, at, named, outermost = 1, 0, 0, None  # outermost: depth of the open element that a name made furniture
 
     def close_block() -> None:
         # inline furniture (a button, an advert's span) leaves the block that it stands in
@@ -78,8 +99,9 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             out.append((line, at))
 
     def pop(to: int) -> None:
-        nonlocal place
+        nonlocal place, outermost
         del stack[to:]
+        outermost = None if outermost is not None and to <= outermost else outermost
         place = stack[-1][1] if stack else 1
 
     while at < len(html):
@@ -89,6 +111,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             break
         if m.start() > at:
             text.append((unescape(html[at : m.start()]), place))
+            named += len(text[-1][0].strip()) if outermost is not None else 0
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -115,7 +138,8 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if tag in VOID:
             continue
         inner = place
-        if place and _furniture(tag, attrs, place == 2):
+        why = _furniture(tag, attrs, place == 2) if place else ""
+        if why == "element" or (why and by_name):
             inner = 0
         elif place == 1 and tag in ("article", "main"):
             inner = 2
@@ -127,10 +151,11 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             at = end.end() if end else len(html)
             continue
         if not attrs.endswith("/") or tag in BLOCKS:
+            outermost = len(stack) if outermost is None and why == "name" and inner == 0 else outermost
             stack.append((tag, inner))
             place = inner
     close_block()
-    return out
+    return out, named
 
 
 def shared(a: list, b: list) -> set[int]:
@@ -186,7 +211,11 @@ def neighbours(keys: DataFrame) -> DataFrame:
 def _hashes(lines: list[tuple[str, int]]) -> list[int]:
     import xxhash
 
-    return [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, place in lines if place < 2]
+    return [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, place in lines if place < 2 or _short(t)]
+
+
+def _short(line: str) -> bool:
+    return len(line.split(None, SHORT)) <= SHORT
 
 
 def _version(lines: list[tuple[str, int]]) -> int:
@@ -196,10 +225,17 @@ def _version(lines: list[tuple[str, int]]) -> int:
     return xxhash.xxh3_64_intdigest("\n".join(t for t, place in lines if place).encode()) - (1 << 63)
 
 
-def recurring(lines: DataFrame) -> DataFrame:
-    """lines (page_id, host, version, free) -> (page_id, often): the lines of each page that OFTEN versions of its host have."""
+def recurring(lines: DataFrame, column: str = "free") -> DataFrame:
+    """lines (page_id, host, version, free, inner) -> (page_id, often): the lines of each page that OFTEN versions of its host have; for column inner
+    those that MANY of them and EVERYWHERE of all its versions have."""
     key = F.xxhash64("host", "line")
-    once = lines.groupBy("host", "version").agg(F.max("free").alias("free"))
+    once = lines.groupBy("host", "version").agg(F.max(column).alias("free"))
+    if column == "inner":
+        every = once.groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= MANY)
+        counts = once.select("host", F.explode("free").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
+        counts = counts.join(every, "host").where(F.col("n") >= EVERYWHERE * F.col("of")).groupBy("host").agg(F.collect_set("line").alias("menu"))  # a host's menu
+        own = lines.join(counts, "host").select("page_id", F.array_intersect("inner", "menu").alias("often"))
+        return own.where(F.size("often") > 0)
     counts = once.select("host", F.explode("free").alias("line")).groupBy(key.alias("k")).agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     counts = counts.select("k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = lines.select("page_id", "host", F.explode("free").alias("line")).select("page_id", "line", key.alias("k"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -215,35 +251,38 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            theirs, free, version = [], [], []
+            theirs, free, inner, version = [], [], [], []
             for h in b.column("html"):
                 lines = lines_of(h.as_py())
                 theirs.append(_hashes(lines))
                 free.append(sorted({HOST, *_hashes([x for x in lines if x[1] == 1])}))
+                inner.append(sorted(set(_hashes([x for x in lines if x[1] == 2]))))
                 version.append(_version(lines))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(theirs, longs), pa.array(free, longs), pa.array(version, pa.int64())], names=["page_id", "theirs", "free", "version"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(theirs, longs), pa.array(free, longs), pa.array(inner, longs), pa.array(version, pa.int64())], names=["page_id", "theirs", "free", "inner", "version"])
 
-    seen = base.where("page_id is not null").select("page_id", "html").mapInArrow(frames, "page_id long, theirs array<long>, free array<long>, version long")
-    seen = stored(seen.groupBy("page_id").agg(F.max(F.struct("theirs", "free", "version")).alias("s")).select("page_id", "s.*"), "lines")
-    often = recurring(seen.join(keys.where("host <> ''"), "page_id").select("page_id", "host", "version", "free"))
+    seen = base.where("page_id is not null").select("page_id", "html").mapInArrow(frames, "page_id long, theirs array<long>, free array<long>, inner array<long>, version long")
+    seen = stored(seen.groupBy("page_id").agg(F.max(F.struct("theirs", "free", "inner", "version")).alias("s")).select("page_id", "s.*"), "lines")
+    known = seen.join(keys.where("host <> ''"), "page_id").select("page_id", "host", "version", "free", "inner")
+    often, menu = recurring(known), recurring(known, "inner").select("page_id", F.col("often").alias("menu"))
     theirs = seen.select(F.col("page_id").alias("pair_id"), "theirs", F.col("version").alias("their_version"))
-    pairs = neighbours(keys).join(theirs, "pair_id", "left").join(often, "page_id", "left").select(F.col("page_id").alias("_id"), "pair_id", "theirs", "their_version", "often")
+    pairs = neighbours(keys).join(theirs, "pair_id", "left").join(often, "page_id", "left").join(menu, "page_id", "left").select(F.col("page_id").alias("_id"), "pair_id", "theirs", "their_version", "often", "menu")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, gone = [], []
-            for h, theirs, other, often in zip(*(b.column(c) for c in ("html", "theirs", "their_version", "often")), strict=True):
+            for h, theirs, other, often, menu in zip(*(b.column(c) for c in ("html", "theirs", "their_version", "often", "menu")), strict=True):
                 lines = lines_of(h.as_py())
                 mine, theirs, recur = _hashes(lines), theirs.as_py(), set(often.as_py() or ())
                 same = shared(mine, theirs) if theirs is not None else set()
-                outer = [i for i, (_, place) in enumerate(lines) if place < 2]
-                common = {outer[i] for i in same}
+                outer = [i for i, (t, place) in enumerate(lines) if place < 2 or _short(t)]
+                menu = set(menu.as_py() or ()) if other.as_py() != _version(lines) else set()
+                common = {outer[i] for i in same if lines[outer[i]][1] < 2 or mine[i] in menu}
                 if HOST in recur:
                     common -= {i for i, x in zip(outer, mine, strict=True) if lines[i][1] == 1 and x not in recur}
                 elif other.as_py() == _version(lines):
                     common -= {i for i in outer if lines[i][1] == 1}
-                out.append("\n".join(t for i, (t, place) in enumerate(lines) if place == 2 or (place == 1 and i not in common)))
+                out.append("\n".join(t for i, (t, place) in enumerate(lines) if place and i not in common))
                 gone.append(len(common))
             got = [pa.array(out, pa.string()), pa.array(map(len, out), pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *got, b.column("pair_id")], names=["page_id", "url", "text", "n_chars", "n_shared", "pair_id"])

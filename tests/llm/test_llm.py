@@ -340,6 +340,23 @@ def test_html_outside_of_articles(spark):
     assert {(r["page_id"], r["text"]) for r in html.extract(p).collect()} == {(i, f"Body {i}, first\nBody {i}, second\nRead on {i}") for i in range(4)}
 
 
+def test_html_names_are_whole_tokens(spark):
+    """A word of a class name is no furniture's name, and a name that holds most of the page isn't one either; menus within an element of content go."""
+    odd = ["has-sidebar", "post-comments-enabled", "share-price", "search-results", "ad-hoc", "modal-verbs", "site-header-less", "commentary"]
+    gone = ["sidebar", "site-header", "cookie-notice", "adBanner", "wide ad", "main_nav"]
+    page = "<body>" + "".join(f"<div class='{c}'>Text of {c} is kept here</div>" for c in odd) + "".join(f"<div class='{c}'>Gone {{0}} {k}</div>" for k, c in enumerate(gone)) + "</body>"
+    rows = [(i, f"http://h{i}.example.com/", page.format(i)) for i in range(2)]
+    rows += [(5, "http://most.example.com/", "<div id='comments'><p>This is the whole text of a page, whatever its name.</p></div><p>Title</p>")]
+    menu = "<div>Home</div><div>Sign in</div>"
+    rows += [(10 + i, f"http://m.example.com/{i}", f"<main>{menu}<p>Story {i} of the site</p><p>Yes</p><p>The same long sentence stands in all of them.</p></main>".replace("Yes", "Yes" if i == 3 else f"No {i}")) for i in range(6)]
+    rows += [(20 + i, f"http://few.example.com/{i}", f"<main>{menu}<p>Story {i}</p></main>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got[0] == got[1] == "\n".join(f"Text of {c} is kept here" for c in odd)
+    assert got[5] == "This is the whole text of a page, whatever its name.\nTitle"
+    assert all(got[10 + i] == f"Story {i} of the site\n{'Yes' if i == 3 else f'No {i}'}\nThe same long sentence stands in all of them." for i in range(6))
+    assert got[20] == "Home\nSign in\nStory 0"
+
+
 def test_html_frames_and_copies(spark):
     """A large unnamed frame goes from short texts; whole and updated copies keep the text that they share."""
     frame = "".join(f"<div>Frame {i}</div>" for i in range(20))
