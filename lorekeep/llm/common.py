@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let  # noqa: F401  (operators import it from here)
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, until_exit
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,7 +16,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 class Scratch:
     """Tables that one computation writes to the shared folder. `drop` deletes those that a later table has replaced, `close`
-    the rest, once the results that read them are written. Other computations' tables are never touched."""
+    the rest, once the results that read them are written; what nobody closes goes when the application ends. Other
+    computations' tables are never touched."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
@@ -25,6 +26,7 @@ class Scratch:
         """Writes df and reads it back: cuts lineage and survives lost executors."""
         path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
+        until_exit(self.spark, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[path] = out
         return out

@@ -1,12 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests (DataFrame functions only).
 
 A paragraph is a sentence or line; one of more than LONG characters is cut again at content-defined places: after a word whose
-hash, mixed with the word before, has LEVEL low zero bits. So the number of paragraphs grows with the text and an edit moves
+hash, mixed with the word before, has LEVEL low zero bits, and where none is for FORCED words; a word of more than WORD_LONG
+characters (text without white space) counts as its characters. So the number of paragraphs grows with the text and an edit moves
 only those it touches, however long the text. A paragraph's digest is its 64-bit hash; a text is the set of its digests. A
 sketch of s cells in each of three subtables holds count, XOR of digests and XOR of check hashes; cells that are empty aren't
 stored, so a sketch takes time and room by its digests, whatever s. Two sketches subtract cell by cell; peeling pure cells
-recovers the digests that differ, until they account for all that a subtable holds. Where peeling fails, sketches of eight times
-the cells are peeled. Likeness is Jaccard's, from the set sizes and the number recovered.
+recovers the digests that differ, until they account for all that a subtable holds. The first sketches have room for the
+difference that the SAMPLE smallest digests of both sets let expect; where peeling fails, sketches of eight times the cells are
+peeled, and eight times those. Likeness is Jaccard's, from the set sizes and the number recovered.
 
 Null texts are empty texts; two empty texts have likeness 1. Null ids come after all others and precede the first. Of rows
 that share an id, all are fingerprinted, and the smallest text is what precedes their common predecessor's end. Columns of
@@ -22,10 +24,14 @@ from pyspark.sql import functions as F
 from .common import let, successor, words_of
 
 #: Cells in each subtable of the sketch that is given as text; of sketches that are compared, for each digest; most rounds of peeling.
-SIZE, ROOM, ROUNDS = 8, 2, 40
+SIZE, ROOM, ROUNDS = 8, 1, 40
+#: Smallest digests by which the difference of two sets is estimated.
+SAMPLE = 32
 #: After what a paragraph ends besides a line, and how long (code points) one is before it is cut at words of LEVEL low zero bits,
 #: about every 2**LEVEL.
 ENDS, LONG, LEVEL = [". ", "! ", "? ", "。", "！", "？"], 400, 4
+#: Most words of a part, and characters of a word that is taken as one.
+FORCED, WORD_LONG = 64, 64
 
 
 def _cut(words: Column) -> Column:
@@ -34,7 +40,9 @@ def _cut(words: Column) -> Column:
     def ends(h: Column) -> Column:
         n = F.size(h)
         mixed = lambda i: F.get(h, i - 1).bitwiseXOR(F.shiftrightunsigned(F.coalesce(F.get(h, i - 2), F.lit(0)), 9))
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (mixed(i).bitwiseAND(F.lit((1 << LEVEL) - 1)) == 0) | (i == n))
+        fired = F.filter(F.sequence(F.lit(1), n), lambda i: (mixed(i).bitwiseAND(F.lit((1 << LEVEL) - 1)) == 0) | (i == n))
+        between = lambda b, e: F.when(e - b > FORCED, F.concat(F.sequence(b + FORCED, e - 1, F.lit(FORCED)), F.array(e))).otherwise(F.array(e))
+        return let(fired, lambda p: F.flatten(F.transform(p, lambda e, k: between(F.coalesce(F.get(p, k - 1), F.lit(0)), e))))
 
     def cut(h: Column) -> Column:
         return let(ends(h), lambda p: F.transform(p, lambda e, k: let(F.coalesce(F.get(p, k - 1), F.lit(0)), lambda b: F.xxhash64(F.slice(h, b + 1, e - b)))))
@@ -48,7 +56,8 @@ def digests(text: Column) -> Column:
     for end in ENDS:  # plain replacements and a split at a single character need no pattern matching
         t = F.replace(t, F.lit(end), F.lit(end.strip() + "\n"))
     parts = F.filter(F.transform(F.split(t, "\n"), lambda p: F.trim(p)), lambda p: p != "")
-    one = lambda p: F.when(F.char_length(p) <= LONG, F.array(F.xxhash64(p))).otherwise(_cut(F.transform(words_of(p), lambda w: F.xxhash64(w))))
+    hashed = lambda w: F.when(F.char_length(w) <= WORD_LONG, F.array(F.xxhash64(w))).otherwise(F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: F.xxhash64(c)))
+    one = lambda p: F.when(F.char_length(p) <= LONG, F.array(F.xxhash64(p))).otherwise(_cut(F.flatten(F.transform(words_of(p), hashed))))
     return F.array_distinct(F.flatten(F.transform(parts, one)))
 
 
@@ -140,15 +149,27 @@ def peel(cells: Column, s: Column | int = SIZE) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(F.size(acc["cells"]) == 0, acc["found"]))
 
 
+def expected(a: Column, b: Column) -> Column:
+    """Number of digests in one set only, estimated from the SAMPLE smallest of each (exact for sets of no more)."""
+    low = lambda x: F.slice(F.sort_array(x), 1, SAMPLE)
+
+    def of(x: Column, y: Column) -> Column:
+        some = F.slice(F.sort_array(F.array_union(x, y)), 1, SAMPLE)
+        same = F.size(F.array_intersect(F.array_intersect(x, y), some)) / F.greatest(F.size(some), F.lit(1))
+        return (F.size(a) + F.size(b)) * (1 - same) / (1 + same)
+
+    return let(low(a), lambda x: let(low(b), lambda y: of(x, y)))
+
+
 def difference(a: Column, b: Column) -> Column:
-    """Number of digests in one set only, peeled from subtracted sketches: with ROOM cells a subtable for each digest that may differ,
-    then eight times as many."""
+    """Number of digests in one set only, peeled from subtracted sketches: with ROOM cells a subtable for each digest that is expected to differ,
+    then eight times as many, then eight times those."""
     n = lambda found: F.aggregate(found, F.lit(0), lambda k, _: k + 1)
-    need = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(SIZE), F.size(a) + F.size(b)) * float(ROOM)))).cast("long")
+    need = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(float(SIZE)), expected(a, b) * ROOM)))).cast("long")
     at = lambda s: n(peel(subtracted(a, b, s), s))
     # digests that share their cells at every size don't peel: their number from the sets themselves
     last = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(let(need, at), let(8 * need, at), last)
+    return let(need, lambda s: F.coalesce(at(s), let(8 * s, at), let(64 * s, at), last))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, divergence, fingerprints, html, jaccard, language, licenses, mixing, quality, secrets, sharding, warc
-from .common import shared_dir
+from ..sources.shared import shared_dir, until_exit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
+    until_exit(spark, path)
     return warc.rebuilt(warc.read_archive(spark, path)).withColumnRenamed("id", "page_id")
 
 

@@ -69,6 +69,34 @@ def test_likeness_of_long_near_copies(spark, n):
     assert n / 40 < len(sets[1]) and got[2]["near_next"] == pytest.approx(len(sets[2] & sets[3]) / len(sets[2] | sets[3]))
 
 
+def test_paragraphs_without_marks_or_white_space(spark):
+    """A repeated word, a run of ideographs and one long token are cut too, so an edit at the end leaves the rest alike."""
+    rng = random.Random(8)
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1600))
+    token = "".join(rng.choice("abcdefghij0123456789") for _ in range(3000))
+    rows = [(1, cjk), (2, cjk + "知"), (3, "word " * 300), (4, "word " * 299 + "end"), (5, token), (6, token[:-5] + "00000"), (7, None)]
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["near_next"] > 0.9 and got[3]["near_next"] > 0.3 and got[5]["near_next"] > 0.9
+    assert got[1]["near_edited"] > 0.4 and got[3]["near_edited"] > 0.05
+
+
+def test_difference_retries_where_the_estimate_is_low(spark, monkeypatch):
+    """Sketches too small for the difference fail, and larger ones give the number of plain sets."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(62) for _ in range(400)]
+    pairs = [(base[:n] + [rng.getrandbits(62) for _ in range(d)], base[:n] + [rng.getrandbits(62) for _ in range(e)]) for n, d, e in ((400, 0, 0), (400, 1, 0), (300, 20, 30), (5, 200, 300), (0, 0, 3), (0, 0, 0), (400, 60, 5))]
+    d = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
+    want = [len(set(a) ^ set(b)) for a, b in pairs]
+    for room in (fingerprints.ROOM, 0.05):  # 0.05: first attempts must fail
+        monkeypatch.setattr(fingerprints, "ROOM", room)
+        got = d.select(fingerprints.difference(F.col("a"), F.col("b")).alias("n"), F.col("a"), F.col("b")).collect()
+        assert [r["n"] for r in got] == want
+    low = d.select(fingerprints.peel(fingerprints.subtracted(F.col("a"), F.col("b"), 8), 8).alias("p")).collect()
+    assert low[3]["p"] is None and low[1]["p"] is not None  # the smallest sketch fails on a large difference
+    close = d.select(fingerprints.expected(F.col("a"), F.col("b")).alias("x")).collect()
+    assert close[0]["x"] == 0 and close[4]["x"] == 3 and close[3]["x"] > 400
+
+
 def test_peeling_recovers_the_difference(spark):
     rng = random.Random(1)
     pool = [rng.getrandbits(63) for _ in range(900)]
