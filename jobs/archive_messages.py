@@ -4,12 +4,12 @@
 
 Each run takes the Parquet files that came below the source since the last one (the stream's checkpoint is the high-water mark), and
 
-* adds messages that aren't archived yet to TARGET/messages, partitioned by micro-batch and bucket of the chat. A message is known by chat, number,
+* adds messages that aren't archived yet to TARGET/messages, partitioned by stream, micro-batch and bucket of the chat. A message is known by chat, number,
   user and a digest of its text, so one that was edited is kept in both versions, and the order of arrival doesn't show in the result;
 * renews TARGET/chats (counts, tokens and users of a chat), partitioned by bucket, for the buckets that got messages, from the archive.
 
 Messages without text are left out. A run without new files changes nothing; a run that was cut off is repeated by the next one from the checkpoint,
-its partitions replaced. All reading and writing is Spark's, so paths may be remote.
+its partitions replaced. A new checkpoint over an old target reads the source again and adds what the archive lacks. All reading and writing is Spark's, so paths may be remote.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import has_cjk, tokens
-from lorekeep.streaming.ingest import append_once
+from lorekeep.streaming.ingest import append_once, stream_id
 
 log = logging.getLogger("jobs.archive_messages")
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "archive_messages.json")
@@ -62,12 +62,13 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, config:
 
     def add(batch: DataFrame, number: int) -> None:
         found = messages_of(batch, config)
-        here = append_once(found, number, f"{target}/messages", "key", config["buckets"], by="chat_id")
+        me = stream_id(batch.sparkSession, checkpoint)
+        here = append_once(found, me, number, f"{target}/messages", "key", config["buckets"], by="chat_id")
         every = batch.sparkSession.read.parquet(f"{target}/messages") if here else None
         if every is not None:
             chats = chats_of(every.where(F.col("bucket").isin(here)))
             chats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{target}/chats")
-        rows, added = batch.count(), every.where(F.col("batch") == number).count() if here else 0
+        rows, added = batch.count(), every.where((F.col("stream") == me) & (F.col("batch") == number)).count() if here else 0
         done["batches"], done["read"], done["added"] = done["batches"] + 1, done["read"] + rows, done["added"] + added
         log.info("batch %d of %s: %d rows read, %d messages added in %d buckets of %s", number, source, rows, added, len(here), target)
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dialect import encode_notes
-from ..operators.ingest import insert_unseen, latest_wins, message_key
+from ..operators.ingest import latest_wins, message_key
 from ..sources.files import inbox, note
 
 
@@ -37,12 +38,15 @@ def _stored(spark: SparkSession, target: str, schema: str) -> DataFrame:
 
 
 def ingest(messages: DataFrame, target: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Appends unseen messages to target; the table itself is the ledger, so a batch that is run again adds nothing. parse makes messages of a
-    batch where a stream can't (relay logs: a file's lines in order)."""
+    """Appends unseen messages to target, which is its own ledger (see append_once): a batch reads the keys of its buckets, not those of the whole table. Of
+    a key's messages in one batch the smallest by ts, then text, stays. parse makes messages of a batch where a stream can't (relay logs: a
+    file's lines in order)."""
 
-    def add(batch: DataFrame, _id: int) -> None:
-        found = parse(batch) if parse else batch
-        insert_unseen(found, _stored(batch.sparkSession, target, "key string")).write.mode("append").parquet(target)
+    def add(batch: DataFrame, number: int) -> None:
+        d = message_key((parse(batch) if parse else batch).where("text is not null and text <> ''"))
+        first = Window.partitionBy("key").orderBy("ts", "text")
+        d = d.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        append_once(d, stream_id(batch.sparkSession, checkpoint), number, target, "key")
 
     return messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -56,19 +60,26 @@ def touched(rows: DataFrame, column: str = "bucket") -> list[int]:
     return sorted(r[0] for r in rows.select(column).distinct().collect())
 
 
-def append_once(batch: DataFrame, batch_id: int, target: str, key: str, buckets: int = LEDGER, by: str | None = None) -> list[int]:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity that a stream's checkpoint gives it, within foreachBatch: another checkpoint is another stream, and its batches count from 0."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def append_once(batch: DataFrame, stream: str, batch_id: int, target: str, key: str, buckets: int = LEDGER, by: str | None = None) -> list[int]:
     """Adds the rows of a micro-batch whose key target lacks, one per key (any of equal ones; make equal keys mean equal rows), and gives the buckets added to.
 
-    target is the ledger: partitioned by batch and bucket (hash of `by`, the key unless given), so that the anti-join reads the keys of the batch's buckets
-    only. A batch that is run again ignores and replaces its own partitions, which dynamic overwrite does; so a restart from the checkpoint repeats it without harm."""
+    target is the ledger: partitioned by stream, batch and bucket (hash of `by`, the key unless given), so that the anti-join reads the keys of the batch's
+    buckets only. A batch that is run again ignores and replaces its own partitions, which dynamic overwrite does; so a restart from the
+    checkpoint repeats it without harm, and a new checkpoint over an old target reads everything again but adds nothing twice."""
     spark = batch.sparkSession
     d = batch.where(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(by or key), F.lit(buckets)).cast("int"))
     here = touched(d)
     if not here:
         return here
-    seen = _stored(spark, target, f"{key} {batch.schema[key].dataType.simpleString()}, batch long, bucket int").where((F.col("batch") < batch_id) & F.col("bucket").isin(here))
-    new = d.join(seen.select(key), key, "left_anti").dropDuplicates([key]).withColumn("batch", F.lit(batch_id).cast("long"))
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(target)
+    seen = _stored(spark, target, f"{key} {batch.schema[key].dataType.simpleString()}, stream string, batch long, bucket int")
+    seen = seen.where(F.col("bucket").isin(here) & ((F.col("stream") != stream) | (F.col("batch") < batch_id)))
+    new = d.join(seen.select(key), key, "left_anti").dropDuplicates([key]).withColumn("stream", F.lit(stream)).withColumn("batch", F.lit(batch_id).cast("long"))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch", "bucket").parquet(target)
     return here
 
 

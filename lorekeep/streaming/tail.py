@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..sources.files import RELAY
+from .ingest import stream_id
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "log string, ts string, source string, chat_id string, user string, message_id string, text string, closed boolean"
@@ -108,18 +109,19 @@ def tail_messages(chunks: DataFrame) -> DataFrame:
 
 
 def tail_logs(spark: SparkSession, path: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends the versions of messages that new pieces below path bring to target, by batch; a batch that is run again replaces its own."""
+    """Appends the versions of messages that new pieces below path bring to target, by stream and batch; a batch that is run again replaces its own."""
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("batch", F.lit(number).cast("long"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+        rows = batch.withColumn("stream", F.lit(stream_id(batch.sparkSession, checkpoint))).withColumn("batch", F.lit(number).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(target)
 
     stream = tail_messages(pieces(with_state_store(spark), path))
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tailed(spark: SparkSession, target: str, bot: str) -> DataFrame:
-    """Messages as they stand: the last version of each, closed ones first within a batch."""
+    """Messages as they stand: the closed version of each, else the longest, since an open message only grows (but for a line that turns out to begin
+    the next one, which closes it)."""
     d = spark.read.parquet(target)
-    last = F.max_by(F.struct("ts", "source", "chat_id", "user", "text"), F.struct("batch", "closed"))
+    last = F.max_by(F.struct("ts", "source", "chat_id", "user", "text"), F.struct("closed", F.char_length("text"), "batch"))
     return d.groupBy("log", "message_id").agg(last.alias("m")).select(F.lit(bot).alias("bot_name"), "log", "m.ts", "m.source", "m.chat_id", "m.user", "message_id", "m.text")

@@ -62,7 +62,15 @@ def test_archive_takes_only_what_is_new(spark, tmp_path):
     assert _found(spark, at) == _plain(FIRST + SECOND)
     kept = {p: t for p, t in before.items() if "/messages/" in p}
     assert {p: os.path.getmtime(p) for p in kept} == kept  # what was archived isn't written again
-    assert {x for x in os.listdir(f"{at}/messages") if x.startswith("batch=")} == {"batch=0", "batch=1"}
+    m = archive_messages.archived(spark, at)[0].select("stream", "batch").distinct().collect()
+    assert sorted(r["batch"] for r in m) == [0, 1] and len({r["stream"] for r in m}) == 1
+
+    # another checkpoint over the same archive: everything is read, nothing is lost or added twice
+    more = SECOND + [(9, 9, "user", "only now")]
+    _add(spark, [(9, 9, "user", "only now")], source)
+    three = archive_messages.run(spark, source, at, str(tmp_path / "other"))
+    assert three["read"] == len(FIRST) + len(SECOND) + 1 and three["added"] == 1
+    assert _found(spark, at) == _plain(FIRST + more)
 
 
 def _files(top):
@@ -113,12 +121,13 @@ def test_archive_on_growing_copies_of_the_table(spark, tmp_path):
 def test_ledger_reads_only_buckets_of_the_batch(spark, tmp_path):
     at = str(tmp_path / "ledger")
     rows = spark.range(500).select(F.col("id").cast("string").alias("key"), F.lit("v").alias("v"))
-    assert len(stream.append_once(rows, 0, at, "key", 8)) == 8
+    assert len(stream.append_once(rows, "a", 0, at, "key", 8)) == 8
     few = rows.where("key in ('3', '4')").unionByName(spark.createDataFrame([("new", "v"), (None, "v")], "key string, v string"))
-    here = stream.append_once(few, 1, at, "key", 8)
+    here = stream.append_once(few, "a", 1, at, "key", 8)
     assert len(here) <= 3 and spark.read.parquet(at).count() == 501
-    stream.append_once(few, 1, at, "key", 8)  # the batch again
-    assert spark.read.parquet(at).count() == 501 and stream.append_once(few.limit(0), 2, at, "key", 8) == []
+    stream.append_once(few, "a", 1, at, "key", 8)  # the batch again
+    assert spark.read.parquet(at).count() == 501 and stream.append_once(few.limit(0), "a", 2, at, "key", 8) == []
+    assert stream.append_once(few, "b", 0, at, "key", 8) and spark.read.parquet(at).count() == 501  # another stream's first batch
     plan = stream._stored(spark, at, "key string, batch long, bucket int").where(F.col("bucket").isin(here))._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
