@@ -124,3 +124,20 @@ def vec_knn_gaps(spark, d):
     e = _gapped(spark, d)
     q = e.where("vec_id % 100 in (0, 3, 17)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return vector.knn_batch(e, "vec_id", "embedding", q, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+_LISTS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(["hand", "tion", "shed"]))
+
+
+@query(f"""WITH {RADAR}, v AS (SELECT * FROM (VALUES {_LISTS}) z(list_id, term)),
+w AS (SELECT list_id, slug, greatest(length(slug) - 2, 0) + greatest(length(clsc) - 2, 0) AS len, ((length(clsc) - length(replace(lower(clsc), term, ''))) / length(term))::BIGINT AS tf FROM radar, v),
+st AS (SELECT list_id, count(*) AS n, avg(len) AS av, count(*) FILTER (tf > 0) AS m FROM w GROUP BY list_id),
+k AS (SELECT list_id, slug, row_number() OVER (PARTITION BY list_id ORDER BY -(CASE WHEN ln((n - m + 0.5) / (m + 0.5)) > 0 THEN ln((n - m + 0.5) / (m + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))), slug) AS rank FROM w JOIN st USING (list_id) WHERE tf > 0 QUALIFY rank <= 20),
+f AS (SELECT slug, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list_id) AS fl, arg_min(rank, list_id) AS fr FROM k GROUP BY slug),
+o AS (SELECT slug, row_number() OVER (ORDER BY score DESC, fl, fr, slug) AS rank FROM f QUALIFY rank <= 12),
+b AS (SELECT slug, rank, round((1 + 0.1 * ln(least(access_count, 100) + 1)) * CASE WHEN status = 'archived' THEN 0.7 ELSE 1.0 END, 6) AS boost FROM o JOIN radar USING (slug))
+SELECT slug, row_number() OVER (ORDER BY boost DESC, rank) AS final_rank FROM b""")
+def radar_search_expanded(spark, d):
+    """A query and the variants that its expander gives, each a list of its own, fused."""
+    o = api.Options(expand=lambda q: [q, "tion", "shed", "more than variants allows"], variants=2)
+    return api.radar_search(radar(spark, d), "hand", 12, o).select("slug", F.col("final_rank").cast("long").alias("final_rank"))
