@@ -650,3 +650,27 @@ def test_pipeline_against_plain_python(spark, tmp_path, rows):
             ids = {x["doc_id"]: enc.encode_ordinary(x["text"]) for x in before}
             assert sorted((x["doc_id"], x["n_tokens"], x["decoded_sha256"]) for x in got) == sorted((x["doc_id"], len(ids[x["doc_id"]]), hashlib.sha256(x["text"].encode()).hexdigest()) for x in before)
     assert pipe.run(spark, str(tmp_path)).count() == docs.count() > 12
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
+    """An empty table; null ids, sources and texts, rows that repeat, one text under several ids."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    corpus_pipeline = __import__("corpus_pipeline")
+    for name, rows in (("none", []), ("null", [(1, None, None, None, None), (None, "", "en", "a", 0)])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == 0
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60)) + "."
+    own = [text() for _ in range(8)]
+    rows = [(i, t, "en", ("a", "b", None)[i % 3], len(t)) for i, t in enumerate(own)]
+    rows += rows[:3] + [(None, own[4], "en", "a", 1), (50, own[5], None, "b", 1), (None, text(), "en", None, 1)]
+    (tmp_path / "odd").mkdir()
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    d = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, stages["quality"](spark, d, ""), "").collect()
+    assert sorted(r["text"] for r in kept) == sorted([*{r[1] for r in rows if r[0] is not None}, *[r[1] for r in rows if r[0] is None]])  # one of each text, and all without an id
+    assert {r["text"] for r in corpus_pipeline.mix_sources(spark, d, "").collect()} <= {r[1] for r in rows}
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert out and {r["doc_id"] for r in out} <= {r[0] for r in rows}
