@@ -2,6 +2,10 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; each result is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Null and empty texts fail the quality rules, so no later stage meets one from documents; each stage alone takes them too (see the operators): they have no
+shingles and link with nothing, hold no secret, have size 0 in the mix and aren't taken, and have no ids. Null sources are a
+source; rows without an id aren't compared, and all stay. Repeated rows are copies: near_duplicates keeps one of them. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
