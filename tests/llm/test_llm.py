@@ -2,6 +2,7 @@
 
 import hashlib
 import html as H
+import math
 import os
 import random
 import re
@@ -593,6 +594,60 @@ def test_language_of_hot_hosts(spark, monkeypatch):
     assert run() == first and len(first) == 90
 
 
+def _plain_fusion(rows, langs):
+    """Fusion of scored rows in plain Python: for each row all counts are made anew over the other rows."""
+    n = len(langs)
+    soft = lambda x: [math.exp(v - max(x)) / sum(math.exp(w - max(x)) for w in x) for v in x]
+    post, out = [soft(r["ll"]) for r in rows], {}
+    for i, r in enumerate(rows):
+        total = lambda test: [sum(post[j][l] for j in range(len(rows)) if j != i and test(rows[j])) for l in range(n)]
+        m = lambda test: sum(1 for j in range(len(rows)) if j != i and test(rows[j]))
+        prior = [(x + 1) / (len(rows) - 1 + n) for x in total(lambda q: True)]
+        if r["host"] is not None:
+            for test, w in ((lambda q: r["site"] is not None and q["site"] == r["site"], language.SITE_WEIGHT), (lambda q: q["host"] == r["host"] and q["site"] == r["site"], language.HOST_WEIGHT)):
+                prior = [(k + w * u) / (m(test) + w) for k, u in zip(total(test), prior, strict=True)]
+        s = [a + math.log(b) for a, b in zip(r["ll"], prior, strict=True)]
+        for c in ("declared", "suffix"):
+            if r[c] is not None:
+                k, t, v = total(lambda q: q[c] == r[c]), total(lambda q: q[c] is not None), len({q[c] for q in rows} - {None})
+                s = [x + math.log((a + language.DECLARED_WEIGHT / v) / (b + language.DECLARED_WEIGHT)) for x, a, b in zip(s, k, t, strict=True)]
+        out[r["page_id"]] = soft(s)
+    return out
+
+
+def test_language_fusion_against_plain_python(spark):
+    """Every posterior equals one counted over the other rows; nulls, copies and a host of one row among them."""
+    rng, langs = random.Random(9), ["en", "fr", language.OTHER]
+    pick = lambda *xs: rng.choice(xs)
+    rows = [{"page_id": i, "ll": [0.0] * 3 if i % 11 == 0 else [-rng.random() * 6 for _ in range(3)], "declared": pick("en", "fr", "ja", None), "suffix": pick("en", ".com", None), "host": pick("a.x.org", "b.x.org", None)} for i in range(60)]
+    rows += [{**rows[7], "page_id": 60}, {"page_id": 61, "ll": [0.0, -1.0, -9.0], "declared": None, "suffix": ".zz", "host": "c.y.zz"}]
+    rows = [{**r, "site": r["host"] and r["host"][2:]} for r in rows]
+    d = spark.createDataFrame([tuple(r[k] for k in ("page_id", "ll", "declared", "suffix", "host", "site")) for r in rows], "page_id long, ll array<double>, declared string, suffix string, host string, site string")
+    got = {r["page_id"]: r for r in language.fuse(d, langs).collect()}
+    want = _plain_fusion(rows, langs)
+    assert got.keys() == want.keys()
+    for r in rows:
+        g, w = got[r["page_id"]], want[r["page_id"]]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(g["posterior"], w, strict=True)), r
+        best = langs[max(range(3), key=lambda i: w[i])]
+        assert g["lang"] == ("ja" if best == language.OTHER and r["declared"] == "ja" else best) and abs(g["confidence"] - max(w)) < 1e-9
+
+
+def test_language_without_labelled_rows(spark):
+    """Text in no labelled language is OTHER, or what it declares; a declaration alone doesn't turn an English page."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no supplied tables")
+    d, ja, ru = spark.read.parquet(f"{folder}/documents.parquet"), "日本語の文章を書くのは楽しいことです。今日は天気がいいので散歩をします。", "Это предложение написано по-русски, и в нём достаточно много слов для проверки."
+    en = d.where("lang = 'en' and length(text) > 400").orderBy("doc_id").first()["text"]
+    page = lambda i, lang, t: (i, f"https://h{i}.example.co.uk/p", f"<html{lang}><p>{t}</p></html>")
+    p = spark.createDataFrame([page(1, " lang='ja'", ja), page(2, " lang='ru'", ru), page(3, "", ru), page(4, " lang='ja'", en), page(5, " lang='en'", en)], PAGE)
+    r = {x["page_id"]: x for x in language.identify(d, p).where("page_id is not null").collect()}
+    assert [r[i]["lang"] for i in (1, 2, 3, 4, 5)] == ["ja", "ru", language.OTHER, "en", "en"]
+    sites = {x["host"]: x["site"] for x in language.page_evidence(spark.createDataFrame([(i, f"http://{h}/", "") for i, h in enumerate(("a.b.co.uk", "www.x.de", "x.de", "co.uk", "localhost"))], PAGE)).collect()}
+    assert sites == {"a.b.co.uk": "b.co.uk", "www.x.de": "x.de", "x.de": "x.de", "co.uk": "co.uk", "localhost": None}
+
+
 def _plain_passing(text):
     """The quality rules on one text in plain Python: the cleaned text, or None."""
     n_words, _, _, _, repeats = _base(text)
