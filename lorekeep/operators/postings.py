@@ -2,13 +2,15 @@
 
 Tables below a path, all of them Parquet:
 
-* `postings/generation=G/bucket=B`: (gram, key, len, tf, places), sorted by gram. A gram is three folded characters; places are where it
-  starts, a column's number times 2**40 ahead, so that no phrase spans two columns. len is the row's length in trigrams, which saves a join.
+* `postings/generation=G/bucket=B`: (block, gram, places, keys, lens), each file sorted by gram. Rows lie in blocks, whole ones of about BLOCK characters:
+  their columns' texts one behind the other with a gap between, so that no phrase spans two. A gram is three folded characters, places are where it
+  starts in the block; a gram of a block is one row, or a few. The row of the empty gram has the block's keys, their lengths in trigrams (lens) and where
+  each column of theirs begins (places, and the end of the last). A block is made by one task, so nothing is shuffled to build an index.
 * `rows/generation=G`: (key, len, source_hash, gone), one row for each row that generation wrote or, with gone, took away.
 * `stats/generation=G`: one row (n, total): live rows and their length after that generation; written last, so it tells which generations are whole.
 
 `refresh` compares a table with the index and writes one generation with what is new or changed and what is gone; nothing else is
-touched. A row is live in its last generation; searches drop postings of earlier ones. `compact` writes the live rows as generation 0 of another path.
+touched. A row is live in its last generation; searches drop hits of earlier ones. `compact` writes the live rows as generation 0 of another path.
 A generation is written with overwrite below its own directory, so a run that was cut off is repeated without harm.
 
 Keys are unique (an error otherwise); rows with a null key aren't indexed. Null columns are empty texts. Terms under three characters match nothing.
@@ -16,7 +18,7 @@ Keys are unique (an error otherwise); rows with a null key aren't indexed. Null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,10 +30,10 @@ from ..functions.text import trigram_length
 from ..plans.boolean import Node, parse, phrases
 from .fts import IDF_FLOOR, K1, B, _total, top
 
-#: Directories of postings, parts that a directory's frequent grams are dealt to, characters taken at a time, grams that a scan is asked for.
-BUCKETS, SPREAD, PIECE, PUSHED = 64, 8, 1 << 20, 1000
-#: Bits of a place that a column's number stands above.
-COLUMN = 40
+#: Directories of postings, characters taken at a time, characters of a block, grams that a scan is asked for.
+BUCKETS, PIECE, BLOCK, PUSHED = 16, 1 << 20, 1 << 20, 1000
+#: Bits of a place that a column's number stands above; places of a block that a search in SQL deals to one cell.
+COLUMN, CELL = 40, 4096
 
 
 def _cut(text: str, start: int) -> Iterator[tuple[str, int]]:
@@ -48,45 +50,64 @@ def _runs(rows: list[int], texts: list[str], starts: list[int]) -> tuple[np.ndar
     which = np.repeat(np.arange(len(texts)), size)
     at = np.arange(len(c) - 2)
     at = at[at + 3 <= ends[which[: len(c) - 2]]] if len(c) > 2 else np.zeros(0, np.int64)
-    code = c[at] | c[at + 1] << 21 | c[at + 2] << 42
+    code = c[at] << 42 | c[at + 1] << 21 | c[at + 2]
     row, place = np.array(rows)[which[at]], np.array(starts)[which[at]] + at - (ends - size)[which[at]]
     order = np.lexsort((place, code, row))
     row, code, place = row[order], code[order], place[order]
     head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
     kinds, kind = np.unique(code[head], return_inverse=True)
-    chars = np.stack([kinds & 0x1FFFFF, kinds >> 21 & 0x1FFFFF, kinds >> 42], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    chars = np.stack([kinds >> 42, kinds >> 21 & 0x1FFFFF, kinds & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
     names = [chars[i : i + 3] for i in range(0, len(chars), 3)]
     return row[head], [names[k] for k in kind.tolist()], place, np.r_[head[1:], len(row)] if len(row) else head
 
 
 def gram_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, len, gram, tf, places) of df. A text over PIECE characters gives several rows for a gram; searches add them up."""
+    """(block, gram, places, keys, lens) of df, as they are stored. Texts are taken by about PIECE characters, a long one in pieces, so a gram may have
+    several rows in a block; searches put them together."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     names = [f"t{i}" for i in range(len(cols))]
     d = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), _total([trigram_length(c) for c in cols]).cast("long").alias("len"), *[F.lower(c).alias(n) for c, n in zip(cols, names, strict=True)])
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            row, gram, place, ends = _runs(rows, texts, starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(place, pa.int64()))
-            tf = np.diff(np.r_[0, ends])
-            return pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), b.column("len").take(pa.array(row)), pa.array(gram, pa.string()), pa.array(tf, pa.int32()), lists], names=["key", "len", "gram", "tf", "places"])
+        from pyspark import TaskContext
 
+        task, number, at, end = TaskContext.get().partitionId(), 0, 0, 0  # at: the block's next free place; end: that behind its last whole row
+        texts, places, keys, lens, starts, held = [], [], [], [], [], 0
+
+        def flush(types: dict) -> pa.RecordBatch:
+            _, gram, place, ends = _runs([0] * len(texts), texts, places)
+            first = [*starts, end] if keys else []
+            ends = np.r_[0, len(first), len(first) + ends]
+            own = pa.array(np.r_[0, np.full(len(ends) - 1, len(keys))], pa.int32())  # keys and lens belong to the first row
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.r_[np.array(first, np.int64), place].astype(np.int64)).cast(pa.int32())), pa.ListArray.from_arrays(own, pa.array(keys, types["key"])), pa.ListArray.from_arrays(own, pa.array(lens, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}.{number}"] * (len(gram) + 1), pa.string()), pa.array(["", *gram], pa.string()), *lists], names=["block", "gram", "places", "keys", "lens"])
+
+        types: dict = {}
         for b in batches:
-            rows, texts, starts, held = [], [], [], 0
-            for i, ts in enumerate(zip(*(b.column(n) for n in names), strict=True)):
-                for k, t in enumerate(ts):
-                    for piece, start in _cut(t.as_py(), k << COLUMN):
-                        rows.append(i), texts.append(piece), starts.append(start)
+            types = {"key": b.schema.field("key").type}
+            for i in range(b.num_rows):
+                begins = []
+                for n in names:
+                    t = b.column(n)[i].as_py()
+                    begins.append(at)
+                    for piece, start in _cut(t, at):
+                        texts.append(piece), places.append(start)
                         held += len(piece)
                         if held >= PIECE:
-                            yield flush()
-                            rows, texts, starts, held = [], [], [], 0
-            if held:
-                yield flush()
+                            yield flush(types)
+                            texts, places, keys, lens, starts, held = [], [], [], [], [], 0
+                    at += len(t) + 1
+                keys.append(b.column("key")[i].as_py()), lens.append(b.column("len")[i].as_py()), starts.extend(begins)
+                end = at
+                if at >= BLOCK:
+                    yield flush(types)
+                    texts, places, keys, lens, starts, held = [], [], [], [], [], 0
+                    number, at, end = number + 1, 0, 0
+        if keys:
+            yield flush(types)
 
-    return d.mapInArrow(run, f"key {kind}, len long, gram string, tf int, places array<long>")
+    return d.mapInArrow(run, f"block string, gram string, places array<int>, keys array<{kind}>, lens array<long>")
 
 
 def _hash(columns: list[str]) -> Column:
@@ -122,10 +143,15 @@ def live(spark: SparkSession, path: str) -> DataFrame:
     return d.where("not gone").select("key", "len", "source_hash", "generation")
 
 
+def _store(rows: DataFrame, path: str, generation: int) -> None:
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).sortWithinPartitions("bucket", "gram")
+    # ints as packed differences; small pages, which a scan for few grams passes over
+    form = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.page.row.count.limit": "500"}
+    rows.write.mode("overwrite").options(**form).partitionBy("bucket").parquet(f"{path}/postings/generation={generation}")
+
+
 def _write(df: DataFrame, key: str, columns: list[str], path: str, generation: int) -> None:
-    rows = gram_rows(df, key, columns).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-    rows = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("bucket", "gram", "key")
-    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/generation={generation}")
+    _store(gram_rows(df, key, columns), path, generation)
 
 
 def refresh(df: DataFrame, key: str, columns: list[str], path: str, complete: bool = True) -> dict:
@@ -174,20 +200,55 @@ def remove(spark: SparkSession, keys: DataFrame, path: str) -> dict:
     return {"generation": generation, "added": 0, "changed": 0, "removed": one["n"], "n": known["n"] - one["n"]}
 
 
-def _live_postings(spark: SparkSession, path: str, known: dict) -> DataFrame:
+def _postings(spark: SparkSession, path: str, known: dict) -> DataFrame:
     kind = dict(_at(spark, path, "rows", known["generation"]).dtypes)["key"]
     # an index of no grams has no file to tell the columns
-    d = spark.read.schema(f"key {kind}, len long, gram string, tf int, places array<long>, generation int, bucket int").parquet(f"{path}/postings")
+    d = spark.read.schema(f"block string, gram string, places array<int>, keys array<{kind}>, lens array<long>, generation int, bucket int").parquet(f"{path}/postings")
     return d.where(F.col("generation") <= known["generation"])
 
 
+def _starts(gram: Column, places: pa.ListArray, keys: pa.ListArray, lens: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray, int]:
+    """(starts, keys, lens, columns) of a block, in order of place, from its rows of the empty gram; starts are those of each row's columns."""
+    own = [i for i, g in enumerate(gram) if g == "" and len(keys[i].values)]
+    own.sort(key=lambda i: places[i].values[0].as_py())
+    n = sum(len(keys[i].values) for i in own)
+    starts = np.concatenate([places[i].values.to_numpy(zero_copy_only=False)[:-1] for i in own])
+    return starts.astype(np.int64), pa.concat_arrays([keys[i].values for i in own]), np.concatenate([lens[i].values.to_numpy(zero_copy_only=False) for i in own]), len(starts) // n
+
+
 def compact(spark: SparkSession, path: str, to: str) -> None:
     """The live rows of an index as generation 0 of another path, from its postings alone."""
     known = stats(spark, path)
     rows = live(spark, path)
-    p = _live_postings(spark, path, known).join(rows.select("key", "generation"), ["key", "generation"], "left_semi").select("key", "len", "gram", "tf", "places", "bucket")
-    p = p.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("bucket", "gram", "key")
-    p.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{to}/postings/generation=0")
+    p = _postings(spark, path, known).drop("bucket")
+    kept = p.where("gram = ''").select("generation", "block", F.explode("keys").alias("key")).join(rows.select("key", "generation"), ["key", "generation"], "left_semi")
+    kept = kept.groupBy("generation", "block").agg(F.collect_list("key").alias("keys")).select("generation", "block", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("array<int>").alias("places"), "keys", F.lit(None).cast("array<long>").alias("lens"))
+
+    def drop(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        gram, places, keys, lens = (t.column(c).combine_chunks() for c in ("gram", "places", "keys", "lens"))
+        gram = gram.to_pylist()
+        alive = {k for i, g in enumerate(gram) if g is None for k in keys[i].as_py()}
+        out = {"block": [], "gram": [], "places": [], "keys": [], "lens": []}
+        put = lambda g, p, k, n: [out[c].append(v) for c, v in zip(out, (f"{t['generation'][0]}:{t['block'][0]}", g, p, k, n), strict=True)]
+        starts, of, sizes, columns = _starts(gram, places, keys, lens)
+        is_live = np.array([k in alive for k in of.to_pylist()])
+        ends = {int(places[i].values[0].as_py()): int(places[i].values[-1].as_py()) for i, g in enumerate(gram) if g == "" and len(keys[i].values)}
+        for i, g in enumerate(gram):
+            if g:
+                at = places[i].values.to_numpy(zero_copy_only=False)
+                at = at[is_live[(np.searchsorted(starts, at, side="right") - 1) // columns]]
+                if len(at):
+                    put(g, at, [], [])
+        by_row, names = starts.reshape(-1, columns), of.to_pylist()
+        for j in np.flatnonzero(is_live):  # a row of the empty gram for each; a row ends where the next one began
+            end = int(by_row[j + 1][0]) if j + 1 < len(by_row) else max(ends.values())
+            put("", [*by_row[j], end], [names[j]], [sizes[j]])
+        return pa.table({c: pa.array(v, t.schema.field(c).type) for c, v in out.items()})
+
+    kind = p.schema["keys"].dataType.simpleString()
+    whole = p.select("generation", "block", "gram", "places", "keys", "lens").unionByName(kept).groupBy("generation", "block").applyInArrow(drop, f"block string, gram string, places array<int>, keys {kind}, lens array<long>")
+    _store(whole, to, 0)
     rows.select("key", "len", "source_hash", F.lit(False).alias("gone"), F.lit(None).cast("long").alias("old_len")).write.mode("overwrite").parquet(f"{to}/rows/generation=0")
     spark.createDataFrame([(known["n"], known["total"])], "n long, total long").coalesce(1).write.mode("overwrite").parquet(f"{to}/stats/generation=0")
 
@@ -198,35 +259,74 @@ def offsets(term: Column) -> Column:
     return F.array_distinct(F.concat(F.sequence(F.lit(0), n - 3, F.lit(3)), F.array(n - 3)))
 
 
-def found(spark: SparkSession, path: str, terms: DataFrame, asked: list[str] | None = None) -> DataFrame:
-    """(term, key, len, places) of live rows that hold a term, for terms (term), distinct and folded. asked: the terms, where they are few, so
-    that the scan is told their buckets and grams.
-
-    A term stands where all its grams do at their distance. The join is by gram; what is shuffled are postings of the terms' grams."""
+def _matcher(counts: bool) -> Callable[[pa.Table], pa.Table]:
+    """Of a block's rows (block, generation, gram, places, keys, lens, uses) those that hold a term: (term, key, generation, len, tf) or with places for tf."""
+
+    def match(t: pa.Table) -> pa.Table:
+        gram, places, keys, lens, uses = (t.column(c).combine_chunks() for c in ("gram", "places", "keys", "lens", "uses"))
+        gram = gram.to_pylist()
+        starts, names, sizes, columns = _starts(gram, places, keys, lens)
+        at: dict[str, list] = {}
+        asked: dict[str, dict] = {}
+        for i, g in enumerate(gram):
+            if g:
+                if g not in at:
+                    for u in uses[i].as_py():
+                        asked.setdefault(u["term"], {})[u["offset"]] = (g, u["need"])
+                at.setdefault(g, []).append(places[i].values.to_numpy(zero_copy_only=False))
+        whole = {g: x[0] if len(x) == 1 else np.sort(np.concatenate(x)) for g, x in at.items()}
+        terms, rows, values, sums = [], [], [], []
+        for term, parts in asked.items():
+            if len(parts) < next(iter(parts.values()))[1]:
+                continue
+            (first, o), *more = sorted(((whole[g], o) for o, (g, _) in parts.items()), key=lambda x: len(x[0]))
+            hit = first.astype(np.int64) - o
+            for x, o in more:
+                where = np.minimum(np.searchsorted(x, hit + o), len(x) - 1)
+                hit = hit[x[where] == hit + o]
+            if not len(hit):
+                continue
+            field = np.searchsorted(starts, hit, side="right") - 1
+            row, n = np.unique(field // columns, return_counts=True)
+            terms.append((term, len(row))), rows.append(row), sums.append(n)
+            if not counts:
+                values.append((field % columns << COLUMN) + hit - starts[field])
+        row, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, sums))
+        kinds = pa.array([x for x, _ in terms], pa.string())
+        term = kinds.take(pa.array(np.repeat(np.arange(len(terms)), [n for _, n in terms]), pa.int64()))
+        generation = pa.array(np.full(len(row), t["generation"][0].as_py(), np.int32))
+        last = pa.array(tf, pa.int64()) if counts else pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tf)], pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64()))
+        return pa.table([term, names.take(pa.array(row, pa.int64())), generation, pa.array(sizes[row], pa.int64()), last], names=["term", "key", "generation", "len", "tf" if counts else "places"])
+
+    return match
+
+
+def found(spark: SparkSession, path: str, terms: DataFrame, asked: list[str] | None = None, counts: bool = False) -> DataFrame:
+    """(term, key, len, places) of live rows that hold a term, for terms (term), distinct and folded; with counts tf for places. asked: the terms, where
+    they are few, so that the scan is told their buckets and grams.
+
+    A term stands where all its grams do at their distance. The terms' grams are broadcast, the postings of each gram that occurs in terms are shuffled
+    once, by block, whatever the number of terms with it, and a block is matched as a whole."""
     known = stats(spark, path)
     if known is None:
         raise ValueError(f"no index at {path}")
     q = terms.where(F.char_length("term") >= 3).select("term", offsets(F.col("term")).alias("o")).select("term", F.size("o").alias("need"), F.explode("o").alias("offset"))
-    q = q.withColumn("gram", F.substring(F.col("term"), F.col("offset") + 1, F.lit(3))).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-    p = _live_postings(spark, path, known)
+    q = q.withColumn("gram", F.substring(F.col("term"), F.col("offset") + 1, F.lit(3)))
+    q = q.groupBy("gram").agg(F.collect_list(F.struct("term", "offset", "need")).alias("uses"))
+    p = _postings(spark, path, known)
     grams = sorted({t[i : i + 3] for t in asked for i in {*range(0, len(t) - 2, 3), len(t) - 3} if len(t) >= 3}) if asked is not None else []
     if grams and len(grams) <= PUSHED:
+        grams = ["", *grams]
         buckets = [r["b"] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]  # BUCKETS at most
         p = p.where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
-    hits = p.join(q, ["bucket", "gram"]).select("term", "need", "offset", "key", "generation", "len", "places")
+    hits = p.join(F.broadcast(q), "gram", "left").where("uses is not null or gram = ''")  # a batch's grams
+    kind = p.schema["keys"].dataType.elementType.simpleString()
+    hits = hits.select("generation", "block", "gram", "places", "keys", "lens", "uses").groupBy("generation", "block")
+    hits = hits.applyInArrow(_matcher(counts), f"term string, key {kind}, generation int, len long, " + ("tf long" if counts else "places array<long>"))
     if known["generation"]:  # rows that a later generation wrote or took away
         later = _at(spark, path, "rows", known["generation"]).where("generation > 0").groupBy("key").agg(F.max("generation").alias("last"))
-        hits = hits.join(later, "key", "left").where("last is null or last = generation").drop("last")
-    shifted = F.transform("places", lambda x: x - F.col("offset"))
-    one = hits.where("need = 1").select("term", "key", "len", F.lit(0).alias("offset"), "places", "need")
-    more = hits.where("need > 1").select("term", "key", "len", "offset", shifted.alias("places"), "need")
-    g = one.unionByName(more).groupBy("term", "key").agg(F.first("len").alias("len"), F.first("need").alias("need"), F.collect_list(F.struct("offset", "places")).alias("ps"))
-    at = lambda ps, o: F.flatten(F.transform(F.filter(ps, lambda x: x["offset"] == o), lambda x: x["places"]))
-    kinds = F.array_sort(F.array_distinct(F.transform("ps", lambda x: x["offset"])))
-    g = g.withColumn("kinds", kinds).where(F.size("kinds") == F.col("need"))
-    first = at(F.col("ps"), F.get("kinds", F.lit(0)))
-    g = g.withColumn("places", F.aggregate(F.slice("kinds", F.lit(2), F.greatest(F.size("kinds") - 1, F.lit(0))), first, lambda a, o: F.array_intersect(a, at(F.col("ps"), o))))
-    return g.where(F.size("places") > 0).select("term", "key", "len", "places")
+        hits = hits.join(later, "key", "left").where("last is null or last = generation")
+    return hits.select("term", "key", "len", "tf" if counts else "places")
 
 
 def bm25(spark: SparkSession, path: str, queries: DataFrame, asked: list[str] | None = None) -> DataFrame:
@@ -235,7 +335,7 @@ def bm25(spark: SparkSession, path: str, queries: DataFrame, asked: list[str] |
     n, mean = known["n"], known["total"] / max(known["n"], 1)
     # terms that differ in case only count each, as in a scan
     q = queries.where(F.char_length("term") >= 3).select("query_id", "term").distinct().withColumn("term", F.lower("term"))
-    hits = found(spark, path, q.select("term").distinct(), asked).select("term", "key", "len", F.size("places").alias("tf"))
+    hits = found(spark, path, q.select("term").distinct(), asked, counts=True)
     rows = hits.groupBy("term").agg(F.count("*").alias("rows"))
     idf = F.log((F.lit(n) - F.col("rows") + 0.5) / (F.col("rows") + 0.5))
     weight = rows.select("term", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("w"))
@@ -316,15 +416,23 @@ def register(spark: SparkSession, path: str, name: str = "text_search") -> None:
     A SQL table function over the index's tables, so a search is part of the statement's own plan and takes columns of a lateral
     join as well. Temporary, like the views it reads (named after it)."""
     known = stats(spark, path)
-    _live_postings(spark, path, known).createOrReplaceTempView(f"{name}_postings")
-    live(spark, path).createOrReplaceTempView(f"{name}_rows")
-    kind = dict(spark.table(f"{name}_rows").dtypes)["key"]
+    p = _postings(spark, path, known)
+    p.createOrReplaceTempView(f"{name}_postings")
+    # where each live row begins and ends, in each cell of its block that it touches
+    width = (F.size("places") - 1) / F.size("keys")
+    r = p.where("gram = '' and size(keys) > 0").select("generation", "block", "places", "lens", width.cast("int").alias("width"), F.posexplode("keys").alias("i", "key"))
+    r = r.select("generation", "block", "key", F.get("lens", F.col("i")).alias("len"), F.get("places", F.col("i") * F.col("width")).alias("begin"), F.get("places", (F.col("i") + 1) * F.col("width")).alias("end"))
+    r = r.join(live(spark, path).select("key", "generation"), ["key", "generation"], "left_semi")
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    r.withColumn("cell", F.explode(F.sequence(cell("begin"), cell("end")))).createOrReplaceTempView(f"{name}_rows")
+    kind = p.schema["keys"].dataType.elementType.simpleString()
     spark.sql(f"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, most INT) RETURNS TABLE (key {kind}, score DOUBLE, rank INT) RETURN
 WITH word AS (SELECT lower(w) AS term, count(*) AS times FROM (SELECT explode(array_distinct(filter(split({name}.query, ' '), x -> char_length(x) >= 3))) AS w) GROUP BY lower(w)),
 gram AS (SELECT term, size(o) AS need, explode(o) AS off FROM (SELECT term, array_distinct(concat(sequence(0, char_length(term) - 3, 3), array(char_length(term) - 3))) AS o FROM word)),
-hit AS (SELECT g.term, g.need, p.key, p.len, explode(transform(p.places, x -> x - g.off)) AS at FROM {name}_postings p JOIN gram g ON p.gram = substring(g.term, g.off + 1, 3) JOIN {name}_rows r ON p.key = r.key AND p.generation = r.generation),
-kept AS (SELECT term, key, len, count(*) AS tf FROM (SELECT term, key, len, need, at FROM hit GROUP BY term, key, len, need, at HAVING count(*) = need) GROUP BY term, key, len),
+hit AS (SELECT g.term, g.need, p.generation, p.block, explode(transform(p.places, x -> x - g.off)) AS at FROM {name}_postings p JOIN gram g ON p.gram = substring(g.term, g.off + 1, 3)),
+stands AS (SELECT term, generation, block, at FROM hit GROUP BY term, need, generation, block, at HAVING count(*) = need),
+kept AS (SELECT s.term, r.key, r.len, count(*) AS tf FROM stands s JOIN {name}_rows r ON s.generation = r.generation AND s.block = r.block AND floor(s.at / {CELL}) = r.cell AND s.at >= r.begin AND s.at < r.end GROUP BY s.term, r.key, r.len),
 df AS (SELECT term, count(*) AS n FROM kept GROUP BY term),
 idf AS (SELECT term, CASE WHEN ln(({known["n"]} - n + 0.5) / (n + 0.5)) > 0 THEN ln(({known["n"]} - n + 0.5) / (n + 0.5)) ELSE {IDF_FLOOR}D END AS w FROM df),
 sc AS (SELECT key, -sum(times * w * tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * len / {float(known["total"] / max(known["n"], 1)) or 1.0}D))) AS score FROM kept JOIN idf USING (term) JOIN word USING (term) GROUP BY key)

@@ -206,3 +206,29 @@ def test_until_exit(spark, tmp_path):
     (tmp_path / "t").mkdir()
     until_exit(spark, str(tmp_path / "t"))
     assert (tmp_path / "t").exists()
+
+
+@pytest.mark.parametrize("piece,block", [(7, 40), (1 << 20, 30), (50, 1 << 20)])
+def test_blocks_of_any_size_give_the_same_hits(spark, tmp_path, monkeypatch, piece, block):
+    """Texts in many pieces and blocks, phrases over pieces' edges, in Python and in SQL, after a compaction too."""
+    monkeypatch.setattr(postings, "PIECE", piece)
+    monkeypatch.setattr(postings, "BLOCK", block)
+    rows = [(f"s{i}", t) for i, t in enumerate(["a hand in hand and handy thing", "banana", None, "an", "hand", "thing and token with", "nothing to hand over but hand"])] + [("and", "hand" * 9)]
+    d, terms = spark.createDataFrame(rows, "slug string, clsc string").coalesce(1), ["hand", "and handy thing", "nana"]
+    path, to = str(tmp_path / "index"), str(tmp_path / "compact")
+    postings.refresh(d.withColumn("clsc", F.concat(F.lit("hand "), F.coalesce("clsc", F.lit("")))), "slug", COLS, path)
+    postings.refresh(d.where("slug <> 's4'"), "slug", COLS, path)
+    want = _scores(fts.bm25(d.where("slug <> 's4'"), COLS, terms).collect(), "slug")
+    assert _all(spark, path, terms) == want
+    postings.compact(spark, path, to)
+    assert _all(spark, to, terms) == want
+    for i, p in enumerate((path, to)):
+        postings.register(spark, p, f"sized{i}")
+        assert _scores(spark.sql(f"SELECT * FROM sized{i}('hand nana', 100)").collect(), "key") == _all(spark, p, ["hand", "nana"])
+
+
+def test_build_shuffles_nothing_and_a_gram_is_one_row_of_a_block(spark, tmp_path):
+    d = spark.createDataFrame([(f"k{i}", "a hand in hand") for i in range(50)], "slug string, clsc string").coalesce(1)
+    rows = postings.gram_rows(d, "slug", ["clsc"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.where("gram = 'han'").count() == 1 and rows.where("gram = 'han'").first()["places"] == sorted(15 * i + x for i in range(50) for x in (2, 10))
