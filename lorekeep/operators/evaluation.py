@@ -98,8 +98,11 @@ def ratio_summary(df: DataFrame, original: str, short: str) -> DataFrame:
     """One row: documents, missing, mean, upper median (exact; counts of equal values, no list) and four buckets of len(short) / len(original)."""
     # six places bound the number of different ratios that the median's window orders
     d = df.select(F.round(F.char_length(short) / F.greatest(F.char_length(original), F.lit(1)), 6).alias("r"))
-    n = d.agg(F.count("r").alias("n"), F.count("*").alias("all"), F.round(F.avg("r"), 6).alias("mean"), *[F.count_if(c).alias(k) for k, c in (("under_10", F.col("r") < 0.1), ("under_20", (F.col("r") >= 0.1) & (F.col("r") < 0.2)), ("under_30", (F.col("r") >= 0.2) & (F.col("r") < 0.3)), ("over_30", F.col("r") >= 0.3))])
-    v = d.where("r is not null").groupBy("r").count()
+    v = d.groupBy("r").count()  # the texts are gone through once, for this
+    sum_if = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0)).cast("long")
+    known = F.col("r").isNotNull()
+    n = v.agg(sum_if(known).alias("n"), sum_if(F.lit(True)).alias("all"), F.round(F.sum(F.col("r") * F.col("count")) / F.sum(F.when(known, F.col("count"))), 6).alias("mean"), *[sum_if(c).alias(k) for k, c in (("under_10", F.col("r") < 0.1), ("under_20", (F.col("r") >= 0.1) & (F.col("r") < 0.2)), ("under_30", (F.col("r") >= 0.2) & (F.col("r") < 0.3)), ("over_30", F.col("r") >= 0.3))])
+    v = v.where(known)
     upto = v.crossJoin(F.broadcast(n.select("n")))  # one row
     total = F.sum("count").over(Window.orderBy("r"))
     mid = upto.select("r", total.alias("c"), "n").where(F.col("c") > F.floor(F.col("n") / 2)).agg(F.round(F.min("r"), 6).alias("median"))
