@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entity_key, predicate_key
 
+#: Parts that a month's facts are dealt to.
+SPREAD = 32
+
 
 def valid_at(day: Column | str | None) -> Column:
     """Facts that hold on a day; both ends belong to the interval, null ends are open. None: all facts."""
@@ -102,13 +105,16 @@ def as_of_join(facts: DataFrame, days: DataFrame) -> DataFrame:
     """Facts that hold on each of many days (column day, any dates): an equi-join by month, the interval as residual, so no nested loop.
 
     A fact is dealt to those months of the days asked that its interval touches; the months come as one row (a calendar's worth), so open ends need
-    no bound and days before, between and after all facts are met alike. A fact meets each row of days once; null days meet none."""
+    no bound and days before, between and after all facts are met alike. A month's facts are dealt to SPREAD parts, each with the month's days, so that
+    facts of a single month aren't one task. A fact meets each row of days once; null days meet none."""
     month = lambda c: F.date_format(F.to_date(c), "yyyy-MM")
     d = days.where("day is not null").withColumn("bucket", month(F.col("day")))
     asked = d.agg(F.array_sort(F.collect_set("bucket")).alias("_months"))
     within = lambda m: (F.col("valid_from").isNull() | (month(F.col("valid_from")) <= m)) & (F.col("valid_to").isNull() | (month(F.col("valid_to")) >= m))
     f = facts.crossJoin(F.broadcast(asked)).withColumn("bucket", F.explode(F.filter("_months", within))).drop("_months")  # one row
-    return f.join(d, "bucket").where(valid_at(F.col("day"))).drop("bucket")
+    f = f.withColumn("part", F.pmod(F.xxhash64(*[c for c, kind in facts.dtypes if "map<" not in kind]), F.lit(SPREAD)).cast("int"))
+    d = d.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return f.join(d, ["bucket", "part"]).where(valid_at(F.col("day"))).drop("bucket", "part")
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
