@@ -10,11 +10,14 @@ from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tables and bits of the fingerprint, first seed, guard of norms, candidates of the coarse search.
 TABLES, BITS, SEED, EPS, COARSE = 8, 512, 42, 1e-10, 50
+#: Vectors that are projected at a time.
+ROWS = 500
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,6 +69,14 @@ def knn_batch(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", "rank")
 
 
+def _parts(batches: Iterator[pd.DataFrame], queries: int) -> Iterator[pd.DataFrame]:
+    """batches in parts whose matrix with the queries has MATRIX numbers at most, or one row."""
+    rows = max(1, MATRIX // queries)
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows]
+
+
 def _query_blocks(queries: DataFrame) -> Iterator[list]:
     """Queries (query_id, q, ...) in blocks of MAX_QUERIES at most, of one length each."""
     rows = queries.orderBy(F.size("q"), "query_id").toLocalIterator()
@@ -81,9 +92,7 @@ def _best_of(df: DataFrame, key: str, vec: str, kind: str, rows: list, k: int, s
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top: pd.DataFrame | None = None
-        for b in batches:
-            if b.empty:
-                continue
+        for b in _parts(batches, len(ids)):
             x = np.array(b["v"].tolist(), dtype=np.float64)
             s = np.round((x @ q.T) / (np.linalg.norm(x, axis=1, keepdims=True) + EPS), 6)
             m = min(k + 1, len(x))
@@ -97,8 +106,8 @@ def _best_of(df: DataFrame, key: str, vec: str, kind: str, rows: list, k: int, s
     return df.select(F.col(key).alias("k"), F.col(vec).alias("v")).mapInPandas(best, f"{kind}, score double")
 
 
-#: Queries in a block.
-MAX_QUERIES = 10_000
+#: Queries in a block, numbers in a matrix of rows and queries (8 bytes each).
+MAX_QUERIES, MATRIX = 10_000, 1 << 21
 
 
 def planes(dim: int, tables: int = TABLES, bits: int = BITS, kind: str = "numpy", seed: int = SEED) -> np.ndarray:
@@ -114,23 +123,27 @@ def planes(dim: int, tables: int = TABLES, bits: int = BITS, kind: str = "numpy"
 def fingerprints(df: DataFrame, vec: str, tables: int = TABLES, bits: int = BITS, kind: str = "numpy") -> DataFrame:
     """df with fp: array (tables) of arrays (bits / 64) of longs; a bit is set where the projection is positive. Null where there is no usable vector."""
 
-    @F.pandas_udf("array<array<bigint>>")
-    def project(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<array<bigint>>")
+    def project(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[int, np.ndarray] = {}
-        for s in it:
+
+        def of(s: list) -> pa.Array:
             out: list = [None] * len(s)
             places: dict[int, list[int]] = {}
             for i, v in enumerate(s):
                 if v is not None:
                     places.setdefault(len(v), []).append(i)
             for dim, at in places.items():  # vectors of one length are projected together
-                x = np.array([s.iloc[i] for i in at], dtype=np.float64)
+                x = np.array([s[i] for i in at], dtype=np.float64)
                 if dim not in known:
                     known[dim] = planes(dim, tables, bits, kind)
                 words = [np.packbits((x @ known[dim][t]) > 0, axis=1).reshape(len(x), bits // 64, 8).view(">u8")[:, :, 0].astype(np.uint64).view(np.int64) for t in range(tables)]
                 for j, i in enumerate(at):
                     out[i] = [w[j].tolist() for w in words]
-            yield pd.Series(out, dtype=object)
+            return pa.array(out, pa.list_(pa.list_(pa.int64())))
+
+        for s in it:  # only ROWS vectors at a time are Python's numbers
+            yield pa.concat_arrays([of(s.slice(a, ROWS).to_pylist()) for a in range(0, len(s), ROWS)] or [of([])])
 
     return df.withColumn("fp", project(F.when(usable(F.col(vec)), F.col(vec))))
 
@@ -190,9 +203,7 @@ def _coarse_of(d: DataFrame, kind: str, rows: list, n: int, skip_self: bool) ->
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top: pd.DataFrame | None = None
-        for b in batches:
-            if b.empty:
-                continue
+        for b in _parts(batches, len(ids)):
             x, keys = np.array(b["v"].tolist(), dtype=np.float64), b["k"].to_numpy()
             x = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
             f = np.array([[w.tolist() for w in r] for r in b["fp"]], dtype=np.int64).view(np.uint64)
