@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,13 +113,11 @@ def embed_new(df: DataFrame, key: str, text: str, stored: DataFrame | None, embe
     rows = df if stored is None or force else df.join(stored.select(key), key, "left_anti")
     kind = df.schema[key].dataType.simpleString()
 
-    @F.pandas_udf("array<float>")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            out: list = []
-            for a in range(0, len(s), batch):
-                out += embed(s.iloc[a : a + batch].tolist())
-            yield pd.Series(out, dtype=object)
+    @F.arrow_udf("array<float>")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.float32())
+        for s in it:  # texts and vectors are Python's objects only while their batch is embedded
+            yield pa.concat_arrays([pa.array([None if v is None else [float(x) for x in v] for v in embed(s.slice(a, batch).to_pylist())], kind) for a in range(0, len(s), batch)] or [pa.array([], kind)])
 
     d = rows.select(F.col(key).cast(kind).alias(key), run(F.coalesce(F.col(text), F.lit(""))).alias("embedding"))
     return vector.fingerprints(d, "embedding")
