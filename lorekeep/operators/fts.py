@@ -170,6 +170,31 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(trigrams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def gram_counts(df: DataFrame, text: str) -> DataFrame:
+    """(term, tf): how often each trigram occurs in the whole table. A task counts its texts by about a million characters, so what is shuffled is a row
+    for each trigram of such a part, not one for each of a text."""
+    from .postings import PIECE, _cut, _runs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            _, gram, _, ends = _runs([0] * len(texts), texts, [0] * len(texts))
+            return pa.RecordBatch.from_arrays([pa.array(gram, pa.string()), pa.array(ends - [0, *ends[:-1]] if len(ends) else [], pa.int64())], names=["term", "n"])
+
+        texts, held_ = [], 0
+        for b in batches:
+            for t in b.column("t"):
+                for piece, _ in _cut(t.as_py(), 0):
+                    texts.append(piece)
+                    held_ += len(piece)
+                    if held_ >= PIECE:
+                        yield counted()
+                        texts, held_ = [], 0
+        if texts:
+            yield counted()
+
+    return df.select(F.coalesce(fold(text), F.lit("")).alias("t")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("tf"))
+
+
 def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> None:
     """Stores the trigram index of df: postings (bucket, gram, key), sorted by gram within directories by bucket, the texts, and one row of
     statistics. Writing it again replaces it (the rebuild). Frequent trigrams are dealt to SPREAD parts of their bucket."""
