@@ -355,3 +355,58 @@ def test_vectors_with_gaps(spark):
     near = vector.rescore(spark.createDataFrame([(20, 1), (1, 2), (24, 3)], "k long, rank int"), df, "k", "v", [1.0, 1.0, 1.0], 5)
     assert [r["k"] for r in near.orderBy("rank").collect()][0] == 1
     assert vector.knn_batch(df, "k", "v", q.where("query_id = 20"), 3).count() == 0
+
+
+def test_vectors_meet_queries_in_bounded_matrices(spark, monkeypatch):
+    """Whatever the batch, a matrix of rows and queries keeps to MATRIX numbers; the neighbours stay."""
+    import pandas as pd
+
+    from lorekeep.operators import vector
+
+    monkeypatch.setattr(vector, "MATRIX", 12)
+    got = list(vector._parts(iter([pd.DataFrame({"k": range(10)}), pd.DataFrame({"k": []})]), 4))
+    assert [len(b) for b in got] == [3, 3, 3, 1] and [k for b in got for k in b["k"]] == list(range(10))
+    assert [len(b) for b in vector._parts(iter([pd.DataFrame({"k": range(2)})]), 100)] == [1, 1]
+
+
+def test_facts_of_one_month_are_dealt_to_parts(spark):
+    from lorekeep.operators import kg
+
+    facts = spark.range(500).selectExpr("concat('f', id) as id", "'2024-01-01' as valid_from", "'2024-01-31' as valid_to")
+    days = spark.createDataFrame([("2024-01-05",), ("2024-01-05",), ("2024-02-05",)], "day string")
+    got = kg.as_of_join(facts, days)
+    assert got.count() == 1000 and "part" not in got.columns
+    assert "part" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_ratio_summary_makes_the_short_texts_once(spark):
+    from lorekeep.operators import evaluation
+
+    d = spark.createDataFrame([("a" * n, "b" * k) for n, k in ((10, 1), (10, 2), (10, 2), (4, 4))] + [(None, "x")], "o string, s string")
+    r = evaluation.ratio_summary(d, "o", "s").first()
+    assert (r["n"], r["missing"], r["mean"], r["median"]) == (4, 1, 0.375, 0.2)
+    assert (r["under_10"], r["under_20"], r["under_30"], r["over_30"]) == (0, 1, 2, 1)
+    plan = evaluation.ratio_summary(d, "o", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(r#" not in plan  # all figures come from the counts of equal ratios, whose shuffle is shared
+
+
+def test_trigram_totals_are_those_of_plain_python(spark, monkeypatch):
+    from collections import Counter
+
+    from lorekeep.operators import fts, postings
+
+    monkeypatch.setattr(postings, "PIECE", 5)
+    texts = ["banana BANANA", None, "an", "😀知識結構x"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = Counter(t.lower()[i : i + 3] for t in texts if t for i in range(len(t) - 2))
+    assert {r["term"]: r["tf"] for r in fts.gram_counts(d, "text").collect()} == want
+
+
+def test_a_filtered_index_line_is_made_once(spark):
+    from lorekeep.operators import dialect
+
+    n = spark.createDataFrame([("s", "t", "Some Body said a long thing. And more of it here.", ["x"], 400)], "slug string, title string, plain string, tags array<string>, raw_tokens long")
+    d = dialect.encode_notes(n).where(F.lower("skeleton").contains("some"))
+    assert d.count() == 1
+    plan = d.select("skeleton")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ENT:") == 1
