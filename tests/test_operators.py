@@ -382,7 +382,7 @@ def test_facts_of_one_month_are_dealt_to_parts(spark):
 def test_ratio_summary_makes_the_short_texts_once(spark):
     from lorekeep.operators import evaluation
 
-    d = spark.createDataFrame([("a" * n, "b" * k) for n, k in ((10, 1), (10, 2), (10, 2), (4, 4))] + [(None, "x")], "o string, s string")
+    d = spark.createDataFrame([("a" * n, "b" * k) for n, k in ((10, 1), (10, 2), (10, 2), (4, 4))] + [("abc", None)], "o string, s string")
     r = evaluation.ratio_summary(d, "o", "s").first()
     assert (r["n"], r["missing"], r["mean"], r["median"]) == (4, 1, 0.375, 0.2)
     assert (r["under_10"], r["under_20"], r["under_30"], r["over_30"]) == (0, 1, 2, 1)
