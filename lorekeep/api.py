@@ -109,7 +109,7 @@ def radar_search_batch(radar: DataFrame, queries: DataFrame, index: str, limit:
     if options.knn and vectors is not None and vector_of is not None:
         parts.append(rank.ranked(vector.knn_batch(vectors, "slug", "embedding", vector_of, n, skip_self=False), "slug", "sem", 1, by))
     out = rank.boosted(rank.fused(parts, limit, by=by), radar, mode=options.boost, by=by)
-    return out.join(radar.select("slug", "clsc"), "slug")
+    return radar.select("slug", "clsc").join(F.broadcast(out), "slug").select(*out.columns, "clsc")  # limit rows of each query; texts stay where they are
 
 
 def _substrings(radar: DataFrame, words: DataFrame, index: str) -> DataFrame:
@@ -118,7 +118,8 @@ def _substrings(radar: DataFrame, words: DataFrame, index: str) -> DataFrame:
     texts = radar.select("slug", F.coalesce("clsc", F.lit("")).alias("clsc"))
     long_ = words.where(F.char_length("word") >= 3).withColumn("term", F.lower("word"))
     hits = postings.found(radar.sparkSession, index, long_.select("term").distinct()).select("term", F.col("key").alias("slug"))
-    sure = long_.join(hits, "term").join(texts, "slug").where(F.contains("clsc", F.col("word"))).select("one", "word", "times", "slug")
+    some = long_.select(F.lit(True).alias("_some")).limit(1)  # where no such word is left, no text is shuffled
+    sure = long_.join(hits, "term").join(texts.crossJoin(F.broadcast(some)), "slug").where(F.contains("clsc", F.col("word"))).select("one", "word", "times", "slug")
     pairs = F.regexp_extract_all("clsc", F.lit("(?s)(?=(..))"), F.lit(1))
     short = texts.select("slug", F.explode(F.array_distinct(F.concat(F.filter(F.split("clsc", ""), lambda x: x != ""), pairs))).alias("word"))
     return sure.unionByName(words.where(F.char_length("word") < 3).join(short, "word").select("one", "word", "times", "slug"))

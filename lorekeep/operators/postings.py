@@ -2,10 +2,12 @@
 
 Tables below a path, all of them Parquet:
 
-* `postings/generation=G/bucket=B`: (block, gram, places, keys, lens), each file sorted by gram. Rows lie in blocks, whole ones of about BLOCK characters:
-  their columns' texts one behind the other with a gap between, so that no phrase spans two. A gram is three folded characters, places are where it
+* `postings/generation=G/bucket=-1`: (block, gram, places, keys, lens), a file's blocks one behind the other, sorted by gram. Rows lie in blocks, whole ones of about
+  BLOCK characters: their columns' texts one behind the other with a gap between, so that no phrase spans two. A gram is three folded characters, places are where it
   starts in the block; a gram of a block is one row, or a few. The row of the empty gram has the block's keys, their lengths in trigrams (lens) and where
-  each column of theirs begins (places, and the end of the last). A block is made by one task, so nothing is shuffled to build an index.
+  each column of theirs begins (places, and the end of the last). The row of the gram END is a block's last one; its lens has the number of rows of the empty gram.
+  A block is made by one task, so nothing is shuffled to build an index, and a search matches it where it is read: only blocks that lie in two splits of a file are
+  shuffled. Indexes of earlier versions have BUCKETS directories by gram and no END; all their blocks are shuffled.
 * `rows/generation=G`: (key, len, source_hash, gone), one row for each row that generation wrote or, with gone, took away.
 * `stats/generation=G`: one row (n, total): live rows and their length after that generation; written last, so it tells which generations are whole.
 
@@ -23,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,10 @@ from ..functions.text import trigram_length
 from ..plans.boolean import Node, parse, phrases
 from .fts import IDF_FLOOR, K1, B, _total, top
 
-#: Directories of postings, characters taken at a time, characters of a block, grams that a scan is asked for.
-BUCKETS, PIECE, BLOCK, PUSHED = 16, 1 << 20, 1 << 20, 1000
+#: Directories of postings by gram in earlier indexes and the one of all grams, characters taken at a time, characters of a block, grams that a scan is asked for.
+BUCKETS, WHOLE, PIECE, BLOCK, PUSHED = 16, -1, 1 << 20, 1 << 20, 1000
+#: The gram of a block's last row, behind all of three characters.
+END = "\U0010ffff" * 4
 #: Bits of a place that a column's number stands above; places of a block that a search in SQL deals to one cell.
 COLUMN, CELL = 40, 4096
 
@@ -73,15 +78,21 @@ def gram_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         from pyspark import TaskContext
 
         task, number, at, end = TaskContext.get().partitionId(), 0, 0, 0  # at: the block's next free place; end: that behind its last whole row
-        texts, places, keys, lens, starts, held = [], [], [], [], [], 0
+        texts, places, keys, lens, starts, held, flushed = [], [], [], [], [], 0, 0
 
-        def flush(types: dict) -> pa.RecordBatch:
+        def flush(types: dict, last: bool) -> pa.RecordBatch:
+            nonlocal flushed
+            flushed = flushed + 1
             _, gram, place, ends = _runs([0] * len(texts), texts, places)
             first = [*starts, end] if keys else []
             ends = np.r_[0, len(first), len(first) + ends]
-            own = pa.array(np.r_[0, np.full(len(ends) - 1, len(keys))], pa.int32())  # keys and lens belong to the first row
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.r_[np.array(first, np.int64), place].astype(np.int64)).cast(pa.int32())), pa.ListArray.from_arrays(own, pa.array(keys, types["key"])), pa.ListArray.from_arrays(own, pa.array(lens, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array([f"{task}.{number}"] * (len(gram) + 1), pa.string()), pa.array(["", *gram], pa.string()), *lists], names=["block", "gram", "places", "keys", "lens"])
+            own = np.r_[0, np.full(len(ends) - 1, len(keys))]  # keys and lens belong to the first row
+            grams, sizes, own_lens = ["", *gram], lens, own
+            if last:
+                grams, sizes, ends, own, own_lens = [*grams, END], [*lens, flushed], np.r_[ends, ends[-1]], np.r_[own, own[-1]], np.r_[own, own[-1] + 1]
+                flushed = 0
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.r_[np.array(first, np.int64), place].astype(np.int64)).cast(pa.int32())), pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(keys, types["key"])), pa.ListArray.from_arrays(pa.array(own_lens, pa.int32()), pa.array(sizes, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}.{number}"] * len(grams), pa.string()), pa.array(grams, pa.string()), *lists], names=["block", "gram", "places", "keys", "lens"])
 
         types: dict = {}
         for b in batches:
@@ -95,17 +106,17 @@ def gram_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
                         texts.append(piece), places.append(start)
                         held += len(piece)
                         if held >= PIECE:
-                            yield flush(types)
+                            yield flush(types, False)
                             texts, places, keys, lens, starts, held = [], [], [], [], [], 0
                     at += len(t) + 1
                 keys.append(b.column("key")[i].as_py()), lens.append(b.column("len")[i].as_py()), starts.extend(begins)
                 end = at
                 if at >= BLOCK:
-                    yield flush(types)
+                    yield flush(types, True)
                     texts, places, keys, lens, starts, held = [], [], [], [], [], 0
                     number, at, end = number + 1, 0, 0
-        if keys:
-            yield flush(types)
+        if keys or flushed:
+            yield flush(types, True)
 
     return d.mapInArrow(run, f"block string, gram string, places array<int>, keys array<{kind}>, lens array<long>")
 
@@ -144,10 +155,9 @@ def live(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _store(rows: DataFrame, path: str, generation: int) -> None:
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).sortWithinPartitions("bucket", "gram")
-    # ints as packed differences; small pages, which a scan for few grams passes over
-    form = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.page.row.count.limit": "500"}
-    rows.write.mode("overwrite").options(**form).partitionBy("bucket").parquet(f"{path}/postings/generation={generation}")
+    # rows come block by block and stay so: no sort. Ints as packed differences; small pages, which a scan for few grams passes over
+    form = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.page.row.count.limit": "100"}
+    rows.write.mode("overwrite").options(**form).parquet(f"{path}/postings/generation={generation}/bucket={WHOLE}")
 
 
 def _write(df: DataFrame, key: str, columns: list[str], path: str, generation: int) -> None:
@@ -235,7 +245,7 @@ def compact(spark: SparkSession, path: str, to: str) -> None:
         is_live = np.array([k in alive for k in of.to_pylist()])
         ends = {int(places[i].values[0].as_py()): int(places[i].values[-1].as_py()) for i, g in enumerate(gram) if g == "" and len(keys[i].values)}
         for i, g in enumerate(gram):
-            if g:
+            if g and g != END:
                 at = places[i].values.to_numpy(zero_copy_only=False)
                 at = at[is_live[(np.searchsorted(starts, at, side="right") - 1) // columns]]
                 if len(at):
@@ -244,6 +254,8 @@ def compact(spark: SparkSession, path: str, to: str) -> None:
         for j in np.flatnonzero(is_live):  # a row of the empty gram for each; a row ends where the next one began
             end = int(by_row[j + 1][0]) if j + 1 < len(by_row) else max(ends.values())
             put("", [*by_row[j], end], [names[j]], [sizes[j]])
+        if is_live.any():
+            put(END, [], [], [int(is_live.sum())])
         return pa.table({c: pa.array(v, t.schema.field(c).type) for c, v in out.items()})
 
     kind = p.schema["keys"].dataType.simpleString()
@@ -269,7 +281,7 @@ def _matcher(counts: bool) -> Callable[[pa.Table], pa.Table]:
         at: dict[str, list] = {}
         asked: dict[str, dict] = {}
         for i, g in enumerate(gram):
-            if g:
+            if g and g != END:
                 if g not in at:
                     for u in uses[i].as_py():
                         asked.setdefault(u["term"], {})[u["offset"]] = (g, u["need"])
@@ -296,17 +308,43 @@ def _matcher(counts: bool) -> Callable[[pa.Table], pa.Table]:
         term = kinds.take(pa.array(np.repeat(np.arange(len(terms)), [n for _, n in terms]), pa.int64()))
         generation = pa.array(np.full(len(row), t["generation"][0].as_py(), np.int32))
         last = pa.array(tf, pa.int64()) if counts else pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tf)], pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64()))
-        return pa.table([term, names.take(pa.array(row, pa.int64())), generation, pa.array(sizes[row], pa.int64()), last], names=["term", "key", "generation", "len", "tf" if counts else "places"])
+        block = pa.array([t["block"][0].as_py()] * len(row), pa.string())
+        return pa.table([term, names.take(pa.array(row, pa.int64())), generation, block, pa.array(sizes[row], pa.int64()), last], names=["term", "key", "generation", "block", "len", "tf" if counts else "places"])
 
     return match
 
 
-def found(spark: SparkSession, path: str, terms: DataFrame, asked: list[str] | None = None, counts: bool = False) -> DataFrame:
-    """(term, key, len, places) of live rows that hold a term, for terms (term), distinct and folded; with counts tf for places. asked: the terms, where
-    they are few, so that the scan is told their buckets and grams.
-
-    A term stands where all its grams do at their distance. The terms' grams are broadcast, the postings of each gram that occurs in terms are shuffled
-    once, by block, whatever the number of terms with it, and a block is matched as a whole."""
+def _split_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block of a split, which lie one behind the other."""
+    one = lambda b: tuple(b.column(c)[0].as_py() for c in ("generation", "block", "split"))
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        other = np.zeros(b.num_rows - 1, bool)
+        for c in ("generation", "block", "split"):
+            x = b.column(c)
+            other |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(other) + 1).tolist(), b.num_rows]
+        for i, z in zip(cuts, cuts[1:], strict=False):
+            part = b.slice(i, z - i)
+            if held and one(held[-1]) != one(part):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _is_whole(t: pa.Table) -> bool:
+    """Whether a split has all rows of a block: its last one, and as many of the empty gram, its first, as that tells; all others lie between."""
+    gram, lens = t.column("gram"), t.column("lens")
+    ends = pc.indices_nonzero(pc.equal(gram, END)).to_pylist()
+    return len(ends) == 1 and lens[ends[0]].as_py()[0] == pc.sum(pc.equal(gram, "")).as_py()
+
+
+def _hits(spark: SparkSession, path: str, terms: DataFrame, asked: list[str] | None, counts: bool) -> DataFrame:
+    """(term, key, generation, block, len, places or tf) of live rows; see `found`. In generation 0 a task has all rows of a block's keys, one behind the other."""
     known = stats(spark, path)
     if known is None:
         raise ValueError(f"no index at {path}")
@@ -314,41 +352,123 @@ def found(spark: SparkSession, path: str, terms: DataFrame, asked: list[str] | N
     q = q.withColumn("gram", F.substring(F.col("term"), F.col("offset") + 1, F.lit(3)))
     q = q.groupBy("gram").agg(F.collect_list(F.struct("term", "offset", "need")).alias("uses"))
     p = _postings(spark, path, known)
+    kind = p.schema["keys"].dataType.elementType.simpleString()
+    p = p.withColumn("split", F.xxhash64("_metadata.file_path", "_metadata.file_block_start"))
     grams = sorted({t[i : i + 3] for t in asked for i in {*range(0, len(t) - 2, 3), len(t) - 3} if len(t) >= 3}) if asked is not None else []
     if grams and len(grams) <= PUSHED:
-        grams = ["", *grams]
+        grams = ["", *grams, END]
         buckets = [r["b"] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]  # BUCKETS at most
-        p = p.where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
-    hits = p.join(F.broadcast(q), "gram", "left").where("uses is not null or gram = ''")  # a batch's grams
-    kind = p.schema["keys"].dataType.elementType.simpleString()
-    hits = hits.select("generation", "block", "gram", "places", "keys", "lens", "uses").groupBy("generation", "block")
-    hits = hits.applyInArrow(_matcher(counts), f"term string, key {kind}, generation int, len long, " + ("tf long" if counts else "places array<long>"))
+        p = p.where(F.col("bucket").isin(WHOLE, *buckets) & F.col("gram").isin(grams))
+    rows = p.join(F.broadcast(q), "gram", "left").where(F.col("uses").isNotNull() | F.col("gram").isin("", END))  # a batch's grams
+    rows = rows.select("generation", "block", "gram", "places", "keys", "lens", "uses", "split")
+    match = _matcher(counts)
+    form = f"term string, key {kind}, generation int, block string, len long, " + ("tf long" if counts else "places array<long>")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _split_blocks(batches):
+            if _is_whole(t):
+                yield from match(t).to_batches(max_chunksize=100_000)
+
+    def broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _split_blocks(batches):
+            if not _is_whole(t):
+                yield from t.to_batches()
+
+    hits = rows.mapInArrow(whole, form).unionByName(rows.mapInArrow(broken, rows.schema).groupBy("generation", "block").applyInArrow(match, form))
     if known["generation"]:  # rows that a later generation wrote or took away
         later = _at(spark, path, "rows", known["generation"]).where("generation > 0").groupBy("key").agg(F.max("generation").alias("last"))
-        hits = hits.join(later, "key", "left").where("last is null or last = generation")
-    return hits.select("term", "key", "len", "tf" if counts else "places")
+        hits = hits.join(later, "key", "left").where("last is null or last = generation").drop("last")
+    return hits
 
 
-def bm25(spark: SparkSession, path: str, queries: DataFrame, asked: list[str] | None = None) -> DataFrame:
-    """(query_id, key, score) for queries (query_id, term): the scores of fts.bm25, of all rows that hold a term, from postings alone."""
-    known = stats(spark, path)
+def found(spark: SparkSession, path: str, terms: DataFrame, asked: list[str] | None = None, counts: bool = False) -> DataFrame:
+    """(term, key, len, places) of live rows that hold a term, for terms (term), distinct and folded; with counts tf for places. asked: the terms, where
+    they are few, so that the scan is told their grams.
+
+    A term stands where all its grams do at their distance. The terms' grams are broadcast, and a block is matched as a whole by the task that reads it; the
+    postings of a block that lies in two splits are shuffled."""
+    return _hits(spark, path, terms, asked, counts).select("term", "key", "len", "tf" if counts else "places")
+
+
+def _parts(spark: SparkSession, path: str, known: dict, queries: DataFrame, asked: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """(n, generation, block, key, p): what each term adds to the score of a row for a query; and the queries' numbers (query_id, n)."""
     n, mean = known["n"], known["total"] / max(known["n"], 1)
     # terms that differ in case only count each, as in a scan
     q = queries.where(F.char_length("term") >= 3).select("query_id", "term").distinct().withColumn("term", F.lower("term"))
-    hits = found(spark, path, q.select("term").distinct(), asked, counts=True)
+    ids = q.select("query_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("query_id")))  # a batch of queries
+    hits = _hits(spark, path, q.select("term").distinct(), asked, True)
     rows = hits.groupBy("term").agg(F.count("*").alias("rows"))
     idf = F.log((F.lit(n) - F.col("rows") + 0.5) / (F.col("rows") + 0.5))
     weight = rows.select("term", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("w"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean) or 1.0)))
-    parts = hits.join(weight, "term").select("term", "key", part.alias("p"))
-    return q.join(parts, "term").groupBy("query_id", "key").agg((-F.sum("p")).alias("score"))
+    # terms and queries are broadcast, as their grams are; hits stay where they were found
+    parts = hits.join(F.broadcast(weight), "term").select("term", "generation", "block", "key", part.alias("p"))
+    return parts.join(F.broadcast(q.join(F.broadcast(ids), "query_id").select("n", "term")), "term").select("n", "generation", "block", "key", "p"), ids
+
+
+def bm25(spark: SparkSession, path: str, queries: DataFrame, asked: list[str] | None = None) -> DataFrame:
+    """(query_id, key, score) for queries (query_id, term): the scores of fts.bm25, of all rows that hold a term, from postings alone."""
+    parts, ids = _parts(spark, path, stats(spark, path), queries, asked)
+    return parts.groupBy("n", "key").agg((-F.sum("p")).alias("score")).join(F.broadcast(ids), "n").select("query_id", "key", "score")
+
+
+def _best(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's parts (n, block, key, p), block by block, the rows (n, key, score) that may be among a query's first `limit`."""
+
+    def cut(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=[("n", "ascending"), ("score", "ascending"), ("key", "ascending")])).combine_chunks()
+        n, score = (t.column(c).to_numpy() for c in ("n", "score"))
+        at = np.arange(len(n))
+        first = np.maximum.accumulate(np.where(np.r_[True, n[1:] != n[:-1]], at, 0))
+        run = np.maximum.accumulate(np.where(np.r_[True, (n[1:] != n[:-1]) | (score[1:] != score[:-1])], at, 0))
+        size = np.r_[first[1:][first[1:] != first[:-1]], len(n)] - np.unique(first)
+        edge = np.repeat(score[np.unique(first) + np.minimum(size, limit) - 1], size)
+        # scores are compared when rounded to twelve places; of equal ones the first by key
+        return t.filter(pa.array((score <= edge + 2e-12) & (at - run < limit)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held, rows = None, [], 0
+
+        def take() -> pa.Table | None:
+            t = pa.Table.from_batches(held).group_by(["n", "key"]).aggregate([("p", "sum")])
+            t = pa.table([t.column("n"), t.column("key"), pc.negate(t.column("p_sum"))], names=["n", "key", "score"])
+            return cut(t if best is None else pa.concat_tables([best, t]))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block = b.column("block")
+            if held and rows > 200_000:  # up to the end of the block that goes on
+                same = pc.equal(block, held[-1].column("block")[-1]).to_numpy(zero_copy_only=False)
+                i = int(np.argmin(same)) if not same.all() else len(same)
+                if i < len(same):
+                    held.append(b.slice(0, i))
+                    best, held, rows = take(), [], 0
+                    b = b.slice(i)
+            held.append(b)
+            rows += b.num_rows
+        if held:
+            best = take()
+        if best is not None:
+            yield from best.to_batches()
+
+    return run
 
 
 def search_batch(spark: SparkSession, path: str, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, key, score, rank): the first `limit` rows of every query by score and key, one lazy plan for all queries. Sums are rounded to
-    twelve places first, since their order isn't fixed."""
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 12), "key")
-    return bm25(spark, path, queries).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    twelve places first, since their order isn't fixed. Of generation 0 a task keeps its best rows of each query, and only those are shuffled."""
+    known = stats(spark, path)
+    if known is None:
+        raise ValueError(f"no index at {path}")
+    parts, ids = _parts(spark, path, known, queries, None)
+    if known["generation"]:
+        scores = parts.groupBy("n", "key").agg((-F.sum("p")).alias("score"))
+    else:
+        scores = parts.select("n", "block", "key", "p").mapInArrow(_best(limit), f"n int, key {parts.schema['key'].dataType.simpleString()}, score double")
+    w = Window.partitionBy("n").orderBy(F.round("score", 12), "key")
+    scores = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return scores.join(F.broadcast(ids), "n").select("query_id", "key", "score", "rank")
 
 
 def search(spark: SparkSession, path: str, terms: list[str], limit: int = 10) -> DataFrame:

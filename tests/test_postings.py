@@ -4,6 +4,7 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,47 @@ def test_build_shuffles_nothing_and_a_gram_is_one_row_of_a_block(spark, tmp_path
     rows = postings.gram_rows(d, "slug", ["clsc"])
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert rows.where("gram = 'han'").count() == 1 and rows.where("gram = 'han'").first()["places"] == sorted(15 * i + x for i in range(50) for x in (2, 10))
+
+
+def _batch(spark, path, queries, limit):
+    return sorted((r["query_id"], r["rank"], r["key"], round(r["score"], 6)) for r in postings.search_batch(spark, path, queries, limit).collect())
+
+
+def test_blocks_are_matched_where_they_are_read(spark, radar, tmp_path, monkeypatch):
+    """All blocks of a file are whole, so none is shuffled; rows dealt anew make them broken, and those give the same hits."""
+    monkeypatch.setattr(postings, "BLOCK", 3000)
+    path, dealt = str(tmp_path / "whole"), str(tmp_path / "dealt")
+    postings.refresh(radar, "slug", COLS, path)
+    for name, spread in (("postings", 5), ("rows", 1), ("stats", 1)):
+        d = spark.read.parquet(f"{path}/{name}")
+        (d.repartition(spread) if spread > 1 else d).write.partitionBy(*[c for c in ("generation", "bucket") if c in d.columns]).parquet(f"{dealt}/{name}")
+    whole = []
+    for p in (path, dealt):
+        rows = postings._postings(spark, p, postings.stats(spark, p)).withColumn("split", F.xxhash64("_metadata.file_path", "_metadata.file_block_start"))
+        seen = rows.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"whole": [postings._is_whole(t)]}) for t in postings._split_blocks(bs)), "whole boolean").collect()
+        whole.append({r["whole"] for r in seen})
+    assert whole == [{True}, {False}]
+    q = spark.createDataFrame([(i, t) for i, ts in enumerate((["hand", "and"], ["thing", "aaa", "識結構"], ["hand in hand"], ["zzz"])) for t in ts], "query_id int, term string")
+    want = sorted((r["query_id"], r["rank"], r["slug"], round(r["score"], 6)) for r in fts.bm25_batch(radar.where("slug is not null").withColumn("t", F.concat_ws("\x01\x01", *COLS)), "slug", "t", q, 7).collect())
+    assert [x[:3] for x in _batch(spark, dealt, q, 7)] == [x[:3] for x in _batch(spark, path, q, 7)]
+    # the best rows of a task are enough, at equal scores too
+    every = postings.bm25(spark, path, q).collect()
+    best = lambda i: sorted((round(r["score"], 12), r["key"]) for r in every if r["query_id"] == i)[:7]
+    assert _batch(spark, path, q, 7) == sorted((i, n + 1, k, round(s, 6)) for i in range(4) for n, (s, k) in enumerate(best(i)))
+    assert len(want) == len(_batch(spark, path, q, 7))
+
+
+def test_best_rows_of_a_task():
+    """Ties, several batches and blocks, and more rows than are held at a time."""
+    rng, limit, parts = random.Random(4), 3, []
+    for block in range(40):
+        for k in range(rng.randrange(1, 400)):
+            parts += [(q, str(block), f"{block}-{k}", rng.choice([0.25, 0.5, 1e-6, 1.0])) for q in range(60) if rng.random() < 0.5 for _ in range(2)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("n", "block", "key", "p"), x, strict=True)) for x in parts[i : i + 7001]]) for i in range(0, len(parts), 7001)]
+    got = [r for b in postings._best(limit)(iter(batches)) for r in b.to_pylist()]
+    sums: dict = {}
+    for q, _, k, p in parts:
+        sums[q, k] = sums.get((q, k), 0.0) + p
+    first = lambda rows: {q: sorted((round(s, 12), k) for n, k, s in rows if n == q)[:limit] for q in range(60)}
+    assert len(parts) > 400_000 and len(got) < len(sums) / 10
+    assert first([(r["n"], r["key"], r["score"]) for r in got]) == first([(q, k, -s) for (q, k), s in sums.items()])
