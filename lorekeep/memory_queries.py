@@ -441,7 +441,7 @@ SELECT query_id FROM qf WHERE query_id NOT IN (SELECT query_id FROM ok) ORDER BY
 def eval_misses(spark, d):
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
     rel = fts.containing(docs, "doc_id", "text", b.select(F.col("item_id").alias("query_id"), F.col("text").alias("p")))
-    return evaluation.misses(fts.bm25_batch(docs, "doc_id", "text", _asked(spark, d)), rel, "doc_id", b.select(F.col("item_id").alias("query_id")), 1)
+    return evaluation.misses(fts.bm25_batch(docs, "doc_id", "text", _asked(spark, d), places=6), rel, "doc_id", b.select(F.col("item_id").alias("query_id")), 1)
 
 
 @query("SELECT doc_id AS query_id, doc_id + 1 AS doc_id, i::INT AS chunk FROM documents, (SELECT unnest([0, 1, 2]) AS i) z WHERE (doc_id + 1) % 3 >= i AND doc_id + 1 <= (SELECT max(doc_id) FROM documents)")

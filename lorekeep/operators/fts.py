@@ -256,8 +256,9 @@ def _blocks(rows: Iterator, size, most: int) -> Iterator[list]:
         yield block
 
 
-def bm25_batch(df: DataFrame, key: str, text: str, terms: DataFrame, limit: int = 10) -> DataFrame:
-    """Many queries at once. terms (query_id, term); gives (query_id, key, score, rank).
+def bm25_batch(df: DataFrame, key: str, text: str, terms: DataFrame, limit: int = 10, places: int = 12) -> DataFrame:
+    """Many queries at once. terms (query_id, term); gives (query_id, key, score, rank). Scores are ranked when rounded to `places`, 6 at least: twelve as in
+    postings.search_batch, since terms of an idf of 0 or less add millionths.
 
     Two passes over the texts for each block of queries (PASS_TERMS terms): one automaton finds all terms of the block in a text. The
     first pass counts texts by term, the second scores; a task keeps its best rows of each query, so neither texts nor
@@ -271,7 +272,7 @@ def bm25_batch(df: DataFrame, key: str, text: str, terms: DataFrame, limit: int
         found = got if found is None else found.unionByName(got)
     if found is None:
         return df.sparkSession.createDataFrame([], f"query_id {kinds[0]}, `{key}` {kinds[1]}, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 6), "key")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", places), "key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", F.col("key").alias(key), "score", "rank")
 
 
