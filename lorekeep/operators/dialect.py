@@ -80,17 +80,32 @@ def topics(text: Column, n: int = 3) -> Column:
 
 
 def key_sentence(text: Column) -> Column:
-    """The first best sentence: decisive words count 2 each, under 80 and under 40 characters 1 each, over 150 minus 2; cut at 55."""
-    parts = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r"))), lambda s: F.char_length(s) > 10)
+    """The first best sentence: decisive words count 2 each, under 80 and under 40 characters 1 each, over 150 minus 2; cut at 55.
 
-    def points(s: Column) -> Column:
-        # the lower case is made once; in a lambda each mention would make it again
-        words = let(F.lower(s), lambda low: reduce(lambda a, b: a + b, [F.when(low.contains(w), 2).otherwise(0) for w in DECISIVE]))
-        n = F.char_length(s)
-        return words + F.when(n < 80, 1).otherwise(0) + F.when(n < 40, 1).otherwise(0) - F.when(n > 150, 2).otherwise(0)
+    An Arrow function, as in `topics`: array functions with a lambda aren't compiled, and sentences there took most of an index line's time."""
 
-    best = F.array_max(F.transform(parts, lambda s, i: F.struct(points(s).alias("p"), (-i).alias("i"), s.alias("s"))))["s"]
-    return F.coalesce(F.when(F.char_length(best) > 55, F.concat(F.substring(best, 1, 52), F.lit("..."))).otherwise(best), F.lit(""))
+    @F.arrow_udf("string")
+    def first(s: pa.Array) -> pa.Array:
+        cut, white = re.compile(r"[.!?\n]+").split, " \t\n\x0b\f\r"
+
+        def best(t: str | None) -> str:
+            low = (t or "").lower()
+            words = [w for w in DECISIVE if w in low]  # a sentence has no others
+            top, found = None, ""
+            for p in cut(t or ""):
+                p = p.strip(white)
+                if (n := len(p)) > 10:
+                    points = (n < 80) + (n < 40) - 2 * (n > 150)
+                    if words:
+                        low = p.lower()
+                        points += 2 * sum(w in low for w in words)
+                    if top is None or points > top:
+                        top, found = points, p
+            return found[:52] + "..." if len(found) > 55 else found
+
+        return pa.array((best(t.as_py()) for t in s), pa.string())
+
+    return first(text)
 
 
 def entity_codes(text: Column, known: dict[str, str] | None = None, n: int = 3) -> Column:
@@ -98,12 +113,26 @@ def entity_codes(text: Column, known: dict[str, str] | None = None, n: int = 3)
     low = F.lower(text)
     names = {k: v for k, v in (known or {}).items() if k != k.lower()}
     found = F.array_distinct(F.filter(F.array(*[F.when(low.contains(k.lower()), F.lit(v)) for k, v in names.items()]), lambda x: x.isNotNull())) if names else F.array().cast("array<string>")
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    # only words whose first letter is a capital are cleaned
-    clean = F.transform(F.filter(F.slice(words, 2, 1 << 30), lambda w: w.rlike("^[^a-zA-Z]*[A-Z]")), lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
-    named = F.filter(clean, lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.lower(w).isin(STOP))
-    guess = F.slice(F.array_distinct(F.transform(named, lambda w: F.upper(F.substring(w, 1, 3)))), 1, n)
-    return F.when(F.size(found) > 0, found).otherwise(guess)
+
+    @F.arrow_udf("array<string>")
+    def guess(s: pa.Array) -> pa.Array:  # as in `topics`; no further than the n-th code
+        word, letters, capital, name, stop = re.compile(r"[^ \t\n\x0b\f\r]+").finditer, re.compile("[^a-zA-Z]+").sub, re.compile("[^a-zA-Z]*[A-Z]").match, re.compile("[A-Z][a-z]+").fullmatch, set(STOP)
+
+        def codes(t: str) -> list[str]:
+            got: dict[str, None] = {}
+            ws = word(t)
+            next(ws, None)
+            for m in ws:
+                # only words whose first letter is a capital are cleaned
+                if capital(w := m[0]) and name(w := letters("", w)) and w.lower() not in stop:
+                    got[w[:3].upper()] = None
+                    if len(got) == n:
+                        break
+            return list(got)
+
+        return pa.array((None if (t := x.as_py()) is None else codes(t) for x in s), pa.list_(pa.string()))
+
+    return F.when(F.size(found) > 0, found).otherwise(guess(text))
 
 
 def index_line(text: Column, known: dict[str, str] | None = None) -> Column:

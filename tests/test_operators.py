@@ -410,3 +410,14 @@ def test_a_filtered_index_line_is_made_once(spark):
     assert d.count() == 1
     plan = d.select("skeleton")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ENT:") == 1
+
+
+def test_key_sentences_and_codes_of_odd_texts(spark):
+    """Both in one Arrow step, with what no sentence, ties, white space and letters beyond ASCII give."""
+    texts = [None, "", "short. tiny", "First of the ties here. Other of the ties her!", "x" * 160 + ". A plain sentence of some length that goes on for more than fifty-five characters", "Because It Is DECIDED now\u212a. zz", " \u00a0Alone Bob \u00c9mile (Bobby) The Ann's  Carl\tDora", "\u0130 chose this one.\x0b\f And that one too?", "\U0001f600" * 60 + "!"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", dialect.key_sentence(F.col("t")).alias("s"), dialect.entity_codes(F.col("t")).alias("c"), dialect.entity_codes(F.col("t"), {"Alone": "ALO"}, 2).alias("k"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "split(" not in plan
+    got = [tuple(r)[1:] for r in d.orderBy("i").collect()]
+    assert [s for s, *_ in got] == ["", "", "", "First of the ties here", "A plain sentence of some length that goes on for mor...", "Because It Is DECIDED nowK".replace("K", "\u212a"), texts[6].strip(" \t"), "\u0130 chose this one", "\U0001f600" * 52 + "..."]
+    assert [c for _, c, _ in got][:2] == [None, []] and got[3][1] == [] and got[6] == (texts[6].strip(" \t"), ["BOB", "ANN", "CAR"], ["ALO"]) and got[4][1] == []
