@@ -195,11 +195,16 @@ def _best_sentences(text: Column, count: Column, split: str) -> Column:
     def best(texts: pa.Array, counts: pa.Array) -> pa.Array:  # as in `topics`
         import regex
 
-        cut, find, white = regex.compile(split).split, regex.compile(r"[\p{L}\p{N}_]{2,}").findall, " \t\n\x0b\f\r"
+        # re is the faster one: of ASCII its \w is the same class, and it takes patterns without \p
+        try:
+            cut = re.compile(split).split
+        except re.error:
+            cut = regex.compile(split).split
+        ascii_words, words, white = re.compile(r"\w{2,}", re.ASCII).findall, regex.compile(r"[\p{L}\p{N}_]{2,}").findall, " \t\n\x0b\f\r"
 
         def of(t: str | None, n: int) -> list[str]:
             parts = [p for p in (x.strip(white) for x in cut(t or "")) if len(p) > 10]
-            found = [find(p) for p in parts]
+            found = [ascii_words(p) if p.isascii() else words(p) for p in parts]
             often = Counter(w for ws in found for w in ws)
             scored = sorted(((sum(map(often.__getitem__, ws)), p) for p, ws in zip(parts, found, strict=True) if ws), reverse=True)
             return [p for _, p in scored[: int(n)]]
@@ -227,7 +232,8 @@ NAMES = {
 
 def entities(text: Column) -> Column:
     """Array of (text, category): names in the text, each once, in order of first occurrence."""
-    found = F.regexp_extract_all(text, F.lit("(" + "|".join(NAMES.values()) + ")"), F.lit(1))
+    # every name begins so: at other characters no pattern is tried
+    found = F.regexp_extract_all(text, F.lit(r"(?=[\p{Lu}\x{4E00}-\x{9FFF}])(" + "|".join(NAMES.values()) + ")"), F.lit(1))
     kind = lambda w: F.coalesce(*[F.when(w.rlike(f"^(?:{rx})$"), F.lit(k)) for k, rx in NAMES.items()])
     return F.transform(F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))), lambda w: F.struct(w.alias("text"), kind(w).alias("category")))
 

@@ -421,3 +421,15 @@ def test_key_sentences_and_codes_of_odd_texts(spark):
     got = [tuple(r)[1:] for r in d.orderBy("i").collect()]
     assert [s for s, *_ in got] == ["", "", "", "First of the ties here", "A plain sentence of some length that goes on for mor...", "Because It Is DECIDED nowK".replace("K", "\u212a"), texts[6].strip(" \t"), "\u0130 chose this one", "\U0001f600" * 52 + "..."]
     assert [c for _, c, _ in got][:2] == [None, []] and got[3][1] == [] and got[6] == (texts[6].strip(" \t"), ["BOB", "ANN", "CAR"], ["ALO"]) and got[4][1] == []
+
+
+def test_names_and_sentences_of_mixed_scripts(spark):
+    """Patterns of names are tried only where a name may begin; words are those of the Unicode classes, of ASCII sentences and others."""
+    t = "New York met Élan Vital; \u01c5abc \u0130zmir X1 and 台灣大學 in 台北市 a1_b Ω2 知識. Plain words, plain words. \u00bd\u2167 words \u0964 caf\u00e9 caf\u00e9 caf\u00e9 here."
+    d = spark.createDataFrame([(t,), (None,), ("no names at all",)], "t string")
+    rows = d.select(dialect.entities(F.col("t")).alias("e"), dialect.key_sentences(F.col("t"), F.lit(2), r"[.]+").alias("k"), dialect.key_sentences(F.col("t"), F.lit(2), r"\p{Po}+").alias("p")).collect()
+    plain = F.regexp_extract_all("t", F.lit("(" + "|".join(dialect.NAMES.values()) + ")"), F.lit(1))
+    want = d.select(F.array_distinct(plain).alias("w")).collect()
+    assert [[x["text"] for x in r["e"]] for r in rows] == [r["w"] or [] for r in want] and len(rows[0]["e"]) > 5
+    assert rows[0]["k"][1].startswith("\u00bd\u2167 words") and [r["k"] for r in rows[1:]] == [[], ["no names at all"]] and len(rows[0]["p"]) == 2
+    assert dialect.entities(F.col("t"))._jc.toString().count("(?=") == 1
