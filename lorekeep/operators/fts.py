@@ -17,8 +17,8 @@ from ..plans.boolean import SearchSyntaxError, parse, phrases, predicate
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Terms and characters of phrases that one pass over the texts looks for; a batch of more takes several passes.
 PASS_TERMS, PASS_CHARS = 100_000, 1_000_000
-#: Directories of a stored index, and parts that a directory's frequent trigrams are dealt to.
-BUCKETS, SPREAD = 64, 8
+#: Directories of a stored index.
+BUCKETS = 64
 
 
 def _total(parts: list[Column]) -> Column:
@@ -195,12 +195,53 @@ def gram_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.coalesce(fold(text), F.lit("")).alias("t")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("tf"))
 
 
+def gram_keys(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(gram, keys): rows that hold a trigram, those of about a million characters of a task's texts in one row; a long text's key may stand in several."""
+    import numpy as np
+
+    from .postings import PIECE, _cut
+
+    names = [f"t{i}" for i in range(len(columns))]
+    kind = df_kind(df, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put() -> pa.RecordBatch:
+            size = np.array([len(t) for t in texts], np.int64)
+            c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            which = np.repeat(np.arange(len(texts)), size)
+            at = np.arange(max(len(c) - 2, 0))
+            at = at[at + 3 <= np.cumsum(size)[which[at]]]
+            kinds, kind_ = np.unique(c[at] << 42 | c[at + 1] << 21 | c[at + 2], return_inverse=True)
+            pair = np.unique(kind_ * len(keys) + np.array(rows)[which[at]])  # by gram, each row once
+            ends = np.searchsorted(pair, np.arange(len(kinds) + 1) * len(keys))
+            chars = np.stack([kinds >> 42, kinds >> 21 & 0x1FFFFF, kinds & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+            own = pa.array(keys, types["key"]).take(pa.array(pair % len(keys), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([chars[k : k + 3] for k in range(0, len(chars), 3)], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own)], names=["gram", "keys"])
+
+        types: dict = {}
+        texts, rows, keys, held_ = [], [], [], 0
+        for b in batches:
+            types = {"key": b.schema.field("key").type}
+            for i in range(b.num_rows):
+                keys.append(b.column("key")[i].as_py())
+                for n in names:
+                    for piece, _ in _cut(b.column(n)[i].as_py(), 0):
+                        texts.append(piece), rows.append(len(keys) - 1)
+                        held_ += len(piece)
+                        if held_ >= PIECE:
+                            yield put()
+                            texts, rows, keys, held_ = [], [], keys[-1:], 0
+        if texts:
+            yield put()
+
+    d = df.select(F.col(key).alias("key"), *[F.coalesce(fold(F.col(c).cast("string")), F.lit("")).alias(n) for c, n in zip(columns, names, strict=True)])
+    return d.mapInArrow(run, f"gram string, keys array<{kind}>")
+
+
 def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> None:
-    """Stores the trigram index of df: postings (bucket, gram, key), sorted by gram within directories by bucket, the texts, and one row of
-    statistics. Writing it again replaces it (the rebuild). Frequent trigrams are dealt to SPREAD parts of their bucket."""
-    grams = F.array_distinct(F.concat(*[F.coalesce(trigrams(F.col(c).cast("string")), F.array().cast("array<string>")) for c in columns]))
-    rows = df.select(F.col(key).alias("key"), F.explode(grams).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-    rows = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("bucket", "gram")
+    """Stores the trigram index of df: postings (bucket, gram, keys), sorted by gram within a file of a directory by bucket, the texts, and one row of
+    statistics. Writing it again replaces it (the rebuild). A task writes the grams of its own texts, so nothing is shuffled."""
+    rows = gram_keys(df, key, columns).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).sortWithinPartitions("bucket", "gram")
     rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     df.write.mode("overwrite").parquet(f"{path}/texts")
     length = _total([trigram_length(F.col(c).cast("string")) for c in columns])
@@ -218,7 +259,8 @@ def search_index(spark: SparkSession, path: str, key: str, columns: list[str], t
         return top(bm25(texts.where(F.lit(False)), columns, [], None, known), [F.col("score"), F.col(key)], limit)
     q = spark.createDataFrame(sorted(set(asked)), "term int, gram string")
     buckets = [r[0] for r in q.select(F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # BUCKETS at most
-    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams)).join(F.broadcast(q), "gram")
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
+    hits = hits.select("gram", F.explode("keys").alias("key")).distinct().join(F.broadcast(q), "gram")  # a long text's key stands in several rows
     need = q.groupBy("term").agg(F.count("*").alias("need"))
     keys = hits.groupBy("term", "key").agg(F.count("*").alias("n")).join(F.broadcast(need), "term").where("n = need").select("key").distinct()
     return top(bm25(texts.join(keys, texts[key] == keys["key"], "left_semi"), columns, terms, None, known), [F.col("score"), F.col(key)], limit)

@@ -126,3 +126,19 @@ def test_batch_in_blocks_and_with_ties(spark, monkeypatch):
     one = {r["k"]: round(r["score"], 9) for r in fts.bm25(d, ["t"], ["aaa"]).collect()}
     assert {r["k"]: round(r["score"], 9) for r in fts.bm25_batch(d, "k", "t", terms.where("query_id = 'y'")).collect()} == one
     assert fts.bm25_batch(d, "k", "t", terms.limit(0)).count() == 0
+
+
+def test_stored_index_is_made_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Texts in pieces of a few characters, keys in several rows of a gram, a text of none."""
+    from lorekeep.operators import postings
+
+    monkeypatch.setattr(postings, "PIECE", 7)
+    texts = ["a hand in hand and handy", None, "an", "hand", "\U0001f600\U0001f600\U0001f600 hand", "HAND over hand"]
+    d = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)], "slug string, clsc string").coalesce(1)
+    rows = fts.gram_keys(d, "slug", ["slug", "clsc"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r["gram"], r["key"]) for r in rows.select("gram", F.explode("keys").alias("key")).collect()}
+    assert got == {(x[j : j + 3], f"s{i}") for i, t in enumerate(texts) for x in (f"s{i}", (t or "").lower()) for j in range(len(x) - 2)}
+    fts.write_index(d, "slug", ["slug", "clsc"], str(tmp_path / "i"))
+    want = [(r["slug"], round(r["score"], 9)) for r in fts.top(fts.bm25(d, ["slug", "clsc"], ["hand", "handy"]), [F.col("score"), F.col("slug")], 10).orderBy("rank").collect()]
+    assert [(r["slug"], round(r["score"], 9)) for r in fts.search_index(spark, str(tmp_path / "i"), "slug", ["slug", "clsc"], ["hand", "handy"]).orderBy("rank").collect()] == want and len(want) == 4
